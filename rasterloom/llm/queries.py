@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import langid
+from rasterloom.llm import langid, secrets
 
 QUERIES = {
+    "op3_secrets": secrets.op3_secrets,
     "op7_langid": langid.op7_langid,
 }
 ORACLE: dict[str, str] = {}
