@@ -62,13 +62,16 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of every word in order; start and end are byte positions in data."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of every word in order; start and end are byte positions in data.
+
+    space: for each byte, whether it parts words; at least the ASCII white space does.
+    """
     parts: list[tuple[np.ndarray, ...]] = []
     bounds = offsets[:-1][offsets[1:] > offsets[:-1]]
     for at, end in _segments(data, offsets):
         piece = data[at:end]
-        inside = ~_SPACE[piece]
+        inside = ~space[piece]
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
         cuts = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, end)] - at
@@ -95,6 +98,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
+def count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words each row has."""
+    total = np.zeros(len(offsets) - 1, np.int64)
+    for at in range(0, len(data), SEGMENT):
+        inside = ~_SPACE[data[at : at + SEGMENT]]
+        before = np.empty_like(inside)
+        before[0] = at > 0 and not _SPACE[data[at - 1]]
+        before[1:] = inside[:-1]
+        lo, hi = np.searchsorted(offsets, [at, at + SEGMENT])
+        cuts = offsets[lo:hi] - at
+        before[cuts[cuts < len(before)]] = False
+        row = np.searchsorted(offsets, np.flatnonzero(inside & ~before) + at, "right") - 1
+        if len(row):
+            total[row[0] : row[-1] + 1] += np.bincount(row - row[0])
+    return total
+
+
 def row_bounds(row: np.ndarray, rows: int) -> np.ndarray:
     """Where each row's words begin in the arrays of words(), one more than rows."""
     return np.searchsorted(row, np.arange(rows + 1))
