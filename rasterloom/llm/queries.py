@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import langid, packing, secrets, toxicity
+from rasterloom.llm import langid, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
+    "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
     "op3_secrets": secrets.op3_secrets,
     "op7_langid": langid.op7_langid,
