@@ -79,7 +79,7 @@ def rules() -> dict[str, Column]:
     words = F.nullif(F.col("n_words"), F.lit(0)).cast("double")
     per = lambda c: F.col(c) / words
     mean, capitals, never = per("word_chars"), F.col("n_upper") / F.col("word_chars"), F.lit(False)
-    prose = (per("n_symbols") < 0.02) & (capitals < 0.12) & (per("n_exclaim") < 0.02) & mean.between(3.0, 12.0) & (per("n_repeat_words") < 0.15)
+    prose = (per("n_symbols") < 0.02) & (capitals < 0.12) & (per("n_exclaim") < 0.02) & mean.between(3.0, 12.0) & (per("n_repeat_words") < 0.30)
     return {
         "length": _votes(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 100),
         "repetition": _votes(words, per("n_repeat_words") > 0.30, never),
