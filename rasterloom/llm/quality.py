@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from rasterloom.session import materialise
 
 SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS, UPPER = "[#*$%&|<>]", "[A-Z]"
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def count_of(text: Column, pattern: str) -> Column:
+    """How many characters of a class the text has; the matcher skips the rest without making strings."""
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def word_array(text: Column) -> Column:
@@ -40,10 +40,10 @@ def surface_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
-            "n_symbols": _count_of(t, SYMBOLS).cast("long"),
-            "n_upper": _count_of(t, UPPER).cast("long"),
-            "n_exclaim": _count_of(t, "!").cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": count_of(t, SYMBOLS),
+            "n_upper": count_of(t, UPPER),
+            "n_exclaim": count_of(t, "!"),
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import langid, packing, quality, secrets, toxicity
+from rasterloom.llm import langid, mixing, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
