@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, langid, mixing, packing, quality, secrets, toxicity
+from rasterloom.llm import chat, jaccard, langid, mixing, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op5_jaccard": jaccard.op5_jaccard,
     "op10_chat": chat.op10_chat,
     "op1_mixing": mixing.op1_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
