@@ -1,12 +1,19 @@
-"""From raw documents to packed training sequences, each stage on all that its predecessor kept."""
+"""From raw documents to packed training sequences, each stage on all that its predecessor kept.
+
+language_id drops texts without a letter; near_duplicates keeps the smallest id of each class of similar texts;
+secret_scan replaces secrets; mixing repeats and drops documents by fitted rates, so that domains reach their target
+shares; packing turns what remains into sequences. Stages but the last return the columns of documents. Extra columns
+are carried along. Null texts are dropped by the first stage, null ids are kept by all (they cannot be duplicates).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import langid
+from rasterloom.llm import jaccard, langid, mixing, packing, secrets
 from rasterloom.llm.textops import crc_mod
+from rasterloom.session import materialise
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +22,44 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.drop_undetermined(docs, profiles)
 
 
-STAGES = [("language_id", languages)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar documents the one with the smallest id stays, and so do documents without an id."""
+    similar = jaccard.similar_documents(docs)
+    gone = similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its secrets replaced."""
+    return secrets.redact(docs, size="n_chars")
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document's row as often as its fitted rate and draw say."""
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
+    mixed, _ = mixing.mix(docs, labels, mixing.TARGETS, anchor=mixing.ANCHOR)
+    # by id and text, so that rows sharing an id keep their own rates; equal rows have equal rates
+    copies = mixed.groupBy("doc_id", "_h").agg(F.max("copies").alias("_copies")).where("_copies <> 1")
+    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    other = copies.withColumnsRenamed({"doc_id": "_key", "_h": "_hash"})
+    rows = keyed.join(other, F.col("d.doc_id").eqNullSafe(F.col("_key")) & (F.col("d._h") == F.col("_hash")), "left")
+    times = F.coalesce("_copies", F.lit(1))
+    return rows.where(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select([f"d.{c}" for c in docs.columns])
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's pieces lie in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", languages), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mixing", mixing_weights), ("packing", sequences)]
 
+#: Not expressible: the rates and the packing are iterative.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

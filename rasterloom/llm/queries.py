@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import chat, embedding_dedup, jaccard, langid, mixing, packing, quality, secrets, toxicity
+from rasterloom.llm import chat, embedding_dedup, jaccard, langid, lm, mixing, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_lm": lm.op2_lm,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op5_jaccard": jaccard.op5_jaccard,
     "op10_chat": chat.op10_chat,
