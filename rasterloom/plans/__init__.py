@@ -1,0 +1 @@
+"""Registers the library's queries."""
