@@ -22,9 +22,9 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
     """
     blocks = max(1, -(-(points.count() if n is None else n) // block))
     rows = points.select("i", F.col(vector).alias("v"), F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("long").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = rows.select("i", "v", F.col("b").alias("q"), every.cast("long").alias("r"))
-    held = rows.select("i", "v", F.col("b").alias("r"), every.cast("long").alias("q"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asks = rows.select("i", "v", F.col("b").alias("q"), every.alias("r"))
+    held = rows.select("i", "v", F.col("b").alias("r"), every.alias("q"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("i").to_numpy(), right.column("i").to_numpy()
