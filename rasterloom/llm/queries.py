@@ -16,4 +16,21 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op7_langid": langid.op7_langid,
 }
-ORACLE: dict[str, str] = {}
+_REACH = """, reach AS (SELECT id, id AS c FROM nodes UNION SELECT l.b AS id, reach.c FROM reach JOIN links l ON l.a = reach.id), comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY 1)"""
+
+#: Brute force over all pairs; the other operators learn or search in ways that SQL can't express and are tested in tests/llm.
+ORACLE: dict[str, str] = {
+    "op5_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT w.doc_id AS id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1), nodes AS (SELECT id FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), links AS (SELECT a, b FROM l UNION SELECT b, a FROM l)"""
+    + _REACH
+    + " SELECT id AS doc_id, n AS n_shingles, component_id FROM n JOIN comp USING (id)",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings), nodes AS (SELECT id FROM v),
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9)"""
+    + _REACH
+    + " SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM comp",
+}
