@@ -80,7 +80,7 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 
 def _buckets(spark) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _alike(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +149,25 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int) -> Dat
         info = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 5) for x in table.column("i")])
         order, count = _alike(t)
         got, credit = np.unique(own[order][(count > 1) & (own[order] != _NOBODY)], return_counts=True)
-        none = pa.nulls(len(got), pa.int64())
-        return pa.table({"doc": pa.concat_arrays([pa.array(info[:, 0]), pa.array(got)]), **{c: pa.concat_arrays([pa.array(info[:, k + 1]), none]) for k, c in enumerate(("n", "f1", "f2"))}, "credit": pa.concat_arrays([pa.array(info[:, 4]), pa.array(credit)])})
+        return by_home(np.concatenate([info, np.column_stack([got, np.zeros((len(got), 3), np.int64), credit])]))
 
-    packed = docs.mapInArrow(emit, "b int, t binary, o binary, i binary")
-    rows = packed.groupBy("b").applyInArrow(meet, "doc long, n long, f1 long, f2 long, credit long")
-    top = F.max(F.struct("n", "f1", "f2")).alias("s")
-    return rows.groupBy("doc").agg(top, F.sum("credit").alias("credit")).select("doc", "s.n", "s.f1", "s.f2", "credit")
+    def by_home(rows: np.ndarray) -> pa.Table:
+        home = rows[:, 0] % buckets
+        order = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[order], np.arange(buckets + 1))
+        full = [h for h in range(buckets) if cut[h] < cut[h + 1]]
+        return pa.table({"h": pa.array(full, pa.int64()), "i": pa.array([rows[order[cut[h] : cut[h + 1]]].tobytes() for h in full], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 5) for x in table.column("i")])
+        docs, at = np.unique(rows[:, 0], return_inverse=True)
+        credit = np.bincount(at, rows[:, 4], len(docs)).astype(np.int64)
+        order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], at))  # the largest set of an id is its last row
+        last = rows[order[np.searchsorted(at[order], np.arange(len(docs)), "right") - 1]]
+        return pa.table({"doc": pa.array(docs), **{c: pa.array(last[:, k + 1]) for k, c in enumerate(("n", "f1", "f2"))}, "credit": pa.array(credit)})
+
+    packed = docs.mapInArrow(emit, "b int, t binary, o binary, i binary").groupBy("b").applyInArrow(meet, "h long, i binary")
+    return packed.groupBy("h").applyInArrow(add, "doc long, n long, f1 long, f2 long, credit long")
 
 
 def _families(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -180,32 +192,34 @@ def _families(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         order, count = _alike(t)
         order, count = order[count > 1], count[count > 1]
         t, own = t[order], own[order]
-        by = np.argsort(own, kind="stable")
-        ids, first = np.unique(own[by], return_index=True)
-        ends = np.append(first, len(by))
-        pack = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        return pa.table({"doc": pa.array(ids), "t": pack(t), "c": pack(count.astype(np.int64))})
-
-    shared = sets.select("doc", "s").mapInArrow(emit, "b int, t binary, o binary").groupBy("b").applyInArrow(meet, "doc long, t binary, c binary")
-    shared = shared.groupBy("doc").agg(F.collect_list("t").alias("t"), F.collect_list("c").alias("c"))  # a document's own set at most
-    sized = shared.join(sets.select("doc", "n"), "doc").select("doc", "n", "t", "c")
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, tokens = [], []
-            for doc, n, t, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                tok = np.frombuffer(b"".join(t), np.uint64)
-                often = np.frombuffer(b"".join(c), np.int64)
-                least = least_overlap(n, percent)
-                if len(tok) >= least:
-                    take = n - least + 1 - (n - len(tok))  # shingles of this document alone come first and match nothing
-                    best = tok[np.lexsort((tok, often))[:take]]
-                    docs.append(np.full(len(best), doc, np.int64))
-                    tokens.append(best.view(np.int64))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(tokens))], ["doc", "t"])
-
-    rows = materialise(sized.mapInArrow(prefix, "doc long, t long"))
+        home = own % buckets
+        by = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[by], np.arange(buckets + 1))
+        rows = [h for h in range(buckets) if cut[h] < cut[h + 1]]
+        pack = lambda x: pa.array([x[by[cut[h] : cut[h + 1]]].tobytes() for h in rows], pa.binary())
+        return pa.table({"h": pa.array(rows, pa.int64()), "t": pack(t), "o": pack(own), "c": pack(count.astype(np.int64))})
+
+    def prefix(sizes: pa.Table, shared: pa.Table) -> pa.Table:
+        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in shared.column(c))])
+        t, own, count = join("t", np.uint64), join("o", np.int64), join("c", np.int64)
+        order = np.lexsort((t, count, own))
+        t, own = t[order], own[order]
+        ids, n = sizes.column("doc").to_numpy(), sizes.column("n").to_numpy()
+        start, stop = np.searchsorted(own, ids), np.searchsorted(own, ids, "right")
+        docs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for doc, size, a, b in zip(ids.tolist(), n.tolist(), start.tolist(), stop.tolist(), strict=True):
+            least = least_overlap(size, percent)
+            if b - a >= least:
+                take = size - least + 1 - (size - (b - a))  # shingles of this document alone come first and match nothing
+                tokens.append(t[a : a + take])
+                docs.append(np.full(take, doc, np.int64))
+        return pa.table({"doc": pa.array(np.concatenate(docs)), "t": pa.array(np.concatenate(tokens).view(np.int64))})
+
+    home = F.pmod("doc", F.lit(buckets))  # as numpy's remainder
+    shared = sets.select("doc", "s").mapInArrow(emit, "b int, t binary, o binary").groupBy("b").applyInArrow(meet, "h long, t binary, o binary, c binary")
+    sizes = sets.select(home.cast("long").alias("h"), "doc", "n")
+    sized = sizes.groupBy("h").cogroup(shared.groupBy("h")).applyInArrow(prefix, "doc long, t long")
+    rows = materialise(sized)
     heads = rows.groupBy("t").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1").select("t", "src")
     return connected_components(rows.join(heads, "t").select("src", F.col("doc").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("family"))
 
@@ -399,7 +413,8 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
                 same = [fingerprint(s) == (a, b) for s, a, b in zip(made, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "n", "s"]).filter(pa.array(same))
 
-    sets = materialise(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary").dropDuplicates(["doc"]))
+    # a row repeated with its id comes twice here, which adds no link but one of the document with itself
+    sets = materialise(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
     families = materialise(_families(sets, percent, buckets))
     linked = connected_components(_links(sets, families, percent, buckets))
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
