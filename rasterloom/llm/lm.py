@@ -101,7 +101,7 @@ def _by_bucket(uniq: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _totals(blocks: DataFrame, buckets: int, heads: int) -> DataFrame:
-    """Rows of three kinds. Reply: block, b, c (training counts of the block's tokens in bucket b). Class: tail, n, v. Candidate for a head: hash, tail, n."""
+    """Rows of three kinds. Reply: block, b, c (training counts of the block's tokens in bucket b). Class: tail, n, v. Candidates for heads: c alone (n, hash, tail of the bucket's most frequent tokens)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,22 +130,36 @@ def _totals(blocks: DataFrame, buckets: int, heads: int) -> DataFrame:
         top = np.argsort(-total, kind="stable")[:heads]
         top = top[total[top] > 0]
         b, z = table.column("b")[0].as_py(), lambda k, t: pa.nulls(k, t)
-        r, k = len(reply), len(top)
+        r, k = len(reply), 1
+        best = np.column_stack([total[top], uniq[top].view(np.int64), tail[top].astype(np.int64)]).tobytes()
         join = lambda kind, *x: pa.concat_arrays([pa.array(y, kind) if not isinstance(y, int) else z(y, kind) for y in x])
         return pa.table(
             {
                 "block": join(pa.int64(), table.column("block").to_pylist(), TAILS, k),
                 "b": join(pa.int32(), [b] * r, TAILS, k),
-                "c": join(pa.binary(), reply, TAILS, k),
-                "tail": join(pa.int32(), r, np.arange(TAILS, dtype=np.int32), tail[top].astype(np.int32)),
-                "hash": join(pa.int64(), r, TAILS, uniq[top].view(np.int64)),
-                "n": join(pa.int64(), r, n, total[top]),
+                "c": join(pa.binary(), reply, TAILS, [best]),
+                "tail": join(pa.int32(), r, np.arange(TAILS, dtype=np.int32), k),
+                "n": join(pa.int64(), r, n, k),
                 "v": join(pa.int64(), r, v.astype(np.int64), k),
             }
         )
 
     packed = blocks.mapInArrow(emit, "b int, block long, h binary, c binary, t binary")
-    return packed.groupBy("b").applyInArrow(meet, "block long, b int, c binary, tail int, hash long, n long, v long")
+    return packed.groupBy("b").applyInArrow(meet, "block long, b int, c binary, tail int, n long, v long")
+
+
+def _most_frequent(packed: DataFrame, heads: int) -> list:
+    """(n, hash, tail) of the most frequent tokens, from each bucket's own."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                rows = np.concatenate([rows, np.frombuffer(x.as_py(), np.int64).reshape(-1, 3)])
+                rows = rows[np.lexsort((rows[:, 1], -rows[:, 0]))[:heads]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["n", "hash", "tail"])
+
+    return packed.mapInArrow(best, "n long, hash long, tail long").orderBy(F.desc("n"), "hash").limit(heads).collect()
 
 
 class LogBilinear:
@@ -157,7 +171,7 @@ class LogBilinear:
         self.p = [rng.normal(0, 0.1, (classes + 1, WIDTH)), rng.normal(0, 0.1, (classes, WIDTH)), np.log(self.unigram), np.ones((CONTEXT, WIDTH)) / CONTEXT]
         self.p = [x.astype(np.float32) for x in self.p]
 
-    def train(self, seen: np.ndarray, target: np.ndarray, *, batch: int = 8192, noise: int = 96, rate: float = 0.15, seed: int = 1) -> None:
+    def train(self, seen: np.ndarray, target: np.ndarray, *, batch: int = 2048, noise: int = 32, rate: float = 0.4, seed: int = 1) -> None:
         """One pass of noise-contrastive estimation with AdaGrad. seen: CONTEXT class numbers of each target (number of classes: none)."""
         rng = np.random.default_rng(seed)
         table = np.searchsorted(np.cumsum(self.unigram), (np.arange(1 << 16) + 0.5) / (1 << 16)).clip(0, len(self.unigram) - 1)
@@ -169,18 +183,18 @@ class LogBilinear:
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             w, c = target[own], seen[own]
-            e = context[c]
-            q = (e * weight).sum(1)
+            e = [context[c[:, k]] for k in range(CONTEXT)]
+            q = sum(x * weight[k] for k, x in enumerate(e))
             sample = table[rng.integers(0, 1 << 16, noise)]
             out_w, out_s = output[w], output[sample]
-            right = 1 - _sigmoid((q * out_w).sum(1) + bias[w] - log_noise[w])
+            right = 1 - _sigmoid(np.einsum("ij,ij->i", q, out_w) + bias[w] - log_noise[w])
             wrong = -_sigmoid(q @ out_s.T + bias[sample] - log_noise[sample])
             dq = right[:, None] * out_w + wrong @ out_s
             d_out = _scatter(w, right[:, None] * q, len(output))
             np.add.at(d_out, sample, wrong.T @ q)
             d_bias = np.bincount(w, right, len(bias)) + np.bincount(sample, wrong.sum(0), len(bias))
-            d_context = _scatter(c.ravel(), (dq[:, None, :] * weight).reshape(-1, WIDTH), len(context))
-            d_weight = (dq[:, None, :] * e).sum(0)
+            d_context = sum(_scatter(c[:, k], dq, len(context)) * weight[k] for k in range(CONTEXT))
+            d_weight = np.stack([np.einsum("ij,ij->j", dq, x) for x in e])
             for x, g, s in zip(self.p, (d_context, d_out, d_bias, d_weight), self.square, strict=True):
                 g = (g / len(own)).astype(np.float32)
                 s += g * g
@@ -214,13 +228,21 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        y = np.exp(-x)
+        y += 1
+        return np.reciprocal(y, out=y)
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of rows by number."""
-    flat = (at.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(flat, rows.ravel(), n * WIDTH).reshape(n, WIDTH)
+    at = at.astype(np.uint16)  # few enough classes for a radix sort
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    out = np.zeros((n, WIDTH), np.float32)
+    out[at[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+    return out
 
 
 def contexts(classes: np.ndarray, lens: np.ndarray, none: int) -> np.ndarray:
@@ -281,14 +303,14 @@ def _train(blocks: DataFrame, coder: Coder, model: LogBilinear, seed: int) -> Lo
     return model
 
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int = HEADS, rounds: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int = HEADS, rounds: int = 1) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; what isn't held out is learnt from."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialise(_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))))
     totals = materialise(_totals(blocks, buckets, heads))
-    by_tail = {r["tail"]: r for r in totals.where("hash is null and tail is not null").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    head = totals.where("hash is not null").select("hash", "tail", "n").orderBy(F.desc("n"), "hash").limit(heads).collect()
+    by_tail = {r["tail"]: r for r in totals.where("tail is not null").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    head = _most_frequent(totals.where("block is null and tail is null").select("c"), heads)
     coder = Coder([r["hash"] for r in head])
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
     for k, r in by_tail.items():
