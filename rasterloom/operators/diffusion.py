@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.vector import distance, gaussian
+from rasterloom.operators.modes import merge_modes
 from rasterloom.session import materialise
 
 
@@ -44,7 +45,7 @@ def movement(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.max(distance("_a", "_b")), F.lit(0.0)).alias("movement"))
 
 
-def run_graph_rms(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, every: int = 8) -> tuple[DataFrame, list[float]]:
+def diffuse(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, every: int = 8) -> tuple[DataFrame, list[float]]:
     """G3 as rounds over the cluster: ((i, y), movement of each round or, with tol 0, of each group of `every` rounds). Stops when a movement is under tol.
 
     Lineage is cut every few rounds through the checkpoint folder; edges are dealt by j once and reused.
@@ -100,7 +101,7 @@ def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints:
     return pixels.select(scene, "i", "v").groupBy(scene).cogroup(edges.select(scene, "i", "j", "w").groupBy(scene)).applyInArrow(run, f"`{scene}` {kind}, t long, i long, y array<double>")
 
 
-def run_dynamic_graph_rms(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 8) -> tuple[DataFrame, list[float]]:
+def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 8) -> tuple[DataFrame, list[float]]:
     """Mean shift whose weights are taken anew each round, between current states (blurring) or a state and the neighbours' first vectors. edges: (i, j, sp)."""
     state = pixels.select("i", F.col("v").alias("y"), F.col("v").alias("x0"))
     edges = materialise(edges.select("i", "j", "sp"))
@@ -119,3 +120,9 @@ def run_dynamic_graph_rms(pixels: DataFrame, edges: DataFrame, *, sigma_spectral
         if tol > 0 and history[-1] < tol:
             break
     return state.select("i", "y"), history
+
+
+def cluster(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, merge_tol: float = 0.15, merge_components: int = 10) -> DataFrame:
+    """(i, label) of a weighted graph in one call: diffuse, then merge the modes."""
+    state, _ = diffuse(pixels, edges, max_iter=max_iter, tol=tol, alpha=alpha, anchor=anchor)
+    return merge_modes(materialise(state), merge_tol, pca_components=merge_components)

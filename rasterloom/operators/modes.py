@@ -97,3 +97,8 @@ def local_scale(neighbours: DataFrame, q: int = 10) -> float:
     if s is None:
         raise ValueError(f"no pixel has a {q}-th neighbour at a positive distance")
     return float(s)
+
+
+def merge_modes(state: DataFrame, tol: float = 0.15, *, pca_components: int = 10, max_neighbors: int = 50) -> DataFrame:
+    """(i, label) straight from diffused states (i, y)."""
+    return merge_from_neighbors(compute_merge_neighbors(state, pca_components=pca_components, max_neighbors=max_neighbors), tol, state)

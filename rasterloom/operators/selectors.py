@@ -246,3 +246,10 @@ def oracle_gaps(candidates: DataFrame, chosen: DataFrame, metric: str, by: str =
     rank = F.rank().over(Window.partitionBy(by).orderBy(F.desc(metric)))
     rows = candidates.withColumn("oracle", best).withColumn("rank", rank)
     return rows.join(chosen.select(by, "tau"), [by, "tau"], "left_semi").select(by, F.col(metric).alias("selected"), "oracle", (F.col("oracle") - F.col(metric)).alias("gap"), "rank")
+
+
+def nearest_entry(curve: DataFrame, wanted: DataFrame, by: str = "curve") -> DataFrame:
+    """Of each curve the entry whose tau is nearest to the wanted one (ties: the smaller tau). wanted: (curve, wanted_tau), a row a curve."""
+    row = F.struct(*[c for c in curve.columns if c != by])
+    gap = F.struct(F.round(F.abs(F.col("tau") - F.col("wanted_tau")), 12), "tau")
+    return curve.join(wanted, by).groupBy(by).agg(F.min_by(row, gap).alias("s")).select(by, "s.*")

@@ -68,7 +68,7 @@ def discover(pixels: DataFrame, config: Configuration = Configuration(), *, loca
         one = lambda df: df.withColumn("scene", F.lit(0))
         state = diffusion.diffuse_local(one(full), one(weighted), "scene", [config.checkpoint], alpha=config.alpha).select("i", "y")
     else:
-        state, _ = diffusion.run_graph_rms(full, weighted, max_iter=config.checkpoint, tol=0.0, alpha=config.alpha)
+        state, _ = diffusion.diffuse(full, weighted, max_iter=config.checkpoint, tol=0.0, alpha=config.alpha)
     state = materialise(state)
     lap("diffusion")
     space = materialise(scene.pca(state.select("i", F.col("y").alias("v")), config.merge_components, standardise=True).select("i", F.col("p").alias("v")))

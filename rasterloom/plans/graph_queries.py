@@ -154,7 +154,7 @@ def diffusion_step(spark, d):
 @query("diffusion_t3", _unrolled(3) + " SELECT i, round(sum(u),6) AS total, round(sum(u*u),6) AS norm2 FROM y3 GROUP BY i")
 def diffusion_t3(spark, d):
     scene, edges = _weighted(spark, d)
-    return _digest(D.run_graph_rms(scene, edges, max_iter=3, tol=0.0)[0])
+    return _digest(D.diffuse(scene, edges, max_iter=3, tol=0.0)[0])
 
 
 @query("movement", _unrolled(1) + " SELECT round(max(m),6) AS movement FROM (SELECT sqrt(sum((a.u-b.u)*(a.u-b.u))) AS m FROM y0 a JOIN y1 b ON a.i=b.i AND a.k=b.k GROUP BY a.i)")
@@ -174,7 +174,7 @@ def diffusion_t100(spark, d):
 @query("dynamic_mean_shift")
 def dynamic_mean_shift(spark, d):
     scene, edges = _repaired(spark, d)
-    return D.run_dynamic_graph_rms(scene, G.grid_edges(edges, scene), sigma_spectral=1.0, sigma_spatial=2.0, max_iter=4, tol=0.0)[0]
+    return D.diffuse_dynamic(scene, G.grid_edges(edges, scene), sigma_spectral=1.0, sigma_spatial=2.0, max_iter=4, tol=0.0)[0]
 
 
 _KNN = _SCENE + f""", kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM (SELECT a.i, b.i AS j, sqrt({_D2.format(a="a.v", b="b.v")}) AS d FROM sc a JOIN sc b ON a.i<>b.i)) WHERE rank <= 12)"""
@@ -257,3 +257,10 @@ def linkage(spark, d):
     scene = _scene(spark, d).withColumn("label", F.col("i") % 40)
     ids, mu, disp, _ = T.modes_to_arrays(T.mode_prototypes(scene))
     return T.apply_groups(scene.select("i", "label"), ids, T.consolidate(T._separations(mu, disp)[1], 0.4, "complete"))
+
+
+@query("cluster_once")
+def cluster_once(spark, d):
+    """Diffusion and merging in one call."""
+    scene, edges = _weighted(spark, d)
+    return D.cluster(scene, edges, max_iter=3, tol=0.0, merge_tol=1.6)

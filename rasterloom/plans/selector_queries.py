@@ -218,3 +218,8 @@ def block_bootstrap_ci(spark, d):
 def spearman_signals(spark, d):
     r = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), "l_quantity", "l_extendedprice")
     return A.spearman(r, ["g"], "l_quantity", "l_extendedprice").select("g", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("evidence_join", f"{_CURVE}, w AS (SELECT * FROM (VALUES ('longkou', 0.47), ('trento', 0.72)) t(curve, w)), k AS (SELECT c.curve, tau, k, row_number() OVER (PARTITION BY c.curve ORDER BY abs(tau-w), tau) AS z FROM c JOIN w USING (curve)) SELECT curve, tau, k FROM k WHERE z = 1")
+def evidence_join(spark, d):
+    return E.nearest_entry(curves(spark), spark.createDataFrame([("longkou", 0.47), ("trento", 0.72)], "curve string, wanted_tau double")).select("curve", "tau", "k")

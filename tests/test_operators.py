@@ -109,18 +109,18 @@ def path_graph(spark):
 
 def test_diffusion(spark):
     px, edges = path_graph(spark)
-    state, history = diffusion.run_graph_rms(px, edges, max_iter=1, tol=0.0)
+    state, history = diffusion.diffuse(px, edges, max_iter=1, tol=0.0)
     assert [r.y for r in state.orderBy("i").collect()] == [[0.5], [0.5], [0.5], [7.0]] and history == [0.5]
     from pyspark.sql import functions as F
 
     one = lambda df: df.withColumn("s", F.lit("a"))
     local = diffusion.diffuse_local(one(px), one(edges), "s", [3, 6], anchor=0.2)
     for t in (3, 6):
-        far, _ = diffusion.run_graph_rms(px, edges, max_iter=t, tol=0.0, anchor=0.2)
+        far, _ = diffusion.diffuse(px, edges, max_iter=t, tol=0.0, anchor=0.2)
         assert np.allclose([r.y for r in local.where(f"t = {t}").orderBy("i").collect()], [r.y for r in far.orderBy("i").collect()], atol=1e-12)
     with pytest.raises(ValueError):
         diffusion.diffusion_step(px, edges, anchor=1.0)
-    early, seen = diffusion.run_graph_rms(px, edges, max_iter=50, tol=0.6)
+    early, seen = diffusion.diffuse(px, edges, max_iter=50, tol=0.6)
     assert len(seen) == 1
 
 
@@ -232,3 +232,22 @@ def test_tables(spark, tmp_path):
     assert df.columns == ["name", "n"]
     kinds = {r["name"]: (r["bytes"], r["kind"]) for r in files.manifest(spark, str(tmp_path)).collect()}
     assert kinds["a.csv"][1] == "data"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from rasterloom.__main__ import main
+
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "scene"))
+    spark.createDataFrame([(i, i % 3) for i in range(60)], "i long, gt int").write.parquet(str(tmp_path / "truth"))
+    config = json.dumps({"pca_components": None, "k": 4, "window_radius": 2, "min_degree": 1, "checkpoint": 2, "max_neighbors": 6, "merge_components": 2})
+    main(["select", str(tmp_path / "scene"), "--out", str(tmp_path / "out"), "--config", config])
+    lock = capsys.readouterr().out.strip().splitlines()[-1]
+    main(["evaluate", str(tmp_path / "out"), str(tmp_path / "truth"), "--lock", lock, "--config", config])
+    assert 0 < json.loads(capsys.readouterr().out.strip().splitlines()[-1])["overall_accuracy"] <= 1
+    with pytest.raises(ValueError):
+        main(["evaluate", str(tmp_path / "out"), str(tmp_path / "truth"), "--lock", lock])
+    main(["baseline", str(tmp_path / "scene"), "--out", str(tmp_path / "km"), "--clusters", "3", "--method", "fcm"])
+    assert spark.read.parquet(str(tmp_path / "km")).count() == 60
