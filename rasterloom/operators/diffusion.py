@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.arrow import matrix
 from rasterloom.functions.vector import distance, gaussian
 from rasterloom.operators.modes import merge_modes
 from rasterloom.session import materialise
@@ -65,6 +66,12 @@ def diffuse(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: flo
     return state.select("i", "y"), history
 
 
+def _rows(values: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    n, d = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d) if n else [0], pa.int32()), pa.array(values.ravel()))
+
+
 def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints: list[int], *, alpha: float = 0.5, anchor: float = 0.0) -> DataFrame:
     """G3, G5 within workers, a scene each: (scene, t, i, y) at the given rounds. Pixels and edges carry the scene's column; one scene must fit a worker."""
     _check(anchor)
@@ -74,7 +81,7 @@ def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints:
         ids = px.column("i").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
-        y = np.array(px.column("v").to_pylist(), float)[order]
+        y = matrix(px.column("v"))[order]
         first = y.copy()
         i, j, w = (np.searchsorted(ids, ed.column(c).to_numpy()) if c != "w" else ed.column(c).to_numpy() for c in ("i", "j", "w"))
         by = np.lexsort((j, i))
@@ -95,7 +102,7 @@ def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints:
                 out.append((t, y))
         name = px.column(scene)[0].as_py()
         n = len(ids)
-        return pa.table({scene: pa.array([name] * n * len(out), px.schema.field(scene).type), "t": pa.array(np.repeat([t for t, _ in out], n)), "i": pa.array(np.tile(ids, len(out))), "y": pa.array([r for _, v in out for r in v.tolist()])})
+        return pa.table({scene: pa.array([name] * n * len(out), px.schema.field(scene).type), "t": pa.array(np.repeat([t for t, _ in out], n)), "i": pa.array(np.tile(ids, len(out))), "y": _rows(np.concatenate([v for _, v in out]) if out else np.zeros((0, 0)))})
 
     kind = pixels.schema[scene].dataType.simpleString()
     return pixels.select(scene, "i", "v").groupBy(scene).cogroup(edges.select(scene, "i", "j", "w").groupBy(scene)).applyInArrow(run, f"`{scene}` {kind}, t long, i long, y array<double>")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions.arrow import matrix
 from rasterloom.functions.vector import distance, gaussian, grid_distance, squared_distance
 from rasterloom.operators.scene import pca
 
@@ -52,7 +53,7 @@ def tiled_topk(pixels: DataFrame, radius: int, k: int, vector: str = "v", tile:
 
     def nearest(table: pa.Table) -> pa.Table:
         y, x, i = (table.column(c).to_numpy() for c in ("y", "x", "i"))
-        v = np.array(table.column("v").to_pylist(), float)
+        v = matrix(table.column("v"))
         y0, x0 = table.column("ty")[0].as_py() * tile - radius, table.column("tx")[0].as_py() * tile - radius
         side = tile + 2 * radius
         at = np.full((side + 2 * radius, side + 2 * radius), -1)

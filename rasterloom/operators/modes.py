@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions.arrow import matrix
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.scene import pca
 from rasterloom.session import materialise
@@ -30,7 +31,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
         a, b = left.column("i").to_numpy(), right.column("i").to_numpy()
         if not len(a) or not len(b):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        x, y = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        x, y = matrix(left.column("v")), matrix(right.column("v"))
         own_i, own_j, own_d = [], [], []
         take = min(k + 1, len(b))
         for at in range(0, len(a), 256):
