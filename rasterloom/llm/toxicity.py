@@ -4,8 +4,8 @@ Words (parted by white space and ASCII punctuation, lower-cased) get log-odds of
 documents, with an informative Dirichlet prior in proportion to their overall frequency; those that stand out
 (z >= `least_z`) form the lexicon, every other word costs `drift`. One linear-time scan finds all maximal segments
 with a positive score (the sparse form of the Ruzzo-Tompa scan: only lexicon words are visited). Segment scores are
-calibrated by extreme-value theory: lambda solves E[exp(lambda s)] = 1 over clean text, K is fitted to the largest
-segment of each clean document, so a segment of score S in n words is expected K n exp(-lambda S) times by chance. A
+calibrated by extreme-value theory: lambda solves E[exp(lambda s)] = 1 over clean text, K to how many clean
+documents reach the score of one hit, so a segment of score S in n words is expected K n exp(-lambda S) times by chance. A
 document's evidence is the sum of its segments' excess over chance, and a logistic curve makes it a probability.
 
 All is fitted on a bounded sample of about `sample_rows` labelled rows, chosen by hash of the id; scoring reads every
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.textops import _SPACE, column_bytes, crc_mod, map_batches, row_bounds, words
 from rasterloom.session import materialise
 
+#: Evidence, in natural logarithms of odds against chance, that is as good as certainty.
+ENOUGH = 30.0
 _PARTS = _SPACE.copy()
 _PARTS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -85,11 +87,16 @@ class Model:
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         return sum(max(0.0, self.excess(n, s)) for _, _, s in found)
 
+    @staticmethod
+    def strength(evidence: float) -> float:
+        """What the curve is over: beyond ENOUGH more evidence changes nothing."""
+        return min(evidence, ENOUGH) / 10
+
     def probability(self, evidence: float) -> float:
         if self.curve is None:
             return 0.0
         a, b = self.curve
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, a + b * math.log1p(evidence)))))
+        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, a + b * self.strength(evidence)))))
 
 
 def _root(clean: np.ndarray, scores: np.ndarray, drift: float) -> float:
@@ -170,8 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     y, n_words, segments = fitted.y.to_numpy(), fitted.n.to_numpy(), fitted.s.tolist()
     best = np.array([max(s, default=0.0) for s in segments])
     quiet = y == 0
-    model.k = float(quiet.sum() / max((n_words[quiet] * np.exp(-model.lam * best[quiet])).sum(), 1e-9))
-    x = np.array([math.log1p(sum(max(0.0, model.excess(int(n), s)) for s in ss)) for n, ss in zip(n_words, segments, strict=True)])
+    # K from the tail: as many clean documents reach the least score of a single hit as there are
+    least = float(model.scores.min())
+    model.k = float(((best[quiet] >= least).sum() + 0.5) * math.exp(model.lam * least) / max(n_words[quiet].sum(), 1))
+    x = np.array([model.strength(model.evidence(int(n), [(0, 0, s) for s in ss])) for n, ss in zip(n_words, segments, strict=True)])
     model.curve = _logistic(x, y)
     return model
 
