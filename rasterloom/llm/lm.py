@@ -3,8 +3,10 @@
 Tokens are words and one end mark a text. The `heads` most frequent training tokens are classes of their own; every
 other token belongs to one of TAILS classes by its first and last letters. A log-bilinear neural model predicts the class from
 the classes of the last CONTEXT tokens; within a tail class a token has its smoothed share of the class's training
-tokens. It is trained in numpy by noise-contrastive estimation: every partition makes a pass over all its training
-tokens from the same start, and the weighted mean of the partitions' parameters (summed in two levels) starts the next
+tokens. It is trained in numpy by noise-contrastive estimation, in PASSES passes over all training tokens. These are
+dealt in pieces to trainers of at least SHARE tokens each (one trainer if there are fewer), however the table is
+partitioned, so that every trainer makes enough steps. A pass has ROUNDS rounds: each trainer learns from its share of
+the round, and the weighted mean of the trainers' parameters and AdaGrad sums (in two levels) starts the next
 round. Scoring normalises over all classes, by batched matrix products over the distinct contexts of a block.
 
 Counts cover all training documents: blocks of documents are coded once (distinct token hashes and indices into
@@ -29,6 +31,9 @@ from rasterloom.session import materialise
 
 HEADS, TAILS, CONTEXT, WIDTH = 768, 64, 2, 32
 BLOCK = 1_500_000
+PASSES, ROUNDS = 2, 4
+#: Tokens of a trainer at least; a piece has about a 64th.
+SHARE = 1 << 22
 SMOOTH = 0.1
 END = np.uint64(0x9D7F3B5A1C2E4F61)
 
@@ -170,14 +175,13 @@ class LogBilinear:
         self.unigram = (unigram + 0.5) / (unigram + 0.5).sum()
         self.p = [rng.normal(0, 0.1, (classes + 1, WIDTH)), rng.normal(0, 0.1, (classes, WIDTH)), np.log(self.unigram), np.ones((CONTEXT, WIDTH)) / CONTEXT]
         self.p = [x.astype(np.float32) for x in self.p]
+        self.square = [np.full_like(x, 1e-2) for x in self.p]
 
     def train(self, seen: np.ndarray, target: np.ndarray, *, batch: int = 2048, noise: int = 32, rate: float = 0.4, seed: int = 1) -> None:
         """One pass of noise-contrastive estimation with AdaGrad. seen: CONTEXT class numbers of each target (number of classes: none)."""
         rng = np.random.default_rng(seed)
         table = np.searchsorted(np.cumsum(self.unigram), (np.arange(1 << 16) + 0.5) / (1 << 16)).clip(0, len(self.unigram) - 1)
         log_noise = np.log(noise * self.unigram).astype(np.float32)
-        if not hasattr(self, "square"):
-            self.square = [np.full_like(x, 1e-2) for x in self.p]
         order = rng.permutation(len(target))
         context, output, bias, weight = self.p
         for at in range(0, len(order), batch):
@@ -266,45 +270,60 @@ class Coder:
         return np.where(self.heads[at] == uniq, at, len(self.heads) + tail.astype(np.int64)).astype(np.int32)
 
 
-def _train(blocks: DataFrame, coder: Coder, model: LogBilinear, seed: int) -> LogBilinear:
-    """The mean of the models that the partitions make of it, weighted by their tokens."""
-    classes = len(model.p[2])
+def _deal(blocks: DataFrame, coder: Coder, trainers: int, rounds: int, size: int) -> DataFrame:
+    """Pieces of whole training texts (about `size` tokens), dealt by hash: trainer, turn (round of a pass), piece, target (classes), lens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        own, n = None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 uniq, tail, tok, lens = _unpack(row)
-                learn = np.repeat(~np.array(row["held"], bool), lens)
-                target = coder.classes(uniq, tail)[tok]
-                if learn.any():
-                    if own is None:
-                        own = LogBilinear.__new__(LogBilinear)
-                        own.unigram, own.p = model.unigram, [x.copy() for x in model.p]
-                    own.train(contexts(target, lens, classes)[learn], target[learn], seed=seed)
-                    n += int(learn.sum())
-        if own is not None:
-            flat = np.concatenate([x.ravel() for x in own.p]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["lane", "n", "p"])
+                own = ~np.array(row["held"], bool)
+                target = coder.classes(uniq, tail)[tok][np.repeat(own, lens)].astype(np.uint16)
+                lens = lens[own]
+                if not len(lens):
+                    continue
+                start = np.cumsum(lens) - lens
+                first = np.flatnonzero(np.diff(start // size, prepend=-1))
+                piece = mix64(np.uint64(row["block"]) + (np.arange(len(first), dtype=np.uint64) << np.uint64(48)))
+                cell = (piece % np.uint64(trainers * rounds)).astype(np.int64)
+                cells = [[x.tobytes() for x in np.split(y, at[1:])] for y, at in ((target, start[first]), (lens, first))]
+                yield pa.RecordBatch.from_arrays([pa.array(cell // rounds), pa.array(cell % rounds), pa.array(piece.view(np.int64)), *(pa.array(x, pa.binary()) for x in cells)], ["trainer", "turn", "piece", "target", "lens"])
+
+    return blocks.select("block", "held", "uniq", "tail", "tok", "lens").mapInArrow(run, "trainer long, turn long, piece long, target binary, lens binary")
+
+
+def _train(pieces: DataFrame, model: LogBilinear, seed: int) -> LogBilinear:
+    """The mean of the models that the trainers make of it, weighted by their tokens; so are the AdaGrad sums."""
+    classes = len(model.p[2])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece")
+        target, lens = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(k)]) for k, t in (("target", np.uint16), ("lens", np.int64)))
+        target = target.astype(np.int32)
+        own = LogBilinear.__new__(LogBilinear)
+        own.unigram, own.p, own.square = model.unigram, [x.copy() for x in model.p], [x.copy() for x in model.square]
+        own.train(contexts(target, lens, classes), target, seed=seed)
+        flat = np.concatenate([x.ravel() for x in own.p + own.square])
+        return pa.table({"lane": pa.array([table.column("trainer")[0].as_py() % 64]), "n": pa.array([len(target)]), "p": pa.array([flat.tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("p"))
-        return pa.table({"lane": pa.array([0], pa.int64()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "p": pa.array([total.tobytes()], pa.binary())})
+        n = table.column("n").to_pylist()
+        mean = sum(np.frombuffer(x.as_py(), np.float32) * (k / sum(n)) for x, k in zip(table.column("p"), n, strict=True)).astype(np.float32)
+        return pa.table({"lane": pa.array([0], pa.int64()), "n": pa.array([sum(n)], pa.int64()), "p": pa.array([mean.tobytes()], pa.binary())})
 
     kind = "lane long, n long, p binary"
-    got = blocks.select("held", "uniq", "tail", "tok", "lens").mapInArrow(run, kind).groupBy("lane").applyInArrow(add, kind).groupBy("lane").applyInArrow(add, kind).first()
+    got = pieces.groupBy("trainer").applyInArrow(run, kind).groupBy("lane").applyInArrow(add, kind).groupBy("lane").applyInArrow(add, kind).first()
     if got is not None:
-        flat, at = np.frombuffer(got["p"], np.float64) / got["n"], 0
-        for k, x in enumerate(model.p):
-            model.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+        flat, at = np.frombuffer(got["p"], np.float32), 0
+        for group in (model.p, model.square):
+            for k, x in enumerate(group):
+                group[k] = flat[at : at + x.size].reshape(x.shape)
+                at += x.size
     return model
 
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int = HEADS, rounds: int = 1) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; what isn't held out is learnt from."""
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int = HEADS, passes: int = PASSES, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; what isn't held out is learnt from. A single trainer needs no rounds within a pass."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialise(_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))))
@@ -322,8 +341,12 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hel
     count = {r["hash"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in head}
     classes = len(head) + TAILS
     model = LogBilinear(classes, np.concatenate([[count[int(h)] for h in coder.heads], tail_n]))
-    for k in range(rounds if tokens else 0):
-        model = _train(blocks, coder, model, seed=k)
+    trainers = max(1, int(tokens) // share)
+    rounds = rounds if trainers > 1 else 1
+    if tokens:
+        pieces = materialise(_deal(blocks, coder, trainers, rounds, max(1, share // 64)))
+        for k in range(passes * rounds):
+            model = _train(pieces.where(F.col("turn") == k % rounds), model, seed=k)
     base = np.log10(tokens + SMOOTH * (types + 1)) if tokens or types else np.log10(SMOOTH)
     rest = np.log(np.maximum(tail_n + SMOOTH * (tail_v + 1), SMOOTH))
 

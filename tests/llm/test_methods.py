@@ -219,6 +219,25 @@ def test_language_model(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("production", [True, False])
+def test_language_model_in_many_partitions(spark, production):
+    rng = random.Random(5)
+    after = {w: rng.sample(range(60), 3) for w in range(60)}
+    rows = []
+    for i in range(1500):
+        w, own = rng.randrange(60), []
+        for _ in range(60):
+            own.append(f"w{w}")
+            w = rng.choice(after[w])
+        rows.append((i, " ".join(own), i % 5 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    gain = []
+    for parts in (2, 60):
+        r = lm.score_texts(df.repartition(parts, "doc_id"), **({} if production else {"share": 20_000})).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        gain.append((r["s"] - r["b"]) / r["n"])
+    assert min(gain) > (0.2 if production else 0.02) and abs(gain[0] - gain[1]) < 0.05, gain
+
+
 def test_transcripts_across_partitions(spark):
     rng = random.Random(14)
     rows = [(1, i, rng.choice(["user", None]) if i % 2 == 0 else rng.choice(["assistant", None]), rng.choice(["what is it?", "a long answer " * 9, "User: hm\nmore"])) for i in range(200)]
