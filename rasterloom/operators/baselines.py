@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.arrow import matrix
 from rasterloom.functions.vector import squared_distance
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.modes import knn
@@ -132,20 +133,34 @@ def slic_kmeans(pixels: DataFrame, k: int, *, size: int = 100, compactness: floa
 
 
 def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32) -> DataFrame:
-    """(i, j, d): a least spanning forest of mutual reachability over the k-nearest-neighbour graph, by Boruvka rounds."""
+    """(i, j, d): a least spanning tree of mutual reachability over all pairs, by Boruvka rounds.
+
+    A component's least outgoing edge comes from its points' k nearest neighbours where these decide it: others are no
+    nearer than the k-th. The points that could have a lesser edge are searched against all others, block against block.
+    """
+    k = max(k, min_size - 1)
     near = materialise(knn(points, k))
     core = near.where(F.col("rank") == min(min_size - 1, k)).select("i", F.col("d").alias("c"))
     a, b = core.select("i", F.col("c").alias("_a")), core.select(F.col("i").alias("j"), F.col("c").alias("_b"))
     e = near.join(a, "i").join(b, "j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.greatest("d", "_a", "_b").alias("d")).distinct()
     edges = materialise(e)
-
+    reach = near.where(F.col("rank") == k).select("i", F.col("d").alias("reach"))  # without a k-th neighbour all others are listed
+    full = materialise(points.join(core.withColumnRenamed("c", "core"), "i").join(reach, "i", "left").select("i", "v", "core", "reach"))
+    total = full.count()
 
     label = points.select("i", F.col("i").alias("c"))
     tree = None
     for _ in range(64):
+        if label.select("c").distinct().limit(2).count() < 2:
+            break
         ends = edges.join(label.withColumnRenamed("c", "ci"), "i").join(label.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").where("ci <> cj")
         both = ends.select("i", "j", "d", F.col("ci").alias("c")).unionByName(ends.select("i", "j", "d", F.col("cj").alias("c")))
-        best = materialise(both.groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("s")).select("s.*").distinct())
+        listed = materialise(both.groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("s")))
+        state = full.join(label, "i").join(listed.select("c", F.col("s.d").alias("most")), "c", "left")
+        asks = materialise(state.where(F.col("reach") <= F.coalesce("most", F.lit(float("inf")))))
+        if not asks.isEmpty():
+            listed = listed.unionByName(_outgoing(asks, state, total))
+        best = materialise(listed.groupBy("c").agg(F.min("s").alias("s")).select("s.*").distinct())
         if best.isEmpty():
             break
         tree = best if tree is None else materialise(tree.unionByName(best).distinct())
@@ -154,6 +169,33 @@ def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32) -> DataFram
     return tree if tree is not None else edges.limit(0)
 
 
+def _outgoing(asks: DataFrame, state: DataFrame, n: int, block: int = 2048) -> DataFrame:
+    """(c, s: (d, i, j)): the least edge of mutual reachability from each block of `asks` to other components. Both: i, v, core, c, most."""
+    blocks = max(1, -(-n // block))
+    rows = lambda df: df.select(*[F.col(x).alias(x) for x in ("i", "v", "core", "c")], F.coalesce("most", F.lit(float("inf"))).alias("most"), F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("long").alias("b"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = rows(asks).withColumn("r", every).withColumnRenamed("b", "q")
+    right = rows(state).withColumn("q", every).withColumnRenamed("b", "r")
+
+    def least(left: pa.Table, right: pa.Table) -> pa.Table:
+        best: dict[int, tuple[float, int, int]] = {}
+        if left.num_rows and right.num_rows:
+            ids, held, c, g = (t.column(n).to_numpy() for n in ("i", "c") for t in (left, right))
+            x, y, core, other, most = matrix(left.column("v")), matrix(right.column("v")), left.column("core").to_numpy(), right.column("core").to_numpy(), left.column("most").to_numpy()
+            for r in range(len(ids)):
+                d = np.maximum(np.maximum(np.sqrt(((x[r] - y) ** 2).sum(1)), core[r]), other)
+                d[g == c[r]] = np.inf
+                low = d.min()
+                if np.isfinite(low) and low <= most[r]:
+                    for j in held[d == low].tolist():
+                        edge = (float(low), min(int(ids[r]), j), max(int(ids[r]), j))
+                        best[int(c[r])] = min(best.get(int(c[r]), edge), edge)
+        return pa.table({"c": pa.array(list(best), pa.int64()), **{n: pa.array([e[k] for e in best.values()], t) for k, (n, t) in enumerate([("d", pa.float64()), ("i", pa.int64()), ("j", pa.int64())])}})
+
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(least, "c long, d double, i long, j long")
+    return found.select("c", F.struct("d", "i", "j").alias("s"))
+
+
 def condense(edges: list[tuple[int, int, float]], ids: list[int], min_size: int = 5) -> dict[int, int]:
     """Clusters of a spanning tree by excess of mass: id -> label, noise -1. The hierarchy is built over the tree's edges on the driver."""
     order = sorted(edges, key=lambda e: (e[2], e[0], e[1]))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.operators import components, diffusion, graph, modes, partition, prototypes, scene, selectors, spatial, stats, study
+from rasterloom.operators import baselines, components, diffusion, graph, modes, partition, prototypes, scene, selectors, spatial, stats, study
 from rasterloom.plans.selector_queries import PIXELS, curves
 from rasterloom.sources import envi, files
 
@@ -251,3 +251,24 @@ def test_command_line(spark, tmp_path, capsys):
         main(["evaluate", str(tmp_path / "out"), str(tmp_path / "truth"), "--lock", lock])
     main(["baseline", str(tmp_path / "scene"), "--out", str(tmp_path / "km"), "--clusters", "3", "--method", "fcm"])
     assert spark.read.parquet(str(tmp_path / "km")).count() == 60
+
+
+def test_hdbscan_joins_separated_clusters(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0.0, 20.0, 60.0)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    tree = baselines.spanning_tree(points, k=10).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, 1)[:, 4]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    inside, low = np.zeros(len(x), bool), reach[0].copy()
+    inside[0], weight = True, 0.0
+    for _ in range(len(x) - 1):
+        at = int(np.where(inside, np.inf, low).argmin())
+        weight += low[at]
+        inside[at], low = True, np.minimum(low, reach[at])
+    assert len(tree) == len(x) - 1 and sum(r["d"] for r in tree) == pytest.approx(weight)
+    label = {r["i"]: r["label"] for r in baselines.hdbscan(points, k=10).collect()}
+    parts = [{label[i] for i in range(a, a + 40) if label[i] >= 0} for a in (0, 40, 80)]
+    assert all(parts) and not (parts[0] & parts[1] or parts[0] & parts[2] or parts[1] & parts[2])
+    assert sum(v < 0 for v in label.values()) < 40
