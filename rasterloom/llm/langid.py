@@ -132,8 +132,9 @@ def fit_profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang",
 
 def _predict(profiles: Profiles, text: str):
     def fn(batch: pa.RecordBatch) -> dict:
-        got = [profiles.predict(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "margin": [g[2] for g in got], "known": [g[0] != UNDETERMINED for g in got]}
+        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        got = [profiles.predict(t) for t in texts]
+        return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "margin": [g[2] for g in got], "known": [g[0] != UNDETERMINED or has_letter(ngrams(t or "")[0]) for g, t in zip(got, texts, strict=True)]}
 
     return fn
 
@@ -144,7 +145,7 @@ def detect(docs: DataFrame, profiles: Profiles, *, text: str = "text", keep: lis
 
 
 def drop_undetermined(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFrame:
-    """The rows whose text is in some language, with their own columns."""
+    """The rows whose text has a letter, with their own columns, be there profiles or not."""
     return map_batches(docs, _predict(profiles, text), "", None, "known")
 
 

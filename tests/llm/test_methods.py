@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rasterloom.llm import chat, embedding_dedup, jaccard, langid, lm, mixing, packing, quality, secrets, textops, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +123,14 @@ def test_language_profiles(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+def test_letters_stay_without_labels(spark):
+    rows = [(i, t, None) for i, t in enumerate(["a clean text", "été", "12 34 !", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.languages(spark, df, "").collect()} == {0, 1}
+    named = df.withColumn("lang", F.lit("und"))
+    assert {r.doc_id for r in langid.drop_undetermined(named, langid.fit_profiles(named)).collect()} == {0, 1}
+
+
 def test_language_chunks(monkeypatch):
     text = "Ab c, dé fgh ij! " * 9
     whole = langid.ngrams(text)
