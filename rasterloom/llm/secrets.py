@@ -51,15 +51,20 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", _long_access),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: What follows a key's header: all up to the END line; without one, PEM headers and runs of base64, the last may be a short line.
+KEY_BODY = (
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*(?:[A-Za-z-]{3,20}:\x20[^\n\\]{1,200}(?=\n|\\n)|[A-Za-z0-9+/=]{16,}))*+(?:(?:\r?\n|\\n)\s*[A-Za-z0-9+/=]+(?=\s*(?:\n|\\n|[\"']|\Z)))?)"
+)
 #: Public formats of issued credentials.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----" + KEY_BODY),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 
 #: A query is True (no condition), a trigram, or ("and" | "or", (query, ...)).

@@ -100,6 +100,17 @@ def test_redaction(spark):
     assert got == {1: "a <SECRET:assign> and <SECRET:assign>", 2: None, 3: "clean"}
 
 
+def test_whole_keys_and_long_logins_are_redacted(spark):
+    body = "\n".join(["MIIEow+/" * 8] * 3 + ["q83vAb=="])
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    rows = [f"a {head}\n{body}\n{foot} b", f"a {head}\n{body}", "a " + f"{head}\n{body}\n{foot}".replace("\n", "\\n") + " b", f"a {head}\n{pem}{body}\n{foot} b", f"a {head}\n{body}\nand so it goes", f"a {head} is how a key starts", f"a {head}\n{pem}{body}", f"https://{'u' * 90}:{'Zt' * 60}@host/x", f"{head}\n{body}\n{foot}\nmid\n{head}\n{body}\n{foot}"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    key = "<SECRET:private_key>"
+    assert got == [f"a {key} b", f"a {key}", f"a {key} b", f"a {key} b", f"a {key}\nand so it goes", f"a {key} is how a key starts", f"a {key}", "<SECRET:url_login>host/x", f"{key}\nmid\n{key}"]
+
+
 def test_segments_against_all_intervals():
     rng = random.Random(5)
     for _ in range(200):
