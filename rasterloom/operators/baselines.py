@@ -46,6 +46,7 @@ def _start(points: DataFrame, k: int, seed: int) -> np.ndarray:
 
 def minibatch_kmeans(points: DataFrame, k: int, *, seed: int = 0, batch: int = 4096, max_iter: int = 300, n: int | None = None, tol: float = 1e-4) -> DataFrame:
     """B2: each step reads a hash sample of about `batch` rows and moves the centres by running means."""
+    points = materialise(points)
     total = points.count() if n is None else n
     centres, seen = _start(points, k, seed), np.zeros(k)
     share = min(1.0, batch / max(total, 1))
@@ -70,6 +71,7 @@ def minibatch_kmeans(points: DataFrame, k: int, *, seed: int = 0, batch: int = 4
 
 def fuzzy_cmeans(points: DataFrame, k: int, *, seed: int = 0, max_iter: int = 150, tol: float = 1e-4, least: float = 1e-12) -> DataFrame:
     """Fuzzy c-means with m = 2. A round sums k x bands weighted products; memberships are expressions of the centres and never stored."""
+    points = materialise(points)
     d = points.select(F.size("v").alias("d")).first()["d"]
 
     def sums(centres: np.ndarray | None):

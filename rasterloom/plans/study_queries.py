@@ -75,22 +75,22 @@ def resume_antijoin(spark, d):
 
 @query("kmeans_baseline")
 def kmeans_baseline(spark, d):
-    return B.kmeans(_pixels(spark, d), 9, n_init=3, max_iter=30)
+    return B.kmeans(_pixels(spark, d), 9)
 
 
 @query("minibatch_kmeans_baseline")
 def minibatch_baseline(spark, d):
-    return B.minibatch_kmeans(_pixels(spark, d), 9, max_iter=5)
+    return B.minibatch_kmeans(_pixels(spark, d), 9)
 
 
 @query("fcm_baseline")
 def fcm_baseline(spark, d):
-    return B.fuzzy_cmeans(_pixels(spark, d), 9, max_iter=5)
+    return B.fuzzy_cmeans(_pixels(spark, d), 9)
 
 
 @query("slic_kmeans_baseline")
 def slic_baseline(spark, d):
-    return B.slic_kmeans(_pixels(spark, d), 4, size=25, rounds=2, n_init=2)
+    return B.slic_kmeans(_pixels(spark, d), 4, size=25)
 
 
 @query("hdbscan_baseline")
@@ -102,7 +102,7 @@ def hdbscan_baseline(spark, d):
 def leiden_baseline(spark, d):
     s = _pixels(spark, d)
     e = materialise(G.spectral_edges(G.build_graph(s, pca_components=None, k=8, window_radius=3), s))
-    return B.communities(G.affinities(e).select("i", "j", "w"), levels=1, rounds=4)
+    return B.communities(G.affinities(e).select("i", "j", "w"))
 
 
 @query("undirected_dedupe", "SELECT DISTINCT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j FROM lineitem WHERE l_partkey <> l_suppkey")

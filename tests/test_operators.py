@@ -272,3 +272,19 @@ def test_hdbscan_joins_separated_clusters(spark):
     parts = [{label[i] for i in range(a, a + 40) if label[i] >= 0} for a in (0, 40, 80)]
     assert all(parts) and not (parts[0] & parts[1] or parts[0] & parts[2] or parts[1] & parts[2])
     assert sum(v < 0 for v in label.values()) < 40
+
+
+def test_baseline_queries_do_the_whole_job(monkeypatch):
+    """The registered baselines leave the operators' numbers of steps and starts alone."""
+    from rasterloom.plans import study_queries
+
+    given_ = {}
+    for name in ("kmeans", "minibatch_kmeans", "fuzzy_cmeans", "slic_kmeans", "communities"):
+        monkeypatch.setattr(baselines, name, lambda *a, _n=name, **kw: given_.setdefault(_n, set(kw)))
+    monkeypatch.setattr(study_queries, "_pixels", lambda *a: None)
+    for name in ("build_graph", "spectral_edges", "affinities"):
+        monkeypatch.setattr(study_queries.G, name, lambda *a, **kw: type("E", (), {"select": lambda *b: None})())
+    monkeypatch.setattr(study_queries, "materialise", lambda e: e)
+    for q in (study_queries.kmeans_baseline, study_queries.minibatch_baseline, study_queries.fcm_baseline, study_queries.slic_baseline, study_queries.leiden_baseline):
+        q(None, "")
+    assert len(given_) == 5 and not set().union(*given_.values()) & {"n_init", "max_iter", "rounds", "levels"}
