@@ -11,19 +11,22 @@ Two documents link when their shingle sets overlap in at least `percent` per cen
    prefix shingle form families (connected components): links never cross families.
 4. Families are joined by DivideSkip: of a query's inverted lists the short ones are merged, those documents that are
    often enough among them are probed in the long ones by binary search, and documents that reach the overlap link.
-   A family over BLOCK documents is dealt into blocks, each with the same few pivots of the family; what the pivots
-   have not connected to the family's largest class is then searched against every block, so no link is lost and
-   documents known to be in one class are not compared again.
+   A family over BLOCK documents is dealt into blocks, each with the same few pivots of the family. Documents that are
+   still in different classes meet again wherever they share a prefix shingle and are of like size, so no link is lost,
+   no document is compared within its class, and a long chain of documents costs what its shingles' own lists cost.
 5. Components of the links are found by contraction.
 
-Nothing is capped. Defined cases: a text without words has an empty set and links with nothing; with fewer words than
+Words of up to eight bytes are told apart exactly, longer ones by 64 bits under a key drawn for each run, sets by 128
+bits. Nothing is capped. Defined cases: a text without words has an empty set and links with nothing; with fewer words than
 a shingle the whole sequence is its one shingle. Rows that share an id are one document, with the text of the largest
 set; rows with a null id are returned with a null component.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,36 +45,38 @@ POSTINGS = 2_000_000
 _NOBODY = np.iinfo(np.int64).min
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
-    """Of each row: the ascending 64-bit hashes of its distinct shingles."""
+def shingle_sets(column: pa.Array, size: int = SHINGLE, key: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each row: the ascending 64-bit hashes of its distinct shingles, and (rows x 2 longs) 128 bits of the set.
+
+    The second half of the 128 bits stems from a second hash of every shingle.
+    """
     data, offsets = column_bytes(column)
-    code, row, _, _ = words(data, offsets)
+    code, row, _, _ = words(data, offsets, key=key)
     bounds = row_bounds(row, len(column)).tolist()
-    weights = mix64(np.arange(1, size + 1, dtype=np.uint64))
-    if len(code) >= size:
-        total = code[: len(code) - size + 1] * weights[0]
+    weights = mix64(np.arange(1, 2 * size + 1, dtype=np.uint64)).reshape(2, size) | np.uint64(1)
+    both = []
+    for w in weights:
+        total = code[: max(0, len(code) - size + 1)] * w[0]
         for k in range(1, size):
-            total += np.roll(code, -k)[: len(total)] * weights[k]
-        total = mix64(total)
-    else:
-        total = np.zeros(0, np.uint64)
-    out = []
+            total += code[k : k + len(total)] * w[k]
+        both.append(mix64(total))
+    out, mark = [], np.zeros((len(column), 2), np.uint64)
     for r in range(len(column)):
         a, b = bounds[r], bounds[r + 1]
         if b - a >= size:
-            out.append(np.unique(total[a : b - size + 1]))
+            s, first = np.unique(both[0][a : b - size + 1], return_index=True)
+            other = both[1][a : b - size + 1][first]
         elif b > a:
-            out.append(mix64((code[a:b] * weights[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            s, other = (mix64((code[a:b] * w[: b - a]).sum(keepdims=True) + np.uint64(b - a)) for w in weights)
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            s = other = np.zeros(0, np.uint64)
+        out.append(s)
+        mark[r] = mix64(s + np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64) ^ np.uint64(len(s)), mix64(other).sum(dtype=np.uint64)
+    return out, mix64(mark).view(np.int64)
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two longs."""
-    a = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    b = mix64(s + np.uint64(0x0123456789ABCDEF)).sum(dtype=np.uint64)
-    return tuple(mix64(np.array([a + np.uint64(len(s)), b ^ np.uint64(len(s))], np.uint64)).view(np.int64).tolist())
+def _lists(made: tuple[list[np.ndarray], np.ndarray]) -> tuple[list[np.ndarray], list[list[int]]]:
+    return made[0], made[1].tolist()
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -92,7 +97,7 @@ def _alike(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(size, size)
 
 
-def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int) -> DataFrame:
+def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: int) -> DataFrame:
     """(doc, n, f1, f2, credit): of each document its set's size and fingerprint and how many shingles of its prefix other documents' prefixes hold."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +108,12 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size), strict=True):
+                for doc, s, mark in zip(part.column(0).to_pylist(), *_lists(shingle_sets(part.column(1), size, key)), strict=True):
                     n = len(s)
                     m = min(n, n - least_overlap(n, percent) + max(1, -(-n // 10)))
                     tokens.append(s[:m])
                     owners.append(np.full(m, len(about), np.int64))
-                    about.append((doc, n, *fingerprint(s)))
+                    about.append((doc, n, *mark))
                     held += m
                 if held >= POSTINGS:
                     yield from send(tokens, owners, about)
@@ -170,8 +175,8 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int) -> Dat
     return packed.groupBy("h").applyInArrow(add, "doc long, n long, f1 long, f2 long, credit long")
 
 
-def _families(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(doc, family) of the documents that may link; sets: doc, n, s (packed hashes) of different sets."""
+def _families(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, family) of the documents that may link, and (doc, t), their prefixes; sets: doc, n, s (packed hashes) of different sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +226,8 @@ def _families(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     sized = sizes.groupBy("h").cogroup(shared.groupBy("h")).applyInArrow(prefix, "doc long, t long")
     rows = materialise(sized)
     heads = rows.groupBy("t").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1").select("t", "src")
-    return connected_components(rows.join(heads, "t").select("src", F.col("doc").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    families = connected_components(rows.join(heads, "t").select("src", F.col("doc").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    return families, rows
 
 
 class Forest:
@@ -240,50 +246,48 @@ class Forest:
         return a != b
 
 
-def merge_short(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in at least `need` of the ascending lists, and in how many.
+def merge_short(lists: list[tuple[list[int], int]], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids whose lists weigh `need` or more together, and that weight; lists: (ascending ids, weight).
 
-    A heap over the lists' heads; where fewer than `need` heads agree, the `need` - 1 smallest skip ahead to the next
-    head (MergeSkip). Long inputs are merged by sorting at once, with the same result.
+    A heap over the lists' heads; where the heads that agree weigh too little, the smallest heads that weigh less than
+    `need` together skip ahead to the next head (MergeSkip).
     """
-    total = sum(map(len, lists))
-    if total > 512:
-        ids, count = np.unique(np.concatenate(lists), return_counts=True)
-        return ids[count >= need], count[count >= need]
-    rows = [x.tolist() for x in lists]
-    at = [0] * len(rows)
-    heap = [(x[0], k) for k, x in enumerate(rows) if x]
+    at = [0] * len(lists)
+    heap = [(x[0], k) for k, (x, _) in enumerate(lists) if x]
     heapq.heapify(heap)
-    ids, counts = [], []
-    while len(heap) >= need:
+    left = sum(lists[k][1] for _, k in heap)
+    ids, weights = [], []
+    while left >= need:
         top = heap[0][0]
-        popped = []
+        popped, weight = [], 0
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= need:
+            weight += lists[popped[-1]][1]
+        if weight >= need:
             ids.append(top)
-            counts.append(len(popped))
+            weights.append(weight)
             goal = top + 1
         else:
-            while len(popped) < need - 1 and heap:
+            while heap and weight + lists[heap[0][1]][1] < need:
                 popped.append(heapq.heappop(heap)[1])
+                weight += lists[popped[-1]][1]
             if not heap:
                 break
             goal = heap[0][0]
         for k in popped:
-            row, i = rows[k], at[k]
-            while i < len(row) and row[i] < goal:
-                i += 1
-            at[k] = i
+            row, own = lists[k]
+            at[k] = i = bisect.bisect_left(row, goal, at[k])
             if i < len(row):
                 heapq.heappush(heap, (row[i], k))
-    return np.array(ids, np.int64), np.array(counts, np.int64)
+            else:
+                left -= own
+    return np.array(ids, np.int64), np.array(weights, np.int64)
 
 
-def join_block(sets: list[np.ndarray], percent: int = PERCENT, fresh: np.ndarray | None = None) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], percent: int = PERCENT, mark: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets, as pairs of positions.
 
-    fresh: if given, only pairs of one marked and one unmarked set or two marked ones are searched for.
+    mark: if given, a class for each set; sets of one class are known to be connected and not compared.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
@@ -293,70 +297,75 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT, fresh: np.ndarray
     by = np.lexsort((owner, code))
     start = np.concatenate(([0], np.cumsum(count)))
     posted = owner[by]  # of each shingle, its documents by ascending size
+    # shingles of the same documents share one inverted list, which weighs as much as they are many
+    named: dict[bytes, int] = {}
+    inverted: list[np.ndarray] = []
+    which = np.full(len(count), -1, np.int64)
+    for c in np.flatnonzero(count > 1).tolist():
+        x = posted[start[c] : start[c + 1]]
+        which[c] = named.setdefault(x.tobytes(), len(inverted))
+        if which[c] == len(inverted):
+            inverted.append(x)
     ends = np.concatenate(([0], np.cumsum(sizes[order])))
     n_of = sizes[order]
-    marked = None if fresh is None else np.asarray(fresh)[order]
     forest, links = Forest(len(order)), []
+    if mark is not None:
+        first: dict[int, int] = {}
+        for q, m in enumerate(np.asarray(mark)[order].tolist()):
+            forest.join(first.setdefault(m, q), q)
     for q in range(1, len(order)):
         n = int(n_of[q])
-        if not n:
-            continue
         low = int(np.searchsorted(n_of, least_overlap(n, percent)))
-        if low >= q:
+        if not n or low >= q:
             continue
         need = -(-percent * (n + int(n_of[low])) // (100 + percent))  # overlap that the smallest partner must reach
-        own = code[ends[q] : ends[q + 1]]
-        own = own[count[own] > 1]
-        if len(own) < need:
-            continue
+        own = which[code[ends[q] : ends[q + 1]]]
+        own, weight = np.unique(own[own >= 0], return_counts=True)
         lists = []
-        for c in own.tolist():
-            x = posted[start[c] : start[c + 1]]
+        for k, w in zip(own.tolist(), weight.tolist(), strict=True):
+            x = inverted[k]
             x = x[np.searchsorted(x, low) : np.searchsorted(x, q)]
             if len(x):
-                lists.append(x)
-        if len(lists) < need:
+                lists.append((x, w))
+        if sum(w for _, w in lists) < need:
             continue
-        lists.sort(key=len)
-        longest = len(lists[-1])
-        probe = min(need - 1, int(need / (0.01 * np.log(longest + 1) + 1)), len(lists))
-        short, long = lists[: len(lists) - probe], lists[len(lists) - probe :]
-        ids, got = merge_short(short, need - probe)
-        if marked is not None and not marked[q]:
-            keep = marked[ids]
-            ids, got = ids[keep], got[keep]
+        lists.sort(key=lambda x: len(x[0]))
+        most = min(need - 1, int(need / (0.01 * np.log(len(lists[-1][0]) + 1) + 1)))
+        cut, probed = len(lists), 0
+        while cut and probed + lists[cut - 1][1] <= most:
+            cut -= 1
+            probed += lists[cut][1]
+        ids, got = merge_short([(x.tolist(), w) for x, w in lists[:cut]], need - probed)
         rank = np.argsort(-got, kind="stable")
         ids, got = ids[rank], got[rank]
         while len(ids):
+            root = forest.find(q)
+            keep = np.array([forest.find(x) != root for x in ids.tolist()], bool)
+            ids, got = ids[keep], got[keep]
             part, shared = ids[:BLOCK], got[:BLOCK].copy()
-            for x in long:
+            for x, w in lists[cut:]:
                 k = np.searchsorted(x, part)
-                shared += x[np.minimum(k, len(x) - 1)] == part
-            good = 100 * shared >= percent * (n + n_of[part] - shared)
-            for other in part[good].tolist():
+                shared += w * (x[np.minimum(k, len(x) - 1)] == part)
+            for other in part[100 * shared >= percent * (n + n_of[part] - shared)].tolist():
                 if forest.join(q, other):
                     links.append((int(order[q]), int(order[other])))
             ids, got = ids[BLOCK:], got[BLOCK:]
-            if good.any() and len(ids):
-                root = forest.find(q)
-                keep = np.array([forest.find(x) != root for x in ids.tolist()], bool)
-                ids, got = ids[keep], got[keep]
     return links
 
 
 def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) links; rows: g (group), k (family within it), doc, fresh (or null), s."""
+    """(src, dst) links; rows: g (group), k (which of them meet within it), doc, mark (a class known to be connected, or null), s."""
 
     def local(table: pa.Table) -> pa.Table:
         docs, sets = table.column("doc").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")]
-        family, fresh = table.column("k").to_numpy(), table.column("fresh").to_pylist()
+        family, marks = table.column("k").to_numpy(), table.column("mark").to_pylist()
         src, dst = [], []
         by = np.argsort(family, kind="stable")
         edges = np.append(np.flatnonzero(np.concatenate(([True], np.diff(family[by]) != 0))), len(by))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             at = by[a:b]
             if b - a > 1:
-                mark = None if fresh[at[0]] is None else np.array([fresh[x] for x in at], bool)
+                mark = None if marks[at[0]] is None else np.array([marks[x] for x in at], np.int64)
                 for x, y in join_block([sets[i] for i in at], percent, mark):
                     src.append(int(docs[at[x]]))
                     dst.append(int(docs[at[y]]))
@@ -365,42 +374,57 @@ def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("g").applyInArrow(local, "src long, dst long")
 
 
-def _links(sets: DataFrame, families: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _bridges(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(g, doc): groups in which documents of different classes meet; every link between classes has both ends in one of them.
+
+    heads: t, doc (prefix shingles); classes: doc, class, n. A group is a shingle that classes share, and a step of sizes
+    within 1 / percent; of shingles with the same documents one stands for all. A group over BLOCK is dealt into pairs
+    of blocks.
+    """
+    held = heads.join(classes, "doc")
+    alike = [F.bit_xor(F.xxhash64("doc", F.lit(salt))).alias(f"x{salt}") for salt in (21, 22)]
+    mixed = held.groupBy("t").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("c"), *alike).where("a <> b")
+    kept = mixed.groupBy("c", "x21", "x22").agg(F.min("t").alias("t")).select("t")
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
+    # sizes of a link are at most one step apart: a step's group holds those of the next step too
+    rows = held.join(kept, "t").select("t", "doc", "class", F.explode(F.array(step, step - 1)).alias("step"))
+    size = rows.groupBy("t", "step").agg(F.count("*").alias("m"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("t", "step", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    dealt = rows.join(size, ["t", "step"]).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class")
+
+
+def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(src, dst): links whose components are those of all links."""
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).where("m > 1")
     # a document's share of draws: pivots are few of a family, blocks about BLOCK documents
     draw = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     blocks = F.ceil(F.col("m") / BLOCK)
-    rows = materialise(sets.join(families.join(sizes, "family"), "doc").select("doc", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block")))
-    small = rows.where("blocks = 1").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("g"), F.col("family").alias("k"), "doc", F.lit(None).cast("boolean").alias("fresh"), "s")
-    name = lambda *c: F.concat_ws("/", "family", *c)
+    rows = materialise(sets.join(families.join(sizes, "family"), "doc").select("doc", "n", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block")))
+    none = F.lit(None).cast("long").alias("mark")
+    small = rows.where("blocks = 1").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("g"), F.col("family").alias("k"), "doc", none, "s")
+    name = lambda c: F.concat_ws("/", "family", c)
     large = rows.where("blocks > 1")
-    dealt = large.select(name("block").alias("g"), F.col("family").alias("k"), "doc", F.lit(None).cast("boolean").alias("fresh"), "s")
+    dealt = large.select(name("block").alias("g"), F.col("family").alias("k"), "doc", none, "s")
     pivots = large.where(draw * F.col("m") < PIVOTS).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    pivots = pivots.select(name("to").alias("g"), F.col("family").alias("k"), "doc", F.lit(None).cast("boolean").alias("fresh"), "s")
+    pivots = pivots.select(name("to").alias("g"), F.col("family").alias("k"), "doc", none, "s")
     found = materialise(_join_groups(small.unionByName(dealt).unionByName(pivots), percent))
     if large.isEmpty():
         return found
-    # what isn't in the largest class of its family is searched against all of the family
+    # what pivots and blocks left apart meets by the prefix shingles that classes share
     known = connected_components(found)
-    placed = large.select("doc", "family").join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "family", F.coalesce("component", "doc").alias("class"))
-    largest = placed.groupBy("family", "class").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("class", F.struct("n", F.negative("class"))).alias("main"))
-    strays = materialise(placed.join(largest, "family").where("class <> main").select("doc", "family"))
-    count = strays.groupBy("family").agg(F.count("*").alias("strays")).withColumn("parts", F.ceil(F.col("strays") / BLOCK))
-    wide = large.join(count, "family")
-    odd = wide.join(strays.select("doc"), "doc", "left_semi").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(13)), "parts"))
-    asked = odd.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(name("to", "part").alias("g"), F.col("family").alias("k"), "doc", F.lit(True).alias("fresh"), "s")
-    held = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(name("block", "part").alias("g"), F.col("family").alias("k"), "doc", F.lit(False).alias("fresh"), "s")
-    more = _join_groups(asked.unionByName(held), percent)
+    classes = materialise(large.select("doc", "n").join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("class")))
+    meet = materialise(_bridges(heads, classes, percent).distinct())
+    more = _join_groups(meet.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s"), percent)
     return found.unionByName(more)
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; key must be a 64-bit or smaller integer."""
     buckets = _buckets(docs.sparkSession)
+    word_key = random.SystemRandom().getrandbits(64)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
     named = rows.where("doc is not null")
-    table = materialise(_prefix_table(named, percent, size, buckets))
+    table = materialise(_prefix_table(named, percent, size, buckets, word_key))
     classes = materialise(table.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("credit").alias("credit")))
     need = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
     able = classes.where(F.col("credit") >= need).select(F.col("rep").alias("doc"), "n", "f1", "f2")
@@ -409,21 +433,21 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = shingle_sets(part.column(1), size)
-                same = [fingerprint(s) == (a, b) for s, a, b in zip(made, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                made, mark = shingle_sets(part.column(1), size, word_key)
+                same = (mark[:, 0] == part.column(3).to_numpy()) & (mark[:, 1] == part.column(4).to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "n", "s"]).filter(pa.array(same))
 
     # a row repeated with its id comes twice here, which adds no link but one of the document with itself
     sets = materialise(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
-    families = materialise(_families(sets, percent, buckets))
-    linked = connected_components(_links(sets, families, percent, buckets))
+    families, heads = _families(sets, percent, buckets)
+    linked = connected_components(_links(sets, materialise(families), heads, percent, buckets))
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = table.where("n > 0").join(reps, ["f1", "f2"]).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
     alone = table.where("n = 0").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(s) for s in shingle_sets(batch.column(1), size)]
+            n = [len(s) for s in shingle_sets(batch.column(1), size)[0]]
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none], [key, "n_shingles", "component_id"])
 

@@ -1,11 +1,15 @@
 """Vectorised text primitives shared by the operators: Arrow batches in, numpy arrays out.
 
 Words are maximal runs outside ASCII white space (0x20, 0x09-0x0D) and are compared after lower-casing A-Z.
-A word is represented by a 64-bit hash of its bytes; temporaries are bounded by SEGMENT bytes however long a text is.
+A word is represented by 64 bits. A word of up to eight bytes has a number of its own; longer ones are hashed, eight bytes
+at a time through a full-avalanche mix, and those over LANES lanes by keyed BLAKE2b. With a key that is drawn for each
+run, nobody can prepare different words with one number. Temporaries are bounded by SEGMENT bytes, or a few times the
+longest word, however long a text is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +22,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SEGMENT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[65:91] += np.uint64(32)
-_POWER = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
+_LOWER = np.arange(1, 257).astype(np.uint8)  # no byte of UTF-8 is 255, so that 0 can mean "no byte"
+_LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more lanes of eight bytes go to BLAKE2b.
+LANES = 16
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -62,10 +68,30 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start, end) of every word in order; start and end are byte positions in data.
-
-    space: for each byte, whether it parts words; at least the ASCII white space does.
+def _codes(piece: np.ndarray, start: np.ndarray, size: np.ndarray, key: int) -> np.ndarray:
+    """64 bits for each word of piece, the same for the same bytes after lower-casing."""
+    raw = np.zeros(len(piece) + 8, np.uint8)
+    raw[:-8] = _LOWER[piece]
+    eight = np.ndarray(len(piece) + 1, "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    seed = mix64(np.array([key & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+    code = mix64((eight[start] & _FIRST[np.minimum(size, 8)]) ^ seed)
+    long = np.flatnonzero(size > 8)
+    giant = long[size[long] > 8 * LANES]
+    k = 8
+    while len(long) and k < 8 * LANES:
+        code[long] = mix64(code[long] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[long] + k] & _FIRST[np.minimum(size[long] - k, 8)]))
+        k += 8
+        long = long[size[long] > k]
+    for i in giant.tolist():
+        made = hashlib.blake2b(raw[start[i] : start[i] + size[i]], digest_size=8, key=seed.tobytes())
+        code[i] = int.from_bytes(made.digest(), "little")
+    return code
+
+
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, row, start, end) of every word in order; start and end are byte positions in data.
+
+    space: for each byte, whether it parts words; at least the ASCII white space does. key: codes under different keys differ.
     """
     parts: list[tuple[np.ndarray, ...]] = []
     bounds = offsets[:-1][offsets[1:] > offsets[:-1]]
@@ -83,15 +109,8 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
         after[-1], after[:-1] = False, inside[1:]
         after[cuts[cuts > 0] - 1] = False
         stop = np.flatnonzero(inside & ~after) + 1
-        size = stop - start
-        place = np.flatnonzero(inside)
-        rel = place - np.repeat(start, size)
-        value = _LOWER[piece[place]] * _POWER[rel & 4095]
-        first = np.zeros(len(size), np.int64)
-        np.cumsum(size[:-1], out=first[1:])
-        code = np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         row = np.searchsorted(offsets, start + at, "right") - 1
-        parts.append((mix64(code), row, start + at, stop + at))
+        parts.append((_codes(piece, start, stop - start, key), row, start + at, stop + at))
     if not parts:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none

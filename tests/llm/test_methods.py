@@ -73,14 +73,64 @@ def test_jaccard_is_exact(spark, monkeypatch, block):
     assert len({c for _, c in got.values()}) < 110
 
 
+def brute_components(sets):
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(sets))]
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    z = "z" * 6000
+    swapped = [z[:500] + p + z[501:4596] + q + z[4597:] for p, q in ("xy", "yx")]
+    rows = [thue, other, *swapped, swapped[0].upper(), "abcdefgh", "abcdefghi", "abcdefgh " + "b" * 129, "abcdefgh " + "b" * 130]
+    got = jaccard.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: 2 if i == 4 else i for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("sharing", [24, 30, 33])
+def test_chain_of_documents(spark, sharing):
+    """A family at the real block size without a central text: each document shares a run of words with the next; only long runs link."""
+    rng = random.Random(sharing)
+    words = [f"u{i}" for i in range(40 * 400)]
+    rows, at = [], 0
+    for _ in range(330):
+        rows.append(" ".join(words[at : at + 40]))
+        at += 40 - (sharing if rng.random() < 0.7 else 36)
+    sets = [shingles(t) for t in rows]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_components(sets)))
+
+
 def test_merge_short_counts():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        lists = [np.unique(rng.integers(0, 12, rng.integers(0, 8))) for _ in range(rng.integers(1, 9))]
-        need = int(rng.integers(1, 6))
-        ids, count = np.unique(np.concatenate(lists), return_counts=True)
-        got, n = jaccard.merge_short(lists, need)
-        assert got.tolist() == ids[count >= need].tolist() and n.tolist() == count[count >= need].tolist()
+    for _ in range(400):
+        lists = [(np.unique(rng.integers(0, 12, rng.integers(0, 8))).tolist(), int(rng.integers(1, 4))) for _ in range(rng.integers(1, 9))]
+        need = int(rng.integers(1, 9))
+        weight = {}
+        for x, w in lists:
+            for i in x:
+                weight[i] = weight.get(i, 0) + w
+        ids, n = jaccard.merge_short(lists, need)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {i: w for i, w in weight.items() if w >= need} and sorted(ids.tolist()) == ids.tolist()
 
 
 def test_secrets_against_plain_scan():
