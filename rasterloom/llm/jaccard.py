@@ -246,42 +246,59 @@ class Forest:
         return a != b
 
 
-def merge_short(lists: list[tuple[list[int], int]], need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids whose lists weigh `need` or more together, and that weight; lists: (ascending ids, weight).
+def merge_short(lists: list[tuple[list[int], list[int], int]], need: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in low..high - 1 whose lists weigh `need` or more together, and that weight.
 
-    A heap over the lists' heads; where the heads that agree weigh too little, the smallest heads that weigh less than
-    `need` together skip ahead to the next head (MergeSkip).
+    lists: (starts, stops, weight), the maximal runs of consecutive ids of an inverted list. A heap holds each list's next
+    boundary. Where the lists at hand weigh too little, those that begin next and still weigh less than `need` together
+    with them skip ahead to the boundary after (MergeSkip).
     """
-    at = [0] * len(lists)
-    heap = [(x[0], k) for k, (x, _) in enumerate(lists) if x]
+    at = [bisect.bisect_right(stops, low) for _, stops, _ in lists]
+    heap = [(max(x[0][i], low), k) for k, (x, i) in enumerate(zip(lists, at, strict=True)) if i < len(x[0]) and x[0][i] < high]
     heapq.heapify(heap)
-    left = sum(lists[k][1] for _, k in heap)
-    ids, weights = [], []
-    while left >= need:
-        top = heap[0][0]
-        popped, weight = [], 0
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap)[1])
-            weight += lists[popped[-1]][1]
+    left = sum(lists[k][2] for _, k in heap)
+    inside = [False] * len(lists)
+    weight, found = 0, []
+    while heap and left >= need:
+        here = heap[0][0]
+        if here >= high:
+            break
+        while heap and heap[0][0] == here:
+            k = heap[0][1]
+            starts, stops, own = lists[k]
+            if inside[k]:
+                inside[k] = False
+                weight -= own
+                at[k] += 1
+                if at[k] < len(starts):
+                    heapq.heapreplace(heap, (starts[at[k]], k))
+                else:
+                    heapq.heappop(heap)
+                    left -= own
+            else:
+                inside[k] = True
+                weight += own
+                heapq.heapreplace(heap, (stops[at[k]], k))
         if weight >= need:
-            ids.append(top)
-            weights.append(weight)
-            goal = top + 1
-        else:
-            while heap and weight + lists[heap[0][1]][1] < need:
-                popped.append(heapq.heappop(heap)[1])
-                weight += lists[popped[-1]][1]
-            if not heap:
-                break
-            goal = heap[0][0]
-        for k in popped:
-            row, own = lists[k]
-            at[k] = i = bisect.bisect_left(row, goal, at[k])
-            if i < len(row):
-                heapq.heappush(heap, (row[i], k))
+            found.append((here, min(heap[0][0], high), weight))
+            continue
+        waiting, most = [], weight
+        while heap and not inside[heap[0][1]] and most + lists[heap[0][1]][2] < need:
+            most += lists[heap[0][1]][2]
+            waiting.append(heapq.heappop(heap)[1])
+        if not heap:
+            break
+        goal = heap[0][0]
+        for k in waiting:
+            starts, stops, own = lists[k]
+            at[k] = i = bisect.bisect_right(stops, goal, at[k])
+            if i < len(starts):
+                heapq.heappush(heap, (max(starts[i], goal), k))
             else:
                 left -= own
-    return np.array(ids, np.int64), np.array(weights, np.int64)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([np.arange(a, b) for a, b, _ in found]), np.repeat([w for *_, w in found], [b - a for a, b, _ in found])
 
 
 def join_block(sets: list[np.ndarray], percent: int = PERCENT, mark: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -297,22 +314,30 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT, mark: np.ndarray
     by = np.lexsort((owner, code))
     start = np.concatenate(([0], np.cumsum(count)))
     posted = owner[by]  # of each shingle, its documents by ascending size
+    held = code[by]
+    first = np.flatnonzero(np.concatenate(([True], (posted[1:] != posted[:-1] + 1) | (held[1:] != held[:-1]))) if len(posted) else [])
+    last = np.append(first[1:], len(posted)) - 1
+    begin, end = posted[first], posted[last] + 1  # runs of consecutive documents
+    cut = np.searchsorted(first, start)
     # shingles of the same documents share one inverted list, which weighs as much as they are many
     named: dict[bytes, int] = {}
-    inverted: list[np.ndarray] = []
+    runs: list[tuple[list[int], list[int]]] = []
+    posts: list[np.ndarray] = []
     which = np.full(len(count), -1, np.int64)
     for c in np.flatnonzero(count > 1).tolist():
         x = posted[start[c] : start[c + 1]]
-        which[c] = named.setdefault(x.tobytes(), len(inverted))
-        if which[c] == len(inverted):
-            inverted.append(x)
+        which[c] = named.setdefault(x.tobytes(), len(runs))
+        if which[c] == len(runs):
+            runs.append((begin[cut[c] : cut[c + 1]].tolist(), end[cut[c] : cut[c + 1]].tolist()))
+            posts.append(x)
+    length = np.array([len(x) for x in posts], np.int64)
     ends = np.concatenate(([0], np.cumsum(sizes[order])))
     n_of = sizes[order]
     forest, links = Forest(len(order)), []
     if mark is not None:
-        first: dict[int, int] = {}
+        head: dict[int, int] = {}
         for q, m in enumerate(np.asarray(mark)[order].tolist()):
-            forest.join(first.setdefault(m, q), q)
+            forest.join(head.setdefault(m, q), q)
     for q in range(1, len(order)):
         n = int(n_of[q])
         low = int(np.searchsorted(n_of, least_overlap(n, percent)))
@@ -320,36 +345,35 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT, mark: np.ndarray
             continue
         need = -(-percent * (n + int(n_of[low])) // (100 + percent))  # overlap that the smallest partner must reach
         own = which[code[ends[q] : ends[q + 1]]]
-        own, weight = np.unique(own[own >= 0], return_counts=True)
-        lists = []
-        for k, w in zip(own.tolist(), weight.tolist(), strict=True):
-            x = inverted[k]
-            x = x[np.searchsorted(x, low) : np.searchsorted(x, q)]
-            if len(x):
-                lists.append((x, w))
-        if sum(w for _, w in lists) < need:
+        own = own[own >= 0]
+        if len(own) < need:
             continue
-        lists.sort(key=lambda x: len(x[0]))
-        most = min(need - 1, int(need / (0.01 * np.log(len(lists[-1][0]) + 1) + 1)))
-        cut, probed = len(lists), 0
-        while cut and probed + lists[cut - 1][1] <= most:
-            cut -= 1
-            probed += lists[cut][1]
-        ids, got = merge_short([(x.tolist(), w) for x, w in lists[:cut]], need - probed)
+        own, weight = np.unique(own, return_counts=True)
+        by_length = np.argsort(length[own], kind="stable")
+        own, weight = own[by_length], weight[by_length]
+        most = min(need - 1, int(need / (0.01 * np.log(length[own[-1]] + 1) + 1)))
+        far = np.cumsum(weight[::-1])  # of the longest lists together
+        probed = int(np.searchsorted(far, most, "right"))
+        split = len(own) - probed
+        rest = int(far[probed - 1]) if probed else 0
+        ids, got = merge_short([(*runs[k], w) for k, w in zip(own[:split].tolist(), weight[:split].tolist(), strict=True)], need - rest, low, q)
         rank = np.argsort(-got, kind="stable")
         ids, got = ids[rank], got[rank]
+        long = [(posts[k], w) for k, w in zip(own[split:][::-1].tolist(), weight[split:][::-1].tolist(), strict=True)]
+        batch = 1
         while len(ids):
             root = forest.find(q)
             keep = np.array([forest.find(x) != root for x in ids.tolist()], bool)
             ids, got = ids[keep], got[keep]
-            part, shared = ids[:BLOCK], got[:BLOCK].copy()
-            for x, w in lists[cut:]:
+            part, shared = ids[:batch], got[:batch].copy()
+            for x, w in long:
                 k = np.searchsorted(x, part)
                 shared += w * (x[np.minimum(k, len(x) - 1)] == part)
             for other in part[100 * shared >= percent * (n + n_of[part] - shared)].tolist():
                 if forest.join(q, other):
                     links.append((int(order[q]), int(order[other])))
-            ids, got = ids[BLOCK:], got[BLOCK:]
+            ids, got = ids[batch:], got[batch:]
+            batch = min(4 * batch, BLOCK)
     return links
 
 

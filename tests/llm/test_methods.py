@@ -122,15 +122,18 @@ def test_chain_of_documents(spark, sharing):
 
 def test_merge_short_counts():
     rng = np.random.default_rng(0)
-    for _ in range(400):
-        lists = [(np.unique(rng.integers(0, 12, rng.integers(0, 8))).tolist(), int(rng.integers(1, 4))) for _ in range(rng.integers(1, 9))]
-        need = int(rng.integers(1, 9))
-        weight = {}
-        for x, w in lists:
-            for i in x:
+    for _ in range(2000):
+        lists, weight = [], {}
+        low, high = sorted(rng.integers(0, 16, 2).tolist())
+        for _ in range(rng.integers(1, 9)):
+            ids, w = np.unique(rng.integers(0, 14, rng.integers(0, 14))).tolist(), int(rng.integers(1, 4))
+            starts = [i for i in ids if i - 1 not in ids]
+            lists.append((starts, [i + 1 for i in ids if i + 1 not in ids], w))
+            for i in ids:
                 weight[i] = weight.get(i, 0) + w
-        ids, n = jaccard.merge_short(lists, need)
-        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {i: w for i, w in weight.items() if w >= need} and sorted(ids.tolist()) == ids.tolist()
+        need = int(rng.integers(1, 12))
+        ids, n = jaccard.merge_short(lists, need, low, high)
+        assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == {i: w for i, w in weight.items() if w >= need and low <= i < high} and sorted(ids.tolist()) == ids.tolist()
 
 
 def test_secrets_against_plain_scan():
