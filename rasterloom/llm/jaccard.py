@@ -12,8 +12,9 @@ Two documents link when their shingle sets overlap in at least `percent` per cen
 4. Families are joined by DivideSkip: of a query's inverted lists the short ones are merged, those documents that are
    often enough among them are probed in the long ones by binary search, and documents that reach the overlap link.
    A family over BLOCK documents is dealt into blocks, each with the same few pivots of the family. Documents that are
-   still in different classes meet again wherever they share a prefix shingle and are of like size, so no link is lost,
-   no document is compared within its class, and a long chain of documents costs what its shingles' own lists cost.
+   still in different classes meet again: those outside a family's largest class meet all its blocks, or classes meet
+   wherever they share a prefix shingle and are of like size, whichever takes fewer rows. So no link is lost, no document
+   is compared within its class, and a long chain of documents costs what its shingles' own lists cost.
 5. Components of the links are found by contraction.
 
 Words of up to eight bytes are told apart exactly, longer ones by 64 bits under a key drawn for each run, sets by 128
@@ -398,12 +399,12 @@ def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("g").applyInArrow(local, "src long, dst long")
 
 
-def _bridges(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(g, doc): groups in which documents of different classes meet; every link between classes has both ends in one of them.
+def _shared_prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups in which documents of different classes meet; every link between classes has both ends in one of them.
 
-    heads: t, doc (prefix shingles); classes: doc, class, n. A group is a shingle that classes share, and a step of sizes
-    within 1 / percent; of shingles with the same documents one stands for all. A group over BLOCK is dealt into pairs
-    of blocks.
+    heads: t, doc (prefix shingles); classes: doc, family, class, n. A group is a shingle that classes share, and a step of
+    sizes within 1 / percent; of shingles with the same documents one stands for all. Returned: (doc, family, class, t,
+    step), and of each group (t, step, family, blocks, cost), cost being the rows it takes if dealt into pairs of blocks.
     """
     held = heads.join(classes, "doc")
     alike = [F.bit_xor(F.xxhash64("doc", F.lit(salt))).alias(f"x{salt}") for salt in (21, 22)]
@@ -411,10 +412,10 @@ def _bridges(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     kept = mixed.groupBy("c", "x21", "x22").agg(F.min("t").alias("t")).select("t")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9)
     # sizes of a link are at most one step apart: a step's group holds those of the next step too
-    rows = held.join(kept, "t").select("t", "doc", "class", F.explode(F.array(step, step - 1)).alias("step"))
-    size = rows.groupBy("t", "step").agg(F.count("*").alias("m"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("t", "step", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    dealt = rows.join(size, ["t", "step"]).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class")
+    rows = materialise(held.join(kept, "t").select("t", "doc", "family", "class", F.explode(F.array(step, step - 1)).alias("step")))
+    size = rows.groupBy("t", "step").agg(F.count("*").alias("m"), F.min("class").alias("a"), F.max("class").alias("b"), F.min("family").alias("family")).where("a <> b")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    return rows, materialise(size.select("t", "step", "family", blocks.alias("blocks"), (F.col("m") * blocks).alias("cost")))
 
 
 def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -434,11 +435,26 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
     found = materialise(_join_groups(small.unionByName(dealt).unionByName(pivots), percent))
     if large.isEmpty():
         return found
-    # what pivots and blocks left apart meets by the prefix shingles that classes share
+    # what pivots and blocks left apart: in a family, either those outside its largest class meet all its blocks, or classes
+    # meet wherever they share a prefix shingle, whichever takes fewer rows; both find every link between classes
     known = connected_components(found)
-    classes = materialise(large.select("doc", "n").join(known.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("class")))
-    meet = materialise(_bridges(heads, classes, percent).distinct())
-    more = _join_groups(meet.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s"), percent)
+    classes = materialise(large.select("doc", "family", "n", "m", "blocks", "block").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component"))
+    largest = classes.groupBy("family", "class").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("class", F.struct("c", F.negative("class"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
+    apart = materialise(largest.where("c < all").withColumn("parts", F.ceil((F.col("all") - F.col("c")) / BLOCK)))
+    open_ = classes.join(apart, "family")
+    held, groups = _shared_prefixes(heads, open_.select("doc", "family", "class", "n"), percent)
+    by_shingle = groups.groupBy("family").agg(F.sum("cost").alias("cost"))
+    sized = apart.join(by_shingle, "family", "left").withColumn("blocks", F.ceil(F.col("all") / BLOCK)).withColumn("wide", F.col("all") * F.col("parts") + (F.col("all") - F.col("c")) * F.col("blocks"))
+    choice = materialise(sized.select("family", (F.coalesce("cost", F.lit(0)) < F.col("wide")).alias("by_shingle")))  # without a shared shingle there is nothing to do
+    one = choice.where("by_shingle").select("family")
+    dealt = held.join(groups.select("t", "step", "blocks"), ["t", "step"]).join(one, "family").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class").distinct()
+    wide = open_.join(choice.where("not by_shingle").select("family"), "family").withColumn("stray", F.col("class") != F.col("main"))
+    asks = wide.where("stray").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(13)), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rest = wide.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = asks.select(F.concat_ws("/", "family", "to", "part").alias("g"), "doc", "class").unionByName(rest.select(F.concat_ws("/", "family", "block", "part").alias("g"), "doc", "class")).distinct()
+    every = materialise(meet.unionByName(met))
+    more = _join_groups(every.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s"), percent)
     return found.unionByName(more)
 
 
