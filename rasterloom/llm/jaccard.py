@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textops import column_bytes, mix64, row_bounds, words
+from rasterloom.llm.textops import bucket_count, column_bytes, mix64, row_bounds, words
 from rasterloom.operators.components import connected_components
 from rasterloom.session import materialise
 
@@ -85,10 +85,6 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def _buckets(spark) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _alike(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts tokens, of each in that order how many there are)."""
     order = np.argsort(tokens, kind="stable")
@@ -460,9 +456,9 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
 
 def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document; key must be a 64-bit or smaller integer."""
-    buckets = _buckets(docs.sparkSession)
     word_key = random.SystemRandom().getrandbits(64)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
+    buckets = bucket_count(rows)
     named = rows.where("doc is not null")
     table = materialise(_prefix_table(named, percent, size, buckets, word_key))
     classes = materialise(table.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("credit").alias("credit")))

@@ -1,12 +1,12 @@
 """Language-model scores by a class-factored log-bilinear model.
 
-Tokens are words and one end mark a text. The `heads` most frequent training tokens are classes of their own; every
-other token belongs to one of TAILS classes by its first and last letters. A log-bilinear neural model predicts the class from
+Tokens are words and one end mark a text. The most frequent training tokens are classes of their own, HEADS for each
+doubling of the vocabulary; every other token belongs to one of TAILS classes by its first and last letters. A log-bilinear neural model predicts the class from
 the classes of the last CONTEXT tokens; within a tail class a token has its smoothed share of the class's training
 tokens. It is trained in numpy by noise-contrastive estimation, in PASSES passes over all training tokens. These are
 dealt in pieces to trainers of at least SHARE tokens each (one trainer if there are fewer), however the table is
 partitioned, so that every trainer makes enough steps. A pass has ROUNDS rounds: each trainer learns from its share of
-the round, and the weighted mean of the trainers' parameters and AdaGrad sums (in two levels) starts the next
+the round, and the weighted mean of the trainers' parameters and AdaGrad sums (a tree of FAN a node) starts the next
 round. Scoring normalises over all classes, by batched matrix products over the distinct contexts of a block.
 
 Counts cover all training documents: blocks of documents are coded once (distinct token hashes and indices into
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.textops import column_bytes, crc_mod, mix64, row_bounds, words
+from rasterloom.llm.textops import bucket_count, column_bytes, crc_mod, mix64, row_bounds, words
 from rasterloom.session import materialise
 
-HEADS, TAILS, CONTEXT, WIDTH = 768, 64, 2, 32
+HEADS, TAILS, CONTEXT, WIDTH = 41, 64, 2, 32
 BLOCK = 1_500_000
 PASSES, ROUNDS = 2, 4
+#: So many sets of parameters are added up by one task.
+FAN = 32
 #: Tokens of a trainer at least; a piece has about a 64th.
 SHARE = 1 << 22
 SMOOTH = 0.1
@@ -292,7 +294,7 @@ def _deal(blocks: DataFrame, coder: Coder, trainers: int, rounds: int, size: int
     return blocks.select("block", "held", "uniq", "tail", "tok", "lens").mapInArrow(run, "trainer long, turn long, piece long, target binary, lens binary")
 
 
-def _train(pieces: DataFrame, model: LogBilinear, seed: int) -> LogBilinear:
+def _train(pieces: DataFrame, model: LogBilinear, seed: int, trainers: int) -> LogBilinear:
     """The mean of the models that the trainers make of it, weighted by their tokens; so are the AdaGrad sums."""
     classes = len(model.p[2])
 
@@ -304,15 +306,19 @@ def _train(pieces: DataFrame, model: LogBilinear, seed: int) -> LogBilinear:
         own.unigram, own.p, own.square = model.unigram, [x.copy() for x in model.p], [x.copy() for x in model.square]
         own.train(contexts(target, lens, classes), target, seed=seed)
         flat = np.concatenate([x.ravel() for x in own.p + own.square])
-        return pa.table({"lane": pa.array([table.column("trainer")[0].as_py() % 64]), "n": pa.array([len(target)]), "p": pa.array([flat.tobytes()], pa.binary())})
+        return pa.table({"lane": pa.array([table.column("trainer")[0].as_py() // FAN]), "n": pa.array([len(target)]), "p": pa.array([flat.tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")  # one order of adding, whichever comes first
         n = table.column("n").to_pylist()
         mean = sum(np.frombuffer(x.as_py(), np.float32) * (k / sum(n)) for x, k in zip(table.column("p"), n, strict=True)).astype(np.float32)
-        return pa.table({"lane": pa.array([0], pa.int64()), "n": pa.array([sum(n)], pa.int64()), "p": pa.array([mean.tobytes()], pa.binary())})
+        return pa.table({"lane": pa.array([table.column("lane")[0].as_py() // FAN], pa.int64()), "n": pa.array([sum(n)], pa.int64()), "p": pa.array([mean.tobytes()], pa.binary())})
 
     kind = "lane long, n long, p binary"
-    got = pieces.groupBy("trainer").applyInArrow(run, kind).groupBy("lane").applyInArrow(add, kind).groupBy("lane").applyInArrow(add, kind).first()
+    sums, left = pieces.groupBy("trainer").applyInArrow(run, kind), trainers
+    while left > 1:
+        sums, left = sums.groupBy("lane").applyInArrow(add, kind), -(-left // FAN)
+    got = sums.first()
     if got is not None:
         flat, at = np.frombuffer(got["p"], np.float32), 0
         for group in (model.p, model.square):
@@ -322,19 +328,22 @@ def _train(pieces: DataFrame, model: LogBilinear, seed: int) -> LogBilinear:
     return model
 
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int = HEADS, passes: int = PASSES, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; what isn't held out is learnt from. A single trainer needs no rounds within a pass."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", held_out: str = "held_out", heads: int | None = None, passes: int = PASSES, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; what isn't held out is learnt from. A single trainer needs no rounds within a pass.
+
+    heads: tokens that are classes of their own; by default HEADS for each doubling of the vocabulary.
+    """
+    buckets = bucket_count(docs)
     blocks = materialise(_blocks(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))))
-    totals = materialise(_totals(blocks, buckets, heads))
+    most = heads or HEADS * 64
+    totals = materialise(_totals(blocks, buckets, most))
     by_tail = {r["tail"]: r for r in totals.where("tail is not null").groupBy("tail").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    head = _most_frequent(totals.where("block is null and tail is null").select("c"), heads)
-    coder = Coder([r["hash"] for r in head])
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
     for k, r in by_tail.items():
         tail_n[k], tail_v[k] = r["n"], r["v"]
     tokens, types = float(tail_n.sum()), float(tail_v.sum())
+    head = _most_frequent(totals.where("block is null and tail is null").select("c"), heads or int(HEADS * np.log2(types + 2)))
+    coder = Coder([r["hash"] for r in head])
     for r in head:
         tail_n[r["tail"]] -= r["n"]
         tail_v[r["tail"]] -= 1
@@ -346,7 +355,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hel
     if tokens:
         pieces = materialise(_deal(blocks, coder, trainers, rounds, max(1, share // 64)))
         for k in range(passes * rounds):
-            model = _train(pieces.where(F.col("turn") == k % rounds), model, seed=k)
+            model = _train(pieces.where(F.col("turn") == k % rounds), model, k, trainers)
     base = np.log10(tokens + SMOOTH * (types + 1)) if tokens or types else np.log10(SMOOTH)
     rest = np.log(np.maximum(tail_n + SMOOTH * (tail_v + 1), SMOOTH))
 

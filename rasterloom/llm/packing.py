@@ -69,13 +69,14 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cos
 
 
 def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, *, text: str = "text", key: str = "doc_id", length: str | None = None, cost: Callable[[int], float] = step_cost) -> DataFrame:
-    """A row for each piece: key, piece (0, 1, ...), start (tokens into the document), n_tokens, bin_id, bin_offset, bin_capacity.
+    """A row for each piece: key, piece (0, 1, ...), start (tokens into the document), n_tokens, bin_id, bin_offset, bin_capacity and row,
+    a number that all pieces of one row of docs share and no other, so that rows with one key can be told apart.
 
     length: a column of token counts, the end mark included; by default words are counted in the whole text.
     """
     top = max(capacities)
     columns = [key, length or text]
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_capacity"))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_capacity", "row"))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, *, text: str =
         ids = pa.chunked_array(keys).combine_chunks().take(pa.array(row))
         for at in range(0, len(row), 20_000):
             cut = slice(at, at + 20_000)
-            yield pa.RecordBatch.from_arrays([ids[cut].cast(arrow.field(0).type), *(pa.array(x[cut]) for x in (piece, start, n, bin_of + first, offset, size[bin_of] if len(size) else bin_of))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([ids[cut].cast(arrow.field(0).type), *(pa.array(x[cut]) for x in (piece, start, n, bin_of + first, offset, size[bin_of] if len(size) else bin_of, row + first))], schema=arrow)
 
     return docs.select(*columns).mapInArrow(run, schema)
 

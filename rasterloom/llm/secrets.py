@@ -31,11 +31,12 @@ MOST_STRINGS, MOST_CLASS = 64, 4
 
 @dataclass(frozen=True)
 class Rule:
-    """accept: what a match must also satisfy; one that doesn't still uses up its text."""
+    """accept: what a match must also satisfy; one that doesn't still uses up its text. parts: the spans within a match, if they aren't the whole of it."""
 
     kind: str
     pattern: str
     accept: Callable[[re.Match], bool] | None = None
+    parts: Callable[[re.Match], list[tuple[int, int]]] | None = None
 
 
 def _long_value(m: re.Match) -> bool:
@@ -46,6 +47,24 @@ def _long_access(m: re.Match) -> bool:
     return m.end() - m.start() >= 20
 
 
+def _tokens(m: re.Match) -> list[tuple[int, int]]:
+    """Of a run of parts joined by dots, from left to right, the signed tokens: a header from its first eyJ on, a payload that begins so, and a signature, each with 8 characters besides."""
+    out, at, spans = [], m.start(), []
+    for part in m.group().split("."):
+        spans.append((at, at + len(part)))
+        at += len(part) + 1
+    text, k = m.string, 0
+    while k + 2 < len(spans):
+        (a, b), (c, d), (e, f) = spans[k : k + 3]
+        first = text.find("eyJ", a, b)
+        if first >= 0 and b - first >= 11 and text.startswith("eyJ", c) and d - c >= 11 and f - e >= 8:
+            out.append((first, f))
+            k += 3
+        else:
+            k += 1
+    return out
+
+
 BASE_RULES = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", _long_value),
     Rule("access", r"AKIA[A-Z0-9]+", _long_access),
@@ -62,9 +81,9 @@ MORE_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]++)*+", None, _tokens),  # a whole run at once, so that none is read twice
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]{3,}+@"),
 )
 
 #: A query is True (no condition), a trigram, or ("and" | "or", (query, ...)).
@@ -249,7 +268,8 @@ class Scanner:
                     texts[row] = column[first + row].as_py()
                 for m in pattern.finditer(texts[row]):
                     if rule.accept is None or rule.accept(m):
-                        found[first + row].append((m.start(), k, m.end()))
+                        for start, end in rule.parts(m) if rule.parts else (m.span(),):
+                            found[first + row].append((start, k, end))
 
 
 def _join(spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:

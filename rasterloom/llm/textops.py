@@ -34,6 +34,14 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def bucket_count(df: DataFrame, mb: int = 16) -> int:
+    """Into how many groups what is gathered from df by hash goes: as many as keep a group's share of the tables read, by the optimiser's sizes, under `mb` MB, and twice the shuffle partitions at least."""
+    least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(least, min(sum(x for x in sizes if x < 1 << 60) // (mb << 20), 1 << 20))  # an unknown size is given as the largest long
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser with full avalanche (public splitmix64 constants)."""
     x = x.astype(np.uint64, copy=True)

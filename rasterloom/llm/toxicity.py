@@ -126,7 +126,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 12_000, lexicon_size: int = 4000, least_z: float = 4.0, prior_share: float = 0.1, drift: float = 0.03) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = 12_000, least_z: float = 4.0, prior_share: float = 0.1, drift: float = 0.03) -> Model:
     """A model of label from the labelled rows of docs. The sample's ids (bounded by sample_rows) are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("double").alias("y"))
     n = known.count()
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     odds = lambda own, total: F.log((F.col(own) + a) / (F.lit(total + prior) - F.col(own) - a))
     delta = odds("t", nt) - odds("c", nc)
     z = delta / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-    top = counts.where("w is not null and t > 1").select("w", "c", delta.alias("d"), z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(lexicon_size).collect()
+    top = counts.where("w is not null and t > 1").select("w", "c", delta.alias("d"), z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").collect()  # words of the bounded sample
     if not top:
         return Model({}, drift, curve=_logistic(np.zeros(2), np.array([1.0, 0.0])))
     model = Model({r["w"] & 0xFFFFFFFFFFFFFFFF: r["d"] for r in top}, drift)
@@ -193,12 +193,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
         out: dict[str, list] = {"score": [], "evidence": [], "passages": []}
         for r, (n, found, start, end) in enumerate(model.segments(column)):
             own = []
-            for a, b, s in found:
-                chance = math.exp(-model.excess(n, s))
+            chances = [math.exp(-model.excess(n, s)) for _, _, s in found]
+            if any(c <= most_chance for c in chances):
+                raw = np.frombuffer(column[r].as_buffer(), np.uint8)
+                point = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before each byte
+            for (a, b, s), chance in zip(found, chances, strict=True):
                 if chance <= most_chance:
-                    raw = column[r].as_py().encode("utf-8", "surrogatepass")
-                    points = [len(raw[:x].decode("utf-8", "replace")) for x in (int(start[a]), int(end[b]))]
-                    own.append({"first_word": a, "last_word": b, "start": points[0], "end": points[1], "score": s, "chance": chance})
+                    own.append({"first_word": a, "last_word": b, "start": int(point[start[a]]), "end": int(point[end[b]]), "score": s, "chance": chance})
             e = model.evidence(n, found)
             out["score"].append(model.probability(e))
             out["evidence"].append(e)

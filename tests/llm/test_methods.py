@@ -1,7 +1,9 @@
 """The operators' methods against brute force, round trips and held-out accuracy on small fixtures."""
 
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,19 @@ def test_chain_of_documents(spark, sharing):
     assert got == dict(enumerate(brute_components(sets)))
 
 
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, a shared id with another text, and rows without an id."""
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [(5, long), (5, long), (7, long + " end"), (8, other), (8, third), (9, third + " x"), (None, other + " y"), (None, "alone in here and no copy of it"), (None, "alone in here and no copy of it"), (-3, "a text of its own, quite short")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, long), (8, other), (8, third), (None, rows[7][1]), (-3, rows[9][1])], key=str)
+    unique = docs.where("doc_id not in (5, 8)")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, unique, "").collect()} == {7, 9, -3}
+
+
 def test_merge_short_counts():
     rng = np.random.default_rng(0)
     for _ in range(2000):
@@ -141,12 +156,31 @@ def test_secrets_against_plain_scan():
     parts = ["Password: hunter2x", "api_key='abc/DEF=123'", "secret=abc", "TOKEN = zzzzzz_1", "AKIA" + "A1" * 9, "AKIASHORT", "deadbeef" * 4, "0123abc", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "é ſecret: abcdefg", "x", "https://u:pass@h"]
     rows = [" ".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(300)] + [None, ""]
     rules = secrets.BASE_RULES + secrets.MORE_RULES
-    want = [sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", re.ASCII) if r.accept is None or r.accept(m)) for t in rows]
+    want = [sorted((a, k, b) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", re.ASCII) if r.accept is None or r.accept(m) for a, b in (r.parts(m) if r.parts else [m.span()])) for t in rows]
     assert secrets.Scanner(rules).scan(pa.array(rows, pa.string())) == want
     assert secrets.trigram_query(r"[0-9a-f]{24,}") is True
     assert secrets.named(secrets.trigram_query("AKIA[A-Z0-9]+")) == {"aki", "kia"}
 
 
+def test_signed_tokens_in_linear_time():
+    """The rule by runs against the plain pattern, and its time on a text that a plain scan reads again from every start."""
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rule = next(r for r in secrets.MORE_RULES if r.kind == "jwt")
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choices(["eyJ", "abcdefgh", "x", ".", ".", " ", "eyJabcdefghi", "-_"], k=rng.randint(0, 14)))
+        assert [s for m in re.finditer(rule.pattern, text) for s in rule.parts(m)] == [m.span() for m in plain.finditer(text)], text
+    scanner = secrets.Scanner((rule,))
+    took = []
+    for size in (1, 4):
+        text = pa.array(["eyJ" * (size * 250_000)])
+        scanner.scan(text)
+        began = time.perf_counter()
+        scanner.scan(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < max(12 * took[0], 1.0)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdef1 and password: qwertyui."), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -311,26 +345,69 @@ def test_language_model_in_many_partitions(spark, production):
     assert min(gain) > (0.2 if production else 0.02) and abs(gain[0] - gain[1]) < 0.05, gain
 
 
+def chat_rows(n, seed=14):
+    rng = random.Random(seed)
+    return [(c, i, rng.choice(["user", None]) if i % 2 == 0 else rng.choice(["assistant", None]), rng.choice(["what is it?", "a long answer " * 9, "User: hm\nmore"])) for c, size in n for i in range(size)]
+
+
 def test_transcripts_across_partitions(spark):
-    rng = random.Random(14)
-    rows = [(1, i, rng.choice(["user", None]) if i % 2 == 0 else rng.choice(["assistant", None]), rng.choice(["what is it?", "a long answer " * 9, "User: hm\nmore"])) for i in range(200)]
+    rows = chat_rows([(1, 200), (2, 7), (3, 1)])
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit_model(chat.dealt_rows(df, "conv_id", "turn", "text", "role"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        many = chat.parse_transcripts(df).orderBy("turn").collect()
+        many = chat.parse_transcripts(df, model=model).orderBy("conv_id", "turn").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    model = chat._fit(df.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("text").alias("x"), F.col("role").alias("s")))
-    lines = [x for r in rows for x in chat.lines_of(r[3], r[2])]
-    path = model.decode(lines)
-    at, want = 0, []
-    for r in rows:
-        want.append(chat.ROLES[path[at]])
-        at += len(chat.lines_of(r[3], r[2]))
-    assert [r.role for r in many] == want
+    want, blind = [], []
+    for c in (1, 2, 3):
+        own = [r for r in rows if r[0] == c]
+        cut = [chat.lines_of(r[3], r[2]) for r in own]
+        for hide, out in ((False, want), (True, blind)):
+            seen = [chat.blinded(ls, r[3]) if hide else ls for ls, r in zip(cut, own, strict=True)]
+            path = model.decode([x for ls in seen for x in ls])
+            at = np.cumsum([0, *map(len, seen)])[:-1]
+            out += [chat.ROLES[path[k]] for k in at]
+    assert [r.role for r in many] == want and [r.blind_role for r in many] == blind
     assert "".join(r.rendered for r in many).count("<|end|>") == sum(r.n_turns for r in many)
 
 
+def test_viterbi_against_all_paths():
+    rng = random.Random(21)
+    for _ in range(60):
+        model = chat.Model({(w, a, b): rng.randint(0, 30) for w in range(5) for a in range(3) for b in range(chat.KINDS if w == chat.KIND else 4)})
+        lines = [(rng.choice([0, 1, 2, chat.NONE, chat.HIDDEN]), rng.randrange(chat.KINDS), k == 0 or rng.random() < 0.5, "") for k in range(rng.randint(1, 6))]
+        best = max(model.score(lines, list(p)) for p in itertools.product(range(3), repeat=len(lines)))
+        assert model.score(lines, model.decode(lines)) == pytest.approx(best)
+        cut = rng.randint(0, len(lines))
+        if 0 < cut < len(lines):  # in two fragments, joined by the max-plus matrix
+            head = model.begin(lines[0])
+            for line in lines[1:cut]:
+                head, _ = model.step(head, line)
+            m = model.matrix(lines[cut:])
+            assert max(head[q] + m[q][r] for q in range(3) for r in range(3)) == pytest.approx(best)
+
+
+def test_hidden_roles_and_false_markers(spark):
+    """Speakers are withheld from whole conversations, and some are named falsely: sizes and the sequence tell."""
+    rng = random.Random(22)
+    rows = []
+    for c in range(300):
+        roles = (["system"] if rng.random() < 0.3 else []) + ["user", "assistant"] * rng.randint(1, 4)
+        for t, role in enumerate(roles):
+            size = {"system": 40, "user": 50, "assistant": 300}[role]
+            rows.append((c, t, role, " ".join("w" * rng.randint(2, 8) for _ in range(max(3, int(rng.gauss(size, size / 4)))))))
+    false = {k for k in range(len(rows)) if rng.random() < 0.02}
+    named = [(c, t, None if c % 5 == 0 else "assistant" if k in false and r == "user" else r, x) for k, (c, t, r, x) in enumerate(rows)]
+    df = spark.createDataFrame(named, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.parse_transcripts(df).collect()}
+    hidden = [got[c, t].role == r for c, t, r, _ in rows if c % 5 == 0]
+    assert sum(hidden) >= 0.97 * len(hidden)
+    assert sum(got[c, t].blind_role == r for c, t, r, _ in rows) >= 0.97 * len(rows)
+    lied = [got[rows[k][:2]].role == rows[k][2] for k in false if rows[k][2] == "user" and rows[k][0] % 5]
+    assert len(lied) > 10 and sum(lied) >= 0.9 * len(lied)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(15)
     plain = [f"p{i}" for i in range(200)]
