@@ -3,7 +3,8 @@
 language_id drops texts without a letter; near_duplicates keeps the smallest id of each class of similar texts;
 secret_scan replaces secrets; mixing repeats and drops documents by fitted rates, so that domains reach their target
 shares; packing turns what remains into sequences. Stages but the last return the columns of documents. Extra columns
-are carried along. Null texts are dropped by the first stage, null ids are kept by all (they cannot be duplicates).
+are carried along. Null texts are dropped by the first stage. Rows that share an id, or have none, are documents of their
+own: near duplicates are found by row, and packing numbers the rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,27 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id stays, and so do documents without an id."""
-    similar = jaccard.similar_documents(docs)
-    gone = similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of similar documents one row stays: that with the smallest id, an id before none, and of rows with that id any one.
+
+    Rows whose id is null or occurs again get numbers of their own below all ids, so that every row is compared for itself.
+    """
+    again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1 or doc_id is null").select("doc_id"))
+    if again.isEmpty():
+        similar = jaccard.similar_documents(docs)
+        gone = similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    known = again.where("doc_id is not null")
+    least = min(0, docs.agg(F.min("doc_id").alias("m")).first()["m"] or 0)
+    odd = docs.join(known, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    odd = materialise(odd.withColumn("_row", least - 1 - F.monotonically_increasing_id()))
+    plain = docs.where("doc_id is not null").join(known, "doc_id", "left_anti").select(docs.columns)
+    every = plain.select(F.col("doc_id").cast("long").alias("_row"), "text").unionByName(odd.select("_row", "text"))
+    similar = materialise(jaccard.similar_documents(every, key="_row"))
+    named = similar.join(odd.select("_row", "doc_id"), "_row", "left").withColumn("doc_id", F.when(F.col("_row") < least, F.col("doc_id")).otherwise(F.col("_row")))
+    stays = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.negative("_row"))).alias("_row"))
+    gone = materialise(similar.join(stays, "_row", "left_anti").select("_row"))
+    kept = plain.join(gone.withColumnRenamed("_row", "doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return kept.unionByName(odd.join(gone, "_row", "left_anti").select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
