@@ -7,19 +7,28 @@ import json
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import baselines, partition, stats, study
+from rasterloom.operators import automatic, baselines, partition, stats, study
 from rasterloom.session import get_session
-from rasterloom.sources import envi, files
+from rasterloom.sources import files, scenes
 
 
 def _scene(spark, args, labels: bool):
-    where = {"header": args.header, "cube": args.scene} if args.kind == "envi" else {"path": args.scene}
-    return envi.load_scene(spark, args.kind, subsample=args.subsample, labels=labels, **where)
+    where = {"envi": {"header": args.header, "cube": args.scene}, "matlab": {"cube": args.scene}}.get(args.kind, {"path": args.scene} if args.kind in scenes.LOADERS else {"data_dir": args.scene})
+    return scenes.load_scene(spark, args.kind, subsample=args.subsample, labels=labels, **where)
 
 
 def select(spark, args) -> dict:
-    """Discover regions, write them and print their lock. The reference labels are not read."""
+    """Discover regions by one configuration, or by automatic selection over a grid, write them and print their lock. The reference labels are not read."""
     config = study.Configuration(**json.loads(args.config))
+    if args.automatic:
+        grid = automatic.Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(args.grid).items()})
+        found = automatic.candidates(_scene(spark, args, False), config, grid)
+        pick = automatic.select_automatic(found, args.automatic)
+        chosen = None if pick is None else found.entries[pick]
+        if chosen is not None:
+            found.labels(pick).write.mode("overwrite").parquet(args.out)
+        about = {"abstains": True} if chosen is None else {"checkpoint": grid.checkpoints[chosen.t], "gamma": grid.gammas[chosen.g], "beta": chosen.beta, "tau": chosen.tau, "clusters": chosen.k}
+        return about if chosen is None else about | study.lock(config, spark.read.parquet(args.out))
     labels = study.discover(_scene(spark, args, False), config)
     labels.write.mode("overwrite").parquet(args.out)
     return study.lock(config, spark.read.parquet(args.out))
@@ -47,7 +56,7 @@ def aggregate(spark, args) -> dict:
 
 
 def manifest(spark, args) -> dict:
-    files.write_csv(files.manifest(spark, args.folder), args.out)
+    files.write_checksums(files.manifest(spark, args.folder), args.out)
     return {"out": args.out}
 
 
@@ -58,11 +67,13 @@ def main(argv: list[str] | None = None) -> None:
     add = {f.__name__: commands.add_parser(f.__name__, help=f.__doc__) for f in (select, evaluate, baseline, aggregate, manifest)}
     for name in ("select", "baseline"):
         add[name].add_argument("scene")
-        add[name].add_argument("--kind", default="vectors", choices=["vectors", "table", "envi"])
+        add[name].add_argument("--kind", default="vectors", choices=[*scenes.LOADERS, *scenes.ENVI_SCENES, *scenes.MATLAB_SCENES], help="a kind of file, or a public scene whose data folder is given")
         add[name].add_argument("--header")
         add[name].add_argument("--subsample", type=int)
     for name in ("select", "evaluate"):
         add[name].add_argument("--config", default="{}", help="entries of the configuration, as JSON")
+    add["select"].add_argument("--automatic", type=int, choices=[1, 2], help="select over the grid by this version of the rule")
+    add["select"].add_argument("--grid", default="{}", help="entries of the grid, as JSON")
     for name in ("select", "baseline", "aggregate", "manifest"):
         add[name].add_argument("--out", required=True)
     add["evaluate"].add_argument("labels")

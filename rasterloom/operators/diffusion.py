@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -36,8 +38,11 @@ def _blend(y: Column, first: Column, mean: Column, alpha: float, anchor: float)
 def diffusion_step(state: DataFrame, edges: DataFrame, alpha: float = 0.5, anchor: float = 0.0) -> DataFrame:
     """state: (i, y, x0). The same after one round; isolated pixels stay."""
     _check(anchor)
-    new = F.when(F.col("m").isNull(), F.col("y")).otherwise(_blend(F.col("y"), F.col("x0"), F.col("m"), alpha, anchor))
-    return state.join(neighbour_means(state, edges), "i", "left").select("i", new.alias("y"), "x0")
+    return state.join(neighbour_means(state, edges), "i", "left").select("i", _moved(alpha, anchor).alias("y"), "x0")
+
+
+def _moved(alpha: float, anchor: float = 0.0) -> Column:
+    return F.when(F.col("m").isNull(), F.col("y")).otherwise(_blend(F.col("y"), F.col("x0"), F.col("m"), alpha, anchor))
 
 
 def movement(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -46,23 +51,32 @@ def movement(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.max(distance("_a", "_b")), F.lit(0.0)).alias("movement"))
 
 
-def diffuse(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, every: int = 8) -> tuple[DataFrame, list[float]]:
-    """G3 as rounds over the cluster: ((i, y), movement of each round or, with tol 0, of each group of `every` rounds). Stops when a movement is under tol.
+def diffuse(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, every: int = 4) -> tuple[DataFrame, list[float]]:
+    """G3 as rounds over the cluster: ((i, y), movement of each round). Stops when a movement is under tol.
 
-    Lineage is cut every few rounds through the checkpoint folder; edges are dealt by j once and reused.
+    With tol 0 nothing depends on the movements: a round adds its own to the rows, and lineage is cut every few rounds.
     """
     _check(anchor)
     state = pixels.select("i", F.col("v").alias("y"), F.col("v").alias("x0"))
     edges = materialise(edges.select("i", "j", "w"))
+    return _rounds(state, lambda rows: neighbour_means(rows, edges), _moved(alpha, anchor), max_iter, tol, every)
+
+
+def _rounds(state: DataFrame, means: Callable[[DataFrame], DataFrame], moved: Column, max_iter: int, tol: float, every: int) -> tuple[DataFrame, list[float]]:
+    """Rounds of moving to the means: (i, y) and the longest way of every round. A row carries its way in each round since the last cut."""
     history: list[float] = []
+    none = F.array().cast("array<double>")
+    state, held = state.withColumn("way", none), 0
     for k in range(1, max_iter + 1):
-        after = diffusion_step(state, edges, alpha, anchor)
-        if tol > 0 or k % every == 0 or k == max_iter:
-            after = materialise(after)
-            history.append(movement(state, after).first()["movement"])
-        state = after
-        if tol > 0 and history[-1] < tol:
-            break
+        after = state.join(means(state), "i", "left").withColumn("_new", moved)
+        state = after.select("i", F.col("_new").alias("y"), "x0", F.concat("way", F.array(distance("y", "_new"))).alias("way"))
+        held += 1
+        if tol > 0 or held == every or k == max_iter:
+            state = materialise(state)
+            history += list(state.agg(*[F.coalesce(F.max(F.get("way", F.lit(r))), F.lit(0.0)).alias(f"w{r}") for r in range(held)]).first())
+            state, held = state.withColumn("way", none), 0
+            if tol > 0 and history[-1] < tol:
+                break
     return state.select("i", "y"), history
 
 
@@ -108,25 +122,18 @@ def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints:
     return pixels.select(scene, "i", "v").groupBy(scene).cogroup(edges.select(scene, "i", "j", "w").groupBy(scene)).applyInArrow(run, f"`{scene}` {kind}, t long, i long, y array<double>")
 
 
-def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 8) -> tuple[DataFrame, list[float]]:
+def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 4) -> tuple[DataFrame, list[float]]:
     """Mean shift whose weights are taken anew each round, between current states (blurring) or a state and the neighbours' first vectors. edges: (i, j, sp)."""
     state = pixels.select("i", F.col("v").alias("y"), F.col("v").alias("x0"))
     edges = materialise(edges.select("i", "j", "sp"))
-    history: list[float] = []
-    for k in range(1, max_iter + 1):
+
+    def means(rows: DataFrame) -> DataFrame:
         seen = "y" if blurring else "x0"
-        both = edges.join(state.select("i", F.col("y").alias("_a")), "i").join(state.select(F.col("i").alias("j"), F.col(seen).alias("_b")), "j")
+        both = edges.join(rows.select("i", F.col("y").alias("_a")), "i").join(rows.select(F.col("i").alias("j"), F.col(seen).alias("_b")), "j")
         w = gaussian(distance("_a", "_b"), F.lit(sigma_spectral)) * (gaussian("sp", F.lit(sigma_spatial)) if use_spatial else F.lit(1.0))
-        mean = both.withColumn("w", w).groupBy("i").agg(Summarizer.mean(array_to_vector("_b"), F.col("w")).alias("m"), F.sum("w").alias("t")).where("t > 1e-12").select("i", vector_to_array("m").alias("m"))
-        new = F.when(F.col("m").isNull(), F.col("y")).otherwise(F.zip_with("y", "m", lambda a, b: (1 - alpha) * a + alpha * b))
-        after = state.join(mean, "i", "left").select("i", new.alias("y"), "x0")
-        if tol > 0 or k % every == 0 or k == max_iter:
-            after = materialise(after)
-            history.append(movement(state, after).first()["movement"])
-        state = after
-        if tol > 0 and history[-1] < tol:
-            break
-    return state.select("i", "y"), history
+        return both.withColumn("w", w).groupBy("i").agg(Summarizer.mean(array_to_vector("_b"), F.col("w")).alias("m"), F.sum("w").alias("t")).where("t > 1e-12").select("i", vector_to_array("m").alias("m"))
+
+    return _rounds(state, means, _moved(alpha), max_iter, tol, every)
 
 
 def cluster(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, merge_tol: float = 0.15, merge_components: int = 10) -> DataFrame:

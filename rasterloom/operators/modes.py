@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.arrow import matrix
+from rasterloom.functions.order import median
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.scene import pca
 from rasterloom.session import materialise
 
-BLOCK = 2048
-
+BLOCK, PIVOTS = 2048, 1024
 
-def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int | None = None) -> DataFrame:
-    """(i, j, d, rank) of the k nearest other points, ties to the smaller j. Exact.
 
-    Points are dealt by hash into blocks; every block of queries meets every block of points in a task of its own, which
-    keeps the k best of that block; the partial lists are then merged. n: the number of points if known.
-    """
-    blocks = max(1, -(-(points.count() if n is None else n) // block))
-    rows = points.select("i", F.col(vector).alias("v"), F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("long").alias("b"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asks = rows.select("i", "v", F.col("b").alias("q"), every.alias("r"))
-    held = rows.select("i", "v", F.col("b").alias("r"), every.alias("q"))
+def _nearest(k: int):
+    """A cogrouped function: of each left point its k nearest right points other than itself, ties to the smaller j."""
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("i").to_numpy(), right.column("i").to_numpy()
@@ -51,11 +45,82 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
                 own_d.append(d[order])
         return pa.table({"i": pa.array(np.concatenate(own_i)), "j": pa.array(np.concatenate(own_j)), "d": pa.array(np.concatenate(own_d))})
 
-    parts = asks.groupBy("q", "r").cogroup(held.groupBy("q", "r")).applyInArrow(nearest, "i long, j long, d double")
+    return nearest
+
+
+def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int | None = None) -> DataFrame:
+    """(i, j, d, rank) of the k nearest other points, ties to the smaller j. Exact. n: the number of points if known.
+
+    Beyond a block of points, each belongs to its nearest of up to PIVOTS points drawn by hash. Within a block of its own
+    group a point finds k others, the farthest of which bounds its search: a group is out of reach if even the point of its
+    ball next to this one is farther. Points meet only the groups in reach, block against block, and the partial lists are
+    merged. Without any structure all groups are in reach and every two blocks meet.
+    """
+    n = points.count() if n is None else n
+    rows = points.select("i", F.col(vector).cast("array<double>").alias("v"))
+    if n <= block:
+        one = rows.withColumn("q", F.lit(0))
+        parts = one.groupBy("q").cogroup(_again(one).groupBy("q")).applyInArrow(_nearest(k), "i long, j long, d double")
+        return _best(parts, k)
+    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("i"), "i").limit(min(PIVOTS, -(-n // block))).collect()], float)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1))
+            own, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for at in range(0, len(x), 1024):
+                d = _distances(x[at : at + 1024], pivots)
+                own[at : at + 1024], far[at : at + 1024] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(far)], ["i", "v", "g", "far"])
+
+    placed = materialise(rows.mapInArrow(place, "i long, v array<double>, g long, far double"))
+    groups = sorted(placed.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect())  # PIVOTS rows at most
+    size = np.zeros(len(pivots), np.int64)
+    radius = np.full(len(pivots), -np.inf)
+    for r in groups:
+        size[r["g"]], radius[r["g"]] = -(-r["n"] // block), r["radius"]
+    parts_of = lambda g: F.element_at(F.array(*[F.lit(int(max(s, 1))) for s in size]), (F.col(g) + 1).cast("int"))
+    dealt = placed.withColumn("s", F.pmod(F.xxhash64("i"), parts_of("g")))
+
+    def reach(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("v"))
+        need = []
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256]
+            if len(x) > k:
+                d = _distances(part, x)  # itself is among them, so the k + 1st is the k-th other
+                bound = np.partition(d, k, axis=1)[:, k]
+            else:
+                bound = np.full(len(part), np.inf)
+            away = _distances(part, pivots)
+            hair = 1e-6 * (1 + np.abs(part).max(1) + np.abs(pivots).max())
+            near = away - radius <= (bound + hair)[:, None]
+            need += [np.flatnonzero(row).tolist() for row in near]
+        return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64())))
+
+    asked = materialise(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
+    asks = asked.select("i", "v", F.explode("need").alias("h")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("h").cast("long") - 1)))
+    cells = asks.groupBy("h", "t").agg(F.ceil(F.count("*") / block).alias("chunks"))
+    asks = asks.join(_again(cells), ["h", "t"]).withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
+    held = asked.select("i", "v", F.col("g").alias("h"), F.col("s").alias("t")).join(cells, ["h", "t"]).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    parts = asks.select("i", "v", "h", "t", "c").groupBy("h", "t", "c").cogroup(_again(held.select("i", "v", "h", "t", "c")).groupBy("h", "t", "c")).applyInArrow(_nearest(k), "i long, j long, d double")
+    return _best(parts, k)
+
+
+def _again(df: DataFrame) -> DataFrame:
+    """The same under columns of its own, so that Spark can tell both sides of a cogroup apart."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("i").orderBy("d", "j")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0))
+
+
 def compute_merge_neighbors(state: DataFrame, *, pca_components: int = 10, max_neighbors: int = 50) -> DataFrame:
     """PCA scores (standardised), then J7 with max_neighbors - 1 others of each pixel. state: (i, y)."""
     return knn(pca(state.select("i", F.col("y").alias("v")), pca_components, standardise=True), max_neighbors - 1, "p")
@@ -94,10 +159,10 @@ def dense_numbers(values: DataFrame, column: str) -> DataFrame:
 
 def local_scale(neighbours: DataFrame, q: int = 10) -> float:
     """The median over pixels of the q-th other neighbour's distance, of those positive and finite."""
-    s = neighbours.where((F.col("rank") == q) & (F.col("d") > 0) & (F.col("d") < float("inf"))).agg(F.median("d").alias("s")).first()["s"]
+    s = median(neighbours.where((F.col("rank") == q) & (F.col("d") > 0) & (F.col("d") < float("inf"))), "d")
     if s is None:
         raise ValueError(f"no pixel has a {q}-th neighbour at a positive distance")
-    return float(s)
+    return s
 
 
 def merge_modes(state: DataFrame, tol: float = 0.15, *, pca_components: int = 10, max_neighbors: int = 50) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mode prototypes and their consolidation.
 
-Prototypes: (mode, mu array<double>, disp, n). Aggregation over pixels is distributed; what follows works on modes,
-whose arrays come to the driver in `reciprocal_consolidate` and `consolidate` (modes, not pixels).
+Prototypes: (mode, mu array<double>, disp, n). Aggregation over pixels is distributed. Consolidation works on modes, not
+pixels: up to MOST_MODES of them as arrays, beyond that in rounds over the cluster.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.vector import distance, squared_norm
+from rasterloom.functions.vector import squared_norm
+from rasterloom.operators.modes import dense_numbers, knn
+from rasterloom.session import materialise
 
 
 def mode_prototypes(pixels: DataFrame, vector: str = "v", label: str = "label", floored: bool = True) -> DataFrame:
@@ -40,19 +42,25 @@ def adjusted_dispersions(modes: DataFrame, size_exponent: float) -> DataFrame:
     return modes.crossJoin(mid).withColumn("s", F.col("disp") / F.pow(F.greatest(F.col("n") / F.col("_m"), F.lit(1e-8)), F.lit(size_exponent))).drop("_m")
 
 
+#: So many modes fit a matrix of all pairs (128 MB).
+MOST_MODES = 4096
+
+
 def prototype_distances(modes: DataFrame, size_exponent: float = 0.0, least: float = 1e-8) -> DataFrame:
-    """(a, b, raw, sep) of every two modes. Modes are few; the pairs are those of a distance matrix."""
-    m = adjusted_dispersions(modes, size_exponent)
-    a = m.select(F.col("mode").alias("a"), F.col("mu").alias("_u"), F.col("s").alias("_s"))
-    b = m.select(F.col("mode").alias("b"), F.col("mu").alias("_w"), F.col("s").alias("_t"))
-    raw = distance("_u", "_w")
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", raw.alias("raw"), (raw / F.greatest(F.sqrt((F.col("_s") * F.col("_s") + F.col("_t") * F.col("_t")) / 2), F.lit(least))).alias("sep"))
+    """(a, b, raw, sep) of every two modes, as many rows as a distance matrix has cells; modes meet block against block."""
+    return _separated(modes, knn(modes.select(F.col("mode").alias("i"), F.col("mu").alias("v")), max(1, modes.count() - 1)), size_exponent, least).drop("rank")
 
 
 def prototype_edges(modes: DataFrame, k: int = 30, size_exponent: float = 0.0) -> DataFrame:
-    """Of each mode its k nearest others by raw distance, with their normalised separation."""
-    order = Window.partitionBy("a").orderBy("raw", "b")
-    return prototype_distances(modes, size_exponent).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(a, b, raw, sep, rank): of each mode its k nearest others by raw distance, with their normalised separation."""
+    return _separated(modes, knn(modes.select(F.col("mode").alias("i"), F.col("mu").alias("v")), k), size_exponent)
+
+
+def _separated(modes: DataFrame, near: DataFrame, size_exponent: float, least: float = 1e-8) -> DataFrame:
+    m = adjusted_dispersions(modes, size_exponent)
+    a, b = m.select(F.col("mode").alias("i"), F.col("s").alias("_s")), m.select(F.col("mode").alias("j"), F.col("s").alias("_t"))
+    sep = F.col("d") / F.greatest(F.sqrt((F.col("_s") * F.col("_s") + F.col("_t") * F.col("_t")) / 2), F.lit(least))
+    return near.join(a, "i").join(b, "j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("d").alias("raw"), sep.alias("sep"), "rank")
 
 
 def mutual_best_pairs(edges: DataFrame, tau: float) -> DataFrame:
@@ -123,36 +131,109 @@ def reciprocal_consolidate(mu: np.ndarray, disp: np.ndarray, n: np.ndarray, thre
     return np.unique(group, return_inverse=True)[1], rounds
 
 
+def consolidate_rounds(modes: DataFrame, threshold: float, *, k: int = 30, size_exponent: float = 0.0) -> DataFrame:
+    """G8 over the cluster: (mode, group), a group being named by its smallest mode."""
+    group = materialise(modes.select("mode", F.col("mode").alias("group")))
+    while threshold > 0:
+        pairs = materialise(mutual_best_pairs(prototype_edges(modes, k, size_exponent), threshold))
+        if pairs.isEmpty():
+            break
+        into = pairs.select(F.col("b").alias("group"), F.col("a").alias("_to"))
+        group = materialise(group.join(into, "group", "left").select("mode", F.coalesce("_to", "group").alias("group")))
+        modes = materialise(pooled_merge(modes, pairs))
+    return group
+
+
+def consolidate_modes(modes: DataFrame, threshold: float, *, k: int = 30, size_exponent: float = 0.0, most: int = MOST_MODES) -> DataFrame:
+    """(mode, group), groups numbered from 0 by their smallest mode. Up to `most` modes are merged as arrays, more in rounds over the cluster."""
+    modes = materialise(modes)
+    if modes.count() > most:
+        named = consolidate_rounds(modes, threshold, k=k, size_exponent=size_exponent)
+        numbers = dense_numbers(named.select("group").distinct(), "group")
+        return named.join(numbers, "group").select("mode", F.col("label").cast("long").alias("group"))
+    ids, mu, disp, n = modes_to_arrays(modes)
+    group, _ = reciprocal_consolidate(mu, disp, n, threshold, k=k, size_exponent=size_exponent)
+    return group_table(modes, ids, group)
+
+
+def group_table(modes: DataFrame, ids: list, group: np.ndarray) -> DataFrame:
+    kind = modes.schema["mode"].dataType.simpleString()
+    return modes.sparkSession.createDataFrame([(m, int(g)) for m, g in zip(ids, group, strict=True)], f"mode {kind}, group long")
+
+
 def consolidate(distance_matrix: np.ndarray, threshold: float, linkage: str = "average") -> np.ndarray:
-    """Groups by agglomeration up to the threshold; linkage single, average or complete (Lance-Williams updates)."""
+    """Groups by agglomeration up to the threshold; linkage single, average or complete (Lance-Williams updates).
+
+    Each row keeps its least distance, so a merge costs about one row and not the matrix.
+    """
     m = len(distance_matrix)
     if linkage not in ("single", "average", "complete"):
         raise ValueError(f"unknown linkage {linkage}")
+    if m > MOST_MODES:
+        raise ValueError(f"{m} modes exceed the matrix of {MOST_MODES}")
     d = distance_matrix.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size, group = np.ones(m), np.arange(m)
+    near = d.argmin(1) if m else group
+    low = d.min(1, initial=np.inf)
     while m > 1:
-        a, b = np.unravel_index(d.argmin(), d.shape)
-        if d[a, b] > threshold:
+        a = int(low.argmin())
+        if not low[a] <= threshold:
             break
-        a, b = min(a, b), max(a, b)
+        a, b = sorted((a, int(near[a])))
         new = np.minimum(d[a], d[b]) if linkage == "single" else np.maximum(d[a], d[b]) if linkage == "complete" else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        new[[a, b]] = np.inf
         d[a], d[:, a] = new, new
         d[b], d[:, b] = np.inf, np.inf
-        d[a, a] = np.inf
         size[a] += size[b]
         group[group == b] = a
+        stale = np.flatnonzero(np.isin(near, (a, b)) | (new < low) | ((new == low) & (a < near)))
+        for r in {a, b, *stale.tolist()}:
+            near[r], low[r] = d[r].argmin(), d[r].min()
+    return np.unique(group, return_inverse=True)[1]
+
+
+def merge_until(mu: np.ndarray, disp: np.ndarray, n: np.ndarray, k: int, size_exponent: float = 0.0) -> np.ndarray:
+    """T8 over arrays: the group of each mode when the least separated two have merged again and again until k are left."""
+    m = len(mu)
+    if m > MOST_MODES:
+        raise ValueError(f"{m} modes exceed the matrix of {MOST_MODES}")
+    mu, disp, n = mu.astype(float).copy(), disp.astype(float).copy(), n.astype(float).copy()
+    group, live = np.arange(m), np.ones(m, bool)
+    raw, sep = _separations(mu, _adjust(disp, n, size_exponent))
+    np.fill_diagonal(sep, np.inf)
+    for _ in range(m - max(k, 1)):
+        a, b = sorted(int(x) for x in np.unravel_index(sep.argmin(), sep.shape))
+        total = n[a] + n[b]
+        mean = (n[a] * mu[a] + n[b] * mu[b]) / total
+        disp[a] = np.sqrt(sum(n[x] * (disp[x] ** 2 + ((mu[x] - mean) ** 2).sum()) for x in (a, b)) / total)
+        mu[a], n[a], live[b] = mean, total, False
+        group[group == b] = a
+        raw[a] = raw[:, a] = np.sqrt(((mu - mean) ** 2).sum(1))
+        s = disp.copy()
+        if size_exponent:  # the median size has changed, and with it every separation
+            s[live] = _adjust(disp[live], n[live], size_exponent)
+            sep = raw / np.maximum(np.sqrt((s[:, None] ** 2 + s[None] ** 2) / 2), 1e-8)
+            np.fill_diagonal(sep, np.inf)
+            sep[~live], sep[:, ~live] = np.inf, np.inf
+        else:
+            row = raw[a] / np.maximum(np.sqrt((s[a] ** 2 + s**2) / 2), 1e-8)
+            row[~live] = np.inf
+            row[a] = np.inf
+            sep[a], sep[:, a] = row, row
+            sep[b], sep[:, b] = np.inf, np.inf
     return np.unique(group, return_inverse=True)[1]
 
 
-def modes_to_arrays(modes: DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    rows = sorted(modes.select("mode", "mu", "disp", "n").collect())
+def modes_to_arrays(modes: DataFrame, most: int = MOST_MODES) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, mu, disp, n) on the driver; an error for more than `most` modes."""
+    rows = sorted(modes.select("mode", "mu", "disp", "n").limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} modes")
     return [r["mode"] for r in rows], np.array([r["mu"] for r in rows], float), np.array([r["disp"] for r in rows]), np.array([r["n"] for r in rows], float)
 
 
-def apply_groups(pixels: DataFrame, ids: list, group: np.ndarray, label: str = "label") -> DataFrame:
-    """Pixels with their label replaced by its group."""
-    if not ids:
-        return pixels
-    to = pixels.sparkSession.createDataFrame([(m, int(g)) for m, g in zip(ids, group, strict=True)], f"`{label}` {pixels.schema[label].dataType.simpleString()}, _g int")
+def apply_groups(pixels: DataFrame, groups: DataFrame, label: str = "label") -> DataFrame:
+    """Pixels with their label replaced by its group; groups: (mode, group)."""
+    to = groups.select(F.col("mode").alias(label), F.col("group").alias("_g"))
     return pixels.join(to, label).drop(label).withColumnRenamed("_g", label)  # one row a mode: Spark broadcasts it while it is small

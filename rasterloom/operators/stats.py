@@ -110,11 +110,11 @@ def block_size(n_pixels: int) -> int:
 def block_bootstrap(pixels: DataFrame, right: str, block: int, samples: int = 300, seed: int = 0) -> DataFrame:
     """T4: (mean, std, lower, upper) of the share of right pixels when blocks of the raster are drawn with replacement.
 
-    Blocks are summed first; a replicate weighs each block by a Poisson draw from a hash of (seed, replicate, block), so
+    Blocks are summed first; a replicate weighs each block by a Poisson draw from the MD5 of (seed, replicate, block), so
     replicates need no sequential generator. Only blocks, never pixels, are multiplied by the replicates.
     """
     own = pixels.groupBy(F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).agg(F.sum(F.col(right).cast("double")).alias("hit"), F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "by", "bx"), F.lit(1 << 30)) / float(1 << 30)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "r", "by", "bx").cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     steps, total, term = [], 0.0, math.exp(-1)
     for k in range(12):
         total += term

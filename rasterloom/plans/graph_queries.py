@@ -10,6 +10,7 @@ from rasterloom.operators import graph as G
 from rasterloom.operators import modes as M
 from rasterloom.operators import prototypes as T
 from rasterloom.operators import scene as S
+from rasterloom.operators.automatic import states
 from rasterloom.operators.spatial import majority_filter
 from rasterloom.plans.registry import query
 from rasterloom.session import materialise, read_table
@@ -164,17 +165,42 @@ def movement(spark, d):
     return D.movement(_state(scene), D.diffusion_step(_state(scene), edges)).select(F.round("movement", 6).alias("movement"))
 
 
-@query("diffusion_t100")
+def _powers():
+    """The damped step as a matrix, squared again and again; 25, 50 and 100 rounds are products of its powers."""
+    sql = _AFF + """, al AS MATERIALIZED (SELECT i, j, 0.5*w/sum(w) OVER (PARTITION BY i) AS a FROM aff), p1 AS MATERIALIZED (SELECT i, j, sum(a) AS a FROM (SELECT * FROM al UNION ALL SELECT i, i, CASE WHEN i IN (SELECT i FROM al) THEN 0.5 ELSE 1.0 END FROM sc) GROUP BY 1, 2)"""
+    for n in (2, 4, 8, 16, 32, 64):
+        sql += f", p{n} AS MATERIALIZED (SELECT x.i, y.j, sum(x.a*y.a) AS a FROM p{n // 2} x JOIN p{n // 2} y ON y.i=x.j GROUP BY 1, 2)"
+    sql += ", s0 AS MATERIALIZED (SELECT i, k, v[k] AS u FROM sc, range(1,65) r(k))"
+    for t, parts in ((25, (16, 8, 1)), (50, (32, 16, 2)), (100, (64, 32, 4))):
+        before = "s0"
+        for n in parts:
+            sql += f", s{t}_{n} AS MATERIALIZED (SELECT p.i, s.k, sum(p.a*s.u) AS u FROM p{n} p JOIN {before} s ON s.i=p.j GROUP BY 1, 2)"
+            before = f"s{t}_{n}"
+    return sql + " SELECT t, i, round(sum(u),5) AS total, round(sum(u*u),5) AS norm2 FROM (SELECT 25 AS t, * FROM s25_1 UNION ALL SELECT 50, * FROM s50_2 UNION ALL SELECT 100, * FROM s100_4) GROUP BY 1, 2"
+
+
+@query("diffusion_t100", _powers())
 def diffusion_t100(spark, d):
-    """States after 25, 50 and 100 rounds, within a worker."""
+    """States after 25, 50 and 100 rounds; within a worker for a scene of this size."""
     scene, edges = _weighted(spark, d)
-    return D.diffuse_local(scene.withColumn("scene", F.lit("s")), edges.withColumn("scene", F.lit("s")), "scene", [25, 50, 100])
+    at = (25, 50, 100)
+    rows = [s.select(F.lit(t).alias("t"), "i", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2")) for t, s in zip(at, states(scene, edges, at), strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
 
+def _shifted(rounds):
+    sql = _REP + ", ed AS MATERIALIZED (SELECT r.i, r.j, sqrt((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS sp FROM rep r JOIN sc a ON a.i=r.i JOIN sc b ON b.i=r.j), z0 AS MATERIALIZED (SELECT i, v FROM sc)"
+    for n in range(rounds):
+        d2 = _D2.format(a="a.v", b="b.v")
+        sql += f""", w{n} AS MATERIALIZED (SELECT e.i, e.j, exp(-({d2})/2.0)*exp(-e.sp*e.sp/8.0) AS w FROM ed e JOIN z{n} a ON a.i=e.i JOIN z{n} b ON b.i=e.j), m{n} AS (SELECT w.i, k, sum(w.w*b.v[k])/sum(w.w) AS u FROM w{n} w JOIN z{n} b ON b.i=w.j, range(1,65) r(k) GROUP BY 1, 2 HAVING sum(w.w) > 1e-12),
+ z{n + 1} AS MATERIALIZED (SELECT a.i, list(0.5*a.v[a.k]+0.5*coalesce(u, a.v[a.k]) ORDER BY a.k) AS v FROM (SELECT i, k, v FROM z{n}, range(1,65) r(k)) a LEFT JOIN m{n} m ON m.i=a.i AND m.k=a.k GROUP BY 1)"""
+    return sql + f" SELECT i, round(list_sum(v),6) AS total, round(list_sum(list_transform(v, lambda z: z*z)),6) AS norm2 FROM z{rounds}"
 
-@query("dynamic_mean_shift")
+
+@query("dynamic_mean_shift", _shifted(4))
 def dynamic_mean_shift(spark, d):
     scene, edges = _repaired(spark, d)
-    return D.diffuse_dynamic(scene, G.grid_edges(edges, scene), sigma_spectral=1.0, sigma_spatial=2.0, max_iter=4, tol=0.0)[0]
+    return _digest(D.diffuse_dynamic(scene, G.grid_edges(edges, scene), sigma_spectral=1.0, sigma_spatial=2.0, max_iter=4, tol=0.0)[0])
 
 
 _KNN = _SCENE + f""", kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM (SELECT a.i, b.i AS j, sqrt({_D2.format(a="a.v", b="b.v")}) AS d FROM sc a JOIN sc b ON a.i<>b.i)) WHERE rank <= 12)"""
@@ -244,19 +270,51 @@ def pooled_merge(spark, d):
     return merged.select("mode", "n", F.round("disp", 6).alias("disp"), F.round(F.aggregate("mu", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("reciprocal_consolidate")
-def reciprocal(spark, d):
+_FORTY = _PROTO.replace("gt AS mode", "CAST(i%40 AS BIGINT) AS mode")
+
+
+def consolidation_sql(grid, rounds):
+    """CTEs g (q, beta, tau) and gr (q, mode, grp, n): the reciprocal rounds written out; grid: (beta, tau) entries."""
+    values = ", ".join(f"({q}, {b}, {t})" for q, (b, t) in enumerate(grid))
+    sql = _FORTY + f""", g AS (SELECT q, beta::DOUBLE AS beta, tau::DOUBLE AS tau FROM (VALUES {values}) t(q, beta, tau)), n0 AS MATERIALIZED (SELECT q, beta, tau, mode, mu, disp, n::DOUBLE AS n FROM mo, g), r0 AS MATERIALIZED (SELECT q, mode, mode AS grp, n FROM n0)"""
+    for k in range(rounds):
+        raw = f"sqrt({_D2.format(a='a.mu', b='b.mu')})"
+        sql += f""", a{k} AS MATERIALIZED (SELECT *, CASE WHEN beta=0 THEN disp ELSE disp/pow(greatest(n/greatest(median(n) OVER (PARTITION BY q),1),1e-8),beta) END AS s FROM n{k}),
+ d{k} AS (SELECT a.q, a.tau, a.mode AS a, b.mode AS b, {raw} AS raw, a.s, b.s AS t FROM a{k} a JOIN a{k} b ON b.q=a.q AND b.mode<>a.mode), e{k} AS (SELECT * FROM (SELECT *, raw/greatest(sqrt((s*s+t*t)/2),1e-8) AS sep, row_number() OVER (PARTITION BY q, a ORDER BY raw, b) AS rank FROM d{k}) WHERE rank<=30),
+ b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, a ORDER BY sep, raw, b) AS z FROM e{k}) WHERE z=1 AND sep<=tau AND tau>0), p{k} AS MATERIALIZED (SELECT x.q, x.a, x.b FROM b{k} x JOIN b{k} y ON y.q=x.q AND y.a=x.b AND y.b=x.a WHERE x.a<x.b),
+ t{k} AS MATERIALIZED (SELECT coalesce(p.a, m.mode) AS into_, m.* FROM n{k} m LEFT JOIN p{k} p ON p.q=m.q AND p.b=m.mode), c{k} AS (SELECT q, into_, i AS k, sum(n*mu[i])/sum(n) AS u FROM t{k}, range(1,65) r(i) GROUP BY 1,2,3), l{k} AS (SELECT q, into_, list(u ORDER BY k) AS mu FROM c{k} GROUP BY 1,2),
+ o{k} AS (SELECT q, into_, any_value(beta) AS beta, any_value(tau) AS tau, sum(n) AS n, sum(n*(disp*disp+list_sum(list_transform(mu, lambda z: z*z))))/sum(n) AS e, count(*) AS parts, any_value(disp) AS disp FROM t{k} GROUP BY 1,2),
+ n{k + 1} AS MATERIALIZED (SELECT o.q, o.beta, o.tau, o.into_ AS mode, l.mu, CASE WHEN parts=1 THEN o.disp ELSE sqrt(greatest(e-list_sum(list_transform(l.mu, lambda z: z*z)),0)) END AS disp, o.n FROM o{k} o JOIN l{k} l ON l.q=o.q AND l.into_=o.into_),
+ r{k + 1} AS MATERIALIZED (SELECT r.q, r.mode, coalesce(p.a, r.grp) AS grp, r.n FROM r{k} r LEFT JOIN p{k} p ON p.q=r.q AND p.b=r.grp)"""
+    return sql + f", gr AS (SELECT * FROM r{rounds})"
+
+
+_GROUPS = consolidation_sql([(0.5, 0.4)], 39) + " SELECT sc.i, dense_rank() OVER (ORDER BY grp) - 1 AS label FROM sc JOIN gr ON gr.mode=sc.i%40"
+
+
+def _forty(spark, d):
     scene = _scene(spark, d).withColumn("label", F.col("i") % 40)
-    ids, mu, disp, n = T.modes_to_arrays(T.mode_prototypes(scene))
-    group, _ = T.reciprocal_consolidate(mu, disp, n, 0.4, size_exponent=0.5)
-    return T.apply_groups(scene.select("i", "label"), ids, group)
+    return scene.select("i", "label"), materialise(T.mode_prototypes(scene))
+
+
+@query("reciprocal_consolidate", _GROUPS)
+def reciprocal(spark, d):
+    labels, modes = _forty(spark, d)
+    return T.apply_groups(labels, T.consolidate_modes(modes, 0.4, size_exponent=0.5))
+
 
+def _linked(merges, threshold):
+    sql = _FORTY + f", x AS MATERIALIZED (SELECT a.mode AS a, b.mode AS b, sqrt({_D2.format(a='a.mu', b='b.mu')})/greatest(sqrt((a.disp*a.disp+b.disp*b.disp)/2),1e-8) AS sep FROM mo a JOIN mo b ON a.mode<>b.mode), h0 AS MATERIALIZED (SELECT mode, mode AS grp FROM mo)"
+    for n in range(merges):
+        sql += f""", f{n} AS MATERIALIZED (SELECT a, b FROM (SELECT u.grp AS a, v.grp AS b, max(sep) AS sep FROM x JOIN h{n} u ON u.mode=x.a JOIN h{n} v ON v.mode=x.b WHERE u.grp < v.grp GROUP BY 1, 2) WHERE sep <= {threshold} ORDER BY sep, a, b LIMIT 1), h{n + 1} AS MATERIALIZED (SELECT h.mode, coalesce(f.a, h.grp) AS grp FROM h{n} h LEFT JOIN f{n} f ON f.b=h.grp)"""
+    return sql + f" SELECT sc.i, dense_rank() OVER (ORDER BY grp) - 1 AS label FROM sc JOIN h{merges} h ON h.mode=sc.i%40"
 
-@query("linkage_consolidate")
+
+@query("linkage_consolidate", _linked(39, 0.4))
 def linkage(spark, d):
-    scene = _scene(spark, d).withColumn("label", F.col("i") % 40)
-    ids, mu, disp, _ = T.modes_to_arrays(T.mode_prototypes(scene))
-    return T.apply_groups(scene.select("i", "label"), ids, T.consolidate(T._separations(mu, disp)[1], 0.4, "complete"))
+    labels, modes = _forty(spark, d)
+    ids, mu, disp, _ = T.modes_to_arrays(modes)
+    return T.apply_groups(labels, T.group_table(modes, ids, T.consolidate(T._separations(mu, disp)[1], 0.4, "complete")))
 
 
 @query("cluster_once")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 from collections.abc import Iterator
 from itertools import permutations
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +68,20 @@ class _Reader(DataSourceReader):
         return [_Rows(a, min(a + self.block, self.lines)) for a in range(0, self.lines, self.block)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
+        with open(self.path, "rb") as f:
+            yield self.block_of(f, partition)
+
+    def block_of(self, f: BinaryIO, partition: _Rows) -> pa.RecordBatch:
         a, b = partition.first, partition.last
         n = (b - a) * self.samples
         v = np.empty((n, self.bands), np.float32)
-        with open(self.path, "rb") as f:
-            for band in range(self.bands):
-                f.seek(self.offset + (band * self.lines + a) * self.samples * self.kind.itemsize, os.SEEK_SET)
-                v[:, band] = np.frombuffer(f.read(n * self.kind.itemsize), self.kind)
+        for band in range(self.bands):
+            f.seek(self.offset + (band * self.lines + a) * self.samples * self.kind.itemsize, os.SEEK_SET)
+            v[:, band] = np.frombuffer(f.read(n * self.kind.itemsize), self.kind)
         i = np.arange(a * self.samples, b * self.samples)
         flat = pa.array(v.ravel())
         cells = pa.ListArray.from_arrays(pa.array(np.arange(0, n * self.bands + 1, self.bands), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(i // self.samples), pa.array(i % self.samples), cells], ["i", "y", "x", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(i // self.samples), pa.array(i % self.samples), cells], ["i", "y", "x", "v"])
 
 
 class EnviCube(DataSource):
@@ -93,30 +99,22 @@ class EnviCube(DataSource):
 
 
 def load_cube(spark: SparkSession, header: str, cube: str, rows: int = 64) -> DataFrame:
-    """(i, y, x, v) of a cube that every executor can open at this path."""
+    """S3: (i, y, x, v) of a cube: blocks of raster rows where the executors can open its path, else (a path with a scheme, say hdfs://) through Spark's binary reader as one value, up to 2 GB."""
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*://", cube):
+        facts = read_header(spark, header)
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for value in batch.column(0):
+                    reader = _Reader(facts | {"path": "", "rows": str(rows)})
+                    for part in reader.partitions():
+                        yield reader.block_of(io.BytesIO(value.as_buffer()), part)
+
+        return spark.read.format("binaryFile").load(cube).select("content").mapInArrow(unpack, EnviCube({}).schema())
+    cube = re.sub("^file:(//)?(?=/)", "", cube)
     spark.dataSource.register(EnviCube)
     reader = spark.read.format("envi_bsq").option("rows", str(rows))
     for key, value in read_header(spark, header).items():
         if key in ("lines", "samples", "bands", "data type", "header offset", "interleave", "byte order"):
             reader = reader.option(key, value)
     return reader.load(cube)
-
-
-#: Loaders by kind of scene; each takes (spark, **where) and returns (i, y, x, v[, gt]).
-LOADERS = {"envi": load_cube}
-
-
-def load_scene(spark: SparkSession, kind: str, *, subsample: int | None = None, labels: bool = True, **where) -> DataFrame:
-    """A scene by kind; without labels the reference column is never read."""
-    from rasterloom.operators.scene import crop, scene_from_vectors
-
-    if kind == "vectors":
-        df = scene_from_vectors(spark.read.parquet(where["path"]), label="label" if labels else None)
-    elif kind == "table":
-        df = spark.read.parquet(where["path"])
-        df = df if labels else df.drop("gt")
-    elif kind in LOADERS:
-        df = LOADERS[kind](spark, **where)
-    else:
-        raise ValueError(f"unknown kind of scene: {kind}")
-    return crop(df, subsample) if subsample else df

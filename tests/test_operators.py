@@ -1,16 +1,21 @@
 """Hand-sized cases and properties of the library's operators."""
 
+import hashlib
 import itertools
 import math
+import random
+import struct
+import zlib
 
+import brute
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rasterloom.operators import baselines, components, diffusion, graph, modes, partition, prototypes, scene, selectors, spatial, stats, study
-from rasterloom.plans.selector_queries import PIXELS, curves
-from rasterloom.sources import envi, files
+from rasterloom.functions import order
+from rasterloom.operators import automatic, baselines, components, diffusion, graph, modes, partition, prototypes, scene, selectors, spatial, stats, study
+from rasterloom.sources import envi, files, matlab, scenes
 
 
 def table(spark, true, pred):
@@ -164,6 +169,7 @@ def test_dispersion_floor(spark):
 
 
 def test_golden_selections(spark):
+    from golden import PIXELS, curves
     from pyspark.sql import functions as F
 
     n = F.when(F.col("curve") == "longkou", PIXELS["longkou"]).otherwise(PIXELS["trento"])
@@ -198,6 +204,8 @@ def test_locks_and_perturbation(spark):
     px = spark.createDataFrame([(i, 0, i, [float(i), 1.0]) for i in range(400)], "i long, y long, x long, v array<double>")
     moved = study.replace_pixels(px, 0.2).where("v[0] <> i").count()
     assert 40 < moved < 120
+    gapped = study.replace_pixels(px.withColumn("i", px.i * 2 + 7), 0.2)
+    assert gapped.count() == 400 and gapped.where("v[0] <> (i - 7) / 2").count() > 40
     assert study.add_noise(px).where("v[1] = 1").count() == 400
     with pytest.raises(ValueError):
         study.discover(px.withColumn("gt", px.i))
@@ -222,16 +230,62 @@ def test_envi(spark, tmp_path):
     assert envi.align_axes((3, 5, 2), (5, 2)) == (1, 2, 0)
     with pytest.raises(ValueError):
         envi.align_axes((5, 5, 2), (5, 5))
+    reader = envi._Reader({"path": "", "lines": 5, "samples": 2, "bands": 3, "data type": 2, "header offset": "4"})
+    with open(tmp_path / "s.img", "rb") as f:
+        assert reader.block_of(f, reader.partitions()[0]).column("v").to_pylist() == cube.transpose(1, 2, 0).reshape(10, 3).tolist()
+    (tmp_path / "g.img").write_bytes(np.arange(10, dtype="u1").tobytes())
+    (tmp_path / "g.hdr").write_text("ENVI\nlines = 5\nsamples = 2\nbands = 1\ndata type = 1\n")
+    files_ = {"header": str(tmp_path / "s.hdr"), "cube": str(tmp_path / "s.img"), "truth_header": str(tmp_path / "g.hdr"), "truth": str(tmp_path / "g.img")}
+    assert [r.gt for r in scenes.load_scene(spark, "envi", **files_).orderBy("i").collect()] == list(range(10))
+    assert "gt" not in scenes.load_scene(spark, "envi", labels=False, **files_).columns
     with pytest.raises(ValueError):
-        envi.load_scene(spark, "none")
+        scenes.load_scene(spark, "none")
+
+
+def mat_file(arrays, order="<", compress=True):
+    """A MATLAB level 5 file of numeric arrays, by the published format."""
+    kinds = {"f8": (9, 6), "f4": (7, 7), "i2": (3, 10), "u1": (2, 9)}
+    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack(order + "H", 0x0100) + (b"IM" if order == "<" else b"MI")
+
+    def element(kind, data):
+        return struct.pack(order + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    for name, a in arrays.items():
+        kind, number = kinds[a.dtype.str[1:]]
+        name_ = struct.pack(order + "HH", *((1, len(name)) if order == "<" else (len(name), 1))) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode())
+        body = element(6, struct.pack(order + "II", number, 0)) + element(5, np.array(a.shape, order + "i4").tobytes()) + name_ + element(kind, a.astype(order + a.dtype.str[1:]).tobytes(order="F"))
+        whole = element(14, body)
+        if compress:
+            packed = zlib.compress(whole)
+            whole = struct.pack(order + "II", 15, len(packed)) + packed
+        out += whole
+    return out
+
+
+@pytest.mark.parametrize(("order", "compress"), [("<", True), (">", True), ("<", False)])
+def test_matlab(spark, tmp_path, order, compress):
+    rng = np.random.default_rng(1)
+    cube, truth = rng.integers(0, 900, (4, 6, 3)).astype("i2"), rng.integers(0, 5, (4, 6)).astype("u1")
+    moved = np.ascontiguousarray(cube.transpose(2, 0, 1)).astype("f8")  # bands first
+    (tmp_path / "c.mat").write_bytes(mat_file({"long_name": moved, "x": truth}, order, compress))
+    (tmp_path / "KSC").mkdir()
+    (tmp_path / "KSC/KSC_data.mat").write_bytes(mat_file({"KSC": moved}, order, compress))
+    (tmp_path / "KSC/KSC_gt.mat").write_bytes(mat_file({"KSC_gt": truth}, order, compress))
+    got = scenes.load_scene(spark, "ksc", data_dir=str(tmp_path)).orderBy("i").collect()
+    assert [r.v for r in got] == cube.reshape(24, 3).tolist() and [r.gt for r in got] == truth.ravel().tolist() and (got[7].y, got[7].x) == (1, 1)
+    blind = scenes.load_scene(spark, "matlab", labels=False, cube=str(tmp_path / "c.mat"), shape=(4, 6), subsample=2)
+    assert "gt" not in blind.columns and blind.count() == 4
+    with pytest.raises(ValueError):
+        matlab.choose_array({"a": cube, "b": cube}, None, 3)
+    with pytest.raises(ValueError):
+        matlab.read_arrays(b"HDF" * 60)
 
 
 def test_tables(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿name,n\nx,1\n".encode())
     df = files.read_csv(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["name", "n"]
-    kinds = {r["name"]: (r["bytes"], r["kind"]) for r in files.manifest(spark, str(tmp_path)).collect()}
-    assert kinds["a.csv"][1] == "data"
+    assert df.collect()[0].asDict() == {"name": "x", "n": "1"}
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -281,10 +335,347 @@ def test_baseline_queries_do_the_whole_job(monkeypatch):
     given_ = {}
     for name in ("kmeans", "minibatch_kmeans", "fuzzy_cmeans", "slic_kmeans", "communities"):
         monkeypatch.setattr(baselines, name, lambda *a, _n=name, **kw: given_.setdefault(_n, set(kw)))
-    monkeypatch.setattr(study_queries, "_pixels", lambda *a: None)
-    for name in ("build_graph", "spectral_edges", "affinities"):
-        monkeypatch.setattr(study_queries.G, name, lambda *a, **kw: type("E", (), {"select": lambda *b: None})())
-    monkeypatch.setattr(study_queries, "materialise", lambda e: e)
+    for name in ("_features", "_graph"):
+        monkeypatch.setattr(study_queries, name, lambda *a: None)
     for q in (study_queries.kmeans_baseline, study_queries.minibatch_baseline, study_queries.fcm_baseline, study_queries.slic_baseline, study_queries.leiden_baseline):
         q(None, "")
     assert len(given_) == 5 and not set().union(*given_.values()) & {"n_init", "max_iter", "rounds", "levels"}
+
+
+def regions(seed=1, side=14, bands=6, noise=0.35):
+    """A raster of three regions: (rows, vectors, positions, truth)."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 1.5, (3, bands))
+    yx = [(y, x) for y in range(side) for x in range(side)]
+    truth = [1 + (x >= side // 2) + (x >= side // 2 and y >= side // 2) for y, x in yx]
+    v = np.array([centre[t - 1] for t in truth]) + rng.normal(0, noise, (len(yx), bands))
+    return [(i, y, x, v[i].tolist()) for i, (y, x) in enumerate(yx)], v, yx, truth
+
+
+PIXEL = "i long, y long, x long, v array<double>"
+SMALL = study.Configuration(pca_components=4, k=8, window_radius=3, min_degree=3, checkpoint=6, fine_radius=0.5, filter_radius=1, max_neighbors=9, merge_components=3, prototype_threshold=0.8, size_exponent=0.5)
+
+
+@pytest.mark.parametrize(("seed", "local"), [(1, 10**6), (2, 10**6), (1, 0)])
+def test_discovery_against_plain_loops(spark, seed, local):
+    rows, v, yx, truth = regions(seed)
+    got = study.discover(spark.createDataFrame(rows, PIXEL), SMALL, local_pixels=local).orderBy("i").collect()
+    fine, final = brute.discover(v, yx, components_=4, k=8, radius=3, least=3, rounds=6, space_components=3, neighbours=8, fine_radius=0.5, filter_radius=1, tau=0.8, beta=0.5)
+    assert brute.same_partition([r.fine for r in got], fine) and brute.same_partition([r.label for r in got], final)
+    assert 1 < len(set(final)) <= len(set(fine)) < len(rows)
+    if local:
+        e = partition.evaluate(spark.createDataFrame([(t, r.label) for t, r in zip(truth, got, strict=True)], "gt int, label int"), "gt", "label", 0)
+        pairs = [max(itertools.permutations(sorted(set(final)), min(3, len(set(final)))), key=lambda c: sum(a == dict(zip(c, (1, 2, 3), strict=False)).get(b) for a, b in zip(truth, final, strict=True)))]
+        to = dict(zip(pairs[0], (1, 2, 3), strict=False))
+        assert e["overall_accuracy"] == pytest.approx(sum(t == to.get(b) for t, b in zip(truth, final, strict=True)) / len(truth)) or len(set(final)) > 3
+        assert e["ari"] == pytest.approx(brute.ari(truth, final))
+
+
+def test_one_call_clustering_against_plain_loops(spark):
+    rows, v, yx, _ = regions(3, side=10)
+    df = spark.createDataFrame(rows, PIXEL)
+    edges = graph.build_graph(df, pca_components=None, k=6, window_radius=2, min_degree=2)
+    weighted = graph.affinities(graph.spectral_edges(edges, df))
+    got = [r.label for r in diffusion.cluster(df, weighted.select("i", "j", "w"), max_iter=3, tol=0.0, merge_tol=0.6, merge_components=3).orderBy("i").collect()]
+    e = brute.graph(v, yx, 6, 2, 2)
+    assert {(r.i, r.j) for r in edges.collect()} == e
+    space = brute.scores(brute.diffuse(v, brute.weights(v, yx, e), 3), 3, True)
+    assert got == brute.fine_modes(space, 49, 0.6)
+
+
+def test_movement_of_every_round(spark):
+    rows, v, yx, _ = regions(4, side=6)
+    df = spark.createDataFrame(rows, PIXEL)
+    e = brute.graph(v, yx, 5, 2, 1)
+    w = brute.weights(v, yx, e)
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i, j in e], "i long, j long, w double")
+    state, history = diffusion.diffuse(df, edges, max_iter=6, tol=0.0)
+    steps = [brute.diffuse(v, w, t) for t in range(7)]
+    assert history == pytest.approx([np.linalg.norm(b - a, axis=1).max() for a, b in itertools.pairwise(steps)])
+    assert np.allclose([r.y for r in state.orderBy("i").collect()], steps[-1])
+    _, short = diffusion.diffuse(df, edges, max_iter=50, tol=history[2] * 1.0001)
+    assert short == pytest.approx(history[:3])
+
+
+def test_automatic_selection_against_plain_loops(spark):
+    rows, v, yx, truth = regions(5, side=12, noise=0.6)
+    grid = automatic.Grid(checkpoints=(2, 5), gammas=(0.6, 0.8), taus=(0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5), betas=(0.0, 0.5), rank=3)
+    config = study.Configuration(pca_components=None, k=6, window_radius=2, min_degree=2, filter_radius=1, max_neighbors=7, merge_components=3)
+    found = automatic.candidates(spark.createDataFrame(rows, PIXEL), config, grid)
+    z = brute.zscore(v)
+    w = brute.weights(z, yx, brute.graph(z, yx, 6, 2, 2))
+    want, labels, surface = [], [], {}
+    for beta in grid.betas:
+        for t, rounds in enumerate(grid.checkpoints):
+            space = brute.scores(brute.diffuse(z, w, rounds), 3, True)
+            scale = brute.local_scale(space, 3)
+            for g, gamma in enumerate(grid.gammas):
+                fine = brute.majority(brute.fine_modes(space, 6, gamma * scale), yx, 1)
+                curve = [[group[m] for m in fine] for group in (brute.consolidate(brute.prototypes(space, fine), tau, 30, beta) for tau in grid.taus)]
+                pick, told = brute.local_endpoint(curve, len(set(fine)))
+                surface |= {(t, g, beta, tau): (n, pytest.approx(s)) for tau, (n, s) in zip(grid.taus, told, strict=True)}
+                if pick is not None:
+                    want.append((t, g, beta, grid.taus[pick], told[pick][0]))
+                    labels.append(curve[pick])
+    assert {(r.t_index, r.g_index, r.beta, r.tau): (r.k, r.stability) for r in found.surface.collect()} == surface
+    assert [(c.t, c.g, c.beta, c.tau, c.k) for c in found.entries] == want and len(want) >= 3
+    for k, own in enumerate(labels):
+        assert brute.same_partition([r.label for r in found.labels(k).orderBy("i").collect()], own)
+    assert found.ari == {(a, b): pytest.approx(brute.ari(labels[a], labels[b])) for a, b, _ in selectors._peers(found.entries)}
+    gt = spark.createDataFrame(list(enumerate(truth)), "i long, gt int")
+    ranked = automatic.calibrate({"one": (found, gt), "two": (found, gt.withColumn("gt", gt.gt % 2))}).collect()
+    assert len(ranked) == 75 and [r.position for r in ranked] == list(range(1, 76))
+    order = [(-r.coverage, -(r.structural_score if r.structural_score is not None else -1), -r.stability_min, r.compression_max, -r.beta_agreement_min) for r in ranked]
+    assert order == sorted(order)
+    for r in ranked[::25]:
+        pick = selectors.select_v2(found.entries, found.ari, selectors.Rule(r.stability_min, r.compression_max, r.beta_agreement_min))
+        assert r.coverage == (0 if pick is None else 2)
+        if pick is not None:
+            assert r.mean_ari == pytest.approx((brute.ari(truth, labels[pick]) + brute.ari([x for x in (t % 2 for t in truth) if x], [b for b, t in zip(labels[pick], truth, strict=True) if t % 2])) / 2)
+
+
+def test_protocol_grids():
+    c = study.Configuration()
+    a = study.ablations(c)
+    assert a["graph_no_mutual_gate"].min_degree == 0 and a["mode_no_fine_grouping"].filter_radius == 0 and len(a) == 8
+    s = study.sensitivity(c)
+    assert list(s) == ["window_radius=3", "window_radius=5", "window_radius=7", "window_radius=9", "pca_components=10", "pca_components=20", "pca_components=30", "pca_components=40", "checkpoint=6", "checkpoint=12", "checkpoint=25", "checkpoint=50", "fine_radius=0.075", "fine_radius=0.1125", "fine_radius=0.15", "fine_radius=0.1875", "fine_radius=0.225"]
+    assert len(study.sensitivity(c, fast=True)) == 12
+    assert len(selectors.all_rules()) == 75 and selectors.RULE_GRID["stability_min"][1] == 0.825
+
+
+def test_pruned_neighbours_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(modes, "PIVOTS", 7)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.5, (90, 3)) for c in (0.0, 6.0, 20.0)] + [np.zeros((5, 3))])
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = sorted((3 * i, 3 * j, r + 1) for i in range(len(x)) for r, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], j))[:5]))
+    assert sorted((r.i, r.j, r["rank"]) for r in modes.knn(df, 5, block=25).collect()) == want
+
+
+def test_median_of_many(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=4001), rng.integers(0, 5, 3000).astype(float), np.concatenate([np.ones(2000), rng.random(1999)])):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+        assert order.median(df, "x", few=100) == pytest.approx(float(np.median(values)))
+    assert order.median(df.limit(0), "x") is None
+
+
+@pytest.mark.parametrize(("radius", "tile"), [(1, 4), (2, 5), (3, 64)])
+def test_majority_against_plain_loops(spark, radius, tile):
+    rng = random.Random(radius)
+    yx = [(y, x) for y in range(11) for x in range(9) if rng.random() < 0.9]
+    labels = [rng.randint(0, 3) for _ in yx]
+    df = spark.createDataFrame([(i, y, x, c) for i, ((y, x), c) in enumerate(zip(yx, labels, strict=True))], "i long, y long, x long, label int")
+    assert [r.label for r in spatial.majority_filter(df, radius, tile=tile).orderBy("i").collect()] == brute.majority(labels, yx, radius)
+
+
+def test_expected_mi_of_large_tables():
+    """The bounded sums against all terms."""
+    rows, cols = [700, 300, 1500], [1200, 1000, 200, 100]
+    n = sum(rows)
+    lg = math.lgamma
+    total = 0.0
+    for a, b in itertools.product(rows, cols):
+        for k in range(max(1, a + b - n), min(a, b) + 1):
+            total += k / n * math.log(n * k / (a * b)) * math.exp(lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1) - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1))
+    assert partition.expected_mi(rows, cols) == pytest.approx(total, rel=1e-9)
+
+
+@pytest.mark.parametrize("beta", [0.0, 0.5])
+def test_consolidation_against_plain_loops(spark, beta):
+    rng = np.random.default_rng(6)
+    modes_ = {3 * m: [rng.normal(size=3), float(rng.uniform(0.5, 1.5)), int(rng.integers(1, 60))] for m in range(25)}
+    df = spark.createDataFrame([(m, x[0].tolist(), x[1], x[2]) for m, x in modes_.items()], "mode long, mu array<double>, disp double, n long")
+    want = brute.consolidate(modes_, 1.2, 6, beta)
+    assert 1 < len(set(want.values())) < 20
+    assert {r["mode"]: r.group for r in prototypes.consolidate_rounds(df, 1.2, k=6, size_exponent=beta).collect()} == want
+    number = {g: k for k, g in enumerate(sorted(set(want.values())))}
+    for most in (4096, 0):
+        assert {r["mode"]: r.group for r in prototypes.consolidate_modes(df, 1.2, k=6, size_exponent=beta, most=most).collect()} == {m: number[g] for m, g in want.items()}
+
+
+@pytest.mark.parametrize("beta", [0.0, 0.5])
+def test_merge_until_against_plain_loops(beta):
+    rng = np.random.default_rng(7)
+    mu, disp, n = rng.normal(size=(18, 3)), rng.uniform(0.5, 1.5, 18), rng.integers(1, 50, 18).astype(float)
+    modes_ = {m: [mu[m], disp[m], n[m]] for m in range(18)}
+    group = {m: m for m in modes_}
+    while len(modes_) > 5:
+        mid = max(float(np.median([x[2] for x in modes_.values()])), 1.0)
+        s = {m: x[1] / (x[2] / mid) ** beta for m, x in modes_.items()}
+        a, b = min(itertools.combinations(modes_, 2), key=lambda p: float(np.linalg.norm(modes_[p[0]][0] - modes_[p[1]][0])) / math.sqrt((s[p[0]] ** 2 + s[p[1]] ** 2) / 2))
+        (u, x, p), (v, y, q) = modes_[a], modes_.pop(b)
+        mean = (p * u + q * v) / (p + q)
+        modes_[a] = [mean, math.sqrt((p * (x * x + ((u - mean) ** 2).sum()) + q * (y * y + ((v - mean) ** 2).sum())) / (p + q)), p + q]
+        group = {k: a if g == b else g for k, g in group.items()}
+    assert brute.same_partition(prototypes.merge_until(mu, disp, n, 5, beta).tolist(), [group[m] for m in range(18)])
+
+
+@pytest.mark.parametrize("linkage", ["single", "average", "complete"])
+def test_linkages_against_plain_loops(linkage):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups = [[i] for i in range(30)]
+    how = {"single": np.min, "average": np.mean, "complete": np.max}[linkage]
+    while len(groups) > 1:
+        value, a, b = min((float(how(d[np.ix_(p, q)])), i, j) for (i, p), (j, q) in itertools.combinations(enumerate(groups), 2))
+        if value > 0.8:
+            break
+        groups[a] += groups.pop(b)
+    want = {i: k for k, g in enumerate(groups) for i in g}
+    assert brute.same_partition(prototypes.consolidate(d, 0.8, linkage).tolist(), [want[i] for i in range(30)])
+
+
+def test_baseline_features_are_truncated_scores(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(50, 6)) @ rng.normal(size=(6, 6)) * np.array([1, 5, 1, 1, 0.1, 1])
+    x[:, 5] = 2.0
+    got = np.array([r.v for r in baselines.features(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>"), 3).orderBy("i").collect()])
+    z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
+    u, s, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(u[:, :3] * s[:3]))
+
+
+def blobs(n=40, seed=11, centres=(0.0, 8.0, 30.0)):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(c, 0.6, (n, 3)) for c in centres]), np.repeat(range(len(centres)), n).tolist()
+
+
+def test_kmeans_baselines(spark):
+    x, truth = blobs()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    best = sum(((x[np.array(truth) == c] - x[np.array(truth) == c].mean(0)) ** 2).sum() for c in range(3))
+    for run in (lambda: baselines.kmeans(df, 3, n_init=3), lambda: baselines.minibatch_kmeans(df, 3), lambda: baselines.minibatch_kmeans(df, 3, batch=30), lambda: baselines.count_matched(df, None, "kmeans", partition=df.selectExpr("i", "i % 3 as label"))):
+        label = np.array([r.label for r in run().orderBy("i").collect()])
+        cost = sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in set(label.tolist()))
+        assert brute.same_partition(label.tolist(), truth) and cost == pytest.approx(best)
+    support = df.where("i < 40")
+    two = baselines.count_matched(df, None, "minibatch", partition=df.selectExpr("i", "case when i < 40 then i % 2 else i end as label"), support=support)
+    assert two.select("label").distinct().count() == 2
+    with pytest.raises(ValueError):
+        baselines.count_matched(df, 3, "fcm", most_cells=10)
+
+
+def test_fuzzy_cmeans_against_numpy(spark):
+    x, _ = blobs(20, 12, (0.0, 3.0))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(5)
+    u = np.stack([np.random.default_rng((0, i)).random(3) for i in range(len(x))])
+    u /= u.sum(1, keepdims=True)
+    for _ in range(150):
+        centres = (u * u).T @ x / (u * u).sum(0)[:, None]
+        inv = 1 / np.maximum(((x[:, None] - centres[None]) ** 2).sum(-1), 1e-12)
+        new = inv / inv.sum(1, keepdims=True)
+        moved, u = np.abs(new - u).max(), new
+        if moved < 1e-4:
+            break
+    got = [r.label for r in baselines.fuzzy_cmeans(df, 3).orderBy("i").collect()]
+    assert got == u.argmax(1).tolist()
+
+
+def test_superpixels_are_connected(spark):
+    rng = random.Random(13)
+    owner = [(y * 12 + x, y, x, rng.randint(0, 1), 0) for y in range(12) for x in range(12)]
+    regions_ = {r.i: r.region for r in baselines.connected_regions(spark.createDataFrame(owner, "i long, y long, x long, gy long, gx long"), 10).collect()}
+    near = lambda i, j: abs(i // 12 - j // 12) + abs(i % 12 - j % 12) == 1
+    for name in set(regions_.values()):
+        own = [i for i, r in regions_.items() if r == name]
+        assert len(set(brute.components(144, [(i, j) for i in own for j in own if near(i, j)])[i] for i in own)) == 1 and min(own) == name
+    sizes = [list(regions_.values()).count(r) for r in set(regions_.values())]
+    assert min(sizes) >= 5 or len(sizes) == 1
+    rows, _, _, truth = regions(14, side=16, noise=0.2)
+    got = [r.label for r in baselines.slic_kmeans(spark.createDataFrame(rows, PIXEL), 3, size=16, rounds=4, n_init=4).orderBy("i").collect()]
+    assert brute.ari(truth, got) > 0.7
+    with pytest.raises(ValueError):
+        baselines.slic_kmeans(spark.createDataFrame(rows, PIXEL), 300, size=64, rounds=1)
+
+
+def modularity(edges, labels, resolution=1.0):
+    total = sum(w for *_, w in edges)
+    degree = {}
+    for i, _, w in edges:
+        degree[i] = degree.get(i, 0) + w
+    inside = sum(w for i, j, w in edges if labels[i] == labels[j])
+    return inside / total - resolution * sum(sum(degree[i] for i in degree if labels[i] == c) ** 2 for c in set(labels.values())) / total**2
+
+
+@pytest.mark.parametrize("few", [400_000, 0])
+def test_communities(spark, few):
+    """Planted groups are found, communities are connected, and merging two of them improves nothing (in one task, and by rounds)."""
+    rng = random.Random(15)
+    n, group = (48, 8) if few else (12, 6)
+    pairs = {(a, b) for a in range(n) for b in range(a) if rng.random() < (0.6 if few else 0.9) and a // group == b // group or rng.random() < 0.03}
+    edges = [(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))]
+    df = spark.createDataFrame(edges, "i long, j long, w double")
+    label = {r.i: r.label for r in baselines.communities(df, rounds=8 if few else 3, levels=3 if few else 1, iterations=2 if few else 1, few=few).collect()}
+    planted = {i: i // group for i in label}
+    assert modularity(edges, label) >= modularity(edges, planted) - (1e-9 if few else 0.2)
+    assert not few or brute.ari([label[i] for i in sorted(label)], [planted[i] for i in sorted(label)]) > 0.9
+    for c in set(label.values()):
+        own = [i for i in label if label[i] == c]
+        assert min(own) == c and few == 0 or len({x for i, x in enumerate(brute.components(n, [(a, b) for a, b in pairs if label[a] == label[b] == c])) if i in own}) == 1
+    if few:
+        for a, b in itertools.combinations(set(label.values()), 2):
+            assert modularity(edges, {i: b if c == a else c for i, c in label.items()}) <= modularity(edges, label) + 1e-9
+
+
+def test_leiden_protocol(spark):
+    rng = random.Random(16)
+    pairs = {(a, b) for a in range(24) for b in range(a) if rng.random() < (0.8 if a // 8 == b // 8 else 0.05)}
+    df = spark.createDataFrame([(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))], "i long, j long, w double")
+    chosen, table, labels = baselines.leiden_selected(df, (0.2, 1.0, 3.0), (0, 1), (0,))
+    rows = {r.resolution: r for r in table.collect()}
+    assert chosen == 1.0 and rows[1.0].k == 3 and rows[1.0].interior and not rows[0.2].interior
+    runs = {(r.resolution, r.seed, r.i): r.label for r in baselines.leiden_protocol(df, [0.2, 1.0, 3.0], [0, 1]).collect()}
+    one = lambda g, s: [runs[g, s, i] for i in range(24)]
+    assert rows[1.0].seed_ari == pytest.approx(brute.ari(one(1.0, 0), one(1.0, 1)))
+    assert rows[1.0].adjacent_ari == pytest.approx(sum(sum(brute.ari(one(a, s), one(b, s)) for s in (0, 1)) / 2 for a, b in ((0.2, 1.0), (1.0, 3.0))) / 2)
+    assert brute.same_partition([r.label for r in labels.orderBy("i").collect()], [i // 8 for i in range(24)])
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "w/data").mkdir(parents=True)
+    (tmp_path / "w/release").mkdir()
+    contents = {"a.PY": b"x", "data/b.bin": b"yy", "release/c.zip": b"z", "n b+%1.ipynb": b"{}", ".hidden": b"h", "d.tar.zip": b""}
+    for name, content in contents.items():
+        (tmp_path / "w" / name).write_bytes(content)
+    got = {r.relative_path: r for r in files.manifest(spark, str(tmp_path / "w")).collect()}
+    assert {k: (r.size_bytes, r.sha256) for k, r in got.items()} == {k: (len(c), hashlib.sha256(c).hexdigest()) for k, c in contents.items()}
+    assert {k: (r.suffix, r.category) for k, r in got.items()} == {"a.PY": (".py", "supplied_code_or_output"), "data/b.bin": (".bin", "third_party_or_raw_data"), "release/c.zip": (".zip", "included_release"), "n b+%1.ipynb": (".ipynb", "historical_notebook"), ".hidden": ("", "other_excluded"), "d.tar.zip": (".zip", "historical_archive")}
+    sizes = spark.createDataFrame([("big.py", 25 * 1024 * 1024), ("x/tmp/y.md", 5), ("q.log", 1)], "p string, n long")
+    from pyspark.sql import functions as F
+
+    assert [r.c for r in sizes.select(files.file_class(F.col("p"), F.col("n")).alias("c")).collect()] == ["large_excluded", "temporary_or_build", "temporary_or_build"]
+    assert {r.relative_path for r in files.list_files(spark, str(tmp_path / "w"), skip=("data", "release")).collect()} == set(contents) - {"data/b.bin", "release/c.zip"}
+
+
+def test_states_tables_and_fairness(spark, tmp_path):
+    path = str(tmp_path / "states")
+    for k in (1, 2):
+        files.write_states(spark.range(6).selectExpr("id % 2 as t", "id as i", f"array(id * {k}.0D) as v"), path, "t", about={"round": k})
+        rows, about = files.read_states(spark, path)
+        assert about == {"round": k} and {r.i: r.v[0] for r in rows.collect()} == {i: i * k for i in range(6)}
+    assert [p.name for p in tmp_path.iterdir()] == ["states"]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.json").write_text('{"a": 1,\n "b": [1, 2]}')
+    assert files.read_json(spark, str(tmp_path / "j")).first().b == [1, 2]
+    a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([("y", 2.5)], "s string, f double")
+    files.write_csv([a, b], str(tmp_path / "u"))
+    back = files.read_csv(spark, str(tmp_path / "u"))
+    assert back.columns == ["n", "s", "f"] and {(r.n, r.s, r.f) for r in back.collect()} == {("1", "x", None), (None, "y", "2.5")}
+    rows = spark.createDataFrame([("b", "m1"), ("a", "m2"), ("z", "m1"), ("a", "m1"), ("a", "other")], "dataset string, method string")
+    assert [tuple(r) for r in files.export_table(rows, ["m2", "m1"], order=["z", "a"]).collect()] == [("z", "m1"), ("a", "m2"), ("a", "m1"), ("b", "m1")]
+    fair = files.fairness(spark).collect()
+    assert len(fair) == 7 and [r.receives_true_K for r in fair] == ["no"] + ["yes"] * 6 and {r.labelled_tuning for r in fair} == {"no"}
+
+
+def test_profile_and_repeatability(spark):
+    rows, _, _, truth = regions(17, side=8)
+    got = study.profile(spark.createDataFrame(rows, PIXEL), SMALL, 1)
+    assert {"load_graph", "affinity", "diffusion", "modes_merge", "total", "peak_memory_mb", "fine_modes", "clusters"} <= got[0].keys() and got[0]["n_pixels"] == 64 and got[0]["peak_memory_mb"] > 100
+    a = spark.createDataFrame([(i, i % 4) for i in range(64)], "i long, label int")
+    r = study.repeatability(a, a.withColumn("label", a.label % 2), spark.createDataFrame([(i, t % 3) for i, t in enumerate(truth)], "i long, gt int")).first()
+    own = [(i % 4, i % 2) for i in range(64) if truth[i] % 3]
+    assert (r.k_difference, r.n_labelled) == (-2, len(own)) and r.ari_labelled == pytest.approx(brute.ari(*zip(*own, strict=True)))
