@@ -48,12 +48,12 @@ MOST_MODES = 4096
 
 def prototype_distances(modes: DataFrame, size_exponent: float = 0.0, least: float = 1e-8) -> DataFrame:
     """(a, b, raw, sep) of every two modes, as many rows as a distance matrix has cells; modes meet block against block."""
-    return _separated(modes, knn(modes.select(F.col("mode").alias("i"), F.col("mu").alias("v")), max(1, modes.count() - 1)), size_exponent, least).drop("rank")
+    return _separated(modes, knn(modes.select(F.col("mode").cast("long").alias("i"), F.col("mu").alias("v")), max(1, modes.count() - 1)), size_exponent, least).drop("rank")
 
 
 def prototype_edges(modes: DataFrame, k: int = 30, size_exponent: float = 0.0) -> DataFrame:
     """(a, b, raw, sep, rank): of each mode its k nearest others by raw distance, with their normalised separation."""
-    return _separated(modes, knn(modes.select(F.col("mode").alias("i"), F.col("mu").alias("v")), k), size_exponent)
+    return _separated(modes, knn(modes.select(F.col("mode").cast("long").alias("i"), F.col("mu").alias("v")), k), size_exponent)
 
 
 def _separated(modes: DataFrame, near: DataFrame, size_exponent: float, least: float = 1e-8) -> DataFrame:
