@@ -437,13 +437,13 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
     classes = materialise(large.select("doc", "family", "n", "m", "blocks", "block").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component"))
     largest = classes.groupBy("family", "class").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("class", F.struct("c", F.negative("class"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
     apart = materialise(largest.where("c < all").withColumn("parts", F.ceil((F.col("all") - F.col("c")) / BLOCK)))
-    open_ = classes.join(apart, "family")
+    open_ = materialise(classes.join(apart, "family"))  # a join of its own, so that a hot family's partition can be split
     held, groups = _shared_prefixes(heads, open_.select("doc", "family", "class", "n"), percent)
     by_shingle = groups.groupBy("family").agg(F.sum("cost").alias("cost"))
     sized = apart.join(by_shingle, "family", "left").withColumn("blocks", F.ceil(F.col("all") / BLOCK)).withColumn("wide", F.col("all") * F.col("parts") + (F.col("all") - F.col("c")) * F.col("blocks"))
     choice = materialise(sized.select("family", (F.coalesce("cost", F.lit(0)) < F.col("wide")).alias("by_shingle")))  # without a shared shingle there is nothing to do
-    one = choice.where("by_shingle").select("family")
-    dealt = held.join(groups.select("t", "step", "blocks"), ["t", "step"]).join(one, "family").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    chosen = groups.join(choice.where("by_shingle"), "family").select("t", "step", "blocks")
+    dealt = held.join(chosen, ["t", "step"]).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     meet = dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class").distinct()
     wide = open_.join(choice.where("not by_shingle").select("family"), "family").withColumn("stray", F.col("class") != F.col("main"))
     asks = wide.where("stray").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(13)), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
