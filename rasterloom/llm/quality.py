@@ -53,20 +53,25 @@ def surface_features(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_words(rows: DataFrame) -> DataFrame:
     """rows of surface_features with n_repeat_words: words in 3-word windows that the text holds twice or more.
 
-    Windows are sorted by hash within the row, so that equal ones are neighbours; the positions of those are sorted
-    again and their spans united.
+    The windows' hashes are sorted as plain numbers; those beside an equal one repeat. Where none does, which is the rule,
+    that is all; few different ones are looked up window by window; many are found by sorting hashes with their places.
     """
-    window = lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
-    starts = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_s", F.sort_array(F.transform(starts, window)))
-    near = lambda k: F.coalesce(F.get("_s", k)["h"], F.lit(None))
-    twice = F.filter("_s", lambda x, k: F.coalesce(near(k - 1) == x["h"], F.lit(False)) | F.coalesce(near(k + 1) == x["h"], F.lit(False)))
-    at = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    places = F.when(F.size("_w") >= 3, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_h", F.transform(places, lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
+    rows = rows.withColumn("_s", F.sort_array("_h"))
+    rows = rows.withColumn("_d", F.array_distinct(F.filter("_s", lambda x, k: x == F.get("_s", k - 1))))
+    looked_up = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains("_d", F.get("_h", i)))
+    rows = rows.withColumn("_p", F.when(F.size("_d") > FEW_REPEATED, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    near = lambda k: F.get("_p", k)["h"]
+    twice = F.filter("_p", lambda x, k: F.coalesce(near(k - 1) == x["h"], F.lit(False)) | F.coalesce(near(k + 1) == x["h"], F.lit(False)))
+    at = F.when(F.size("_d") == 0, F.array().cast("array<int>")).when(F.size("_d") <= FEW_REPEATED, looked_up).otherwise(F.sort_array(F.transform(twice, lambda x: x["i"])))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     n = F.aggregate(at, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")), lambda s: s["n"])
-    return rows.withColumn("n_repeat_words", n.cast("long")).drop("_s")
+    return rows.withColumn("n_repeat_words", n.cast("long")).drop("_h", "_s", "_d", "_p")
 
 
+#: So many different repeated windows are looked up one by one; more are found by sorting, with the same result.
+FEW_REPEATED = 16
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 

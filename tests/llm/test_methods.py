@@ -236,7 +236,9 @@ def test_language_chunks(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(langid.ngrams(text), whole, strict=True))
 
 
-def test_quality_counts(spark):
+@pytest.mark.parametrize("few", [0, 3, 16])
+def test_quality_counts(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW_REPEATED", few)
     rows = [(i, t) for i, t in enumerate(texts(200, 7) + ["a b c a b c", "x x x x", "1\n1\n 1\n\n2 #$"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(df).collect()}
