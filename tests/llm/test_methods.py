@@ -307,6 +307,47 @@ def test_embedding_links(spark):
     assert all(got[i] <= real[i].sum() for i in got) and sum(got.values()) >= 0.9 * real.sum()
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "anisotropic", "clustered"])
+def test_embedding_recall_on_planted_pairs(spark, kind):
+    """Pairs planted at cosines from 0.9 on, many just above it, against brute force: nearly all are met, and none below is linked."""
+    rng = np.random.default_rng(40)
+    n, d = 1500, 32
+    base = rng.normal(size=(n, d))
+    if kind == "anisotropic":
+        base *= np.geomspace(3, 0.1, d)
+    if kind == "clustered":
+        base = base * 0.35 + rng.normal(size=(30, d))[rng.integers(30, size=n)]
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    noise = rng.normal(size=base.shape)
+    noise -= (noise * base).sum(1)[:, None] * base
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    cos = rng.choice([0.9005, 0.91, 0.95, 0.99, 0.85], n)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * noise]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    real = u @ u.T >= 0.9
+    np.fill_diagonal(real, False)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= real.sum(1)).all() and links.sum() >= 0.98 * real.sum(), (links.sum(), real.sum())
+    parts = brute_parts(real)
+    assert all(got[i].component_id >= parts[i] and parts[got[i].component_id] == parts[i] for i in got)
+
+
+def brute_parts(linked):
+    out = list(range(len(linked)))
+    for i in range(len(linked)):
+        if out[i] == i:
+            stack = [i]
+            while stack:
+                for j in np.flatnonzero(linked[stack.pop()]).tolist():
+                    if out[j] == j and j > i:
+                        out[j] = i
+                        stack.append(j)
+    return out
+
+
 def test_language_model(spark):
     rng = random.Random(13)
     words = {k: [f"{k}{i}" for i in range(30)] for k in "xyz"}
