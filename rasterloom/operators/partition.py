@@ -22,11 +22,13 @@ def _pairs(n: Column | str) -> Column:
     return n * (n - 1) / 2.0
 
 
-def _margins(table: DataFrame) -> DataFrame:
-    """One row: total and the sums over cells and margins that the metrics need."""
+def _margins(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each group (by default for all): total and the sums over cells and margins that the metrics need."""
     log = lambda c: F.col(c) * F.log(F.col(c).cast("double"))
-    cells = table.agg(F.sum("n").alias("n"), F.sum(_pairs("n")).alias("pairs"), F.sum(log("n")).alias("logs"), F.max("n").alias("top"))
-    side = lambda c, s: table.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(_pairs("m")).alias(f"pairs_{s}"), F.sum(log("m")).alias(f"logs_{s}"), F.count("*").alias(f"k_{s}"))
+    cells = table.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(_pairs("n")).alias("pairs"), F.sum(log("n")).alias("logs"), F.max("n").alias("top"))
+    side = lambda c, s: table.groupBy(*by, c).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(_pairs("m")).alias(f"pairs_{s}"), F.sum(log("m")).alias(f"logs_{s}"), F.count("*").alias(f"k_{s}"))
+    if by:
+        return cells.join(side("t", "t"), list(by)).join(side("p", "p"), list(by))
     return cells.crossJoin(side("t", "t")).crossJoin(side("p", "p"))  # three one-row frames
 
 
@@ -42,17 +44,60 @@ def ari(table: DataFrame) -> DataFrame:
     return _margins(table).select(_ari().alias("ari"))
 
 
-def information(table: DataFrame) -> DataFrame:
-    """M6, M9: nmi (arithmetic mean), homogeneity, completeness, v_measure."""
+def _entropy(s: str) -> Column:
+    """Of a margin, in nats."""
+    n = F.col("n").cast("double")
+    return F.greatest(F.lit(0.0), F.log(n) - F.col(f"logs_{s}") / n)
+
+
+def _information() -> dict[str, Column]:
     n = F.col("n").cast("double")
-    h = lambda s: F.greatest(F.lit(0.0), F.log(n) - F.col(f"logs_{s}") / n)
     mi = F.greatest(F.lit(0.0), F.log(n) + (F.col("logs") - F.col("logs_t") - F.col("logs_p")) / n)
     one = lambda s: F.col(f"k_{s}") == 1
-    hom = F.when(one("t"), 1.0).otherwise(mi / h("t"))
-    com = F.when(one("p"), 1.0).otherwise(mi / h("p"))
-    m = _margins(table).select(hom.alias("homogeneity"), com.alias("completeness"), F.when(one("t") & one("p"), 1.0).when(one("t") | one("p"), 0.0).otherwise(2 * mi / (h("t") + h("p"))).alias("nmi"))
-    total = F.col("homogeneity") + F.col("completeness")
-    return m.withColumn("v_measure", F.when(total == 0, 0.0).otherwise(2 * F.col("homogeneity") * F.col("completeness") / total))
+    hom = F.when(one("t"), 1.0).otherwise(mi / _entropy("t"))
+    com = F.when(one("p"), 1.0).otherwise(mi / _entropy("p"))
+    nmi = F.when(one("t") & one("p"), 1.0).when(one("t") | one("p"), 0.0).otherwise(2 * mi / (_entropy("t") + _entropy("p")))
+    return {"homogeneity": hom, "completeness": com, "nmi": nmi, "v_measure": F.when(hom + com == 0, 0.0).otherwise(2 * hom * com / (hom + com))}
+
+
+def information(table: DataFrame) -> DataFrame:
+    """M6, M9: nmi (arithmetic mean), homogeneity, completeness, v_measure."""
+    return _margins(table).select(*(c.alias(name) for name, c in _information().items()))
+
+
+#: What agreement() and running_agreement() tell besides their keys.
+AGREEMENT = ("n", "k_true", "k_pred", "entropy_true", "entropy_pred", "ari", "nmi", "homogeneity", "completeness", "v_measure")
+
+
+def _agreement(sums: DataFrame, *keys: str) -> DataFrame:
+    return sums.select(*keys, F.col("n").cast("long").alias("n"), F.col("k_t").cast("long").alias("k_true"), F.col("k_p").cast("long").alias("k_pred"), _entropy("t").alias("entropy_true"), _entropy("p").alias("entropy_pred"), _ari().alias("ari"), *(c.alias(name) for name, c in _information().items()))
+
+
+def agreement(table: DataFrame, *by: str) -> DataFrame:
+    """M5-M9 for each group of a contingency table (by..., t, p, n): by and AGREEMENT; one plan for all groups."""
+    return _agreement(_margins(table, by), *by)
+
+
+def running_agreement(deltas: DataFrame, by: str, batch: str = "batch") -> DataFrame:
+    """(by, batch, AGREEMENT) after each batch of a contingency table that grows: deltas are (by, batch, t, p, n), the rows that a batch adds to a cell.
+
+    A cell's or margin's share in the sums of pairs and of n ln n changes only where it grows, so each batch has the
+    changes' sum, and sums over batches give the state after each: work is linear in the deltas, whatever the number of
+    batches. Windows hold one cell, or the batches of one group.
+    """
+    f = {"pairs": _pairs, "logs": lambda n: F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0)}
+
+    def changes(suffix: str, *cell: str) -> DataFrame:
+        grown = deltas.groupBy(by, *cell, batch).agg(F.sum("n").alias("_d"))
+        now = F.sum("_d").over(Window.partitionBy(by, *cell).orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        grown = grown.withColumn("_now", now).withColumn("_old", F.col("_now") - F.col("_d"))
+        sums = [F.sum(g(F.col("_now")) - g(F.col("_old"))).alias(name + suffix) for name, g in f.items()]
+        return grown.groupBy(by, batch).agg(F.sum("_d").alias("n" + suffix), F.count_if(F.col("_old") == 0).alias("k" + suffix), *sums)
+
+    parts = changes("", "t", "p").join(changes("_t", "t"), [by, batch]).join(changes("_p", "p"), [by, batch])
+    so_far = Window.partitionBy(by).orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = ["n", *(f"{name}{s}" for name in f for s in ("", "_t", "_p")), "k_t", "k_p"]
+    return _agreement(parts.select(by, batch, *(F.sum(c).over(so_far).alias(c) for c in names)), by, batch)
 
 
 def _log_factorial(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.vector import squared_norm
+from rasterloom.functions.vector import squared_distance, squared_norm
 from rasterloom.operators.modes import dense_numbers, knn
 from rasterloom.session import materialise
 
@@ -237,3 +237,17 @@ def apply_groups(pixels: DataFrame, groups: DataFrame, label: str = "label") ->
     """Pixels with their label replaced by its group; groups: (mode, group)."""
     to = groups.select(F.col("mode").alias(label), F.col("group").alias("_g"))
     return pixels.join(to, label).drop(label).withColumnRenamed("_g", label)  # one row a mode: Spark broadcasts it while it is small
+
+
+def nearest_prototype(pixels: DataFrame, modes: DataFrame, vector: str = "v", digits: int | None = None, most: int = MOST_MODES) -> DataFrame:
+    """pixels with `mode` and `distance` of the nearest prototype (mode, mu); of equal distances (rounded to `digits`) the lowest mode, and null without any mode.
+
+    The prototypes go to every task as one row: a frozen model of up to `most` modes, which is checked.
+    """
+    n = modes.count()
+    if n > most:
+        raise ValueError(f"{n} prototypes; a model has {most} at most")
+    model = modes.agg(F.collect_list(F.struct("mode", "mu")).alias("_modes"))
+    far = lambda m: F.sqrt(squared_distance(vector, m["mu"]))
+    near = F.array_min(F.transform("_modes", lambda m: F.struct((F.round(far(m), digits) if digits is not None else far(m)).alias("d"), m["mode"].alias("m"))))
+    return pixels.crossJoin(F.broadcast(model)).withColumn("_near", near).withColumns({"mode": F.col("_near.m"), "distance": F.col("_near.d")}).drop("_modes", "_near")

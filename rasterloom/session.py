@@ -44,6 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -16,14 +16,19 @@ def streaming_contingency(stream: DataFrame, true: Column, pred: Column, time: s
     return rows.groupBy("t", "p").agg(F.count("*").alias("n"))
 
 
-def contingency_of_files(spark: SparkSession, path: str, true: Column, pred: Column) -> DataFrame:
-    """The counts after all files at the path have gone through the stream once."""
+def file_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream of the Parquet files of a table: a folder that grows, or a single file."""
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).options(**options)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
-        stream = spark.readStream.schema(schema).parquet(path)
-    else:  # a stream watches folders
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())  # a stream watches folders
+
+
+def contingency_of_files(spark: SparkSession, path: str, true: Column, pred: Column) -> DataFrame:
+    """The counts after all files at the path have gone through the stream once."""
+    stream = file_stream(spark, path)
     name = f"contingency_{uuid.uuid4().hex}"
     running = streaming_contingency(stream, true, pred).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
