@@ -102,7 +102,7 @@ def encode(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     book = np.zeros((len(first), width), np.int64)
     for k, r in enumerate(first):
         book[k, : len(r["e"])] = r["e"]
-    book = np.ascontiguousarray(book.reshape(len(first), parts, -1).transpose(1, 0, 2))
+    book = np.ascontiguousarray(book.reshape(len(first), parts, width // parts).transpose(1, 0, 2))
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     fields = ", ".join([f"id {kinds['id'].simpleString()}", "codes array<int>", "error long", *(f"`{c}` {kinds[c].simpleString()}" for c in keep)])
     if not first:
