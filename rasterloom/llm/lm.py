@@ -179,7 +179,7 @@ class LogBilinear:
         self.p = [x.astype(np.float32) for x in self.p]
         self.square = [np.full_like(x, 1e-2) for x in self.p]
 
-    def train(self, seen: np.ndarray, target: np.ndarray, *, batch: int = 2048, noise: int = 32, rate: float = 0.4, seed: int = 1) -> None:
+    def train(self, seen: np.ndarray, target: np.ndarray, *, batch: int = 2048, noise: int = 96, rate: float = 0.4, seed: int = 1) -> None:
         """One pass of noise-contrastive estimation with AdaGrad. seen: CONTEXT class numbers of each target (number of classes: none)."""
         rng = np.random.default_rng(seed)
         table = np.searchsorted(np.cumsum(self.unigram), (np.arange(1 << 16) + 0.5) / (1 << 16)).clip(0, len(self.unigram) - 1)
