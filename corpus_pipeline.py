@@ -3,7 +3,7 @@
 language_id drops texts without a letter; near_duplicates keeps the smallest id of each class of similar texts;
 secret_scan replaces secrets; mixing repeats and drops documents by fitted rates, so that domains reach their target
 shares; packing turns what remains into sequences. Stages but the last return the columns of documents. Extra columns
-are carried along. Null texts are dropped by the first stage. Rows that share an id, or have none, are documents of their
+are carried along, whatever their names: helper columns get names that no column has. Null texts are dropped by the first stage. Rows that share an id, or have none, are documents of their
 own: near duplicates are found by row, and packing numbers the rows.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, mixing, packing, secrets
-from rasterloom.llm.textops import crc_mod
+from rasterloom.llm.textops import crc_mod, unused_name
 from rasterloom.session import materialise
 
 
@@ -35,16 +35,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     known = again.where("doc_id is not null")
     least = min(0, docs.agg(F.min("doc_id").alias("m")).first()["m"] or 0)
+    row = unused_name("row", docs)
     odd = docs.join(known, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-    odd = materialise(odd.withColumn("_row", least - 1 - F.monotonically_increasing_id()))
+    odd = materialise(odd.withColumn(row, least - 1 - F.monotonically_increasing_id()))
     plain = docs.where("doc_id is not null").join(known, "doc_id", "left_anti").select(docs.columns)
-    every = plain.select(F.col("doc_id").cast("long").alias("_row"), "text").unionByName(odd.select("_row", "text"))
-    similar = materialise(jaccard.similar_documents(every, key="_row"))
-    named = similar.join(odd.select("_row", "doc_id"), "_row", "left").withColumn("doc_id", F.when(F.col("_row") < least, F.col("doc_id")).otherwise(F.col("_row")))
-    stays = named.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.negative("_row"))).alias("_row"))
-    gone = materialise(similar.join(stays, "_row", "left_anti").select("_row"))
-    kept = plain.join(gone.withColumnRenamed("_row", "doc_id"), "doc_id", "left_anti").select(docs.columns)
-    return kept.unionByName(odd.join(gone, "_row", "left_anti").select(docs.columns))
+    every = plain.select(F.col("doc_id").cast("long").alias("row"), "text").unionByName(odd.select(F.col(row).alias("row"), "text"))
+    similar = materialise(jaccard.similar_documents(every, key="row"))
+    named = similar.join(odd.select(F.col(row).alias("row"), "doc_id"), "row", "left").withColumn("doc_id", F.when(F.col("row") < least, F.col("doc_id")).otherwise(F.col("row")))
+    stays = named.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.negative("row"))).alias("row"))
+    gone = materialise(similar.join(stays, "row", "left_anti").select("row"))
+    kept = plain.join(gone.select(F.col("row").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    return kept.unionByName(odd.join(gone.select(F.col("row").alias(row)), row, "left_anti").select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +58,11 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
     mixed, _ = mixing.mix(docs, labels, mixing.TARGETS, anchor=mixing.ANCHOR)
     # by id and text, so that rows sharing an id keep their own rates; equal rows have equal rates
-    copies = mixed.groupBy("doc_id", "_h").agg(F.max("copies").alias("_copies")).where("_copies <> 1")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
-    other = copies.withColumnsRenamed({"doc_id": "_key", "_h": "_hash"})
-    rows = keyed.join(other, F.col("d.doc_id").eqNullSafe(F.col("_key")) & (F.col("d._h") == F.col("_hash")), "left")
-    times = F.coalesce("_copies", F.lit(1))
-    return rows.where(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select([f"d.{c}" for c in docs.columns])
+    own, copies, key, hashed, times = (unused_name(n, docs) for n in ("own", "copies", "key", "hashed", "times"))
+    other = mixed.groupBy("doc_id", "_h").agg(F.max("copies").alias("copies")).where("copies <> 1").select(F.col("doc_id").alias(key), F.col("_h").alias(hashed), F.col("copies").alias(copies))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).join(other, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed)), "left")
+    n = F.coalesce(copies, F.lit(1))
+    return rows.where(n > 0).withColumn(times, F.explode(F.sequence(F.lit(1), n))).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,19 +73,22 @@ def fit_domains(labelled: DataFrame) -> Domains:
     return Domains(labelled.where("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), *aggs).collect())
 
 
-def _rate(points: list[list[float]], momenta: list[float]) -> Column:
-    """A document's rate after the steps taken so far; points: of each step, the D differences of totals from targets."""
-    rate = before = F.lit(1.0)
-    if not points:
-        return rate
-    steps = F.array(*[F.struct(F.array(*map(F.lit, d)).alias("d"), F.lit(m).alias("m")) for d, m in zip(points, momenta, strict=True)])
+_STEPS = "array<struct<d:array<double>,m:double>>"
+
+
+def _steps(points: list[list[float]], momenta: list[float]) -> Column:
+    return F.array(*[F.struct(F.array(*map(F.lit, d)).alias("d"), F.lit(m).alias("m")) for d, m in zip(points, momenta, strict=True)]).cast(_STEPS)
+
+
+def _walk(steps: Column) -> Column:
+    """A document's rate after the steps taken so far, and the one before, as struct<r, b>; each step has the D differences of totals from targets, and its momentum."""
     pull = lambda d: F.aggregate(F.zip_with(d, F.col("_p"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     def step(s: Column, x: Column) -> Column:
         looked = s["r"] + x["m"] * (s["r"] - s["b"])
         return F.struct(F.greatest(F.lit(0.0), looked - pull(x["d"])).alias("r"), s["r"].alias("b"))
 
-    return F.aggregate(steps, F.struct(rate.alias("r"), before.alias("b")), step, lambda s: s["r"])
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("b")), step)
 
 
 def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], *, anchor: str | None = None, rounds: int = 40, tolerance: float = 1e-3) -> tuple[Column, dict[str, float]]:
@@ -114,17 +117,18 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float], *, a
         # totals at the point ahead of the last two rates, where the gradient is taken
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / after if points else 0.0
-        now = _rate(points, momenta)
-        ahead = now + m * (now - _rate(points[:-1], momenta[:-1])) if points else now
-        sums = [F.sum(F.col("_n") * F.get("_p", k) * r).alias(f"{a}{k}") for k in range(len(names)) for a, r in (("a", F.col("_a")), ("r", F.col("_r")))]
-        got = rows.select("_n", "_p", ahead.alias("_a"), now.alias("_r")).agg(*sums).first()
+        # the steps come as a row of a broadcast table (an aggregate, so that they aren't folded into the plan as literals): all rounds run the same compiled code
+        taken = F.broadcast(rows.sparkSession.range(1).agg(F.first(_steps(points, momenta)).alias("_steps"), F.first(F.lit(m)).alias("_m")))
+        walked = rows.select("_n", "_p").crossJoin(taken).select("_n", "_p", "_m", _walk(F.col("_steps")).alias("_w"))
+        ahead = walked.select("_n", "_p", (F.col("_w.r") + F.col("_m") * (F.col("_w.r") - F.col("_w.b"))).alias("_a"), F.col("_w.r").alias("_r"))
+        got = ahead.agg(*[F.sum(F.col("_n") * F.get("_p", k) * F.col(f"_{a}")).alias(f"{a}{k}") for k in range(len(names)) for a in "ar"]).first()
         reached = [float(got[f"r{k}"]) / total for k in range(len(names))]
         if max(abs(x - w) for x, w in zip(reached, want, strict=True)) <= tolerance * sum(want):
             break
         points.append([float(got[f"a{k}"]) / total - w for k, w in enumerate(want)])
         momenta.append(m)
         t = after
-    return _rate(points, momenta), {n: x / max(sum(reached), 1e-12) for n, x in zip(names, reached, strict=True)}
+    return _walk(_steps(points, momenta))["r"], {n: x / max(sum(reached), 1e-12) for n, x in zip(names, reached, strict=True)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], *, text: str = "text", key: str = "doc_id", anchor: str | None = None) -> tuple[DataFrame, dict[str, float]]:

@@ -103,6 +103,11 @@ class VoteModel:
         self.prior = 0.8
         self.table = {n: {GOOD: (0.85, 0.5), BAD: (0.01, 0.25), ABSTAIN: (0.14, 0.25)} for n in names}
 
+    def probability(self, pattern: list[int]) -> float:
+        """P(good) of a pattern of votes, in the rules' order."""
+        odds = math.log(self.prior / (1 - self.prior)) + sum(math.log(self.table[name][v][0] / self.table[name][v][1]) for name, v in zip(self.table, pattern, strict=True))
+        return 1 / (1 + math.exp(-odds))
+
     def posterior(self) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, by_vote in self.table.items():
@@ -114,26 +119,25 @@ def fit_votes(votes: DataFrame, names: list[str], *, rounds: int = 20, tolerance
     """Expectation-maximisation. votes: the rules' columns and `n`, how many documents voted so.
 
     pseudo: the weight of the initial table, as a share of all documents, which keeps good and bad from changing places.
+    The patterns of votes, 3 to the power of the rules at most, come to the driver once; a round is a loop over them.
     """
-    model = VoteModel(names)
-    first = VoteModel(names)
-    for _ in range(rounds):
-        q = model.posterior()
-        sums = [F.sum(F.col("n") * q).alias("good"), F.sum("n").alias("n")]
-        for name in names:
-            for v in (BAD, GOOD, ABSTAIN):
-                sums += [F.sum(F.when(F.col(name) == v, F.col("n") * q).otherwise(0.0)).alias(f"{name}{v}g"), F.sum(F.when(F.col(name) == v, F.col("n")).otherwise(0)).alias(f"{name}{v}n")]
-        s = votes.agg(*sums).first()
-        if not s["n"]:
-            break
-        n, good = float(s["n"]), float(s["good"])
+    model, first = VoteModel(names), VoteModel(names)
+    patterns = [([r[c] for c in names], float(r["n"])) for r in votes.groupBy(*names).agg(F.sum("n").alias("n")).orderBy(*names).collect()]
+    n = sum(times for _, times in patterns)
+    for _ in range(rounds if n else 0):
+        good, sums = 0.0, {name: {v: [0.0, 0.0] for v in (BAD, GOOD, ABSTAIN)} for name in names}
+        for pattern, times in patterns:
+            share = times * model.probability(pattern)
+            good += share
+            for name, v in zip(names, pattern, strict=True):
+                sums[name][v][0] += share
+                sums[name][v][1] += times - share
         weight, moved = pseudo * n, abs(good / n - model.prior)
         model.prior = min(max(good / n, 1e-3), 1 - 1e-3)
         for name in names:
             for v in (BAD, GOOD, ABSTAIN):
-                g, b = float(s[f"{name}{v}g"]), float(s[f"{name}{v}n"]) - float(s[f"{name}{v}g"])
                 old = model.table[name][v]
-                new = tuple((x + weight * p) / (total + weight) for x, p, total in zip((g, b), first.table[name][v], (good, n - good), strict=True))
+                new = tuple((x + weight * p) / (total + weight) for x, p, total in zip(sums[name][v], first.table[name][v], (good, n - good), strict=True))
                 moved = max(moved, abs(new[0] - old[0]), abs(new[1] - old[1]))
                 model.table[name][v] = new
         if moved < tolerance:
@@ -147,8 +151,7 @@ def judge(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFr
     rows = repeated_words(surface_features(docs.select(F.col(key), F.col(text).alias("_text")), "_text")).select(key, *features)
     votes = rules()
     seen = materialise(rows.withColumns(votes))
-    patterns = materialise(seen.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1))
-    model = fit_votes(patterns, list(votes))
+    model = fit_votes(seen.groupBy(*votes).agg(F.count("*").alias("n")), list(votes))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return seen.withColumns({"base_failed": failed, "p_good": model.posterior()}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 

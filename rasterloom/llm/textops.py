@@ -34,6 +34,14 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def unused_name(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until no column of df is called so (in whichever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_count(df: DataFrame, mb: int = 16) -> int:
     """Into how many groups what is gathered from df by hash goes: as many as keep a group's share of the tables read, by the optimiser's sizes, under `mb` MB, and twice the shuffle partitions at least."""
     least = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -57,3 +57,24 @@ def test_pipeline_stages(spark, odd):
 
 def test_pipeline_empty(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+CLASHING = ["_h", "_row", "_copies", "_key", "_hash", "_k", "row", "ROW", "own", "copies", "Key", "hashed", "times", "n", "low", "component_id", "n_shingles", "known", "spans", "lang_pred", "_text", "_p", "_n", "_steps"]
+
+
+def test_pipeline_clashing_names(spark, odd):
+    """Every stage hands the caller's columns on as they are, whatever their names."""
+    from pyspark.sql import functions as F
+
+    names = [c for k, c in enumerate(CLASHING) if c.lower() not in {x.lower() for x in CLASHING[:k]}]
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.withColumns({c: F.concat_ws("|", F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("lang", F.lit("-"))) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, odd)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}|{'none' if r.doc_id is None else r.doc_id}|{r.lang or '-'}" for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, odd).count() > 0
