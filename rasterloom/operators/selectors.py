@@ -83,19 +83,25 @@ def select_local(surface: DataFrame, least_run: int = 2) -> DataFrame:
     return runs.groupBy("t_index", "g_index", "beta").agg(F.min_by(F.struct("tau", "k", "stability"), F.struct("k", F.negative("stability"), "tau")).alias("s")).select("t_index", "g_index", "beta", "s.*")
 
 
+def _grid_cells(candidates: DataFrame) -> DataFrame:
+    """A row for each cell of the grid: its lowest candidate and how many it has (one, in a grid of the protocol)."""
+    return candidates.groupBy("beta", "t_index", "g_index").agg(F.min("candidate").alias("first"), F.count("*").alias("members"))
+
+
 def grid_peers(candidates: DataFrame) -> DataFrame:
-    """(a, b, axis) of candidates a < b of one beta next to each other along t or gamma."""
-    a = candidates.select("beta", F.col("candidate").alias("a"), F.col("t_index").alias("_t"), F.col("g_index").alias("_g"))
-    b = candidates.select("beta", F.col("candidate").alias("b"), F.col("t_index").alias("_u"), F.col("g_index").alias("_h"))
-    dt, dg = F.abs(F.col("_t") - F.col("_u")), F.abs(F.col("_g") - F.col("_h"))
-    return a.join(b, "beta").where((F.col("a") < F.col("b")) & (dt + dg == 1)).select("a", "b", F.when(dt == 1, "t").otherwise("gamma").alias("axis"))
+    """(a, a_members, b, b_members, axis) of cells of one beta next to each other along t or gamma, a being the lower one. Each cell looks up its two upper neighbours, so rows are linear in cells."""
+    cells = _grid_cells(candidates)
+    up = F.explode(F.array(F.struct((F.col("t_index") + 1).alias("t_index"), F.col("g_index").alias("g_index"), F.lit("t").alias("axis")), F.struct("t_index", (F.col("g_index") + 1).alias("g_index"), F.lit("gamma").alias("axis"))))
+    asks = cells.select("beta", F.col("first").alias("a"), F.col("members").alias("a_members"), up.alias("_up")).select("beta", "a", "a_members", "_up.*")
+    return asks.join(cells, ["beta", "t_index", "g_index"]).select("a", "a_members", F.col("first").alias("b"), F.col("members").alias("b_members"), "axis")
 
 
 def beta_peers(candidates: DataFrame) -> DataFrame:
-    """(a, b) of candidates at one (t, gamma) with different beta."""
-    a = candidates.select("t_index", "g_index", F.col("candidate").alias("a"), F.col("beta").alias("_x"))
-    b = candidates.select("t_index", "g_index", F.col("candidate").alias("b"), F.col("beta").alias("_y"))
-    return a.join(b, ["t_index", "g_index"]).where((F.col("a") < F.col("b")) & (F.col("_x") != F.col("_y"))).select("a", "b")
+    """(a, a_members, a_beta, b, b_members, b_beta) of cells at one (t, gamma) with betas a_beta < b_beta."""
+    cells = _grid_cells(candidates)
+    a = cells.select("t_index", "g_index", F.col("first").alias("a"), F.col("members").alias("a_members"), F.col("beta").alias("a_beta"))
+    b = cells.select("t_index", "g_index", F.col("first").alias("b"), F.col("members").alias("b_members"), F.col("beta").alias("b_beta"))
+    return a.join(b, ["t_index", "g_index"]).where("a_beta < b_beta").drop("t_index", "g_index")
 
 
 @dataclass(frozen=True)
@@ -208,21 +214,21 @@ def all_rules(values: dict[str, Iterable[float]] = RULE_GRID) -> list[Rule]:
     return [Rule(s, c, b) for s in values["stability_min"] for c in values["compression_max"] for b in values["beta_agreement_min"]]
 
 
-def select_resolution(rows: DataFrame) -> DataFrame:
-    """One row: of interior resolutions with 2 clusters or more and admissible largest and entropy the one with the largest least agreement; else the least violation of the gates.
+def select_resolution(rows: DataFrame, *by: str) -> DataFrame:
+    """One row (for each group): of interior resolutions with 2 clusters or more and admissible largest and entropy the one with the largest least agreement; else the least violation of the gates.
 
-    rows: resolution, k, largest, entropy, seed_ari, adjacent_ari, interior. Raises if all have one cluster.
+    rows: resolution, k, largest, entropy, seed_ari, adjacent_ari, interior. Raises if all have one cluster; of groups, those are left out.
     """
     least = F.least("seed_ari", "adjacent_ari")
-    ok = F.col("interior") & (F.col("k") >= 2) & gates()
-    best = rows.where(ok).orderBy(F.desc(least), F.desc("adjacent_ari"), F.desc("seed_ari"), F.desc("entropy"), "resolution").limit(1).withColumn("fallback", F.lit(False))
-    if not best.isEmpty():
-        return best
-    some = rows.where("k >= 2")
-    if some.isEmpty():
-        raise ValueError("every resolution gives one cluster")
+    ok = F.coalesce(F.col("interior") & gates(), F.lit(False))
     off = F.greatest(F.col("largest") - LARGEST, F.lit(0.0)) + F.greatest(ENTROPY - F.col("entropy"), F.lit(0.0))
-    return some.orderBy(off, F.desc(least), "resolution").limit(1).withColumn("fallback", F.lit(True))
+    high = lambda c: F.coalesce(-c, F.lit(float("inf")))  # noqa: E731  (nulls come last)
+    among = lambda c: F.when(ok, high(F.col(c))).otherwise(0.0)
+    order = F.struct(~ok, F.when(ok, 0.0).otherwise(off), high(least), among("adjacent_ari"), among("seed_ari"), among("entropy"), "resolution")
+    picked = rows.where("k >= 2").withColumn("fallback", ~ok).groupBy(*by).agg(F.min_by(F.struct(*rows.columns, "fallback"), order).alias("_s")).where("_s is not null").select("_s.*")
+    if not by and picked.isEmpty():
+        raise ValueError("every resolution gives one cluster")
+    return picked
 
 
 SELECTOR_RULES = ("full", "minus_persistence", "minus_largest", "minus_entropy", "minus_band", "stability_only")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.session import materialise
+
 
 def repeat_aggregate(runs: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, sample deviation (0 for one run) and count; nulls are skipped."""
@@ -39,11 +42,31 @@ def status_counts(rows: DataFrame, status: str) -> DataFrame:
     return rows.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, descending: bool = True, out: str = "rank") -> DataFrame:
-    """Ranks within by, ties sharing their mean rank."""
+def _value_ranks(df: DataFrame, by: list[str], value: str, descending: bool, out: str, times: str | None = None) -> DataFrame:
+    """(by..., value, out): the mean rank of each value in its group, from two levels of prefix sums.
+
+    Values are counted, then dealt by ranges of (by, value). A range adds up its own counts; ranges, of which a group has as
+    many as there are partitions at most, add up their totals. So no task holds a group, however large it is.
+    """
     order = F.desc(value) if descending else F.asc(value)
-    peers = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(order)) + (peers - 1) / 2.0)
+    counts = df.groupBy(*by, value).agg((F.sum(times) if times else F.count("*")).alias("__n")).repartitionByRange(*by, order)
+    ranged = materialise(counts.withColumn("__p", F.spark_partition_id()))  # both levels must see the same ranges
+    so_far = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = ranged.groupBy(*by, "__p").agg(F.sum("__n").alias("__t"))
+    below = F.sum("__t").over(so_far.partitionBy(*by).orderBy("__p")) - F.col("__t")
+    totals = whole.select(F.col("__p").alias("__q"), below.alias("__below"), *(F.col(c).alias(f"__{k}") for k, c in enumerate(by)))
+    rows = ranged.withColumn("__end", F.sum("__n").over(so_far.partitionBy(*by, "__p").orderBy(order)))
+    same = [F.col("__p") == F.col("__q"), *(F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(by))]
+    rank = F.col("__below") + F.col("__end") - (F.col("__n") - 1) / 2.0
+    return rows.join(totals, reduce(Column.__and__, same)).select(*by, value, rank.alias(out))
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, descending: bool = True, out: str = "rank", times: str | None = None) -> DataFrame:
+    """Ranks within by, ties sharing their mean rank. times: a column that says how many rows a row stands for. Nulls rank as one value, below all others. Ranks belong to values: rows look theirs up."""
+    keys = [*by, value]
+    ranks = _value_ranks(df, by, value, descending, "__rank", times).select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(keys)), "__rank")
+    same = [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(keys)]
+    return df.join(ranks, reduce(Column.__and__, same)).select(*df.columns, F.col("__rank").alias(out))
 
 
 def method_ranks(scores: DataFrame) -> DataFrame:
@@ -127,9 +150,14 @@ def block_bootstrap(pixels: DataFrame, right: str, block: int, samples: int = 30
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """T5: rank correlation within each group."""
-    ranked = average_rank(average_rank(df, by, x, False, "_rx"), by, y, False, "_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    """T5: rank correlation within each group; null where x or y has one value. Equal pairs are counted first; the mean rank is known, (n + 1) / 2, so one pass over them gives the sums."""
+    pairs = average_rank(average_rank(df.groupBy(*by, x, y).agg(F.count("*").alias("__m")), by, x, False, "__x", "__m"), by, y, False, "__y", "__m")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    own = sizes.select((F.col("n") + 1).alias("__two"), "n", *(F.col(c).alias(f"__b{k}") for k, c in enumerate(by)))
+    rows = pairs.join(own, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__b{k}")) for k, c in enumerate(by)], F.lit(True)))
+    dx, dy, m = (F.col("__x") - F.col("__two") / 2, F.col("__y") - F.col("__two") / 2, F.col("__m"))
+    sums = rows.groupBy(*by).agg(F.sum(m * dx * dy).alias("__xy"), F.sum(m * dx * dx).alias("__xx"), F.sum(m * dy * dy).alias("__yy"), F.sum(m).alias("n"))
+    return sums.select(*by, (F.col("__xy") / F.nullif(F.sqrt(F.col("__xx") * F.col("__yy")), F.lit(0.0))).alias("rho"), "n")
 
 
 def win_counts(rows: DataFrame, by: str, method: str, own: str, value: str) -> DataFrame:

@@ -21,7 +21,7 @@ STEPS, CLASSES = 12, 64
 _CURVE = f"""WITH lb AS (SELECT l_linenumber AS curve, t.t, greatest(l_suppkey % {CLASSES}, 5*t.t) AS lab FROM lineitem, range(0,{STEPS}) t(t)),
 sz AS (SELECT curve, t, lab, count(*) AS n FROM lb GROUP BY 1,2,3), st AS (SELECT curve, t, count(*) AS k, sum(n)::DOUBLE AS total, max(n) AS top, sum(n*ln(n)) AS logs, sum(n*(n-1)/2.0) AS pairs FROM sz GROUP BY 1,2),
 c AS (SELECT a.curve, a.t/4.0 AS tau, a.k, round(a.top/a.total,9) AS largest, round(CASE WHEN a.k<=1 THEN 0 ELSE (ln(a.total)-a.logs/a.total)/ln(a.k) END,9) AS entropy,
- round((b.pairs-b.pairs*a.pairs/(a.total*(a.total-1)/2))/((a.pairs+b.pairs)/2-b.pairs*a.pairs/(a.total*(a.total-1)/2)),9) AS ari_prev, a.total::BIGINT AS n FROM st a LEFT JOIN st b ON b.curve=a.curve AND b.t=a.t-1)"""
+ round(CASE WHEN a.total < 2 OR (a.pairs+b.pairs)/2 = b.pairs*a.pairs/(a.total*(a.total-1)/2) THEN b.pairs*0+1 ELSE (b.pairs-b.pairs*a.pairs/(a.total*(a.total-1)/2))/((a.pairs+b.pairs)/2-b.pairs*a.pairs/(a.total*(a.total-1)/2)) END,9) AS ari_prev, a.total::BIGINT AS n FROM st a LEFT JOIN st b ON b.curve=a.curve AND b.t=a.t-1)"""
 _ISLANDS = "w AS (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY tau) AS pos FROM c WHERE tau > 0), g AS (SELECT *, pos - row_number() OVER (PARTITION BY curve ORDER BY tau) AS island FROM w WHERE {ok}), r AS (SELECT *, min(tau) OVER (PARTITION BY curve, island) AS run, count(*) OVER (PARTITION BY curve, island) AS run_length FROM g)"
 _OK = "largest <= 0.4 AND entropy >= 0.35"
 
@@ -92,12 +92,12 @@ def selector_rules(spark, d):
 
 
 # Candidates of a real table: 4 checkpoints x 4 radii x 2 size weights, each a partition of the vectors' numbers.
-_LABELS = "WITH cd AS (SELECT b*16+t*4+g AS candidate, t, g, b*0.5 AS beta, t+g+b AS s FROM range(0,4) r(t), range(0,4) s(g), range(0,2) q(b)), lb AS (SELECT candidate, vec_id AS i, greatest(vec_id % 16, s) AS l FROM embeddings, cd)"
+_LABELS = "WITH RECURSIVE cd AS (SELECT b*16+t*4+g AS candidate, t, g, b*0.5 AS beta, t+g+b AS s FROM range(0,4) r(t), range(0,4) s(g), range(0,2) q(b)), lb AS (SELECT candidate, vec_id AS i, greatest(vec_id % 16, s) AS l FROM embeddings, cd)"
 _PEERS = _LABELS + """, sz AS (SELECT candidate, l, count(*) AS n FROM lb GROUP BY 1,2), st AS (SELECT candidate, count(*) AS k, sum(n)::DOUBLE AS total, max(n) AS top, sum(n*ln(n)) AS logs, sum(n*(n-1)/2.0) AS pairs FROM sz GROUP BY 1),
 e AS (SELECT cd.*, k, 1-k/16.0 AS compression, round(top/total,9) <= 0.4 AND round((ln(total)-logs/total)/ln(k),9) >= 0.35 AS eligible, pairs, total FROM cd JOIN st USING (candidate)),
 pe AS (SELECT x.candidate AS a, y.candidate AS b, CASE WHEN x.beta<>y.beta THEN 'beta' WHEN x.t<>y.t THEN 't' ELSE 'g' END AS axis FROM cd x JOIN cd y ON x.candidate<y.candidate AND ((x.beta=y.beta AND abs(x.t-y.t)+abs(x.g-y.g)=1) OR (x.beta<>y.beta AND x.t=y.t AND x.g=y.g))),
 ce AS (SELECT pe.a, pe.b, x.l AS p, y.l AS q, count(*) AS n FROM pe JOIN lb x ON x.candidate=pe.a JOIN lb y ON y.candidate=pe.b AND y.i=x.i GROUP BY 1,2,3,4), nij AS (SELECT a, b, sum(n*(n-1)/2.0) AS s FROM ce GROUP BY 1,2),
-ar AS (SELECT pe.*, (nij.s-x.pairs*y.pairs/(x.total*(x.total-1)/2))/((x.pairs+y.pairs)/2-x.pairs*y.pairs/(x.total*(x.total-1)/2)) AS ari FROM pe JOIN nij USING (a,b) JOIN e x ON x.candidate=pe.a JOIN e y ON y.candidate=pe.b),
+ar AS (SELECT pe.*, CASE WHEN x.total < 2 OR (x.pairs+y.pairs)/2 = x.pairs*y.pairs/(x.total*(x.total-1)/2) THEN 1 ELSE (nij.s-x.pairs*y.pairs/(x.total*(x.total-1)/2))/((x.pairs+y.pairs)/2-x.pairs*y.pairs/(x.total*(x.total-1)/2)) END AS ari FROM pe JOIN nij USING (a,b) JOIN e x ON x.candidate=pe.a JOIN e y ON y.candidate=pe.b),
 ends AS (SELECT a AS c, axis, ari FROM ar UNION ALL SELECT b, axis, ari FROM ar)"""
 
 
@@ -119,7 +119,7 @@ def _candidates(spark, d):
     return entries, {(r["a"], r["b"]): r["ari"] for r in partition.ari_of_cells(cells).collect()}
 
 
-@query("select_v2", _PEERS.replace("WITH cd", "WITH RECURSIVE cd") + """, ru AS (SELECT s.s AS stability_min, c.c AS compression_max, b.b AS beta_agreement_min FROM (SELECT unnest([0.8,0.825,0.85,0.875,0.9]::DOUBLE[]) AS s) s, (SELECT unnest([0.85,0.9,0.95]::DOUBLE[]) AS c) c, (SELECT unnest([0.5,0.6,0.7,0.8,0.9]::DOUBLE[]) AS b) b),
+@query("select_v2", _PEERS + """, ru AS (SELECT s.s AS stability_min, c.c AS compression_max, b.b AS beta_agreement_min FROM (SELECT unnest([0.8,0.825,0.85,0.875,0.9]::DOUBLE[]) AS s) s, (SELECT unnest([0.85,0.9,0.95]::DOUBLE[]) AS c) c, (SELECT unnest([0.5,0.6,0.7,0.8,0.9]::DOUBLE[]) AS b) b),
 sm AS (SELECT c, coalesce(max(ari) FILTER (axis<>'beta'),0) AS stab, coalesce(max(ari) FILTER (axis='beta'),0) AS agree FROM ends GROUP BY 1),
 go AS (SELECT ru.*, e.*, stab FROM ru, e JOIN sm ON sm.c=e.candidate WHERE eligible AND compression <= compression_max AND stab >= stability_min AND (beta = 0 OR agree >= beta_agreement_min)),
 ed AS (SELECT x.stability_min, x.compression_max, x.beta_agreement_min, ar.a, ar.b FROM ar JOIN go x ON x.candidate=ar.a JOIN go y ON y.candidate=ar.b AND y.stability_min=x.stability_min AND y.compression_max=x.compression_max AND y.beta_agreement_min=x.beta_agreement_min WHERE axis<>'beta' AND ari >= x.stability_min),
@@ -132,7 +132,8 @@ gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stability_min, c
 gp AS (SELECT x.* FROM gb x LEFT JOIN gb o ON o.stability_min=x.stability_min AND o.compression_max=x.compression_max AND o.beta_agreement_min=x.beta_agreement_min AND o.beta<>x.beta
  WHERE o.beta IS NULL OR (x.beta=0.5 AND (x.n>o.n OR (x.n=o.n AND x.mean>=o.mean+0.01))) OR (x.beta=0 AND NOT (o.n>x.n OR (o.n=x.n AND o.mean>=x.mean+0.01)))),
 ch AS (SELECT gm.stability_min, gm.compression_max, gm.beta_agreement_min, candidate, t, g, gm.beta, row_number() OVER (PARTITION BY gm.stability_min, gm.compression_max, gm.beta_agreement_min ORDER BY round(stab,9) DESC, abs(t-mt)+abs(g-mg), compression, candidate) AS z FROM gm JOIN gp ON gp.stability_min=gm.stability_min AND gp.compression_max=gm.compression_max AND gp.beta_agreement_min=gm.beta_agreement_min AND gp.comp=gm.comp)
-SELECT ru.*, candidate::INT AS pick, t::INT AS t, g::INT AS g, beta::DOUBLE AS beta FROM ru LEFT JOIN (SELECT * FROM ch WHERE z=1) ch ON ch.stability_min=ru.stability_min AND ch.compression_max=ru.compression_max AND ch.beta_agreement_min=ru.beta_agreement_min""".replace("SELECT ru.*, candidate::INT", "SELECT ru.stability_min, ru.compression_max, ru.beta_agreement_min, candidate::INT").replace("ch.stability_min, ch", "ch"))
+SELECT ru.stability_min, ru.compression_max, ru.beta_agreement_min, candidate::INT AS pick, t::INT AS t, g::INT AS g, beta::DOUBLE AS beta
+FROM ru LEFT JOIN (SELECT * FROM ch WHERE z=1) ch ON ch.stability_min=ru.stability_min AND ch.compression_max=ru.compression_max AND ch.beta_agreement_min=ru.beta_agreement_min""")
 def select_v2(spark, d):
     cands, ari = _candidates(spark, d)
     ari = {k: round(v, 9) for k, v in ari.items()}
@@ -160,12 +161,15 @@ def _users(spark, d):
     return read_table(spark, d, "events").select(u.alias("candidate"), (u % 4).alias("t_index"), (F.floor(u / 4) % 4).alias("g_index"), (F.floor(u / 16) % 2).alias("beta")).distinct()
 
 
-@query("grid_peers", _USERS + " SELECT x.candidate AS a, y.candidate AS b, CASE WHEN abs(x.t-y.t)=1 THEN 't' ELSE 'gamma' END AS axis FROM c x JOIN c y ON x.b=y.b AND x.candidate<y.candidate AND abs(x.t-y.t)+abs(x.g-y.g)=1")
+_CELLS = _USERS + ", k AS (SELECT b, t, g, min(candidate) AS first, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT x.first AS a, x.n AS a_members, y.first AS b, y.n AS b_members, "
+
+
+@query("grid_peers", _CELLS + "CASE WHEN y.t=x.t+1 THEN 't' ELSE 'gamma' END AS axis FROM k x JOIN k y ON x.b=y.b AND abs(x.t-y.t)+abs(x.g-y.g)=1 AND (x.t<y.t OR x.g<y.g)")
 def grid_peers(spark, d):
     return E.grid_peers(_users(spark, d))
 
 
-@query("beta_peers", _USERS + " SELECT x.candidate AS a, y.candidate AS b FROM c x JOIN c y ON x.t=y.t AND x.g=y.g AND x.candidate<y.candidate WHERE x.b<>y.b")
+@query("beta_peers", _CELLS + "x.b AS a_beta, y.b AS b_beta FROM k x JOIN k y ON x.t=y.t AND x.g=y.g AND x.b<y.b")
 def beta_peers(spark, d):
     return E.beta_peers(_users(spark, d))
 
@@ -181,17 +185,16 @@ def calibrate_rules(spark, d):
     return ranked.select(F.col("stability_min").alias("s"), F.col("compression_max").alias("c"), F.col("beta_agreement_min").alias("b"), "coverage", F.round("structural_score", 6).alias("score"), F.col("position").cast("long"))
 
 
-_RESOLUTION = f"""{_CURVE}, {_ADJACENT}, u AS (SELECT tau AS resolution, k, largest, entropy, interior, adjacent_ari, round(1-tau/10,6) AS seed_ari FROM a WHERE curve = (SELECT min(curve) FROM a)),
+_RESOLUTION = f"""{_CURVE}, {_ADJACENT}, u AS (SELECT tau AS resolution, k, largest, entropy, interior, adjacent_ari, round(1-tau/10,6) AS seed_ari, curve FROM a),
 v AS (SELECT *, interior AND k >= 2 AND largest <= 0.4 AND entropy >= 0.35 AS ok, round(least(seed_ari, adjacent_ari),9) AS low, greatest(largest-0.4,0)+greatest(0.35-entropy,0) AS off FROM u WHERE k >= 2)
-SELECT resolution, k, NOT ok AS fallback FROM (SELECT *, row_number() OVER (ORDER BY ok DESC, CASE WHEN ok THEN 0 ELSE off END, low DESC, CASE WHEN ok THEN round(adjacent_ari,9) END DESC, CASE WHEN ok THEN seed_ari END DESC, CASE WHEN ok THEN entropy END DESC, resolution) AS z FROM v) WHERE z = 1"""
+SELECT curve, resolution, k, NOT ok AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY ok DESC, CASE WHEN ok THEN 0 ELSE off END, low DESC, CASE WHEN ok THEN round(adjacent_ari,9) END DESC, CASE WHEN ok THEN seed_ari END DESC, CASE WHEN ok THEN entropy END DESC, resolution) AS z FROM v) WHERE z = 1"""
 
 
 @query("select_resolution", _RESOLUTION)
 def select_resolution(spark, d):
-    curves = table_curves(spark, d)
-    rows = E.mean_adjacent(curves.join(curves.agg(F.min("curve").alias("curve")), "curve"), "curve", "tau", "ari_prev")
+    rows = E.mean_adjacent(table_curves(spark, d), "curve", "tau", "ari_prev")
     rows = rows.withColumn("adjacent_ari", F.round("adjacent_ari", 9)).withColumn("seed_ari", F.round(1 - F.col("tau") / 10, 6)).withColumnRenamed("tau", "resolution")
-    return E.select_resolution(rows).select("resolution", "k", "fallback")
+    return E.select_resolution(rows, "curve").select("curve", "resolution", "k", "fallback")
 
 
 _SCORES = "WITH s AS (SELECT user_id % 9 AS dataset, event_type AS method, round(avg(value),6) AS score FROM events GROUP BY 1,2)"
