@@ -194,11 +194,14 @@ class LogBilinear:
             sample = table[rng.integers(0, 1 << 16, noise)]
             out_w, out_s = output[w], output[sample]
             right = 1 - _sigmoid(np.einsum("ij,ij->i", q, out_w) + bias[w] - log_noise[w])
-            wrong = -_sigmoid(q @ out_s.T + bias[sample] - log_noise[sample])
-            dq = right[:, None] * out_w + wrong @ out_s
+            half = q @ (0.5 * out_s).T
+            half += 0.5 * (bias[sample] - log_noise[sample])
+            np.tanh(half, out=half)  # a noise token's push is -sigmoid(x) = -(1 + tanh(x / 2)) / 2; the sums over it are taken apart
+            dq = right[:, None] * out_w
+            dq -= 0.5 * (half @ out_s + out_s.sum(0))
             d_out = _scatter(w, right[:, None] * q, len(output))
-            np.add.at(d_out, sample, wrong.T @ q)
-            d_bias = np.bincount(w, right, len(bias)) + np.bincount(sample, wrong.sum(0), len(bias))
+            np.add.at(d_out, sample, -0.5 * (half.T @ q + q.sum(0)))
+            d_bias = np.bincount(w, right, len(bias)) + np.bincount(sample, -0.5 * (half.sum(0) + len(own)), len(bias))
             d_context = sum(_scatter(c[:, k], dq, len(context)) * weight[k] for k in range(CONTEXT))
             d_weight = np.stack([np.einsum("ij,ij->j", dq, x) for x in e])
             for x, g, s in zip(self.p, (d_context, d_out, d_bias, d_weight), self.square, strict=True):
