@@ -189,10 +189,10 @@ class LogBilinear:
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             w, c = target[own], seen[own]
-            e = [context[c[:, k]] for k in range(CONTEXT)]
+            e = [context.take(c[:, k], 0) for k in range(CONTEXT)]
             q = sum(x * weight[k] for k, x in enumerate(e))
             sample = table[rng.integers(0, 1 << 16, noise)]
-            out_w, out_s = output[w], output[sample]
+            out_w, out_s = output.take(w, 0), output.take(sample, 0)
             right = 1 - _sigmoid(np.einsum("ij,ij->i", q, out_w) + bias[w] - log_noise[w])
             half = q @ (0.5 * out_s).T
             half += 0.5 * (bias[sample] - log_noise[sample])
@@ -205,9 +205,13 @@ class LogBilinear:
             d_context = sum(_scatter(c[:, k], dq, len(context)) * weight[k] for k in range(CONTEXT))
             d_weight = np.stack([np.einsum("ij,ij->j", dq, x) for x in e])
             for x, g, s in zip(self.p, (d_context, d_out, d_bias, d_weight), self.square, strict=True):
-                g = (g / len(own)).astype(np.float32)
-                s += g * g
-                x += rate * g / np.sqrt(s)
+                g = np.divide(g, len(own), dtype=np.float32)
+                step = g * g
+                s += step
+                np.sqrt(s, out=step)
+                np.divide(g, step, out=step)
+                step *= rate
+                x += step
 
     def log_normal(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(q, log of the normaliser) for rows of contexts."""
@@ -250,7 +254,7 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     at = at[order]
     edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     out = np.zeros((n, WIDTH), np.float32)
-    out[at[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+    out[at[edge]] = np.add.reduceat(rows.take(order, 0), edge, axis=0)
     return out
 
 
