@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators import modes, partition, prototypes, scene, selectors, spatial, study
+from rasterloom.operators import diffusion, modes, partition, prototypes, scene, selectors, spatial, study
 from rasterloom.session import materialise
 
 
@@ -38,27 +38,17 @@ class Candidates:
         return self.fine.join(own, ["t_index", "g_index", "mode"]).select("i", F.col("g").alias("label"))
 
 
-def states(full: DataFrame, weighted: DataFrame, checkpoints: tuple[int, ...], *, alpha: float = 0.5, local_pixels: int = 200_000) -> list[DataFrame]:
+def states(full: DataFrame, weighted: DataFrame, checkpoints: tuple[int, ...], *, alpha: float = 0.5, radius: int | None = None) -> list[DataFrame]:
     """The diffused states (i, v) at each checkpoint."""
-    from rasterloom.operators import diffusion
-
-    if full.count() <= local_pixels:
-        one = lambda df: df.withColumn("scene", F.lit(0))
-        all_ = materialise(diffusion.diffuse_local(one(full), one(weighted), "scene", list(checkpoints), alpha=alpha))
-        return [all_.where(F.col("t") == t).select("i", F.col("y").alias("v")) for t in checkpoints]
-    out, now, done = [], full.select("i", "v"), 0
-    for t in sorted(checkpoints):
-        now = materialise(diffusion.diffuse(now, weighted, max_iter=t - done, tol=0.0, alpha=alpha)[0].select("i", F.col("y").alias("v")))
-        done = t
-        out.append(now)
-    return out
+    every = diffusion.diffuse_tiled(full, weighted, checkpoints, alpha=alpha, radius=radius)
+    return [every.where(F.col("t") == t).select("i", F.col("y").alias("v")) for t in checkpoints]
 
 
 def candidates(pixels: DataFrame, config: study.Configuration = study.Configuration(), grid: Grid = Grid()) -> Candidates:
     """E2, first part, from features and geometry alone: of each checkpoint, fine radius (gamma times the local scale) and size weight the local endpoint among the thresholds."""
     full, weighted = study.weighted_graph(pixels, config)
     surfaces, sweeps, fines = [], [], []
-    for t, state in enumerate(states(full, weighted, grid.checkpoints, alpha=config.alpha)):
+    for t, state in enumerate(states(full, weighted, grid.checkpoints, alpha=config.alpha, radius=config.window_radius)):
         space = materialise(scene.pca(state, config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
         near = materialise(modes.knn(space, max(config.max_neighbors - 1, grid.rank)))
         scale = modes.local_scale(near, grid.rank)

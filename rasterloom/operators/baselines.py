@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.arrow import matrix
 from rasterloom.functions.vector import squared_distance
 from rasterloom.operators.components import connected_components
-from rasterloom.operators.modes import knn
+from rasterloom.operators.hierarchy import hdbscan, spanning_tree  # noqa: F401
 from rasterloom.operators.partition import ari_of_cells
 from rasterloom.operators.scene import minmax, pca, zscore
 from rasterloom.operators.selectors import select_resolution
@@ -63,29 +63,39 @@ def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(centres)
 
 
+#: Values of mini-batches that one scan brings to the driver (32 MB).
+TAKEN = 1 << 22
+
+
 def minibatch_kmeans(points: DataFrame, k: int, *, seed: int = 0, batch: int = 4096, max_iter: int = 300, n_init: int = 20, n: int | None = None, tol: float = 1e-4) -> DataFrame:
-    """B2: the best of n_init starts on a bounded sample, then steps that each read a hash sample of about `batch` rows and move the centres by running means."""
+    """B2: the best of n_init starts on a bounded sample, then steps that each see a hash sample of about `batch` rows and move the centres by running means.
+
+    The samples of several steps, TAKEN values of them, come from one scan.
+    """
     points = materialise(points)
     total = points.count() if n is None else n
-
-    def drawn(salt: int, rows: int) -> np.ndarray:
-        share = min(1.0, rows / max(total, 1))
-        some = points if share >= 1 else points.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "i"), F.lit(1 << 20)) < share * (1 << 20))
-        own = some.select("v").toPandas().v  # about `rows` rows
-        return np.stack(own.to_numpy()).astype(float) if len(own) else np.zeros((0, 0))
+    share = lambda rows: min(1.0, rows / max(total, 1)) * (1 << 20)
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), salt, "i"), F.lit(1 << 20))
+    stacked = lambda own: np.stack(own.to_numpy()).astype(float) if len(own) else np.zeros((0, 0))
 
     centres, seen = _start(points, k, seed), np.zeros(k)
-    held = drawn(-1, 3 * batch)
+    held = stacked(points.where(draw(F.lit(-1)) < share(3 * batch)).select("v").toPandas().v)  # about 3 batches
     if len(held) >= k:
         rng = np.random.default_rng(seed)
         starts = [_spread(held, k, rng) for _ in range(n_init)]
         centres = min(starts, key=lambda c: sum(float(_least(held[at : at + 1024], c).sum()) for at in range(0, len(held), 1024)))
-    whole = None
+    whole = total <= batch
+    ahead = 1 if whole else max(1, min(max_iter, TAKEN // max(1, batch * (held.shape[1] or 1))))
+    taken: dict[int, np.ndarray] = {}
     for step in range(max_iter):
-        if total <= batch:
-            x = whole = drawn(0, batch) if whole is None else whole
+        if whole:
+            x = taken.setdefault(0, held if len(held) else stacked(points.select("v").toPandas().v))
         else:
-            x = drawn(step, batch)
+            if step % ahead == 0:
+                steps = F.array(*[F.lit(t) for t in range(step, min(step + ahead, max_iter))])
+                rows = points.select(F.explode(F.filter(steps, lambda t: draw(t) < share(batch))).alias("t"), "v").toPandas()  # about `ahead` batches
+                taken = {t: stacked(own.v) for t, own in rows.groupby("t")}
+            x = taken.get(step, np.zeros((0, 0)))
         if not len(x):
             continue
         own = np.concatenate([((x[at : at + 1024, None] - centres[None]) ** 2).sum(-1).argmin(1) for at in range(0, len(x), 1024)])
@@ -198,157 +208,6 @@ def connected_regions(owner: DataFrame, size: int, least: float = 0.5) -> DataFr
         piece = materialise(piece.join(ends, "region", "left").select("i", F.coalesce("component", "region").alias("region")))
 
 
-def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32) -> DataFrame:
-    """(i, j, d): a least spanning tree of mutual reachability over all pairs, by Boruvka rounds.
-
-    A component's least outgoing edge comes from its points' k nearest neighbours where these decide it: others are no
-    nearer than the k-th. The points that could have a lesser edge are searched against all others, block against block.
-    """
-    k = max(k, min_size - 1)
-    near = materialise(knn(points, k))
-    core = near.where(F.col("rank") == min(min_size - 1, k)).select("i", F.col("d").alias("c"))
-    a, b = core.select("i", F.col("c").alias("_a")), core.select(F.col("i").alias("j"), F.col("c").alias("_b"))
-    e = near.join(a, "i").join(b, "j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.greatest("d", "_a", "_b").alias("d")).distinct()
-    edges = materialise(e)
-    reach = near.where(F.col("rank") == k).select("i", F.col("d").alias("reach"))  # without a k-th neighbour all others are listed
-    full = materialise(points.join(core.withColumnRenamed("c", "core"), "i").join(reach, "i", "left").select("i", "v", "core", "reach"))
-    total = full.count()
-
-    label = points.select("i", F.col("i").alias("c"))
-    tree = None
-    for _ in range(64):
-        if label.select("c").distinct().limit(2).count() < 2:
-            break
-        ends = edges.join(label.withColumnRenamed("c", "ci"), "i").join(label.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").where("ci <> cj")
-        both = ends.select("i", "j", "d", F.col("ci").alias("c")).unionByName(ends.select("i", "j", "d", F.col("cj").alias("c")))
-        listed = materialise(both.groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("s")))
-        state = full.join(label, "i").join(listed.select("c", F.col("s.d").alias("most")), "c", "left")
-        asks = materialise(state.where(F.col("reach") <= F.coalesce("most", F.lit(float("inf")))))
-        if not asks.isEmpty():
-            listed = listed.unionByName(_outgoing(asks, state, total))
-        best = materialise(listed.groupBy("c").agg(F.min("s").alias("s")).select("s.*").distinct())
-        if best.isEmpty():
-            break
-        tree = best if tree is None else materialise(tree.unionByName(best).distinct())
-        joined = connected_components(tree, "i", "j")
-        label = materialise(points.select("i").join(joined.withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("c")))
-    return tree if tree is not None else edges.limit(0)
-
-
-def _outgoing(asks: DataFrame, state: DataFrame, n: int, block: int = 2048) -> DataFrame:
-    """(c, s: (d, i, j)): the least edge of mutual reachability from each block of `asks` to other components. Both: i, v, core, c, most."""
-    blocks = max(1, -(-n // block))
-    rows = lambda df: df.select(*[F.col(x).alias(x) for x in ("i", "v", "core", "c")], F.coalesce("most", F.lit(float("inf"))).alias("most"), F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("long").alias("b"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = rows(asks).withColumn("r", every).withColumnRenamed("b", "q")
-    right = rows(state).withColumn("q", every).withColumnRenamed("b", "r")
-
-    def least(left: pa.Table, right: pa.Table) -> pa.Table:
-        best: dict[int, tuple[float, int, int]] = {}
-        if left.num_rows and right.num_rows:
-            ids, held, c, g = (t.column(n).to_numpy() for n in ("i", "c") for t in (left, right))
-            x, y, core, other, most = matrix(left.column("v")), matrix(right.column("v")), left.column("core").to_numpy(), right.column("core").to_numpy(), left.column("most").to_numpy()
-            for r in range(len(ids)):
-                d = np.maximum(np.maximum(np.sqrt(((x[r] - y) ** 2).sum(1)), core[r]), other)
-                d[g == c[r]] = np.inf
-                low = d.min()
-                if np.isfinite(low) and low <= most[r]:
-                    for j in held[d == low].tolist():
-                        edge = (float(low), min(int(ids[r]), j), max(int(ids[r]), j))
-                        best[int(c[r])] = min(best.get(int(c[r]), edge), edge)
-        return pa.table({"c": pa.array(list(best), pa.int64()), **{n: pa.array([e[k] for e in best.values()], t) for k, (n, t) in enumerate([("d", pa.float64()), ("i", pa.int64()), ("j", pa.int64())])}})
-
-    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(least, "c long, d double, i long, j long")
-    return found.select("c", F.struct("d", "i", "j").alias("s"))
-
-
-def condense(edges: list[tuple[int, int, float]], ids: list[int], min_size: int = 5) -> dict[int, int]:
-    """Clusters of a spanning tree by excess of mass: id -> label, noise -1. The hierarchy is built over the tree's edges on the driver."""
-    order = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
-    up = {i: i for i in ids}
-    node: dict[int, int] = {i: k for k, i in enumerate(ids)}  # root -> dendrogram node
-    kids: dict[int, tuple[int, int, float]] = {}
-    size = {k: 1 for k in range(len(ids))}
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    nxt = len(ids)
-    for a, b, d in order:
-        a, b = find(a), find(b)
-        if a == b:
-            continue
-        kids[nxt] = (node[a], node[b], d)
-        size[nxt] = size[node[a]] + size[node[b]]
-        up[b] = a
-        node[a] = nxt
-        nxt += 1
-
-    def leaves(top: int) -> list[int]:
-        stack, out = [top], []
-        while stack:
-            x = stack.pop()
-            if x in kids:
-                stack += kids[x][:2]
-            else:
-                out.append(x)
-        return out
-
-    clusters: list[dict] = []
-    roots = sorted({find(i) for i in ids})
-    stack = [(node[r], None, 0.0) for r in roots if size[node[r]] >= min_size]
-    while stack:
-        top, parent, born = stack.pop()
-        me = len(clusters)
-        clusters.append({"top": top, "parent": parent, "mass": 0.0, "kids": []})
-        if parent is not None:
-            clusters[parent]["kids"].append(me)
-        x = top
-        while x in kids:
-            a, b, d = kids[x]
-            lam = 1 / max(d, 1e-12)
-            big = [c for c in (a, b) if size[c] >= min_size]
-            if len(big) == 2:
-                clusters[me]["mass"] += size[x] * (lam - born)
-                stack += [(c, me, lam) for c in big]
-                break
-            clusters[me]["mass"] += (size[x] - sum(size[c] for c in big)) * (lam - born)
-            if not big:
-                break
-            x = big[0]
-    chosen = [True] * len(clusters)
-    for me in range(len(clusters) - 1, -1, -1):
-        c = clusters[me]
-        below = sum(clusters[x]["mass"] for x in c["kids"])
-        if c["kids"] and (below > c["mass"] or c["parent"] is None):
-            chosen[me], c["mass"] = False, max(below, c["mass"])
-        elif c["kids"]:
-            stack2 = list(c["kids"])
-            while stack2:
-                x = stack2.pop()
-                chosen[x] = False
-                stack2 += clusters[x]["kids"]
-    out, k = dict.fromkeys(ids, -1), 0
-    for me, c in enumerate(clusters):
-        if chosen[me] and (c["parent"] is not None):
-            for leaf in leaves(c["top"]):
-                out[ids[leaf]] = k
-            k += 1
-    return out
-
-
-def hdbscan(points: DataFrame, *, min_size: int = 5, k: int = 32) -> DataFrame:
-    """Density clusters; the distributed part ends with the spanning tree, whose n - 1 edges are condensed on the driver."""
-    tree = [(r["i"], r["j"], r["d"]) for r in spanning_tree(points, min_size, k).select("i", "j", "d").collect()]
-    ids = sorted({x for e in tree for x in e[:2]})
-    label = condense(tree, ids, min_size)
-    known = points.sparkSession.createDataFrame([(int(i), int(c)) for i, c in label.items()], "i long, label int")
-    return points.select("i").join(known, "i", "left").select("i", F.coalesce("label", F.lit(-1)).alias("label"))
-
-
 #: So many directed edges fit one task.
 FEW_EDGES = 400_000
 

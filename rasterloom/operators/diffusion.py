@@ -1,8 +1,10 @@
-"""Damped diffusion on a weighted graph: as DataFrame rounds for scenes of any size, or within a worker for one that fits."""
+"""Damped diffusion on a weighted graph: by tiles of a raster with halos, or as DataFrame rounds where there are no coordinates or every movement counts."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,43 +85,120 @@ def _rounds(state: DataFrame, means: Callable[[DataFrame], DataFrame], moved: Co
 def _rows(values: np.ndarray) -> pa.Array:
     """A matrix as a list column."""
     n, d = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d) if n else [0], pa.int32()), pa.array(values.ravel()))
-
-
-def diffuse_local(pixels: DataFrame, edges: DataFrame, scene: str, checkpoints: list[int], *, alpha: float = 0.5, anchor: float = 0.0) -> DataFrame:
-    """G3, G5 within workers, a scene each: (scene, t, i, y) at the given rounds. Pixels and edges carry the scene's column; one scene must fit a worker."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(values.ravel()))
+
+
+#: Sides of a tile, values that a step holds at once, and the costs that weigh rounds in one go against the halo that they need (seconds of a job, of a pixel's round, of a pixel's way to a tile).
+LEAST_TILE, MOST_TILE, HELD = 16, 128, 1 << 22
+_JOB, _ROUND, _SENT = 0.5, 2e-6, 4e-6
+
+
+def _depth(side: int, radius: int, height: int, width: int, rounds: int) -> int:
+    """How many rounds a tile does in one go: its halo is so many radii wide."""
+
+    def cost(depth: int) -> float:
+        area = min(side + 2 * depth * radius, height) * min(side + 2 * depth * radius, width)
+        return (_JOB + area * _SENT) / depth + area * _ROUND
+
+    return min(range(1, min(rounds, 64) + 1), key=cost)
+
+
+def _pack(pixels: pa.Table, edges: pa.Table) -> pa.Table:
+    """A tile's pixels in order of i (own: not of the halo) and the rows of normalised weights among them, as one row of packed arrays."""
+    ids = pixels.column("i").to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
+    i, j, w = (edges.column(c).to_numpy() for c in ("i", "j", "w"))
+    at, to = np.searchsorted(ids, i), np.minimum(np.searchsorted(ids, j), len(ids) - 1)
+    held = ids[to] == j if len(j) else np.zeros(0, bool)  # others lie beyond the halo
+    at, to, w = at[held], to[held], w[held]
+    by = np.lexsort((to, at))
+    at, to, w = at[by], to[by], w[by]
+    total = np.bincount(at, w, len(ids)) if len(at) else np.zeros(len(ids))
+    alive = total[at] > 1e-12
+    at, to, w = at[alive], to[alive], (w / np.where(total > 0, total, 1)[at])[alive]
+    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, int)
+    own, r, c = (pixels.column(n).to_numpy(zero_copy_only=False)[order] for n in ("own", "r", "c"))
+    blobs = {"ids": ids, "own": own, "r": r, "c": c, "at": at[start].astype(np.int32), "start": start.astype(np.int64), "j": to.astype(np.int32), "w": w}
+    return pa.table({"tile": pa.array([pixels.column("tile")[0].as_py()], pa.int64()), **{n: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for n, x in blobs.items()}})
+
+
+_PACKED = {"ids": np.int64, "own": np.bool_, "r": np.int64, "c": np.int64, "at": np.int32, "start": np.int64, "j": np.int32, "w": np.float64}
+
+
+def _rounds_of(n: int, alpha: float, anchor: float):
+    """A cogrouped function: n rounds over a tile and its halo; what comes back are the tile's own pixels."""
+
+    def run(state: pa.Table, packed: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64())), "f": pa.array([], pa.list_(pa.float64()))})
+        ids, own, r, c, at, start, j, w = (np.frombuffer(packed.column(k)[0].as_py(), t) for k, t in _PACKED.items())
+        order = np.argsort(state.column("i").to_numpy())
+        y = matrix(state.column("v"))[order]
+        first = matrix(state.column("f"))[order] if anchor else None
+        edge = np.append(start, len(j))
+        step = max(1, HELD // max(1, y.shape[1]))
+        for _ in range(n):
+            new = y.copy()
+            lo = 0
+            while lo < len(at):
+                hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + step, "right")) - 1)
+                k = slice(edge[lo], edge[hi])
+                mean = np.add.reduceat(w[k, None] * y[j[k]], edge[lo:hi] - edge[lo], axis=0)
+                rows = at[lo:hi]
+                new[rows] = (1 - alpha) * y[rows] + alpha * (anchor * first[rows] + (1 - anchor) * mean if anchor else mean)
+                lo = hi
+            y = new
+        return pa.table({"i": pa.array(ids[own]), "r": pa.array(r[own]), "c": pa.array(c[own]), "v": _rows(y[own]), "f": _rows(first[own] if anchor else np.zeros((int(own.sum()), 0)))})
+
+    return run
+
+
+def diffuse_tiled(pixels: DataFrame, edges: DataFrame, checkpoints: list[int] | tuple[int, ...], *, radius: int | None = None, alpha: float = 0.5, anchor: float = 0.0, side: int | None = None, depth: int | None = None) -> DataFrame:
+    """(t, i, y), the states after the given rounds. pixels: (i, y, x, v); edges: (i, j, w) between pixels up to `radius` rows and columns apart (default: as far as they are).
+
+    Rounds are blocked in time: a tile gets its pixels and a halo of depth x radius pixels once, does `depth` rounds, and
+    keeps its own pixels, which the missing edges beyond the halo can't have reached. So `depth` rounds take one shuffle of
+    the states (a halo's share more than once) instead of three each. The tiles' weights are packed once. Sums run over a
+    pixel's neighbours in order, so results don't depend on side, depth or tasks. Pixels without neighbours stay.
+    """
     _check(anchor)
     rounds = sorted(set(checkpoints))
-
-    def run(px: pa.Table, ed: pa.Table) -> pa.Table:
-        ids = px.column("i").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        y = matrix(px.column("v"))[order]
-        first = y.copy()
-        i, j, w = (np.searchsorted(ids, ed.column(c).to_numpy()) if c != "w" else ed.column(c).to_numpy() for c in ("i", "j", "w"))
-        by = np.lexsort((j, i))
-        i, j, w = i[by], j[by], w[by]
-        total = np.bincount(i, w, len(ids))
-        alive = total > 1e-12
-        keep = alive[i]
-        i, j, w = i[keep], j[keep], (w / np.where(total > 0, total, 1)[i])[keep]
-        start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
-        out = []
-        for t in range(1, max(rounds, default=0) + 1):
-            if len(i):
-                mean = np.add.reduceat(w[:, None] * y[j], start, axis=0)
-                at = i[start]
-                y = y.copy()
-                y[at] = (1 - alpha) * y[at] + alpha * (anchor * first[at] + (1 - anchor) * mean)
-            if t in rounds:
-                out.append((t, y))
-        name = px.column(scene)[0].as_py()
-        n = len(ids)
-        return pa.table({scene: pa.array([name] * n * len(out), px.schema.field(scene).type), "t": pa.array(np.repeat([t for t, _ in out], n)), "i": pa.array(np.tile(ids, len(out))), "y": _rows(np.concatenate([v for _, v in out]) if out else np.zeros((0, 0)))})
-
-    kind = pixels.schema[scene].dataType.simpleString()
-    return pixels.select(scene, "i", "v").groupBy(scene).cogroup(edges.select(scene, "i", "j", "w").groupBy(scene)).applyInArrow(run, f"`{scene}` {kind}, t long, i long, y array<double>")
+    places = pixels.select("i", F.col("y").cast("long").alias("r"), F.col("x").cast("long").alias("c"))
+    if radius is None:
+        far = edges.join(places, "i").join(places.select(F.col("i").alias("j"), F.col("r").alias("_r"), F.col("c").alias("_c")), "j")
+        radius = far.agg(F.max(F.greatest(F.abs(F.col("r") - F.col("_r")), F.abs(F.col("c") - F.col("_c")))).alias("m")).first()["m"] or 0
+    radius = max(1, int(radius))
+    ends = places.agg(F.count("*").alias("n"), *(F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in "rc")).first()
+    low, high = ({c: ends[c][end] or 0 for c in "rc"} for end in ("low", "high"))
+    if side is None:
+        side = min(MOST_TILE, max(LEAST_TILE, math.ceil(math.sqrt(ends["n"] / pixels.sparkSession.sparkContext.defaultParallelism))))
+    depth = depth or _depth(side, radius, high["r"] - low["r"] + 1, high["c"] - low["c"] + 1, max([1, *rounds]))
+    across = (high["c"] - low["c"]) // side + 1
+
+    def place(c: str, shift: int) -> Column:
+        return F.floor((F.least(F.lit(high[c]), F.greatest(F.lit(low[c]), F.col(c) + shift)) - low[c]) / side)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """A row for each tile that a pixel belongs to, own or by its halo."""
+        span = lambda c: F.explode(F.sequence(place(c, -depth * radius), place(c, depth * radius)))
+        named = rows.withColumn("_a", span("r")).withColumn("_b", span("c"))
+        own = (F.col("_a") == place("r", 0)) & (F.col("_b") == place("c", 0))
+        return named.withColumn("tile", F.col("_a") * across + F.col("_b")).withColumn("own", own).drop("_a", "_b")
+
+    lines = dealt(edges.select("i", "j", "w").join(places, "i")).select("tile", "i", "j", F.col("w").cast("double").alias("w"))
+    packed = dealt(places).groupBy("tile").cogroup(lines.groupBy("tile")).applyInArrow(_pack, "tile long, " + ", ".join(f"{n} binary" for n in _PACKED))
+    packed = materialise(packed)
+    v = F.col("v").cast("array<double>")
+    state = pixels.select("i", F.col("y").cast("long").alias("r"), F.col("x").cast("long").alias("c"), v.alias("v"), (v if anchor else F.array().cast("array<double>")).alias("f"))
+    out, done = [], 0
+    for t in rounds:
+        while done < t:
+            n = min(depth, t - done)
+            state = materialise(dealt(state).select("tile", "i", "v", "f").groupBy("tile").cogroup(packed.groupBy("tile")).applyInArrow(_rounds_of(n, alpha, anchor), "i long, r long, c long, v array<double>, f array<double>"))
+            done += n
+        out.append(state.select(F.lit(t).cast("long").alias("t"), "i", F.col("v").alias("y")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 4) -> tuple[DataFrame, list[float]]:

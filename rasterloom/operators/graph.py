@@ -108,6 +108,11 @@ def repaired_edges(topk: DataFrame, mutual: DataFrame, min_degree: int, k: int)
     return mutual.union(added).union(_swapped(added)).distinct()
 
 
+def undirected_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once, its smaller end first, without loops."""
+    return edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
 def grid_edges(edges: DataFrame, pixels: DataFrame) -> DataFrame:
     """K3: edges with sp, the distance on the raster."""
     a = pixels.select("i", F.col("y").alias("_y1"), F.col("x").alias("_x1"))

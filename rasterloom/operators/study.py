@@ -13,7 +13,7 @@ from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import diffusion, graph, modes, partition, prototypes, scene, spatial
@@ -56,11 +56,10 @@ def weighted_graph(pixels: DataFrame, config: Configuration, lap: Callable[[str]
     return full, weighted
 
 
-def discover(pixels: DataFrame, config: Configuration = Configuration(), *, local_pixels: int = 200_000, timer: Callable[[str, float], None] | None = None) -> DataFrame:
+def discover(pixels: DataFrame, config: Configuration = Configuration(), *, timer: Callable[[str, float], None] | None = None) -> DataFrame:
     """(i, y, x, fine, label) of a scene (i, y, x, v), from features and geometry alone.
 
-    Scenes of up to `local_pixels` pixels diffuse within a worker, larger ones in rounds over the cluster, with the same
-    result up to rounding. The reference labels, if any, must not be among the columns.
+    The reference labels, if any, must not be among the columns.
     """
     clock = time.perf_counter()
 
@@ -75,11 +74,8 @@ def discover(pixels: DataFrame, config: Configuration = Configuration(), *, loca
     n = full.count()
     if config.checkpoint == 0:
         state = full.select("i", F.col("v").alias("y"))
-    elif n <= local_pixels:
-        one = lambda df: df.withColumn("scene", F.lit(0))
-        state = diffusion.diffuse_local(one(full), one(weighted), "scene", [config.checkpoint], alpha=config.alpha).select("i", "y")
     else:
-        state, _ = diffusion.diffuse(full, weighted, max_iter=config.checkpoint, tol=0.0, alpha=config.alpha)
+        state = diffusion.diffuse_tiled(full, weighted, [config.checkpoint], radius=config.window_radius, alpha=config.alpha).select("i", "y")
     state = materialise(state)
     lap("diffusion")
     space = materialise(scene.pca(state.select("i", F.col("y").alias("v")), config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
@@ -230,6 +226,16 @@ def remaining(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return plan.join(done.select(keys), keys, "left_anti")
 
 
+def key_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows of a, with side: "first" (not in b) or "both"."""
+    return a.subtract(b).withColumn("side", F.lit("first")).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+
+
+def agrees(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
+    """K9: numbers within the tolerance; two nulls agree, one alone doesn't."""
+    return F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
+
+
 def canonical_sha(value: object) -> str:
     """K7: SHA-256 of canonical JSON."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

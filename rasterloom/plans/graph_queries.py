@@ -181,7 +181,7 @@ def _powers():
 
 @query("diffusion_t100", _powers())
 def diffusion_t100(spark, d):
-    """States after 25, 50 and 100 rounds; within a worker for a scene of this size."""
+    """States after 25, 50 and 100 rounds, by tiles."""
     scene, edges = _weighted(spark, d)
     at = (25, 50, 100)
     rows = [s.select(F.lit(t).alias("t"), "i", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2")) for t, s in zip(at, states(scene, edges, at), strict=True)]

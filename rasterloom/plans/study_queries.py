@@ -199,7 +199,7 @@ def count_matched_baseline(spark, d):
 @query("undirected_dedupe", "SELECT DISTINCT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j FROM lineitem WHERE l_partkey <> l_suppkey")
 def undirected_dedupe(spark, d):
     e = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"))
-    return e.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    return G.undirected_edges(e)
 
 
 @query("dense_numbers", "SELECT o_custkey AS c, dense_rank() OVER (ORDER BY o_custkey) - 1 AS label FROM (SELECT DISTINCT o_custkey FROM orders)")
@@ -207,29 +207,29 @@ def dense_numbers(spark, d):
     return M.dense_numbers(read_table(spark, d, "orders").select(F.col("o_custkey").alias("c")).distinct(), "c")
 
 
-@query("table_export", "SELECT o_orderpriority AS dataset, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+@query("table_export", "SELECT o_orderpriority AS dataset, o_orderstatus AS method, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2")
 def table_export(spark, d):
-    rows = read_table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O")).groupBy(F.col("o_orderpriority").alias("dataset")).agg(F.count("*").alias("n"))
-    return X.in_order(rows, "dataset", ["1-URGENT", "2-HIGH"])
+    rows = read_table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("method")).agg(F.count("*").alias("n"))
+    return X.export_table(rows, ["F", "O"], order=["1-URGENT", "2-HIGH"])
 
 
-@query("key_differences", "(SELECT DISTINCT c_custkey AS k, 'unused' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION ALL (SELECT k, 'both' AS side FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders))")
+@query("key_differences", "(SELECT DISTINCT c_custkey AS k, 'first' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION ALL (SELECT k, 'both' AS side FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders))")
 def key_differences(spark, d):
     c, o = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")), read_table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    return c.subtract(o).withColumn("side", F.lit("unused")).unionByName(c.intersect(o).withColumn("side", F.lit("both")))
+    return R.key_differences(c, o)
 
 
 @query("union_of_columns", "SELECT r_name AS name, r_regionkey AS region, -1 AS nation FROM region UNION ALL SELECT n_name, -1, n_nationkey FROM nation")
 def union_of_columns(spark, d):
     a = read_table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"))
     b = read_table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation"))
-    return a.unionByName(b, allowMissingColumns=True).fillna(-1)
+    return X.union_of_rows([a, b]).fillna(-1)
 
 
 @query("tolerance_compare", "SELECT l_orderkey, l_linenumber, abs(round(l_extendedprice,1)-l_extendedprice) <= 1e-12 AS same FROM lineitem")
 def tolerance_compare(spark, d):
     p = F.col("l_extendedprice")
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.abs(F.round(p, 1) - p) <= 1e-12).alias("same"))
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.agrees(F.round(p, 1), p).alias("same"))
 
 
 @query("file_classes", """WITH f AS (SELECT url AS path, page_id*9973 AS size, regexp_extract(lower(url), '[^/]([.][^./]+)$', 1) AS suffix, string_split(lower(url), '/') AS parts FROM pages)
@@ -246,9 +246,15 @@ def file_manifest(spark, d):
     return X.manifest(spark, d)
 
 
-@query("fairness_table")
+_METHODS = ("PCA-KMeans", "MiniBatch-KMeans", "FCM", "SLIC-KMeans", "DLSS", "S2DL")
+
+
+@query("fairness_table", f"WITH m AS (SELECT unnest({list(_METHODS)!r}) AS method, unnest(range(1, 7)) AS k UNION ALL SELECT 'region discovery', -1), r AS (SELECT user_id % 7 AS k, count(*) AS n_runs, count(DISTINCT event_id % 5) AS n_seeds FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT method, CASE WHEN k < 0 THEN 'no' ELSE 'yes' END AS \"receives_true_K\", coalesce(n_runs, 0) AS n_runs, coalesce(n_seeds, 0) AS n_seeds FROM m LEFT JOIN r USING (k)")
 def fairness_table(spark, d):
-    return X.fairness(spark)
+    """R10 with the runs that the events stand for: a user's number names the method, an event's the seed; errors are no runs."""
+    e = read_table(spark, d, "events").where("event_type <> 'error'")
+    runs = e.select(F.element_at(F.array(*map(F.lit, ("none", *_METHODS))), (F.col("user_id") % 7 + 1).cast("int")).alias("method"), (F.col("event_id") % 5).alias("seed"))
+    return X.fairness(spark, runs).select("method", "receives_true_K", "n_runs", "n_seeds")
 
 
 @query("incremental_contingency", "SELECT event_type AS t, CAST(user_id % 10 AS BIGINT) AS p, count(*) AS n FROM events GROUP BY 1, 2")

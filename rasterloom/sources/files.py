@@ -162,8 +162,8 @@ def write_checksums(files: DataFrame, path: str) -> None:
 FAIRNESS = ("method", "family", "receives_true_K", "reported_repeats", "implementation", "adaptation", "spectral_input", "evaluation_mask", "labelled_tuning")
 
 
-def fairness(spark: SparkSession) -> DataFrame:
-    """What each compared method is given; the facts of the reference protocol for its seven methods, in this project's words."""
+def fairness(spark: SparkSession, runs: DataFrame | None = None) -> DataFrame:
+    """What each compared method is given; the facts of the reference protocol for its seven methods, in this project's words. runs (method, seed): then also n_runs and n_seeds, what a table of results has of each method."""
     five, scaled, own = "5 seeds", "bands scaled to unit deviation, then 20 principal components", "this project"
     rows = [
         ("region discovery", "proposed", "no", "one frozen partition, deterministic", own, "none", "band z-scores; 20 principal components for the neighbour search alone, all bands for diffusion"),
@@ -175,4 +175,8 @@ def fairness(spark: SparkSession) -> DataFrame:
         ("S2DL", "modern hyperspectral", "yes", "seed 0; the same partition from seed 1 on 3 scenes", "published Octave source, not run here", "Octave stand-ins for graph, propagation and superpixels", "20 standardised principal components"),
     ]
     common = ("reference labels score the final partition only", "no")
-    return spark.createDataFrame([r + common for r in rows], ", ".join(f"{c} string" for c in FAIRNESS))
+    facts = spark.createDataFrame([r + common for r in rows], ", ".join(f"{c} string" for c in FAIRNESS))
+    if runs is None:
+        return facts
+    counts = runs.groupBy("method").agg(F.count("*").alias("n_runs"), F.countDistinct("seed").alias("n_seeds"))
+    return facts.join(counts, "method", "left").fillna(0, ["n_runs", "n_seeds"])

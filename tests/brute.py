@@ -171,3 +171,81 @@ def local_endpoint(curve, fine):
 
 def same_partition(a, b):
     return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+def condense(edges: list[tuple[int, int, float]], ids: list[int], min_size: int = 5) -> dict[int, int]:
+    """Clusters of a spanning tree by excess of mass: id -> label, noise -1. Edge by edge."""
+    order = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
+    up = {i: i for i in ids}
+    node: dict[int, int] = {i: k for k, i in enumerate(ids)}  # root -> dendrogram node
+    kids: dict[int, tuple[int, int, float]] = {}
+    size = {k: 1 for k in range(len(ids))}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    nxt = len(ids)
+    for a, b, d in order:
+        a, b = find(a), find(b)
+        if a == b:
+            continue
+        kids[nxt] = (node[a], node[b], d)
+        size[nxt] = size[node[a]] + size[node[b]]
+        up[b] = a
+        node[a] = nxt
+        nxt += 1
+
+    def leaves(top: int) -> list[int]:
+        stack, out = [top], []
+        while stack:
+            x = stack.pop()
+            if x in kids:
+                stack += kids[x][:2]
+            else:
+                out.append(x)
+        return out
+
+    clusters: list[dict] = []
+    roots = sorted({find(i) for i in ids})
+    stack = [(node[r], None, 0.0) for r in roots if size[node[r]] >= min_size]
+    while stack:
+        top, parent, born = stack.pop()
+        me = len(clusters)
+        clusters.append({"top": top, "parent": parent, "mass": 0.0, "kids": []})
+        if parent is not None:
+            clusters[parent]["kids"].append(me)
+        x = top
+        while x in kids:
+            a, b, d = kids[x]
+            lam = 1 / max(d, 1e-12)
+            big = [c for c in (a, b) if size[c] >= min_size]
+            if len(big) == 2:
+                clusters[me]["mass"] += size[x] * (lam - born)
+                stack += [(c, me, lam) for c in big]
+                break
+            clusters[me]["mass"] += (size[x] - sum(size[c] for c in big)) * (lam - born)
+            if not big:
+                break
+            x = big[0]
+    chosen = [True] * len(clusters)
+    for me in range(len(clusters) - 1, -1, -1):
+        c = clusters[me]
+        below = sum(clusters[x]["mass"] for x in c["kids"])
+        if c["kids"] and (below > c["mass"] or c["parent"] is None):
+            chosen[me], c["mass"] = False, max(below, c["mass"])
+        elif c["kids"]:
+            stack2 = list(c["kids"])
+            while stack2:
+                x = stack2.pop()
+                chosen[x] = False
+                stack2 += clusters[x]["kids"]
+    out, k = dict.fromkeys(ids, -1), 0
+    for me, c in enumerate(clusters):
+        if chosen[me] and (c["parent"] is not None):
+            for leaf in leaves(c["top"]):
+                out[ids[leaf]] = k
+            k += 1
+    return out

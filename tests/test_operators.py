@@ -116,19 +116,48 @@ def test_diffusion(spark):
     px, edges = path_graph(spark)
     state, history = diffusion.diffuse(px, edges, max_iter=1, tol=0.0)
     assert [r.y for r in state.orderBy("i").collect()] == [[0.5], [0.5], [0.5], [7.0]] and history == [0.5]
-    from pyspark.sql import functions as F
-
-    one = lambda df: df.withColumn("s", F.lit("a"))
-    local = diffusion.diffuse_local(one(px), one(edges), "s", [3, 6], anchor=0.2)
-    for t in (3, 6):
-        far, _ = diffusion.diffuse(px, edges, max_iter=t, tol=0.0, anchor=0.2)
-        assert np.allclose([r.y for r in local.where(f"t = {t}").orderBy("i").collect()], [r.y for r in far.orderBy("i").collect()], atol=1e-12)
+    for side, depth in ((None, None), (1, 1), (2, 2), (1, 4)):
+        tiled = diffusion.diffuse_tiled(px, edges, [3, 6], anchor=0.2, side=side, depth=depth)
+        for t in (3, 6):
+            far, _ = diffusion.diffuse(px, edges, max_iter=t, tol=0.0, anchor=0.2)
+            assert np.allclose([r.y for r in tiled.where(f"t = {t}").orderBy("i").collect()], [r.y for r in far.orderBy("i").collect()], atol=1e-12)
     with pytest.raises(ValueError):
         diffusion.diffusion_step(px, edges, anchor=1.0)
     early, seen = diffusion.diffuse(px, edges, max_iter=50, tol=0.6)
     assert len(seen) == 1
 
 
+@pytest.mark.parametrize(("side", "depth", "held"), [(4, 1, 1 << 22), (5, 3, 8), (3, 7, 1), (64, 9, 1 << 22), (None, None, 1 << 22)])
+def test_tiled_diffusion(spark, monkeypatch, side, depth, held):
+    """Any tiles, any rounds in one go: the same as whole-scene rounds in numpy; holes, isolated pixels, an origin that isn't 0, edges up to three pixels long."""
+    monkeypatch.setattr(diffusion, "HELD", held)
+    rng = np.random.default_rng(5)
+    yx = [(y, x) for y in range(-3, 14) for x in range(7, 20) if rng.random() < 0.85]
+    n = len(yx)
+    v = rng.normal(size=(n, 3))
+    w = np.zeros((n, n))
+    for a in range(n):
+        for b in range(n):
+            if a != b and a % 11 and max(abs(yx[a][0] - yx[b][0]), abs(yx[a][1] - yx[b][1])) <= 3 and rng.random() < 0.3:
+                w[a, b] = rng.random()
+    px = spark.createDataFrame([(10 + 2 * k, *yx[k], v[k].tolist()) for k in range(n)], PIXEL)
+    edges = spark.createDataFrame([(10 + 2 * int(a), 10 + 2 * int(b), float(w[a, b])) for a, b in np.argwhere(w)], "i long, j long, w double")
+    got = diffusion.diffuse_tiled(px, edges, [2, 9], side=side, depth=depth, radius=3 if side == 5 else None).collect()
+    y, has = v.copy(), w.sum(1) > 1e-12
+    for t in range(1, 10):
+        y = np.where(has[:, None], 0.5 * y + 0.5 * (w @ y) / np.where(has, w.sum(1), 1)[:, None], y)
+        if t in (2, 9):
+            assert np.allclose([r.y for r in sorted((r for r in got if r.t == t), key=lambda r: r.i)], y, atol=1e-12)
+    assert len(got) == 2 * n
+
+
+def test_depth():
+    """Small scenes do all rounds in one go, large ones as many as the halo is worth."""
+    assert diffusion._depth(16, 7, 40, 50, 25) == 25
+    assert 2 <= diffusion._depth(128, 7, 10**5, 10**5, 100) <= 12
+    assert diffusion._depth(128, 7, 10**5, 10**5, 1) == 1
+
+
 def test_components(spark, monkeypatch):
     rng = np.random.default_rng(0)
     edges = [(k, k + 1) for k in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (70, 2))] + [(500, 500 + k) for k in range(30)] + [(None, 3)]
@@ -328,6 +357,67 @@ def test_hdbscan_joins_separated_clusters(spark):
     assert sum(v < 0 for v in label.values()) < 40
 
 
+def partition_of(labels):
+    """Sets of members of each cluster, and the noise."""
+    sets: dict = {}
+    for i, c in labels.items():
+        sets.setdefault(c, set()).add(i)
+    return set(map(frozenset, (s for c, s in sets.items() if c >= 0))), sets.get(-1, set())
+
+
+def least_tree(x, min_size):
+    """Edges of a least spanning tree of mutual reachability by Prim's algorithm, and its weight."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, 1)[:, min_size - 1]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    inside, low, near, edges = np.zeros(len(x), bool), reach[0].copy(), np.zeros(len(x), int), []
+    inside[0] = True
+    for _ in range(len(x) - 1):
+        at = int(np.where(inside, np.inf, low).argmin())
+        edges.append((min(at, int(near[at])), max(at, int(near[at])), float(low[at])))
+        inside[at] = True
+        near = np.where(reach[at] < low, at, near)
+        low = np.minimum(low, reach[at])
+    return edges, reach
+
+
+@pytest.mark.parametrize(("seed", "min_size", "most"), [(0, 5, 1000), (1, 5, 60), (2, 3, 45), (4, 2, 70)])
+def test_hierarchy_in_classes(spark, monkeypatch, seed, min_size, most):
+    """The same clusters as edge by edge, however the edges are cut into classes and buckets; ties too."""
+    from rasterloom.operators import hierarchy
+
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in ((0, 0.3, 60), (3, 0.2, 40), (3.8, 0.2, 30), (9, 1.5, 50))]).round(1)
+    edges, _ = least_tree(x, min_size)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    want = brute.condense(edges, list(range(len(x))), min_size)
+    monkeypatch.setattr(hierarchy, "TOGETHER", 30)
+    got = {r["i"]: r["label"] for r in hierarchy.density_clusters(points, spark.createDataFrame(edges, "i long, j long, d double"), min_size, most).collect()}
+    assert partition_of(got) == partition_of(want) and len(got) == len(x)
+    assert sorted(set(got.values()) - {-1}) == list(range(len(set(got.values()) - {-1})))
+
+
+def test_spanning_tree_by_groups(spark):
+    """Groups and blocks give a tree of the least weight, also where components are far apart, nested, or of equal points."""
+    from rasterloom.operators import hierarchy
+
+    rng = np.random.default_rng(8)
+    ring = rng.normal(size=(60, 3))
+    x = np.concatenate([rng.normal(0, 0.1, (50, 3)), 8 * ring / np.linalg.norm(ring, axis=1)[:, None], rng.normal(30, 0.5, (40, 3)), np.full((12, 3), -20.0)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    edges, reach = least_tree(x, 5)
+    tree = hierarchy.spanning_tree(points, 5, 6, 20).collect()
+    assert len(tree) == len(x) - 1 and sum(r["d"] for r in tree) == pytest.approx(sum(e[2] for e in edges))
+    assert all(r["d"] == pytest.approx(reach[r["i"], r["j"]]) for r in tree)
+
+
+def test_hdbscan_small(spark):
+    none = spark.createDataFrame([], "i long, v array<double>")
+    assert baselines.hdbscan(none).collect() == []
+    one = spark.createDataFrame([(7, [1.0, 2.0])], "i long, v array<double>")
+    assert [tuple(r) for r in baselines.hdbscan(one).collect()] == [(7, -1)]
+
+
 def test_baseline_queries_do_the_whole_job(monkeypatch):
     """The registered baselines leave the operators' numbers of steps and starts alone."""
     from rasterloom.plans import study_queries
@@ -356,14 +446,16 @@ PIXEL = "i long, y long, x long, v array<double>"
 SMALL = study.Configuration(pca_components=4, k=8, window_radius=3, min_degree=3, checkpoint=6, fine_radius=0.5, filter_radius=1, max_neighbors=9, merge_components=3, prototype_threshold=0.8, size_exponent=0.5)
 
 
-@pytest.mark.parametrize(("seed", "local"), [(1, 10**6), (2, 10**6), (1, 0)])
-def test_discovery_against_plain_loops(spark, seed, local):
+@pytest.mark.parametrize(("seed", "tile"), [(1, 128), (2, 128), (1, 3)])
+def test_discovery_against_plain_loops(spark, monkeypatch, seed, tile):
+    monkeypatch.setattr(diffusion, "LEAST_TILE", min(16, tile))
+    monkeypatch.setattr(diffusion, "MOST_TILE", tile)
     rows, v, yx, truth = regions(seed)
-    got = study.discover(spark.createDataFrame(rows, PIXEL), SMALL, local_pixels=local).orderBy("i").collect()
+    got = study.discover(spark.createDataFrame(rows, PIXEL), SMALL).orderBy("i").collect()
     fine, final = brute.discover(v, yx, components_=4, k=8, radius=3, least=3, rounds=6, space_components=3, neighbours=8, fine_radius=0.5, filter_radius=1, tau=0.8, beta=0.5)
     assert brute.same_partition([r.fine for r in got], fine) and brute.same_partition([r.label for r in got], final)
     assert 1 < len(set(final)) <= len(set(fine)) < len(rows)
-    if local:
+    if tile > 3:
         e = partition.evaluate(spark.createDataFrame([(t, r.label) for t, r in zip(truth, got, strict=True)], "gt int, label int"), "gt", "label", 0)
         pairs = [max(itertools.permutations(sorted(set(final)), min(3, len(set(final)))), key=lambda c: sum(a == dict(zip(c, (1, 2, 3), strict=False)).get(b) for a, b in zip(truth, final, strict=True)))]
         to = dict(zip(pairs[0], (1, 2, 3), strict=False))
@@ -679,3 +771,39 @@ def test_profile_and_repeatability(spark):
     r = study.repeatability(a, a.withColumn("label", a.label % 2), spark.createDataFrame([(i, t % 3) for i, t in enumerate(truth)], "i long, gt int")).first()
     own = [(i % 4, i % 2) for i in range(64) if truth[i] % 3]
     assert (r.k_difference, r.n_labelled) == (-2, len(own)) and r.ari_labelled == pytest.approx(brute.ari(*zip(*own, strict=True)))
+
+
+def plain_ranks(values, descending=False):
+    """Mean ranks; nulls below all."""
+    key = lambda x: (x is not None, x if x is not None else 0)
+    order = sorted(map(key, values), reverse=descending)
+    return [order.index(key(x)) + (order.count(key(x)) + 1) / 2 for x in values]
+
+
+def test_ranks_by_prefix_sums(spark):
+    """Ties, nulls, groups over all partitions, null groups; rows keep their columns."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 0.5, *map(float, range(40))]), rng.choice([1, 1, 1, 2, 3]), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, y long, k long").repartition(7)
+    for value, col, down in (("x", 1, False), ("x", 1, True), ("y", 2, True)):
+        got = {r.k: r["rank"] for r in stats.average_rank(df, ["g"], value, down).collect()}
+        for g in ("a", "b", None):
+            own = [r for r in rows if r[0] == g]
+            assert [got[r[3]] for r in own] == plain_ranks([r[col] for r in own], down)
+    rho = {r.g: (r.rho, r.n) for r in stats.spearman(df, ["g"], "x", "y").collect()}
+    for g in ("a", "b", None):
+        own = [r for r in rows if r[0] == g]
+        want = np.corrcoef(plain_ranks([r[1] for r in own]), plain_ranks([r[2] for r in own]))[0, 1]
+        assert rho[g][0] == pytest.approx(want) and rho[g][1] == len(own)
+    assert stats.spearman(df.where("g = 'b'").withColumn("y", df["k"] * 0), ["g"], "x", "y").first()["rho"] is None
+    windows = stats.average_rank(df, ["g"], "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in windows and "rank(" not in windows
+
+
+def test_grid_peers_are_linear(spark):
+    cells = [(0.5 * b, t, g, 100 * b + 10 * t + g) for b in range(2) for t in range(4) for g in range(4)]
+    df = spark.createDataFrame([*cells, (0.0, 1, 1, 999)], "beta double, t_index long, g_index long, candidate long")
+    got = {(r.a, r.b): (r.a_members, r.b_members, r.axis) for r in selectors.grid_peers(df).collect()}
+    want = {(100 * b + 10 * t + g, 100 * b + 10 * u + h): "t" if u > t else "gamma" for b in range(2) for t in range(4) for g in range(4) for u, h in ((t + 1, g), (t, g + 1)) if u < 4 and h < 4}
+    assert {k: v[2] for k, v in got.items()} == want and got[11, 21][:2] == (2, 1)
+    assert {(r.a, r.b, r.a_members) for r in selectors.beta_peers(df).collect()} == {(10 * t + g, 100 + 10 * t + g, 2 if (t, g) == (1, 1) else 1) for t in range(4) for g in range(4)}
