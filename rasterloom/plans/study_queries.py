@@ -188,6 +188,13 @@ def leiden_baseline(spark, d):
     return B.communities(_graph(spark, d))
 
 
+@query("leiden_protocol")
+def leiden_protocol(spark, d):
+    """Communities of every evaluation seed at the resolution that the protocol's grid and selection seeds point to."""
+    chosen, _, labels = B.leiden_selected(materialise(_graph(spark, d)))
+    return labels.select(F.lit(float(chosen)).alias("resolution"), "seed", "i", "label")
+
+
 @query("count_matched_baseline")
 def count_matched_baseline(spark, d):
     """As many clusters as another partition has over the labelled pixels."""
