@@ -161,38 +161,6 @@ def group_table(modes: DataFrame, ids: list, group: np.ndarray) -> DataFrame:
     return modes.sparkSession.createDataFrame([(m, int(g)) for m, g in zip(ids, group, strict=True)], f"mode {kind}, group long")
 
 
-def consolidate(distance_matrix: np.ndarray, threshold: float, linkage: str = "average") -> np.ndarray:
-    """Groups by agglomeration up to the threshold; linkage single, average or complete (Lance-Williams updates).
-
-    Each row keeps its least distance, so a merge costs about one row and not the matrix.
-    """
-    m = len(distance_matrix)
-    if linkage not in ("single", "average", "complete"):
-        raise ValueError(f"unknown linkage {linkage}")
-    if m > MOST_MODES:
-        raise ValueError(f"{m} modes exceed the matrix of {MOST_MODES}")
-    d = distance_matrix.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, group = np.ones(m), np.arange(m)
-    near = d.argmin(1) if m else group
-    low = d.min(1, initial=np.inf)
-    while m > 1:
-        a = int(low.argmin())
-        if not low[a] <= threshold:
-            break
-        a, b = sorted((a, int(near[a])))
-        new = np.minimum(d[a], d[b]) if linkage == "single" else np.maximum(d[a], d[b]) if linkage == "complete" else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        new[[a, b]] = np.inf
-        d[a], d[:, a] = new, new
-        d[b], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        group[group == b] = a
-        stale = np.flatnonzero(np.isin(near, (a, b)) | (new < low) | ((new == low) & (a < near)))
-        for r in {a, b, *stale.tolist()}:
-            near[r], low[r] = d[r].argmin(), d[r].min()
-    return np.unique(group, return_inverse=True)[1]
-
-
 def merge_until(mu: np.ndarray, disp: np.ndarray, n: np.ndarray, k: int, size_exponent: float = 0.0) -> np.ndarray:
     """T8 over arrays: the group of each mode when the least separated two have merged again and again until k are left."""
     m = len(mu)

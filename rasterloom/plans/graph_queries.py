@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.vector import rounded
 from rasterloom.operators import diffusion as D
 from rasterloom.operators import graph as G
+from rasterloom.operators import linkage as L
 from rasterloom.operators import modes as M
 from rasterloom.operators import prototypes as T
 from rasterloom.operators import scene as S
@@ -303,18 +304,32 @@ def reciprocal(spark, d):
     return T.apply_groups(labels, T.consolidate_modes(modes, 0.4, size_exponent=0.5))
 
 
-def _linked(merges, threshold):
+def _linked(threshold, how, merges=39):
+    """One merge of the two closest groups after another, written out; how: the aggregate over the pairs between two groups."""
     sql = _FORTY + f", x AS MATERIALIZED (SELECT a.mode AS a, b.mode AS b, sqrt({_D2.format(a='a.mu', b='b.mu')})/greatest(sqrt((a.disp*a.disp+b.disp*b.disp)/2),1e-8) AS sep FROM mo a JOIN mo b ON a.mode<>b.mode), h0 AS MATERIALIZED (SELECT mode, mode AS grp FROM mo)"
     for n in range(merges):
-        sql += f""", f{n} AS MATERIALIZED (SELECT a, b FROM (SELECT u.grp AS a, v.grp AS b, max(sep) AS sep FROM x JOIN h{n} u ON u.mode=x.a JOIN h{n} v ON v.mode=x.b WHERE u.grp < v.grp GROUP BY 1, 2) WHERE sep <= {threshold} ORDER BY sep, a, b LIMIT 1), h{n + 1} AS MATERIALIZED (SELECT h.mode, coalesce(f.a, h.grp) AS grp FROM h{n} h LEFT JOIN f{n} f ON f.b=h.grp)"""
+        sql += f""", f{n} AS MATERIALIZED (SELECT a, b FROM (SELECT u.grp AS a, v.grp AS b, {how} AS sep FROM x JOIN h{n} u ON u.mode=x.a JOIN h{n} v ON v.mode=x.b WHERE u.grp < v.grp GROUP BY 1, 2) WHERE sep <= {threshold} ORDER BY sep, a, b LIMIT 1), h{n + 1} AS MATERIALIZED (SELECT h.mode, coalesce(f.a, h.grp) AS grp FROM h{n} h LEFT JOIN f{n} f ON f.b=h.grp)"""
     return sql + f" SELECT sc.i, dense_rank() OVER (ORDER BY grp) - 1 AS label FROM sc JOIN h{merges} h ON h.mode=sc.i%40"
 
 
-@query("linkage_consolidate", _linked(39, 0.4))
-def linkage(spark, d):
+def _linkage(spark, d, threshold, how):
     labels, modes = _forty(spark, d)
-    ids, mu, disp, _ = T.modes_to_arrays(modes)
-    return T.apply_groups(labels, T.group_table(modes, ids, T.consolidate(T._separations(mu, disp)[1], 0.4, "complete")))
+    return T.apply_groups(labels, L.linkage_groups(modes, threshold, how))
+
+
+@query("linkage_consolidate", _linked(0.4, "max(sep)"))
+def linkage(spark, d):
+    return _linkage(spark, d, 0.4, "complete")
+
+
+@query("linkage_average", _linked(0.37, "round(avg(sep), 12)"))
+def linkage_average(spark, d):
+    return _linkage(spark, d, 0.37, "average")
+
+
+@query("linkage_single", _linked(0.34, "min(sep)"))
+def linkage_single(spark, d):
+    return _linkage(spark, d, 0.34, "single")
 
 
 @query("cluster_once")

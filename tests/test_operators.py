@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 
 from rasterloom.functions import order
 from rasterloom.operators import automatic, baselines, components, diffusion, graph, modes, partition, prototypes, scene, selectors, spatial, stats, study
+from rasterloom.operators import linkage as linkage_module
 from rasterloom.sources import envi, files, matlab, scenes
 
 
@@ -187,9 +188,6 @@ def test_prototypes():
     group, rounds = prototypes.reciprocal_consolidate(mu, disp, n, 1.0)
     assert group.tolist() == [0, 0, 1] and rounds == 1
     assert prototypes.reciprocal_consolidate(mu, disp, n, 0.0)[0].tolist() == [0, 1, 2]
-    d = np.abs(mu - mu.T)
-    for linkage in ("single", "average", "complete"):
-        assert prototypes.consolidate(d, 2.0, linkage).tolist() == [0, 0, 1]
 
 
 def test_dispersion_floor(spark):
@@ -605,20 +603,36 @@ def test_merge_until_against_plain_loops(beta):
     assert brute.same_partition(prototypes.merge_until(mu, disp, n, 5, beta).tolist(), [group[m] for m in range(18)])
 
 
-@pytest.mark.parametrize("linkage", ["single", "average", "complete"])
-def test_linkages_against_plain_loops(linkage):
+@pytest.mark.parametrize(("linkage", "block"), [("single", 2048), ("average", 2048), ("average", 9), ("complete", 9)])
+def test_linkages_against_plain_loops(spark, linkage, block):
+    """The groups of one merge at a time, also where modes meet block against block."""
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(30, 2))
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    groups = [[i] for i in range(30)]
+    n = 50
+    x, disp = rng.normal(size=(n, 2)), rng.uniform(0.5, 1.5, n)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) / np.sqrt((disp[:, None] ** 2 + disp**2) / 2)
+    groups = [[i] for i in range(n)]
     how = {"single": np.min, "average": np.mean, "complete": np.max}[linkage]
     while len(groups) > 1:
         value, a, b = min((float(how(d[np.ix_(p, q)])), i, j) for (i, p), (j, q) in itertools.combinations(enumerate(groups), 2))
-        if value > 0.8:
+        if value > 0.6:
             break
         groups[a] += groups.pop(b)
-    want = {i: k for k, g in enumerate(groups) for i in g}
-    assert brute.same_partition(prototypes.consolidate(d, 0.8, linkage).tolist(), [want[i] for i in range(30)])
+    want = {3 * i: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
+    modes_ = spark.createDataFrame([(3 * i, x[i].tolist(), float(disp[i]), i + 1) for i in range(n)], "mode int, mu array<double>, disp double, n long")
+    assert {r["mode"]: r.group for r in linkage_module.linkage_groups(modes_, 0.6, linkage, block=block).collect()} == want
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_linkages_of_equal_and_no_modes(spark, linkage):
+    rows = [(m, [float(v)], 1.0, 2) for m, v in [(5, 0), (1, 0), (9, 0), (2, 7), (4, 7), (3, 20)]]
+    kind = "mode long, mu array<double>, disp double, n long"
+    modes_ = spark.createDataFrame(rows, kind)
+    got = {r["mode"]: r.group for r in linkage_module.linkage_groups(modes_, 0.0, linkage).collect()}
+    assert got == {1: 0, 5: 0, 9: 0, 2: 1, 4: 1, 3: 2}
+    assert {r.group for r in linkage_module.linkage_groups(modes_, 1e9, linkage).collect()} == {0}
+    assert linkage_module.linkage_groups(spark.createDataFrame([], kind), 1.0, linkage).collect() == []
+    with pytest.raises(ValueError):
+        linkage_module.linkage_groups(modes_, 1.0, "ward")
 
 
 def test_baseline_features_are_truncated_scores(spark):
