@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +37,7 @@ def _ari() -> Column:
     whole = _pairs("n")
     expected = F.col("pairs_t") * F.col("pairs_p") / whole
     most = (F.col("pairs_t") + F.col("pairs_p")) / 2.0
-    return F.when((F.col("n") < 2) | (most == expected), 1.0).otherwise((F.col("pairs") - expected) / (most - expected))
+    return F.when((F.coalesce("n", F.lit(0)) < 2) | (most == expected), 1.0).otherwise((F.col("pairs") - expected) / (most - expected))
 
 
 def ari(table: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def _entropy(s: str) -> Column:
 def _information() -> dict[str, Column]:
     n = F.col("n").cast("double")
     mi = F.greatest(F.lit(0.0), F.log(n) + (F.col("logs") - F.col("logs_t") - F.col("logs_p")) / n)
-    one = lambda s: F.col(f"k_{s}") == 1
+    one = lambda s: F.col(f"k_{s}") <= 1  # noqa: E731  (none: an empty table agrees with itself)
     hom = F.when(one("t"), 1.0).otherwise(mi / _entropy("t"))
     com = F.when(one("p"), 1.0).otherwise(mi / _entropy("p"))
     nmi = F.when(one("t") & one("p"), 1.0).when(one("t") | one("p"), 0.0).otherwise(2 * mi / (_entropy("t") + _entropy("p")))
@@ -109,16 +110,16 @@ def _log_factorial(x: np.ndarray) -> np.ndarray:
     return np.where(x < 256, small[np.minimum(x, 255).astype(int)], series)
 
 
-def expected_mi(rows: list[int], cols: list[int], deviations: float = 40.0) -> float:
+def expected_mi(rows: list[int] | dict[int, int], cols: list[int] | dict[int, int], deviations: float = 40.0) -> float:
     """Expected mutual information of random tables with these margins (hypergeometric).
 
-    Equal margins are computed once. A cell's overlap is summed within `deviations` standard deviations (and 64) of its
+    rows, cols: the margins, or how often each margin occurs. Equal margins are computed once. A cell's overlap is summed within `deviations` standard deviations (and 64) of its
     mean: what lies beyond weighs less than the rounding of a double.
     """
-    n = sum(rows)
+    rows, cols = Counter(rows), Counter(cols)
+    n = sum(size * times for size, times in rows.items())
     total = 0.0
-    a_of, a_times = np.unique(np.array(rows, float), return_counts=True)
-    b_of, b_times = np.unique(np.array(cols, float), return_counts=True)
+    (a_of, a_times), (b_of, b_times) = (np.array(sorted(x.items()), float).reshape(-1, 2).T for x in (rows, cols))
     for a, times in zip(a_of, a_times, strict=True):
         fixed = _log_factorial(a) + _log_factorial(b_of) + _log_factorial(n - a) + _log_factorial(n - b_of) - _log_factorial(n)
         for b, also, log in zip(b_of, b_times, fixed, strict=True):
@@ -133,20 +134,16 @@ def expected_mi(rows: list[int], cols: list[int], deviations: float = 40.0) -> f
 
 
 def ami(table: DataFrame) -> float:
-    """M8: adjusted mutual information; the margins (classes and clusters) come to the driver."""
-    cells = table.collect()
-    n = sum(c["n"] for c in cells)
-    rows: dict = {}
-    cols: dict = {}
-    for c in cells:
-        rows[c["t"]] = rows.get(c["t"], 0) + c["n"]
-        cols[c["p"]] = cols.get(c["p"], 0) + c["n"]
-    if len(rows) == len(cols) == 1 or n == 0:
+    """M8: adjusted mutual information. Of classes and clusters only their sizes matter: each distinct size comes to the driver once, with how many have it, so about sqrt(2 n) numbers at most."""
+    r = _margins(table).first()
+    n = r["n"] or 0
+    if n == 0 or r["k_t"] == r["k_p"] == 1:
         return 1.0
-    h = lambda m: -sum(x / n * math.log(x / n) for x in m.values())
-    mi = sum(c["n"] / n * math.log(n * c["n"] / (rows[c["t"]] * cols[c["p"]])) for c in cells)
-    e = expected_mi(list(rows.values()), list(cols.values()))
-    below = (h(rows) + h(cols)) / 2 - e
+    times = lambda c: {x["m"]: x["times"] for x in table.groupBy(c).agg(F.sum("n").alias("m")).groupBy("m").agg(F.count("*").alias("times")).collect()}
+    mi = math.log(n) + (r["logs"] - r["logs_t"] - r["logs_p"]) / n
+    entropy = [math.log(n) - r[c] / n for c in ("logs_t", "logs_p")]
+    e = expected_mi(times("t"), times("p"))
+    below = sum(entropy) / 2 - e
     return float((mi - e) / (below if abs(below) > 1e-15 else math.copysign(1e-15, below or 1.0)))
 
 
@@ -260,47 +257,66 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
 
 
+def matched_pairs(table: DataFrame) -> list[tuple]:
+    """M2: (class, cluster) pairs of a one-to-one matching with the largest total overlap.
+
+    With k labels on the side that has fewer, a label needs only its k largest cells: were it matched outside them, one of
+    them would be free and no worse. So at most k^2 + k cells come to the driver, however many labels the other side has.
+    Its k smallest labels are candidates too, so every label of the smaller side is matched, if need be without overlap.
+    Of equal cells the smaller label counts as larger. Null labels are not matched.
+    """
+    cells = table.where("t is not null and p is not null")
+    k = {c: cells.select(c).distinct().count() for c in ("t", "p")}
+    few, many = ("t", "p") if k["t"] <= k["p"] else ("p", "t")
+    if not k[few]:
+        return []
+    order = Window.partitionBy(few).orderBy(F.desc("n"), many)
+    top = cells.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k[few]).select(few, many, "n").collect()
+    rows = sorted({c[few] for c in top})
+    cols = sorted({c[many] for c in top} | {r[0] for r in cells.select(many).distinct().orderBy(many).limit(k[few]).collect()})
+    at_row, at_col = ({x: i for i, x in enumerate(side)} for side in (rows, cols))
+    gain = np.zeros((len(rows), len(cols)))
+    for c in top:
+        gain[at_row[c[few]], at_col[c[many]]] = c["n"]
+    pairs = [(rows[i], cols[j]) for i, j in assignment(gain)]
+    return sorted(pairs if few == "t" else [(t, p) for p, t in pairs])
+
+
 def hungarian_match(table: DataFrame) -> dict:
-    """M2: cluster -> class with the largest total overlap; unmatched clusters -> -1. The table (classes x clusters) comes to the driver."""
-    cells = table.collect()
-    ts, ps = sorted({c["t"] for c in cells}), sorted({c["p"] for c in cells})
-    gain = np.zeros((len(ts), len(ps)))
-    for c in cells:
-        gain[ts.index(c["t"]), ps.index(c["p"])] = c["n"]
-    out = {p: -1 for p in ps}
-    for a, b in assignment(gain) if cells else []:
-        out[ps[b]] = ts[a]
-    return out
+    """M2: cluster -> class with the largest total overlap; unmatched clusters -> -1. The clusters' names come to the driver."""
+    return {r["p"]: -1 for r in table.select("p").distinct().collect()} | {p: t for t, p in matched_pairs(table)}
 
 
 def evaluate(df: DataFrame, true: str, pred: str, ignore: object | None = 0) -> dict:
-    """M1-M10 of labelled rows. The contingency table comes to the driver; nothing else does."""
+    """M1-M10 of labelled rows. `cluster_to_class_mapping` has the matched clusters; any other belongs to no class (-1).
+
+    Sums over the contingency table stay on the cluster; the driver gets one-row aggregates, the cells that matched_pairs
+    needs, and the distinct sizes of classes and clusters.
+    """
     table = contingency(df, true, pred, ignore).persist()
     try:
-        mapping = hungarian_match(table)
-        cells = table.collect()
-        n = sum(c["n"] for c in cells)
-        right: dict = {}
-        size: dict = {}
-        guessed: dict = {}
-        for c in cells:
-            m = mapping[c["p"]]
-            size[c["t"]] = size.get(c["t"], 0) + c["n"]
-            guessed[m] = guessed.get(m, 0) + c["n"]
-            right[c["t"]] = right.get(c["t"], 0) + (c["n"] if m == c["t"] else 0)
-        oa = sum(right.values()) / n if n else 0.0
-        chance = sum(size.get(k, 0) * guessed.get(k, 0) for k in set(size) | set(guessed)) / (n * n) if n else 0.0
+        spark, kind = df.sparkSession, {f.name: f.dataType.simpleString() for f in table.schema}
+        pairs = matched_pairs(table)
+        mapping = spark.createDataFrame(pairs, f"m {kind['t']}, p {kind['p']}")
+        named = table.join(mapping, "p", "left")  # one row a matched cluster: Spark broadcasts it while it is small
+        by_class = named.groupBy("t").agg(F.sum("n").alias("size"), F.sum(F.when(F.col("m") == F.col("t"), F.col("n")).otherwise(0)).alias("right"))
+        guessed = named.where("m is not null").groupBy(F.col("m").alias("t")).agg(F.sum("n").alias("guessed"))
+        share = F.col("size").cast("double") * F.coalesce("guessed", F.lit(0))
+        r = by_class.join(guessed, "t", "left").agg(F.sum("size").alias("n"), F.sum("right").alias("right"), F.avg(F.col("right") / F.col("size")).alias("ba"), F.sum(share).alias("share")).first()
+        n = r["n"] or 0
+        oa = r["right"] / n if n else 0.0
+        chance = r["share"] / n**2 if n else 0.0
         info = information(table).first().asDict()
         counts = oversegmentation_counts(table).first().asDict()
         return {
             "overall_accuracy": oa,
-            "balanced_accuracy": sum(right[t] / size[t] for t in size) / len(size) if size else 0.0,
+            "balanced_accuracy": r["ba"] or 0.0,
             "kappa": (oa - chance) / (1 - chance) if chance < 1 else 1.0,
             "ari": ari(table).first()["ari"],
             "ami": ami(table),
             **info,
             **counts,
-            "cluster_to_class_mapping": mapping,
+            "cluster_to_class_mapping": {p: t for t, p in pairs},
         }
     finally:
         table.unpersist()

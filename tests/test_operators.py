@@ -40,6 +40,38 @@ def test_matching_beats_greedy(spark):
     assert sorted(m.values()) == [-1, -1, 1]
 
 
+@pytest.mark.parametrize(("classes", "clusters"), [(4, 40), (30, 5), (6, 6)])
+def test_evaluation_against_plain_loops(spark, classes, clusters):
+    """Matching by the largest cells alone loses nothing; every metric that hangs on it agrees with loops over the whole table."""
+    rng = random.Random(classes)
+    pairs = [(rng.randrange(classes), rng.randrange(clusters)) for _ in range(300)]
+    pairs += [(c % classes, c % clusters) for c in range(200)]
+    t = partition.contingency(spark.createDataFrame(pairs, "t int, p int"), "t", "p")
+    gain = np.zeros((classes, clusters))
+    for a, b in pairs:
+        gain[a, b] += 1
+    best = sum(gain[a, b] for a, b in partition.assignment(gain))
+    found = partition.matched_pairs(t)
+    assert len(found) == min(classes, clusters) == len({a for a, _ in found}) == len({b for _, b in found})
+    assert sum(gain[a, b] for a, b in found) == best
+    e = partition.evaluate(spark.createDataFrame(pairs, "t int, p int"), "t", "p", None)
+    of = {b: a for a, b in found}
+    assert e["cluster_to_class_mapping"] == of and e["overall_accuracy"] == pytest.approx(best / 500)
+    size, guessed = gain.sum(1), [sum(gain[:, b].sum() for b in of if of[b] == a) for a in range(classes)]
+    right = [sum(gain[a, b] for b in of if of[b] == a) for a in range(classes)]
+    chance = sum(s * g for s, g in zip(size, guessed, strict=True)) / 500**2
+    assert e["balanced_accuracy"] == pytest.approx(np.mean([r / s for r, s in zip(right, size, strict=True)]))
+    assert e["kappa"] == pytest.approx((best / 500 - chance) / (1 - chance))
+    assert {k: v for k, v in partition.hungarian_match(t).items() if v >= 0} == of
+
+
+def test_evaluation_of_nothing_and_of_nulls(spark):
+    e = partition.evaluate(spark.createDataFrame([], "t int, p int"), "t", "p", None)
+    assert e["overall_accuracy"] == e["balanced_accuracy"] == 0 and e["ari"] == e["ami"] == e["nmi"] == 1 and e["cluster_to_class_mapping"] == {}
+    t = partition.contingency(spark.createDataFrame([(1, None), (None, 3), (2, 3)], "t int, p int"), "t", "p")
+    assert partition.matched_pairs(t) == [(2, 3)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.randoms(use_true_random=False))
 def test_assignment_is_best(rows, cols, random):
