@@ -31,10 +31,15 @@ def best_other(rows: DataFrame, by: str, method: str, own: str, value: str) -> D
     return mine.join(first, by).withColumn("delta", F.col("own_value") - F.col("best_value"))
 
 
-def empirical_scaling(runs: DataFrame) -> DataFrame:
-    """Pixels a second and microseconds an edge from mean runtimes; runs: scene, n_pixels, n_edges, seconds."""
-    mean = runs.groupBy("scene").agg(F.max("n_pixels").alias("n"), F.max("n_edges").alias("e"), F.avg("seconds").alias("s"))
-    return mean.select("scene", F.col("s").alias("seconds"), (F.col("n") / F.col("s")).alias("pixels_per_second"), (1e6 * F.col("s") / F.col("e")).alias("us_per_edge"))
+def empirical_scaling(runs: DataFrame, stages: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels a second and microseconds an edge from mean runtimes; runs: scene, n_pixels, n_edges, seconds, and a column of seconds for each stage.
+
+    Of the whole runtime also the sample deviation (null for a single run), of each stage its mean and its share of the
+    mean runtime. Zero times or edges give null rates.
+    """
+    mean = runs.groupBy("scene").agg(F.max("n_pixels").alias("n"), F.max("n_edges").alias("e"), F.avg("seconds").alias("s"), F.stddev_samp("seconds").alias("seconds_std"), *(F.avg(c).alias(f"{c}_mean") for c in stages))
+    parts = [x for c in stages for x in (F.col(f"{c}_mean"), F.try_divide(f"{c}_mean", "s").alias(f"{c}_share"))]
+    return mean.select("scene", F.col("s").alias("seconds"), "seconds_std", F.try_divide("n", "s").alias("pixels_per_second"), F.try_divide(1e6 * F.col("s"), F.col("e")).alias("us_per_edge"), *parts)
 
 
 def status_counts(rows: DataFrame, status: str) -> DataFrame:

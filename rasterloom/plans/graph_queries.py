@@ -15,6 +15,7 @@ from rasterloom.operators.automatic import states
 from rasterloom.operators.spatial import majority_filter
 from rasterloom.plans.registry import query
 from rasterloom.session import materialise, read_table
+from rasterloom.sources import scenes
 
 RADIUS, K, LEAST = 3, 10, 4
 
@@ -73,6 +74,12 @@ def scene_crop(spark, d):
     return S.crop(_scene(spark, d), 8).select("i", "y", "x", "gt")
 
 
+@query("scene_facts", _SCENE + """ SELECT 'vectors' AS scene, max(y)+1 AS height, max(x)+1 AS width, 64::BIGINT AS bands, count(*) AS pixels, array_to_string(range(0, 64), ',') AS wavelengths, array_to_string(range(0, max(gt)+1), ',') AS class_names FROM sc""")
+def scene_facts(spark, d):
+    facts = scenes.scene_facts(_scene(spark, d), "vectors")
+    return facts.withColumns({"wavelengths": F.array_join(F.transform("wavelengths", lambda w: w.cast("int").cast("string")), ","), "class_names": F.array_join("class_names", ",")})
+
+
 @query("pca_scores", _SCENE + ", b AS (SELECT k, avg(v[k]) AS m FROM sc, range(1,65) r(k) GROUP BY k) SELECT i, round(sum((v[k]-m)*(v[k]-m)),5) AS norm2 FROM sc JOIN b ON true GROUP BY i")
 def pca_scores(spark, d):
     """At full rank, scores keep each pixel's squared distance from the mean."""

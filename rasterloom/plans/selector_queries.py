@@ -242,10 +242,18 @@ def win_counts(spark, d):
     return A.win_counts(s, "dataset", "method", s.agg(F.min("method")).first()[0], "score")
 
 
-@query("empirical_scaling", "SELECT l_returnflag AS scene, round(avg(l_quantity),6) AS seconds, round(max(l_partkey)/avg(l_quantity),4) AS pixels_per_second, round(1e6*avg(l_quantity)/max(l_suppkey),4) AS us_per_edge FROM lineitem GROUP BY 1")
+_STAGES = {"graph": "l_tax", "diffusion": "l_discount"}
+
+
+@query("empirical_scaling", """SELECT l_returnflag AS scene, round(avg(l_quantity),6) AS seconds, round(stddev_samp(l_quantity),6) AS seconds_std, round(max(l_partkey)/avg(l_quantity),4) AS pixels_per_second,
+ round(1e6*avg(l_quantity)/max(l_suppkey),4) AS us_per_edge, round(avg(l_tax),6) AS graph_mean, round(avg(l_tax)/avg(l_quantity),6) AS graph_share, round(avg(l_discount),6) AS diffusion_mean,
+ round(avg(l_discount)/avg(l_quantity),6) AS diffusion_share FROM lineitem GROUP BY 1""")
 def empirical_scaling(spark, d):
-    r = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene"), F.col("l_partkey").alias("n_pixels"), F.col("l_suppkey").alias("n_edges"), F.col("l_quantity").alias("seconds"))
-    return A.empirical_scaling(r).select("scene", F.round("seconds", 6).alias("seconds"), F.round("pixels_per_second", 4).alias("pixels_per_second"), F.round("us_per_edge", 4).alias("us_per_edge"))
+    stages = [F.col(c).alias(name) for name, c in _STAGES.items()]
+    r = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene"), F.col("l_partkey").alias("n_pixels"), F.col("l_suppkey").alias("n_edges"), F.col("l_quantity").alias("seconds"), *stages)
+    found = A.empirical_scaling(r, tuple(_STAGES))
+    digits = {"pixels_per_second": 4, "us_per_edge": 4}
+    return found.select("scene", *(F.round(c, digits.get(c, 6)).alias(c) for c in found.columns[1:]))
 
 
 @query("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")

@@ -28,6 +28,14 @@ MATLAB_SCENES = {
     "trento": ("TrentoRepo/Italy_hsi.mat", "data", "TrentoRepo/allgrd.mat", "mask_test"),
 }
 
+# Class names of a public scene, in the order of their numbers.
+CLASS_NAMES = {
+    "whu_hi_honghu": (
+        "Unclassified", "Red roof", "Road", "Bare soil", "Cotton", "Cotton firewood", "Rape", "Chinese cabbage", "Pakchoi", "Cabbage", "Tuber mustard", "Brassica parachinensis", "Brassica chinensis",
+        "Small Brassica chinensis", "Lactuca sativa", "Celtuce", "Film covered lettuce", "Romaine lettuce", "Carrot", "White radish", "Garlic sprout", "Broad bean", "Tree",
+    ),
+}
+
 
 def load_vectors(spark: SparkSession, path: str, labels: bool = True) -> DataFrame:
     return scene_from_vectors(spark.read.parquet(path), label="label" if labels else None)
@@ -58,16 +66,49 @@ def load_mat(spark: SparkSession, cube: str, key: str | None = None, truth: str
 LOADERS: dict[str, Callable[..., DataFrame]] = {"vectors": load_vectors, "table": load_table, "envi": load_envi, "matlab": load_mat}
 
 
-def load_scene(spark: SparkSession, kind: str, *, subsample: int | None = None, labels: bool = True, **where) -> DataFrame:
-    """A scene by kind, or by the name of a public scene whose files lie below data_dir; without labels nothing of the reference is read."""
+def _located(kind: str, where: dict) -> tuple[str, dict]:
+    """The loader of a public scene by name and where its files lie below data_dir; any other kind as it is."""
+    where = dict(where)
     if kind in ENVI_SCENES:
         base = f"{where.pop('data_dir')}/{ENVI_SCENES[kind]}"
-        kind, where = "envi", {"header": f"{base}.hdr", "cube": f"{base}.bsq", "truth_header": f"{base}_gt.hdr", "truth": f"{base}_gt.bsq", **where}
-    elif kind in MATLAB_SCENES:
+        return "envi", {"header": f"{base}.hdr", "cube": f"{base}.bsq", "truth_header": f"{base}_gt.hdr", "truth": f"{base}_gt.bsq", **where}
+    if kind in MATLAB_SCENES:
         folder = where.pop("data_dir")
         cube, key, truth, truth_key = MATLAB_SCENES[kind]
-        kind, where = "matlab", {"cube": f"{folder}/{cube}", "key": key, "truth": f"{folder}/{truth}", "truth_key": truth_key, **where}
+        return "matlab", {"cube": f"{folder}/{cube}", "key": key, "truth": f"{folder}/{truth}", "truth_key": truth_key, **where}
     if kind not in LOADERS:
         raise ValueError(f"unknown scene {kind}; there are {', '.join([*LOADERS, *ENVI_SCENES, *MATLAB_SCENES])}")
-    df = LOADERS[kind](spark, labels=labels, **where)
+    return kind, where
+
+
+def load_scene(spark: SparkSession, kind: str, *, subsample: int | None = None, labels: bool = True, **where) -> DataFrame:
+    """A scene by kind, or by the name of a public scene whose files lie below data_dir; without labels nothing of the reference is read."""
+    loader, where = _located(kind, where)
+    df = LOADERS[loader](spark, labels=labels, **where)
     return crop(df, subsample) if subsample else df
+
+
+def scene_facts(pixels: DataFrame, name: str, header: dict[str, str] | None = None) -> DataFrame:
+    """One row (scene, height, width, bands, pixels, wavelengths, class_names) about pixels (i, y, x, v[, gt]).
+
+    wavelengths are the header's if it has one for each band, else the bands' numbers from 0. class_names are those of a
+    public scene that has names, else the numbers from 0 to the largest label as text; null without labels. A scene
+    without pixels has no height, width or bands, and no wavelengths.
+    """
+    given = [float(x) for x in (header or {}).get("wavelength", "").split(",") if x.strip()]
+    top = F.max("gt").cast("int") if "gt" in pixels.columns else F.lit(None).cast("int")
+    one = pixels.agg(
+        (F.max("y") + 1).cast("long").alias("height"), (F.max("x") + 1).cast("long").alias("width"), F.max(F.size("v")).cast("long").alias("bands"), F.count("*").alias("pixels"), top.alias("_top")
+    )
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("bands") - 1), lambda b: b.cast("float"))
+    wavelengths = F.when(F.col("bands") == len(given), F.array(*map(F.lit, given)).cast("array<float>")).when(F.col("bands") > 0, numbers) if given else F.when(F.col("bands") > 0, numbers)
+    numbered = F.when(F.col("_top") >= 0, F.transform(F.sequence(F.lit(0), F.col("_top")), lambda c: c.cast("string")))
+    names = F.when(F.col("_top").isNotNull(), F.array(*map(F.lit, CLASS_NAMES[name]))) if name in CLASS_NAMES else numbered
+    return one.select(F.lit(name).alias("scene"), "height", "width", "bands", "pixels", wavelengths.alias("wavelengths"), names.alias("class_names"))
+
+
+def load_scene_facts(spark: SparkSession, kind: str, *, subsample: int | None = None, labels: bool = True, **where) -> DataFrame:
+    """The facts of a scene that load_scene would read, with the wavelengths of its header if it has one."""
+    loader, located = _located(kind, where)
+    header = read_header(spark, located["header"]) if loader == "envi" else None
+    return scene_facts(load_scene(spark, kind, subsample=subsample, labels=labels, **where), kind, header)

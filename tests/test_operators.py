@@ -299,6 +299,24 @@ def test_envi(spark, tmp_path):
     assert "gt" not in scenes.load_scene(spark, "envi", labels=False, **files_).columns
     with pytest.raises(ValueError):
         scenes.load_scene(spark, "none")
+    facts = scenes.load_scene_facts(spark, "envi", **files_).first()
+    assert (facts.height, facts.width, facts.bands, facts.pixels) == (5, 2, 3, 10)
+    assert facts.wavelengths == [0, 1, 2] and facts.class_names == [str(c) for c in range(10)]
+    (tmp_path / "s.hdr").write_text("ENVI\nlines = 5\nsamples = 2\nbands = 3\ndata type = 2\nheader offset = 4\nwavelength = {401.5,\n 410, 420.25}\n")
+    facts = scenes.load_scene_facts(spark, "envi", labels=False, subsample=2, **files_).first()
+    assert facts.wavelengths == [401.5, 410, 420.25] and facts.class_names is None and facts.pixels == 4
+    empty = scenes.scene_facts(spark.createDataFrame([], "i long, y long, x long, v array<double>, gt int"), "whu_hi_honghu").first()
+    assert empty.pixels == 0 and empty.height is None and empty.wavelengths is None and empty.class_names is None
+    named = scenes.scene_facts(spark.createDataFrame([(0, 0, 0, [1.0], 3)], "i long, y long, x long, v array<double>, gt int"), "whu_hi_honghu").first()
+    assert len(named.class_names) == 23 and named.class_names[3] == "Bare soil"
+
+
+def test_empirical_scaling_of_odd_runs(spark):
+    rows = [("a", 100, 50, 2.0, 1.0), ("a", 100, 50, 4.0, 2.0), ("b", 10, 0, 0.0, 0.0)]
+    got = {r.scene: r for r in stats.empirical_scaling(spark.createDataFrame(rows, "scene string, n_pixels long, n_edges long, seconds double, graph double"), ("graph",)).collect()}
+    assert (got["a"].seconds, got["a"].graph_mean, got["a"].graph_share) == (3, 1.5, 0.5) and got["a"].seconds_std == pytest.approx(math.sqrt(2))
+    assert got["a"].pixels_per_second == pytest.approx(100 / 3) and got["a"].us_per_edge == pytest.approx(60000)
+    assert got["b"].us_per_edge is None and got["b"].pixels_per_second is None and got["b"].seconds_std is None
 
 
 def mat_file(arrays, order="<", compress=True):
