@@ -94,6 +94,15 @@ def _alike(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(size, size)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Longs as their differences, lowest bytes of all first: near neighbours leave runs of zeros, which shuffles compress."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
 def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: int) -> DataFrame:
     """(doc, n, f1, f2, credit): of each document its set's size and fingerprint and how many shingles of its prefix other documents' prefixes hold."""
 
@@ -178,32 +187,34 @@ def _families(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, D
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            ascending = np.argsort(ids, kind="stable")
             for at in range(0, len(ids), 2000):
-                own_sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)[at : at + 2000]]
+                some = ascending[at : at + 2000]
+                own_sets = [np.frombuffer(batch.column(1)[x].as_py(), np.uint64) for x in some.tolist()]
                 t = np.concatenate(own_sets)
-                own = np.repeat(ids[at : at + 2000], [len(x) for x in own_sets])
+                own = np.repeat(ids[some], [len(x) for x in own_sets])
                 bucket = (t % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([x[order[cut[b] : cut[b + 1]]].tobytes() for b in rows], pa.binary()) for x in (t, own))], ["b", "t", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([pack(x[order[cut[b] : cut[b + 1]]]) for b in rows], pa.binary()) for x, pack in ((t, np.ndarray.tobytes), (own, _packed)))], ["b", "t", "o"])
 
     def meet(table: pa.Table) -> pa.Table:
         t = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("t")])
-        own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("o")])
+        own = np.concatenate([_unpacked(x.as_py()) for x in table.column("o")])
         order, count = _alike(t)
         order, count = order[count > 1], count[count > 1]
         t, own = t[order], own[order]
         home = own % buckets
-        by = np.argsort(home, kind="stable")
+        by = np.lexsort((own, home))
         cut = np.searchsorted(home[by], np.arange(buckets + 1))
         rows = [h for h in range(buckets) if cut[h] < cut[h + 1]]
-        pack = lambda x: pa.array([x[by[cut[h] : cut[h + 1]]].tobytes() for h in rows], pa.binary())
-        return pa.table({"h": pa.array(rows, pa.int64()), "t": pack(t), "o": pack(own), "c": pack(count.astype(np.int64))})
+        parts = lambda x, pack: pa.array([pack(x[by[cut[h] : cut[h + 1]]]) for h in rows], pa.binary())
+        return pa.table({"h": pa.array(rows, pa.int64()), "t": parts(t, np.ndarray.tobytes), "o": parts(own, _packed), "c": parts(count.astype(np.int64), _packed)})
 
     def prefix(sizes: pa.Table, shared: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in shared.column(c))])
-        t, own, count = join("t", np.uint64), join("o", np.int64), join("c", np.int64)
+        join = lambda c, kind, read: np.concatenate([np.zeros(0, kind), *(read(x.as_py()) for x in shared.column(c))])
+        t, own, count = join("t", np.uint64, lambda x: np.frombuffer(x, np.uint64)), join("o", np.int64, _unpacked), join("c", np.int64, _unpacked)
         order = np.lexsort((t, count, own))
         t, own = t[order], own[order]
         ids, n = sizes.column("doc").to_numpy(), sizes.column("n").to_numpy()
