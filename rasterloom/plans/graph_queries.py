@@ -120,7 +120,7 @@ def repaired_edges(spark, d):
 @query("bandwidths", _AFF + " SELECT round(ss,6) AS sigma_spectral, round(st,6) AS sigma_spatial FROM bw")
 def bandwidths(spark, d):
     scene, edges = _repaired(spark, d)
-    return G.bandwidths(G.spectral_edges(G.grid_edges(edges, scene), scene)).select(F.round("sigma_spectral", 6).alias("sigma_spectral"), F.round("sigma_spatial", 6).alias("sigma_spatial"))
+    return G.bandwidths(materialise(G.spectral_edges(G.grid_edges(edges, scene), scene).select("d", "sp"))).select(F.round("sigma_spectral", 6).alias("sigma_spectral"), F.round("sigma_spatial", 6).alias("sigma_spatial"))
 
 
 @query("affinity_edges", _AFF + " SELECT i, j, round(w,6) AS w FROM aff")
