@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import diffusion, modes, partition, prototypes, scene, selectors, spatial, study
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 
 @dataclass(frozen=True)
@@ -49,24 +49,24 @@ def candidates(pixels: DataFrame, config: study.Configuration = study.Configurat
     full, weighted = study.weighted_graph(pixels, config)
     surfaces, sweeps, fines = [], [], []
     for t, state in enumerate(states(full, weighted, grid.checkpoints, alpha=config.alpha, radius=config.window_radius)):
-        space = materialise(scene.pca(state, config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
-        near = materialise(modes.knn(space, max(config.max_neighbors - 1, grid.rank)))
+        space = fresh(scene.pca(state, config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
+        near = fresh(modes.knn(space, max(config.max_neighbors - 1, grid.rank)))
         scale = modes.local_scale(near, grid.rank)
         for g, gamma in enumerate(grid.gammas):
             at = [F.lit(t).alias("t_index"), F.lit(g).alias("g_index")]
             fine = modes.merge_from_neighbors(near.where(F.col("rank") < config.max_neighbors), gamma * scale, full)
-            clean = materialise(spatial.majority_filter(full.select("i", "y", "x").join(fine, "i"), config.filter_radius))
+            clean = fresh(spatial.majority_filter(full.select("i", "y", "x").join(fine, "i"), config.filter_radius))
             swept = study.sweep(prototypes.mode_prototypes(clean.join(space, "i")), grid.taus, grid.betas, config.prototype_neighbors)
             fines.append(clean.select(*at, "i", F.col("label").alias("mode")))
             sweeps.append(swept.select(*at, "*"))
             surfaces.append(study.surface(swept).select(*at, "*"))
-    union = lambda parts: materialise(reduce(DataFrame.unionByName, parts))
+    union = lambda parts: fresh(reduce(DataFrame.unionByName, parts))
     surface, swept, fine = union(surfaces), union(sweeps), union(fines)
     local = selectors.select_local(surface).join(surface.select("t_index", "g_index", "beta", "tau", "compression"), ["t_index", "g_index", "beta", "tau"])
     rows = sorted(local.select("beta", "t_index", "g_index", "tau", "k", "compression").collect())  # one of each t, gamma and beta at most
     entries = [selectors.Candidate(r["t_index"], r["g_index"], r["beta"], r["tau"], r["k"], r["compression"]) for r in rows]
     named = surface.sparkSession.createDataFrame([(k, c.t, c.g, float(c.beta), float(c.tau)) for k, c in enumerate(entries)], "candidate int, t_index int, g_index int, beta double, tau double")
-    groups = materialise(swept.join(named, ["t_index", "g_index", "beta", "tau"]).select("candidate", "t_index", "g_index", "mode", "g"))
+    groups = fresh(swept.join(named, ["t_index", "g_index", "beta", "tau"]).select("candidate", "t_index", "g_index", "mode", "g"))
     return Candidates(entries, _agreements(entries, fine, groups), surface, fine, groups)
 
 
@@ -80,12 +80,12 @@ def _agreements(entries: list[selectors.Candidate], fine: DataFrame, groups: Dat
     wanted = spark.createDataFrame(cells, "t int, g int, u int, h int")  # neighbours in the grid
     left = fine.select(F.col("t_index").alias("t"), F.col("g_index").alias("g"), "i", F.col("mode").alias("m"))
     right = fine.select(F.col("t_index").alias("u"), F.col("g_index").alias("h"), "i", F.col("mode").alias("o"))
-    met = materialise(left.join(F.broadcast(wanted), ["t", "g"]).join(right, ["i", "u", "h"]).groupBy("t", "g", "u", "h", "m", "o").agg(F.count("*").alias("n")))
+    met = fresh(left.join(F.broadcast(wanted), ["t", "g"]).join(right, ["i", "u", "h"]).groupBy("t", "g", "u", "h", "m", "o").agg(F.count("*").alias("n")))
     two = spark.createDataFrame([(a, b, entries[a].t, entries[a].g, entries[b].t, entries[b].g) for a, b in pairs], "a int, b int, t int, g int, u int, h int")
     first = groups.select(F.col("candidate").alias("a"), F.col("mode").alias("m"), F.col("g").alias("p1"))
     second = groups.select(F.col("candidate").alias("b"), F.col("mode").alias("o"), F.col("g").alias("p2"))
     table = met.join(F.broadcast(two), ["t", "g", "u", "h"]).join(first, ["a", "m"]).join(second, ["b", "o"]).groupBy("a", "b", F.col("p1").alias("t"), F.col("p2").alias("p")).agg(F.sum("n").alias("n"))
-    return {(r["a"], r["b"]): r["ari"] for r in partition.ari_of_cells(materialise(table)).collect()}
+    return {(r["a"], r["b"]): r["ari"] for r in partition.ari_of_cells(fresh(table)).collect()}
 
 
 def select_automatic(found: Candidates, version: int = 1, rule: selectors.Rule = selectors.Rule()) -> int | None:

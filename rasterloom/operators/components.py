@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 #: So few edges that one task settles them at once (under 2 MB of ids).
 FEW_EDGES = 100_000
@@ -45,22 +45,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     FEW_EDGES are left, one executor task settles them without further rounds. Nodes are 64-bit integers or smaller.
     """
     a, b = F.least(src, dst).cast("long").alias("a"), F.greatest(src, dst).cast("long").alias("b")
-    left = materialise(edges.select(a, b).where("a is not null and b is not null and a < b").distinct())
+    left = fresh(edges.select(a, b).where("a is not null and b is not null and a < b").distinct())
     steps: list[DataFrame] = []
     for _ in range(most_rounds):
         n = left.count()
         if n <= FEW_EDGES:
             if n:
-                steps.append(materialise(left.coalesce(1).mapInArrow(_settle, "node long, up long")))
+                steps.append(fresh(left.coalesce(1).mapInArrow(_settle, "node long, up long")))
             break
         up = left.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("up"))).groupBy("node").agg(F.min("up").alias("up"))
         for _ in range(2):
             far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
             up = up.join(far, "up").select("node", F.col("far").alias("up"))
-        up = materialise(up)
+        up = fresh(up)
         steps.append(up)
         ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        left = materialise(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        left = fresh(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
     if not steps:

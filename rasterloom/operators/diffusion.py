@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.arrow import matrix
 from rasterloom.functions.vector import distance, gaussian
 from rasterloom.operators.modes import merge_modes
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 
 def _check(anchor: float) -> None:
@@ -60,7 +60,7 @@ def diffuse(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: flo
     """
     _check(anchor)
     state = pixels.select("i", F.col("v").alias("y"), F.col("v").alias("x0"))
-    edges = materialise(edges.select("i", "j", "w"))
+    edges = fresh(edges.select("i", "j", "w"))
     return _rounds(state, lambda rows: neighbour_means(rows, edges), _moved(alpha, anchor), max_iter, tol, every)
 
 
@@ -74,7 +74,7 @@ def _rounds(state: DataFrame, means: Callable[[DataFrame], DataFrame], moved: Co
         state = after.select("i", F.col("_new").alias("y"), "x0", F.concat("way", F.array(distance("y", "_new"))).alias("way"))
         held += 1
         if tol > 0 or held == every or k == max_iter:
-            state = materialise(state)
+            state = fresh(state)
             history += list(state.agg(*[F.coalesce(F.max(F.get("way", F.lit(r))), F.lit(0.0)).alias(f"w{r}") for r in range(held)]).first())
             state, held = state.withColumn("way", none), 0
             if tol > 0 and history[-1] < tol:
@@ -188,14 +188,14 @@ def diffuse_tiled(pixels: DataFrame, edges: DataFrame, checkpoints: list[int] |
 
     lines = dealt(edges.select("i", "j", "w").join(places, "i")).select("tile", "i", "j", F.col("w").cast("double").alias("w"))
     packed = dealt(places).groupBy("tile").cogroup(lines.groupBy("tile")).applyInArrow(_pack, "tile long, " + ", ".join(f"{n} binary" for n in _PACKED))
-    packed = materialise(packed)
+    packed = fresh(packed)
     v = F.col("v").cast("array<double>")
     state = pixels.select("i", F.col("y").cast("long").alias("r"), F.col("x").cast("long").alias("c"), v.alias("v"), (v if anchor else F.array().cast("array<double>")).alias("f"))
     out, done = [], 0
     for t in rounds:
         while done < t:
             n = min(depth, t - done)
-            state = materialise(dealt(state).select("tile", "i", "v", "f").groupBy("tile").cogroup(packed.groupBy("tile")).applyInArrow(_rounds_of(n, alpha, anchor), "i long, r long, c long, v array<double>, f array<double>"))
+            state = fresh(dealt(state).select("tile", "i", "v", "f").groupBy("tile").cogroup(packed.groupBy("tile")).applyInArrow(_rounds_of(n, alpha, anchor), "i long, r long, c long, v array<double>, f array<double>"))
             done += n
         out.append(state.select(F.lit(t).cast("long").alias("t"), "i", F.col("v").alias("y")))
     return reduce(DataFrame.unionByName, out)
@@ -204,7 +204,7 @@ def diffuse_tiled(pixels: DataFrame, edges: DataFrame, checkpoints: list[int] |
 def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: float, sigma_spatial: float, max_iter: int = 100, tol: float = 1e-4, alpha: float = 0.5, blurring: bool = True, use_spatial: bool = True, every: int = 4) -> tuple[DataFrame, list[float]]:
     """Mean shift whose weights are taken anew each round, between current states (blurring) or a state and the neighbours' first vectors. edges: (i, j, sp)."""
     state = pixels.select("i", F.col("v").alias("y"), F.col("v").alias("x0"))
-    edges = materialise(edges.select("i", "j", "sp"))
+    edges = fresh(edges.select("i", "j", "sp"))
 
     def means(rows: DataFrame) -> DataFrame:
         seen = "y" if blurring else "x0"
@@ -218,4 +218,4 @@ def diffuse_dynamic(pixels: DataFrame, edges: DataFrame, *, sigma_spectral: floa
 def cluster(pixels: DataFrame, edges: DataFrame, *, max_iter: int = 50, tol: float = 1e-4, alpha: float = 0.5, anchor: float = 0.0, merge_tol: float = 0.15, merge_components: int = 10) -> DataFrame:
     """(i, label) of a weighted graph in one call: diffuse, then merge the modes."""
     state, _ = diffuse(pixels, edges, max_iter=max_iter, tol=tol, alpha=alpha, anchor=anchor)
-    return merge_modes(materialise(state), merge_tol, pca_components=merge_components)
+    return merge_modes(fresh(state), merge_tol, pca_components=merge_components)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.arrow import matrix
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.modes import BLOCK, PIVOTS, _distances, dense_numbers, knn
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 #: Edges of the tree in a class, and edges settled together if their components are small.
 CLASS, TOGETHER = 1_000_000, 50_000
@@ -99,7 +99,7 @@ def _outgoing(asks: DataFrame, state: DataFrame, groups: _Groups, block: int) ->
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("i", "v", "core", "c")), pa.array(pick), pa.array(low[np.arange(len(low)), pick]), pa.array(there)], ["i", "v", "core", "c", "h", "low", "there"])
 
     lost = asks.where("most is null").select("i", "v", "core", "c").mapInArrow(promise, f"{_POINT}, h long, low double, there double")
-    first = materialise(lost.groupBy("c").agg(F.min("there").alias("there"), F.min_by(F.struct("i", "v", "core", "h"), F.struct("low", "i")).alias("p")))
+    first = fresh(lost.groupBy("c").agg(F.min("there").alias("there"), F.min_by(F.struct("i", "v", "core", "h"), F.struct("low", "i")).alias("p")))
     probes = first.select("p.i", "p.v", "p.core", "c", F.lit(float("inf")).alias("most"), "p.h")
     hit = _meet(probes, state, groups, block)
     bounds = first.select("c", "there").join(hit.select("c", F.col("s.d").alias("hit")), "c", "left").select("c", F.least("there", "hit").alias("bound"))
@@ -113,7 +113,7 @@ def _outgoing(asks: DataFrame, state: DataFrame, groups: _Groups, block: int) ->
                 row, h = np.nonzero((low <= part.column("most").to_numpy()[:, None]) & np.isfinite(low))
                 yield pa.RecordBatch.from_arrays([*(part.column(n).take(pa.array(row)) for n in ("i", "v", "core", "c", "most")), pa.array(h)], ["i", "v", "core", "c", "most", "h"])
 
-    wanted = materialise(bound.select("i", "v", "core", "c", "most").mapInArrow(need, f"{_POINT}, most double, h long"))
+    wanted = fresh(bound.select("i", "v", "core", "c", "most").mapInArrow(need, f"{_POINT}, most double, h long"))
     return _meet(wanted, state, groups, block)
 
 
@@ -125,10 +125,10 @@ def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32, block: int
     component needs no edge of its own in a round, since all others find theirs.
     """
     k = max(k, min_size - 1)
-    near = materialise(knn(points, k))
+    near = fresh(knn(points, k))
     core = near.where(F.col("rank") == min(min_size - 1, k)).select("i", F.col("d").alias("c"))
     a, b = core.select("i", F.col("c").alias("_a")), core.select(F.col("i").alias("j"), F.col("c").alias("_b"))
-    edges = materialise(near.join(a, "i").join(b, "j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.greatest("d", "_a", "_b").alias("d")).distinct())
+    edges = fresh(near.join(a, "i").join(b, "j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.greatest("d", "_a", "_b").alias("d")).distinct())
     reach = near.where(F.col("rank") == k).select("i", F.col("d").alias("reach"))  # without a k-th neighbour all others are listed
     full = points.join(core.withColumnRenamed("c", "core"), "i").join(reach, "i", "left").select("i", F.col("v").cast("array<double>").alias("v"), "core", "reach")
     n = points.count()
@@ -145,7 +145,7 @@ def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32, block: int
                 d = _distances(matrix(part.column("v")), pivots)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d.argmin(1)), pa.array(d.min(1))], [*part.schema.names, "g", "far"])
 
-    full = materialise(full.mapInArrow(place, "i long, v array<double>, core double, reach double, g long, far double"))
+    full = fresh(full.mapInArrow(place, "i long, v array<double>, core double, reach double, g long, far double"))
     label = points.select("i", F.col("i").alias("c"))
     tree = None
     for _ in range(64):
@@ -155,18 +155,18 @@ def spanning_tree(points: DataFrame, min_size: int = 5, k: int = 32, block: int
             break
         ends = edges.join(label.withColumnRenamed("c", "ci"), "i").join(label.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").where("ci <> cj")
         both = ends.select("i", "j", "d", F.col("ci").alias("c")).unionByName(ends.select("i", "j", "d", F.col("cj").alias("c")))
-        listed = materialise(both.where(F.col("c") != many["largest"]).groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("s")))
-        state = materialise(full.join(label, "i"))
+        listed = fresh(both.where(F.col("c") != many["largest"]).groupBy("c").agg(F.min(F.struct("d", "i", "j")).alias("s")))
+        state = fresh(full.join(label, "i"))
         known = listed.select("c", F.col("s.d").alias("most"))
-        asks = materialise(state.where(F.col("c") != many["largest"]).join(known, "c", "left").where(F.col("reach") <= F.coalesce("most", F.lit(float("inf")))))
+        asks = fresh(state.where(F.col("c") != many["largest"]).join(known, "c", "left").where(F.col("reach") <= F.coalesce("most", F.lit(float("inf")))))
         if not asks.isEmpty():
             listed = listed.unionByName(_outgoing(asks, state, _Groups(pivots, state, heads), block))
-        best = materialise(listed.groupBy("c").agg(F.min("s").alias("s")).select("s.*").distinct())
+        best = fresh(listed.groupBy("c").agg(F.min("s").alias("s")).select("s.*").distinct())
         if best.isEmpty():
             break
-        tree = best if tree is None else materialise(tree.unionByName(best).distinct())
+        tree = best if tree is None else fresh(tree.unionByName(best).distinct())
         joined = connected_components(tree, "i", "j")
-        label = materialise(points.select("i").join(joined.withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("c")))
+        label = fresh(points.select("i").join(joined.withColumnRenamed("node", "i"), "i", "left").select("i", F.coalesce("component", "i").alias("c")))
     return tree if tree is not None else edges.limit(0)
 
 
@@ -242,13 +242,13 @@ def density_clusters(points: DataFrame, tree: DataFrame, min_size: int = 5, most
     n = tree.count()
     classes = max(1, -(-n // most))
     ordered = tree.select("d", "i", "j").repartitionByRange(classes, "d", "i", "j").sortWithinPartitions("d", "i", "j")
-    rest = materialise(ordered.select(F.spark_partition_id().alias("k"), F.monotonically_increasing_id().alias("e"), "d", F.col("i").alias("a"), F.col("j").alias("b")))  # e ascends with d, i, j
+    rest = fresh(ordered.select(F.spark_partition_id().alias("k"), F.monotonically_increasing_id().alias("e"), "d", F.col("i").alias("a"), F.col("j").alias("b")))  # e ascends with d, i, j
     inside = points.select("i", F.col("i").alias("at"))  # the small component that a point is in
     housed, ended, parts = None, None, None
     add = lambda x, y: y if x is None else x.unionByName(y)
     for k in range(classes):
         own = rest.where(F.col("k") == k)
-        moved = materialise(connected_components(own, "a", "b"))
+        moved = fresh(connected_components(own, "a", "b"))
         buckets = max(1, -(-own.count() // TOGETHER))
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
         nodes = moved.select(bucket("component"), "node")
@@ -257,27 +257,27 @@ def density_clusters(points: DataFrame, tree: DataFrame, min_size: int = 5, most
         else:
             nodes = nodes.join(parts, "node", "left").select("bucket", "node", F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("s", F.lit(0.0)).alias("s"), "below", "cluster")
         lines = own.join(moved.select(F.col("node").alias("a"), F.col("component").alias("of")), "a").select(bucket("of"), "e", "d", "a", "b")
-        out = materialise(lines.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_settle(min_size), _SETTLED))
+        out = fresh(lines.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(_settle(min_size), _SETTLED))
         left = out.where("kind = 0").select(F.col("x").alias("node"), "size", "s", "below", "cluster")
-        parts = left if parts is None else materialise(parts.join(moved, "node", "left_anti").unionByName(left))
+        parts = left if parts is None else fresh(parts.join(moved, "node", "left_anti").unionByName(left))
         ended = add(ended, out.where("kind = 1").select(F.col("x").alias("cluster"), F.col("y").alias("up"), "chosen"))
         fate = out.where("kind = 2").select(F.col("x").alias("at"), F.col("y").alias("to"), F.col("cluster").alias("home"))
-        known = materialise(inside.join(fate, "at", "left"))
+        known = fresh(inside.join(fate, "at", "left"))
         housed = add(housed, known.where("home is not null").select("i", "home"))
         inside = known.where("home is null").select("i", F.coalesce("to", "at").alias("at"))
         if k + 1 < classes:
             for side in ("a", "b"):
                 rest = rest.where(F.col("k") > k).join(moved.select(F.col("node").alias(side), F.col("component").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
-            rest = materialise(rest)
+            rest = fresh(rest)
     roots = parts.where("cluster is not null").select("cluster", F.lit(None).cast("long").alias("up"), F.lit(False).alias("chosen"))
     # the topmost chosen cluster on the way up, by pointers that double their reach
-    path = materialise(ended.unionByName(roots).select("cluster", "up", F.when(F.col("chosen"), F.col("cluster")).alias("top")))
+    path = fresh(ended.unionByName(roots).select("cluster", "up", F.when(F.col("chosen"), F.col("cluster")).alias("top")))
     for _ in range(64):
         if path.where("up is not null").isEmpty():
             break
         far = path.select(F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"))
-        path = materialise(path.join(far, "up", "left").select("cluster", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
-    found = materialise(housed.join(path.select(F.col("cluster").alias("home"), "top"), "home").where("top is not null").select("i", "top"))
+        path = fresh(path.join(far, "up", "left").select("cluster", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top")))
+    found = fresh(housed.join(path.select(F.col("cluster").alias("home"), "top"), "home").where("top is not null").select("i", "top"))
     numbers = dense_numbers(found.select("top").distinct(), "top")
     labels = found.join(numbers, "top").select("i", F.col("label").cast("int").alias("label"))
     return points.select("i").join(labels, "i", "left").select("i", F.coalesce("label", F.lit(-1)).alias("label"))

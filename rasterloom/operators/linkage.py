@@ -18,7 +18,7 @@ from rasterloom.functions.vector import squared_distance
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.modes import BLOCK, PIVOTS, dense_numbers
 from rasterloom.operators.prototypes import adjusted_dispersions
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 #: Under a scale of this size a separation divides by it instead.
 LEAST_SCALE = 1e-8
@@ -34,7 +34,7 @@ def pairs_within(modes: DataFrame, limit: float, *, size_exponent: float = 0.0,
     A mode belongs to its nearest of up to PIVOTS modes drawn by hash. It meets only the groups whose ball comes within
     limit times the largest scale it can have with another mode, block against block. Exact.
     """
-    rows = materialise(adjusted_dispersions(modes, size_exponent).select(F.col("mode").cast("long").alias("i"), F.col("mu").cast("array<double>").alias("v"), F.col("s").cast("double").alias("s")))
+    rows = fresh(adjusted_dispersions(modes, size_exponent).select(F.col("mode").cast("long").alias("i"), F.col("mu").cast("array<double>").alias("v"), F.col("s").cast("double").alias("s")))
     n, widest = rows.agg(F.count("*"), F.max("s")).first()
     if n == 0:
         return rows.select(F.col("i").alias("a"), F.col("i").alias("b"), F.col("s").alias("sep"))
@@ -45,7 +45,7 @@ def pairs_within(modes: DataFrame, limit: float, *, size_exponent: float = 0.0,
             away = _far(matrix(batch.column(1)), pivots)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away.argmin(1)), pa.array(away.min(1, initial=np.inf))], ["i", "v", "s", "g", "far"])
 
-    placed = materialise(rows.mapInArrow(place, "i long, v array<double>, s double, g long, far double"))
+    placed = fresh(rows.mapInArrow(place, "i long, v array<double>, s double, g long, far double"))
     size, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
     for r in placed.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():  # PIVOTS rows at most
         size[r["g"]], radius[r["g"]] = -(-r["n"] // block), r["radius"]
@@ -62,7 +62,7 @@ def pairs_within(modes: DataFrame, limit: float, *, size_exponent: float = 0.0,
     parts = F.array(*[F.lit(int(max(s, 1))).cast("long") for s in size])
     parts_of = lambda g: F.element_at(parts, (F.col(g) + 1).cast("int"))
     asks = placed.mapInArrow(reach, "i long, v array<double>, s double, need array<long>").withColumn("h", F.explode("need")).drop("need")
-    asks = materialise(asks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("h") - 1))))
+    asks = fresh(asks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("h") - 1))))
     cells = asks.groupBy("h", "t").agg(F.ceil(F.count("*") / block).alias("chunks"))
     held = placed.select("i", "v", "s", F.col("g").alias("h"), F.pmod(F.xxhash64("i"), parts_of("g")).alias("t")).join(cells, ["h", "t"])
     held = held.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
@@ -102,15 +102,15 @@ def linkage_groups(modes: DataFrame, threshold: float, linkage: str = "average",
     """
     if linkage not in ("single", "average", "complete"):
         raise ValueError(f"unknown linkage {linkage}")
-    modes = materialise(modes)
+    modes = fresh(modes)
     limit = 2 * threshold if linkage == "average" else threshold
-    pairs = materialise(pairs_within(modes, limit, size_exponent=size_exponent, block=block))
+    pairs = fresh(pairs_within(modes, limit, size_exponent=size_exponent, block=block))
     if linkage == "single":
         found = connected_components(pairs, "a", "b").withColumnRenamed("node", "mode")
         named = modes.select("mode").join(found, "mode", "left").select("mode", F.coalesce("component", F.col("mode").cast("long")).alias("group"))
     else:
         named = _merged(modes, pairs, threshold, limit, linkage == "average", size_exponent)
-    named = materialise(named)
+    named = fresh(named)
     return named.join(dense_numbers(named.select("group").distinct(), "group"), "group").select("mode", F.col("label").cast("long").alias("group"))
 
 
@@ -128,7 +128,7 @@ def _merged(modes: DataFrame, pairs: DataFrame, threshold: float, limit: float,
         if average:
             missing = F.when(F.col("c") < all_, (all_ - F.col("c")) * F.lit(float(limit))).otherwise(0.0)
             near = (F.col("total") + missing) / all_ <= F.lit(float(threshold) + 1e-9)
-            sized = materialise(sized.withColumn("short", (F.col("c") < all_) & near))
+            sized = fresh(sized.withColumn("short", (F.col("c") < all_) & near))
             cells = sized.where("not short").select("a", "b", "total", "c", (F.col("c") == all_).alias("whole"))
             short = sized.where("short").select("a", "b")
             if not short.isEmpty():
@@ -139,19 +139,19 @@ def _merged(modes: DataFrame, pairs: DataFrame, threshold: float, limit: float,
                 sep = F.sqrt(squared_distance("x", "y")) / scale
                 full = short.join(left, "a").join(right, "b").groupBy("a", "b").agg(F.sum(sep).alias("total"), F.count("*").alias("c"))
                 cells = cells.unionByName(full.withColumn("whole", F.lit(True)))
-            cells = materialise(cells)
+            cells = fresh(cells)
             value = F.when(F.col("whole"), F.round(F.col("total") / F.col("c"), 12))
         else:
             # an unlisted pair is beyond the threshold and stays between the two groups, however they grow
-            cells = materialise(sized.where(F.col("c") == all_).select("a", "b", "total", "c"))
+            cells = fresh(sized.where(F.col("c") == all_).select("a", "b", "total", "c"))
             value = F.col("total")
         close = cells.select("a", "b", value.alias("d")).where(F.col("d") <= threshold)
         best = close.select(F.explode(F.array("a", "b")).alias("g"), F.struct("d", "a", "b").alias("p")).groupBy("g").agg(F.min("p").alias("p"))
-        mutual = materialise(best.groupBy("p").agg(F.count("*").alias("k")).where("k = 2").select("p.a", "p.b"))
+        mutual = fresh(best.groupBy("p").agg(F.count("*").alias("k")).where("k = 2").select("p.a", "p.b"))
         if mutual.isEmpty():
             return group
         into = mutual.select(F.col("b").alias("group"), F.col("a").alias("_to"))
-        group = materialise(group.join(into, "group", "left").select("mode", F.coalesce("_to", "group").alias("group")))
+        group = fresh(group.join(into, "group", "left").select("mode", F.coalesce("_to", "group").alias("group")))
         moved = cells.select("a", "b", "total", "c")
         for end in ("a", "b"):
             moved = moved.join(into.select(F.col("group").alias(end), "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")

@@ -13,7 +13,7 @@ from rasterloom.functions.arrow import matrix
 from rasterloom.functions.order import median
 from rasterloom.operators.components import connected_components
 from rasterloom.operators.scene import pca
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 BLOCK, PIVOTS = 2048, 1024
 
@@ -73,7 +73,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
                 own[at : at + 1024], far[at : at + 1024] = d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(far)], ["i", "v", "g", "far"])
 
-    placed = materialise(rows.mapInArrow(place, "i long, v array<double>, g long, far double"))
+    placed = fresh(rows.mapInArrow(place, "i long, v array<double>, g long, far double"))
     groups = sorted(placed.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect())  # PIVOTS rows at most
     size = np.zeros(len(pivots), np.int64)
     radius = np.full(len(pivots), -np.inf)
@@ -98,7 +98,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
             need += [np.flatnonzero(row).tolist() for row in near]
         return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64())))
 
-    asked = materialise(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
+    asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
     asks = asked.select("i", "v", F.explode("need").alias("h")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("h").cast("long") - 1)))
     cells = asks.groupBy("h", "t").agg(F.ceil(F.count("*") / block).alias("chunks"))
     asks = asks.join(_again(cells), ["h", "t"]).withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
@@ -144,7 +144,7 @@ def number_labels(df: DataFrame, column: str) -> DataFrame:
 def dense_numbers(values: DataFrame, column: str) -> DataFrame:
     """(column, label) of distinct values: position in their order, from 0. Ranges are counted, then rows numbered within each."""
     dealt = values.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
-    dealt = materialise(dealt)
+    dealt = fresh(dealt)
     before = dealt.groupBy("_p").agg(F.count("*").alias("n")).collect()  # a row a partition
     start, total = {}, 0
     for r in sorted(before):

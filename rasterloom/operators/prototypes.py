@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.vector import squared_distance, squared_norm
 from rasterloom.operators.modes import dense_numbers, knn
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 
 def mode_prototypes(pixels: DataFrame, vector: str = "v", label: str = "label", floored: bool = True) -> DataFrame:
@@ -133,20 +133,20 @@ def reciprocal_consolidate(mu: np.ndarray, disp: np.ndarray, n: np.ndarray, thre
 
 def consolidate_rounds(modes: DataFrame, threshold: float, *, k: int = 30, size_exponent: float = 0.0) -> DataFrame:
     """G8 over the cluster: (mode, group), a group being named by its smallest mode."""
-    group = materialise(modes.select("mode", F.col("mode").alias("group")))
+    group = fresh(modes.select("mode", F.col("mode").alias("group")))
     while threshold > 0:
-        pairs = materialise(mutual_best_pairs(prototype_edges(modes, k, size_exponent), threshold))
+        pairs = fresh(mutual_best_pairs(prototype_edges(modes, k, size_exponent), threshold))
         if pairs.isEmpty():
             break
         into = pairs.select(F.col("b").alias("group"), F.col("a").alias("_to"))
-        group = materialise(group.join(into, "group", "left").select("mode", F.coalesce("_to", "group").alias("group")))
-        modes = materialise(pooled_merge(modes, pairs))
+        group = fresh(group.join(into, "group", "left").select("mode", F.coalesce("_to", "group").alias("group")))
+        modes = fresh(pooled_merge(modes, pairs))
     return group
 
 
 def consolidate_modes(modes: DataFrame, threshold: float, *, k: int = 30, size_exponent: float = 0.0, most: int = MOST_MODES) -> DataFrame:
     """(mode, group), groups numbered from 0 by their smallest mode. Up to `most` modes are merged as arrays, more in rounds over the cluster."""
-    modes = materialise(modes)
+    modes = fresh(modes)
     if modes.count() > most:
         named = consolidate_rounds(modes, threshold, k=k, size_exponent=size_exponent)
         numbers = dense_numbers(named.select("group").distinct(), "group")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import diffusion, graph, modes, partition, prototypes, scene, spatial
 from rasterloom.operators.selectors import adjacent_stability
-from rasterloom.session import materialise
+from rasterloom.session import fresh
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,10 @@ def weighted_graph(pixels: DataFrame, config: Configuration, lap: Callable[[str]
     """The standardised scene (i, y, x, v) and its affinities (i, j, w)."""
     if "gt" in pixels.columns:
         raise ValueError("selection must not see the reference labels")
-    full = materialise(scene.zscore(pixels.select("i", "y", "x", "v")))
-    edges = materialise(graph.build_graph(full, pca_components=config.pca_components, k=config.k, window_radius=config.window_radius, mutual=config.mutual, min_degree=config.min_degree))
+    full = fresh(scene.zscore(pixels.select("i", "y", "x", "v")))
+    edges = fresh(graph.build_graph(full, pca_components=config.pca_components, k=config.k, window_radius=config.window_radius, mutual=config.mutual, min_degree=config.min_degree))
     lap("load_graph")
-    weighted = materialise(graph.affinities(materialise(graph.spectral_edges(edges, full)), use_spatial=config.use_spatial_affinity).select("i", "j", "w"))
+    weighted = fresh(graph.affinities(fresh(graph.spectral_edges(edges, full)), use_spatial=config.use_spatial_affinity).select("i", "j", "w"))
     lap("affinity")
     return full, weighted
 
@@ -76,21 +76,21 @@ def discover(pixels: DataFrame, config: Configuration = Configuration(), *, time
         state = full.select("i", F.col("v").alias("y"))
     else:
         state = diffusion.diffuse_tiled(full, weighted, [config.checkpoint], radius=config.window_radius, alpha=config.alpha).select("i", "y")
-    state = materialise(state)
+    state = fresh(state)
     lap("diffusion")
-    space = materialise(scene.pca(state.select("i", F.col("y").alias("v")), config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
+    space = fresh(scene.pca(state.select("i", F.col("y").alias("v")), config.merge_components, standardise=True).select("i", F.col("p").alias("v")))
     if config.disable_fine_grouping:
         fine = full.select("i", F.col("i").alias("label"))
     else:
         fine = modes.merge_from_neighbors(modes.knn(space, config.max_neighbors - 1, n=n), config.fine_radius, full)
-    fine = materialise(full.select("i", "y", "x").join(fine, "i"))
-    clean = materialise(spatial.majority_filter(fine, config.filter_radius))
+    fine = fresh(full.select("i", "y", "x").join(fine, "i"))
+    clean = fresh(spatial.majority_filter(fine, config.filter_radius))
     if config.disable_consolidation:
         final = clean
     else:
         table = prototypes.mode_prototypes(clean.join(space, "i"))
         final = prototypes.apply_groups(clean, prototypes.consolidate_modes(table, config.prototype_threshold, k=config.prototype_neighbors, size_exponent=config.size_exponent))
-    out = materialise(clean.select("i", "y", "x", F.col("label").alias("fine")).join(final.select("i", "label"), "i"))
+    out = fresh(clean.select("i", "y", "x", F.col("label").alias("fine")).join(final.select("i", "label"), "i"))
     lap("modes_merge")
     return out
 
@@ -107,13 +107,13 @@ def tau_surface(features: DataFrame, labels: DataFrame, taus: Iterable[float], b
 
 def sweep(table: DataFrame, taus: Iterable[float], betas: Iterable[float] = (0.0, 0.5), k: int = 30, most: int = prototypes.MOST_MODES) -> DataFrame:
     """(beta, tau, tau_index, mode, g, n): the group of each mode of `table` at each entry of the grid. Up to `most` modes, entries are tasks of their own; more modes are merged entry by entry over the cluster."""
-    table = materialise(table)
+    table = fresh(table)
     grid = [(float(b), float(t), x) for b in betas for x, t in enumerate(taus)]
     names = "beta double, tau double, tau_index int"
     spark = table.sparkSession
     if table.count() > most:
         parts = [prototypes.consolidate_rounds(table, t, k=k, size_exponent=b).join(table.select("mode", "n"), "mode").select(F.lit(b).alias("beta"), F.lit(t).alias("tau"), F.lit(x).alias("tau_index"), "mode", F.col("group").alias("g"), "n") for b, t, x in grid]
-        return materialise(reduce(DataFrame.unionByName, parts))
+        return fresh(reduce(DataFrame.unionByName, parts))
     ids, mu, disp, size = prototypes.modes_to_arrays(table, most)
     kind = table.schema["mode"].dataType.simpleString()
 
@@ -125,7 +125,7 @@ def sweep(table: DataFrame, taus: Iterable[float], betas: Iterable[float] = (0.0
                 yield pa.RecordBatch.from_pydict({"beta": [b] * m, "tau": [t] * m, "tau_index": pa.array([x] * m, pa.int32()), "mode": ids, "g": group.astype("int64"), "n": size.astype("int64")})
 
     entries = spark.createDataFrame(grid, names).repartition(min(len(grid), 64))
-    return materialise(entries.mapInArrow(run, f"{names}, mode {kind}, g long, n long"))
+    return fresh(entries.mapInArrow(run, f"{names}, mode {kind}, g long, n long"))
 
 
 def surface(df: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def repeatability(a: DataFrame, b: DataFrame, truth: DataFrame | None = None, ig
     both = a.select("i", F.col("label").alias("t")).join(b.select("i", F.col("label").alias("p")), "i")
     if truth is not None:
         both = both.join(truth.select("i", "gt"), "i")
-    both = materialise(both)
+    both = fresh(both)
     counts = both.agg(F.count("*").alias("n"), F.countDistinct("t").alias("k_a"), F.countDistinct("p").alias("k_b"))
     out = counts.crossJoin(partition.ari(partition.contingency(both, "t", "p"))).withColumn("k_difference", F.col("k_b") - F.col("k_a"))  # one-row frames
     if truth is not None:
@@ -302,7 +302,7 @@ def replace_pixels(pixels: DataFrame, share: float = 0.05, seed: int = 1) -> Dat
 
     Ids may have gaps and must be distinct. A scene of one pixel keeps its vector.
     """
-    numbered = materialise(pixels.select("i", "v").join(modes.dense_numbers(pixels.select("i"), "i"), "i"))
+    numbered = fresh(pixels.select("i", "v").join(modes.dense_numbers(pixels.select("i"), "i"), "i"))
     n = numbered.count()
     step = 1 + seed * 7919 % max(n - 1, 1)
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("i")).cast("binary")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
