@@ -161,17 +161,14 @@ def _users(spark, d):
     return read_table(spark, d, "events").select(u.alias("candidate"), (u % 4).alias("t_index"), (F.floor(u / 4) % 4).alias("g_index"), (F.floor(u / 16) % 2).alias("beta")).distinct()
 
 
-_CELLS = _USERS + ", k AS (SELECT b, t, g, min(candidate) AS first, count(*) AS n FROM c GROUP BY 1, 2, 3) SELECT x.first AS a, x.n AS a_members, y.first AS b, y.n AS b_members, "
-
-
-@query("grid_peers", _CELLS + "CASE WHEN y.t=x.t+1 THEN 't' ELSE 'gamma' END AS axis FROM k x JOIN k y ON x.b=y.b AND abs(x.t-y.t)+abs(x.g-y.g)=1 AND (x.t<y.t OR x.g<y.g)")
+@query("grid_peers", _USERS + " SELECT x.candidate AS a, y.candidate AS b, CASE WHEN abs(x.t-y.t)=1 THEN 't' ELSE 'gamma' END AS axis FROM c x JOIN c y ON x.b=y.b AND x.candidate<y.candidate AND abs(x.t-y.t)+abs(x.g-y.g)=1")
 def grid_peers(spark, d):
-    return E.grid_peers(_users(spark, d))
+    return E.grid_pairs(_users(spark, d))
 
 
-@query("beta_peers", _CELLS + "x.b AS a_beta, y.b AS b_beta FROM k x JOIN k y ON x.t=y.t AND x.g=y.g AND x.b<y.b")
+@query("beta_peers", _USERS + " SELECT x.candidate AS a, y.candidate AS b FROM c x JOIN c y ON x.t=y.t AND x.g=y.g AND x.candidate<y.candidate WHERE x.b<>y.b")
 def beta_peers(spark, d):
-    return E.beta_peers(_users(spark, d))
+    return E.beta_pairs(_users(spark, d))
 
 
 _RULES = "WITH e AS (SELECT user_id % 5 AS s, (user_id // 5) % 3 AS c, (user_id // 15) % 5 AS b, user_id % 8 AS scene, round(avg(value)/100,6) AS v, round(max(value)/1000,6) AS w FROM events GROUP BY 1,2,3,4), m AS (SELECT s, c, b, count(*) AS coverage, avg(v) AS mean_nmi, avg(w) AS mean_ari, avg((v+w)/2) AS score FROM e GROUP BY 1,2,3)"
