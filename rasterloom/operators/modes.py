@@ -16,6 +16,8 @@ from rasterloom.operators.scene import pca
 from rasterloom.session import fresh
 
 BLOCK, PIVOTS = 2048, 1024
+#: So many points of either side meet in a task of the search for neighbours.
+TASK = 16_384
 
 
 def _nearest(k: int):
@@ -53,8 +55,9 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
 
     Beyond a block of points, each belongs to its nearest of up to PIVOTS points drawn by hash. Within a block of its own
     group a point finds k others, the farthest of which bounds its search: a group is out of reach if even the point of its
-    ball next to this one is farther. Points meet only the groups in reach, block against block, and the partial lists are
-    merged. Without any structure all groups are in reach and every two blocks meet.
+    ball next to this one is farther. Groups are gathered into lots of TASK points, so that a point is sent once to each lot
+    with a group in reach; the partial lists are merged. Without any structure every two lots meet: n / TASK copies of
+    the points are shuffled.
     """
     n = points.count() if n is None else n
     rows = points.select("i", F.col(vector).cast("array<double>").alias("v"))
@@ -79,8 +82,14 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
     radius = np.full(len(pivots), -np.inf)
     for r in groups:
         size[r["g"]], radius[r["g"]] = -(-r["n"] // block), r["radius"]
-    parts_of = lambda g: F.element_at(F.array(*[F.lit(int(max(s, 1))) for s in size]), (F.col(g) + 1).cast("int"))
-    dealt = placed.withColumn("s", F.pmod(F.xxhash64("i"), parts_of("g")))
+    size = np.maximum(size, 1)
+    first = np.cumsum(size) - size  # the groups' blocks, numbered
+    per = max(1, TASK // block)
+    lots = np.zeros((len(size), int(size.sum() - 1) // per + 1))
+    for g, (a, b) in enumerate(zip(first, first + size, strict=True)):
+        lots[g, a // per : (b - 1) // per + 1] = 1
+    of_group = lambda x: F.element_at(F.array(*[F.lit(int(z)) for z in x]), (F.col("g") + 1).cast("int"))
+    dealt = placed.withColumn("s", F.pmod(F.xxhash64("i"), of_group(size)))
 
     def reach(table: pa.Table) -> pa.Table:
         x = matrix(table.column("v"))
@@ -95,15 +104,16 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
             away = _distances(part, pivots)
             hair = 1e-6 * (1 + np.abs(part).max(1) + np.abs(pivots).max())
             near = away - radius <= (bound + hair)[:, None]
-            need += [np.flatnonzero(row).tolist() for row in near]
+            need += [np.flatnonzero(row).tolist() for row in near.astype(float) @ lots]
         return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64())))
 
     asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
-    asks = asked.select("i", "v", F.explode("need").alias("h")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), parts_of("h").cast("long") - 1)))
-    cells = asks.groupBy("h", "t").agg(F.ceil(F.count("*") / block).alias("chunks"))
-    asks = asks.join(_again(cells), ["h", "t"]).withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
-    held = asked.select("i", "v", F.col("g").alias("h"), F.col("s").alias("t")).join(cells, ["h", "t"]).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    parts = asks.select("i", "v", "h", "t", "c").groupBy("h", "t", "c").cogroup(_again(held.select("i", "v", "h", "t", "c")).groupBy("h", "t", "c")).applyInArrow(_nearest(k), "i long, j long, d double")
+    asks = asked.select("i", "v", F.explode("need").alias("h"))
+    cells = F.broadcast(fresh(asks.groupBy("h").agg(F.ceil(F.count("*") / TASK).alias("chunks"))))  # a row a lot
+    asks = asks.join(cells, "h").withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
+    lot = F.floor((of_group(first) + F.col("s")) / per)
+    held = asked.select("i", "v", lot.alias("h")).join(cells, "h").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    parts = asks.select("i", "v", "h", "c").groupBy("h", "c").cogroup(_again(held.select("i", "v", "h", "c")).groupBy("h", "c")).applyInArrow(_nearest(k), "i long, j long, d double")
     return _best(parts, k)
 
 
