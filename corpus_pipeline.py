@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, mixing, packing, secrets
 from rasterloom.llm.textops import crc_mod, unused_name
-from rasterloom.session import materialise
+from rasterloom.session import discard, materialise, stored
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1 or doc_id is null").select("doc_id"))
     if again.isEmpty():
         similar = jaccard.similar_documents(docs)
-        gone = similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+        # as files of known size, so that Spark broadcasts them while they are few instead of shuffling the texts
+        gone, _ = stored(similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     known = again.where("doc_id is not null")
     least = min(0, docs.agg(F.min("doc_id").alias("m")).first()["m"] or 0)
@@ -77,7 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """A stage's documents are kept as Parquet until the next stage's are complete, so that no more than two of them take room."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if held:
+            discard(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)

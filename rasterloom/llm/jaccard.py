@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.textops import bucket_count, column_bytes, mix64, row_bounds, words
 from rasterloom.operators.components import connected_components
-from rasterloom.session import materialise
+from rasterloom.session import discard, materialise, stored
 
 SHINGLE, PERCENT = 5, 75
 BLOCK, PIVOTS = 64, 16
@@ -425,13 +425,13 @@ def _shared_prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> tupl
     return rows, materialise(size.select("t", "step", "family", blocks.alias("blocks"), (F.col("m") * blocks).alias("cost")))
 
 
-def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(src, dst): links whose components are those of all links."""
+def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, str]:
+    """(src, dst): links whose components are those of all links, and the folder of the sets that they are read from."""
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).where("m > 1")
     # a document's share of draws: pivots are few of a family, blocks about BLOCK documents
     draw = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     blocks = F.ceil(F.col("m") / BLOCK)
-    rows = materialise(sets.join(families.join(sizes, "family"), "doc").select("doc", "n", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block")))
+    rows, held_sets = stored(sets.join(families.join(sizes, "family"), "doc").select("doc", "n", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block")))
     none = F.lit(None).cast("long").alias("mark")
     small = rows.where("blocks = 1").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("g"), F.col("family").alias("k"), "doc", none, "s")
     name = lambda c: F.concat_ws("/", "family", c)
@@ -441,7 +441,7 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
     pivots = pivots.select(name("to").alias("g"), F.col("family").alias("k"), "doc", none, "s")
     found = materialise(_join_groups(small.unionByName(dealt).unionByName(pivots), percent))
     if large.isEmpty():
-        return found
+        return found, held_sets
     # what pivots and blocks left apart: in a family, either those outside its largest class meet all its blocks, or classes
     # meet wherever they share a prefix shingle, whichever takes fewer rows; both find every link between classes
     known = connected_components(found)
@@ -462,7 +462,7 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
     met = asks.select(F.concat_ws("/", "family", "to", "part").alias("g"), "doc", "class").unionByName(rest.select(F.concat_ws("/", "family", "block", "part").alias("g"), "doc", "class")).distinct()
     every = materialise(meet.unionByName(met))
     more = _join_groups(every.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s"), percent)
-    return found.unionByName(more)
+    return found.unionByName(more), held_sets
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -485,9 +485,14 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "n", "s"]).filter(pa.array(same))
 
     # a row repeated with its id comes twice here, which adds no link but one of the document with itself
-    sets = materialise(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
+    # the ids alone first: while they are few Spark broadcasts them, and only their documents' texts are shuffled
+    ids, able_ids = stored(able.select("doc"))
+    sets, all_sets = stored(named.join(ids, "doc", "left_semi").join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
     families, heads = _families(sets, percent, buckets)
-    linked = connected_components(_links(sets, materialise(families), heads, percent, buckets))
+    links, some_sets = _links(sets, materialise(families), heads, percent, buckets)
+    linked = connected_components(links)  # the links are read here, the sets not again
+    for folder in (able_ids, all_sets, some_sets):
+        discard(docs.sparkSession, folder)
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = table.where("n > 0").join(reps, ["f1", "f2"]).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
     alone = table.where("n = 0").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
