@@ -18,17 +18,18 @@ from rasterloom.session import fresh
 BLOCK, PIVOTS = 2048, 1024
 #: So many points of either side meet in a task of the search for neighbours.
 TASK = 16_384
+LISTS = "i long, j array<long>, d array<double>"
 
 
 def _nearest(k: int):
-    """A cogrouped function: of each left point its k nearest right points other than itself, ties to the smaller j."""
+    """A cogrouped function: of each left point its k nearest right points other than itself, ties to the smaller j; a row a point, with lists."""
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("i").to_numpy(), right.column("i").to_numpy()
         if not len(a) or not len(b):
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
         x, y = matrix(left.column("v")), matrix(right.column("v"))
-        own_i, own_j, own_d = [], [], []
+        own_j, own_d = [], []
         take = min(k + 1, len(b))
         for at in range(0, len(a), 256):
             part = x[at : at + 256]
@@ -42,10 +43,10 @@ def _nearest(k: int):
                 near = np.flatnonzero(rough[r] <= worst[r] + hair[r]) if np.isfinite(worst[r]) else np.flatnonzero(np.isfinite(rough[r]))
                 d = np.sqrt(((part[r] - y[near]) ** 2).sum(1))
                 order = np.lexsort((b[near], d))[:k]
-                own_i.append(np.full(len(order), a[at + r]))
                 own_j.append(b[near[order]])
                 own_d.append(d[order])
-        return pa.table({"i": pa.array(np.concatenate(own_i)), "j": pa.array(np.concatenate(own_j)), "d": pa.array(np.concatenate(own_d))})
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(z) for z in own_j]))), pa.int32())
+        return pa.table({"i": pa.array(a), **{n: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(z))) for n, z in (("j", own_j), ("d", own_d))}})
 
     return nearest
 
@@ -63,8 +64,8 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
     rows = points.select("i", F.col(vector).cast("array<double>").alias("v"))
     if n <= block:
         one = rows.withColumn("q", F.lit(0))
-        parts = one.groupBy("q").cogroup(_again(one).groupBy("q")).applyInArrow(_nearest(k), "i long, j long, d double")
-        return _best(parts, k)
+        parts = one.groupBy("q").cogroup(_again(one).groupBy("q")).applyInArrow(_nearest(k), LISTS)
+        return _best(_apart(parts, n), k)
     pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("i"), "i").limit(min(PIVOTS, -(-n // block))).collect()], float)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +110,16 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
 
     asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
     asks = asked.select("i", "v", F.explode("need").alias("h"))
-    cells = F.broadcast(fresh(asks.groupBy("h").agg(F.ceil(F.count("*") / TASK).alias("chunks"))))  # a row a lot
+    counted = fresh(asks.groupBy("h").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TASK).alias("chunks")))  # a row a lot
+    met = counted.agg(F.sum("n").alias("n"), F.sum("chunks").alias("chunks")).first()
+    cells = F.broadcast(counted.drop("n"))
     asks = asks.join(cells, "h").withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
     lot = F.floor((of_group(first) + F.col("s")) / per)
     held = asked.select("i", "v", lot.alias("h")).join(cells, "h").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    parts = asks.select("i", "v", "h", "c").groupBy("h", "c").cogroup(_again(held.select("i", "v", "h", "c")).groupBy("h", "c")).applyInArrow(_nearest(k), "i long, j long, d double")
-    return _best(parts, k)
+    # as many partitions as meetings, told by number so that they are not put together again: what a task holds is one meeting's
+    deal = lambda rows: rows.select("i", "v", "h", "c").repartition(max(1, int(met["chunks"])), "h", "c")
+    parts = deal(asks).groupBy("h", "c").cogroup(_again(deal(held)).groupBy("h", "c")).applyInArrow(_nearest(k), LISTS)
+    return _best(_apart(parts, met["n"]), k)
 
 
 def _again(df: DataFrame) -> DataFrame:
@@ -127,6 +132,11 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _apart(lists: DataFrame, n: int) -> DataFrame:
+    """(i, j, d) of n partial lists. They are dealt out as they are, about TASK to a task, and taken apart there, so no task sorts what it has not yet sent."""
+    return lists.repartition(max(1, -(-n // TASK)), "i").select("i", F.explode(F.arrays_zip("j", "d")).alias("_p")).select("i", F.col("_p.j").alias("j"), F.col("_p.d").alias("d"))
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0))
 
