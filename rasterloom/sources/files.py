@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import json
 import uuid
-from functools import reduce
+from functools import cache, reduce
+from importlib import import_module
+from itertools import accumulate, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import ship
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A header line; a byte order mark before it is dropped from the first name."""
@@ -118,23 +124,92 @@ def file_class(path: Column, size: Column, release: str = "release") -> Column:
     )
 
 
-def manifest(spark: SparkSession, path: str, release: str = "release", skip: tuple[str, ...] = ()) -> DataFrame:
+#: The bytes that one task digests of a file before another goes on, and those it holds in memory meanwhile.
+PIECE, BLOCK = 128 * 1024 * 1024, 1024 * 1024
+
+
+@cache
+def _openssl() -> ctypes.CDLL | None:
+    """The library behind hashlib, for its plain SHA-256: it keeps its state in a struct of the caller's, which another task can go on with."""
+    try:
+        lib = ctypes.CDLL(import_module("_hashlib").__file__)
+        return lib if lib.SHA256_Init and lib.SHA256_Update and lib.SHA256_Final else None
+    except (ImportError, AttributeError, OSError):
+        return None
+
+
+def digest_further(path: str, size: int, at: int = 0, state: bytes = b"", piece: int = PIECE) -> tuple[str, int, int, bytes, str | None]:
+    """A file's row after one more piece: path, size, the bytes digested, the state, and the SHA-256 once all are.
+
+    Where Python comes without OpenSSL's library the whole file is one piece.
+    """
+    lib = _openssl()
+    if lib is None:
+        with open(path, "rb") as f:
+            return path, size, size, b"", hashlib.file_digest(f, "sha256").hexdigest()
+    held = ctypes.create_string_buffer(state, 128)
+    if not state:
+        lib.SHA256_Init(held)
+    with open(path, "rb") as f:
+        f.seek(at)
+        end = min(at + piece, size)
+        while at < end:
+            block = f.read(min(BLOCK, end - at))
+            if not block:
+                raise OSError(f"{path} has become shorter than {size} bytes")
+            lib.SHA256_Update(held, block, ctypes.c_size_t(len(block)))
+            at += len(block)
+    if at < size:
+        return path, size, at, held.raw, None
+    out = ctypes.create_string_buffer(32)
+    lib.SHA256_Final(out, held)
+    return path, size, at, b"", out.raw.hex()
+
+
+def digest_in_pieces(spark: SparkSession, sizes: list[tuple[str, int]], piece: int = PIECE) -> list[tuple[str, str]]:
+    """Path and SHA-256 of files that the executors can open. A round takes all unfinished files a piece further, side by side.
+
+    A task reads one piece, or small files of less than two pieces in all. Only states and digests come to the driver.
+    """
+    ship(spark)
+    todo, done = [(path, size, 0, b"") for path, size in sizes], []
+    while todo:
+        reads = [min(piece, size - at) for _, size, at, _ in todo]
+        starts = [end - read for end, read in zip(accumulate(reads), reads, strict=True)]
+        lots = [[row for _, row in lot] for _, lot in groupby(zip(starts, todo, strict=True), lambda x: x[0] // piece)]
+        rows = spark.sparkContext.parallelize(lots, len(lots)).flatMap(lambda lot: [digest_further(*row, piece) for row in lot]).collect()
+        done += [(path, sha256) for path, _, _, _, sha256 in rows if sha256]
+        todo = [row[:4] for row in rows if not row[4]]
+    return done
+
+
+def manifest(spark: SparkSession, path: str, release: str = "release", skip: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
     """relative_path, size_bytes, suffix, sha256 and category of every file under a folder, but for those with a folder or name in `skip`.
 
-    The executors digest what Spark's binary reader gives; what it passes over (hidden and empty files, those of 2 GB and
-    more) is digested as a stream by the driver's JVM.
+    The executors digest what Spark's binary reader gives, files up to a piece. Larger files, and those it passes over (hidden
+    and empty ones), are digested in pieces by tasks that open them. Where the folder isn't one of `file:` (hdfs:// and the
+    like) Python can't: the binary reader takes files of less than 2 GB there, the driver's JVM what is left, as streams.
     """
     files = list_files(spark, path, release, skip)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    root = at(path).getFileSystem(conf).resolvePath(at(path)).toUri()
+    local = root.getScheme() == "file"
+    most = piece if local else 1_999_999_999
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    passed = (F.col("size_bytes") == 0) | (F.col("size_bytes") >= 2_000_000_000) | name.rlike("^[._]") | F.col("relative_path").rlike(r"(^|/)[._][^/]*/")
-    jvm, rest = spark.sparkContext._jvm, []
-    for r in files.where(passed).select("path").collect():
-        at = jvm.org.apache.hadoop.fs.Path(r["path"])
-        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
-        rest.append((r["path"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-        stream.close()
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") < 2_000_000_000).select("path", F.sha2("content", 256).alias("sha256"))
-    digests = read.join(spark.createDataFrame(rest, "path string, sha256 string"), "path", "left_anti").unionByName(spark.createDataFrame(rest, "path string, sha256 string"))
+    passed = (F.col("size_bytes") == 0) | (F.col("size_bytes") > most) | name.rlike("^[._]") | F.col("relative_path").rlike(r"(^|/)[._][^/]*/")
+    left, rest = files.where(passed).select("path", "relative_path", "size_bytes").collect(), []
+    if local:
+        paths = {f"{root.getPath()}/{r['relative_path']}".rstrip("/"): r for r in left}
+        rest = [(paths[p]["path"], sha256) for p, sha256 in digest_in_pieces(spark, [(p, r["size_bytes"]) for p, r in paths.items()], piece)]
+    else:
+        for r in left:
+            stream = at(r["path"]).getFileSystem(conf).open(at(r["path"]))
+            rest.append((r["path"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+            stream.close()
+    rest = spark.createDataFrame(rest, "path string, sha256 string")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha256"))
+    digests = read.join(rest, "path", "left_anti").unionByName(rest)
     return files.join(digests, "path", "left").drop("path")
 
 
