@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.textops import bucket_count, column_bytes, mix64, row_bounds, words
 from rasterloom.operators.components import connected_components
-from rasterloom.session import discard, materialise, stored
+from rasterloom.session import discard, materialise, settings, sieve, stored
 
 SHINGLE, PERCENT = 5, 75
 BLOCK, PIVOTS = 64, 16
@@ -474,7 +474,9 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     table = materialise(_prefix_table(named, percent, size, buckets, word_key))
     classes = materialise(table.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("credit").alias("credit")))
     need = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
-    able = classes.where(F.col("credit") >= need).select(F.col("rep").alias("doc"), "n", "f1", "f2")
+    # as files, filtered where they are read, so that Spark can sift the texts by a Bloom filter before it shuffles them
+    spared, spared_rows = stored(classes.select(F.col("rep").alias("doc"), "n", "f1", "f2", (F.col("credit") - need).alias("spare")))
+    able = spared.where("spare >= 0").select("doc", "n", "f1", "f2")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -485,13 +487,12 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "n", "s"]).filter(pa.array(same))
 
     # a row repeated with its id comes twice here, which adds no link but one of the document with itself
-    # the ids alone first: while they are few Spark broadcasts them, and only their documents' texts are shuffled
-    ids, able_ids = stored(able.select("doc"))
-    sets, all_sets = stored(named.join(ids, "doc", "left_semi").join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
+    with settings(docs.sparkSession, sieve(able.count())):
+        sets, all_sets = stored(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
     families, heads = _families(sets, percent, buckets)
     links, some_sets = _links(sets, materialise(families), heads, percent, buckets)
     linked = connected_components(links)  # the links are read here, the sets not again
-    for folder in (able_ids, all_sets, some_sets):
+    for folder in (spared_rows, all_sets, some_sets):
         discard(docs.sparkSession, folder)
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = table.where("n > 0").join(reps, ["f1", "f2"]).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -526,3 +526,30 @@ def test_materialised_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert kept.count() == odd.count() == 7
+
+
+def shuffled_bytes(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_jaccard_shuffles_only_texts_that_may_link(spark, tmp_path):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"{rng.getrandbits(480):x}" for _ in range(60))
+    rows = [(i, text()) for i in range(600)]
+    rows += [(600, rows[3][1] + " more"), (601, rows[9][1]), (602, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    held = {k: spark.conf.get(k, None) for k in (name, "spark.sql.optimizer.runtime.bloomFilter.numBits")}
+    spark.conf.set(name, "-1")
+    try:
+        before = shuffled_bytes(spark)
+        got = {r.doc_id: r.component_id for r in jaccard.similar_documents(spark.read.parquet(str(tmp_path / "d"))).collect()}
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.unset(name) if held[name] is None else spark.conf.set(name, held[name])
+    assert got == {i: {600: 3, 601: 9}.get(i, i) for i, _ in rows}
+    assert moved < 0.5 * sum(len(t or "") for _, t in rows) / 2, moved  # hex texts shrink to about half
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.numBits", None) == held["spark.sql.optimizer.runtime.bloomFilter.numBits"]
