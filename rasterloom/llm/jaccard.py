@@ -42,7 +42,7 @@ from rasterloom.session import discard, materialise, settings, sieve, stored
 SHINGLE, PERCENT = 5, 75
 BLOCK, PIVOTS = 64, 16
 #: A batch hands over its postings when it has so many.
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 _NOBODY = np.iinfo(np.int64).min
 
 
@@ -108,7 +108,6 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: i
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
         about: list[tuple] = []
         held = 0
         for batch in batches:
@@ -117,28 +116,34 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: i
                 for doc, s, mark in zip(part.column(0).to_pylist(), *_lists(shingle_sets(part.column(1), size, key)), strict=True):
                     n = len(s)
                     m = min(n, n - least_overlap(n, percent) + max(1, -(-n // 10)))
-                    tokens.append(s[:m])
-                    owners.append(np.full(m, len(about), np.int64))
+                    tokens.append(s[:m].copy())  # not a view, which keeps the whole set
                     about.append((doc, n, *mark))
                     held += m
                 if held >= POSTINGS:
-                    yield from send(tokens, owners, about)
-                    tokens, owners, about, held = [], [], [], 0
+                    yield from send(tokens, about)
+                    tokens, about, held = [], [], 0
         if about:
-            yield from send(tokens, owners, about)
+            yield from send(tokens, about)
 
-    def send(tokens: list[np.ndarray], owners: list[np.ndarray], about: list[tuple]) -> Iterator[pa.RecordBatch]:
-        t, own = np.concatenate(tokens), np.concatenate(owners)
+    def send(tokens: list[np.ndarray], about: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = np.repeat(np.arange(len(about), dtype=np.int32), [len(x) for x in tokens])
+        t = np.concatenate(tokens)
+        tokens.clear()
         ids = np.array([x[0] for x in about], np.int64)
-        order, count = _alike(t)
+        order = np.argsort(t, kind="stable")
         t, own = t[order], own[order]
-        credit = np.bincount(own[count > 1], minlength=len(ids))
+        del order
         first = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
-        t, own = t[first], np.where(count[first] > 1, _NOBODY, ids[own[first]])  # one row for a shingle; its documents here have their credit
-        bucket = (t % np.uint64(buckets)).astype(np.int64)
-        short = (t >> np.uint64(16)).astype(np.uint32)  # enough to tell apart the few shingles of a bucket; a clash only lets a document through
+        shared = ~(first & np.append(first[1:], True)[: len(t)])  # by several documents
+        credit = np.bincount(own[shared], minlength=len(ids))
+        t, own = t[first], np.where(shared[first], _NOBODY, ids[own[first]])  # one row for a shingle; its documents here have their credit
+        bucket = (t % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        del bucket
+        short = (t >> np.uint64(16)).astype(np.uint32)[order]  # enough to tell apart the few shingles of a bucket; a clash only lets a document through
+        own = own[order]
+        del t, order
         home = np.array([hash(x) % buckets for x in ids.tolist()], np.int64)
         by_home = np.argsort(home, kind="stable")
         home_cut = np.searchsorted(home[by_home], np.arange(buckets + 1))
@@ -147,8 +152,8 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: i
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(rows, pa.int32()),
-                pa.array([short[order[cut[b] : cut[b + 1]]].tobytes() for b in rows], pa.binary()),
-                pa.array([own[order[cut[b] : cut[b + 1]]].tobytes() for b in rows], pa.binary()),
+                pa.array([short[cut[b] : cut[b + 1]].tobytes() for b in rows], pa.binary()),
+                pa.array([own[cut[b] : cut[b + 1]].tobytes() for b in rows], pa.binary()),
                 pa.array([info[by_home[home_cut[b] : home_cut[b + 1]]].tobytes() for b in rows], pa.binary()),
             ],
             ["b", "t", "o", "i"],

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, *, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes = [], []
         for batch in batches:
-            keys.append(batch.column(0))
+            keys.append(pc.take(batch.column(0), pa.array(np.arange(batch.num_rows))))  # a copy: the column itself would keep the batch's texts in memory
             sizes.append(np.maximum(1, batch.column(1).fill_null(1).to_numpy(zero_copy_only=False).astype(np.int64)) if length else count_words(*column_bytes(batch.column(1))) + 1)
         if not keys:
             return

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SEGMENT = 1 << 20
+#: Of a batch so many rows are worked on at a time, so that their copies stay small beside the batch.
+SLICE = 1000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(1, 257).astype(np.uint8)  # no byte of UTF-8 is 255, so that 0 can mean "no byte"
@@ -158,7 +160,7 @@ def row_bounds(row: np.ndarray, rows: int) -> np.ndarray:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]], fields: str, keep: list[str] | None = None, drop_if_false: str | None = None
 ) -> DataFrame:
-    """Append fn's columns to the rows of df, Arrow batch by batch.
+    """Append fn's columns to the rows of df, SLICE rows of an Arrow batch at a time.
 
     keep: the input columns that stay (default all); one whose name clashes with a new field gives way to it.
     drop_if_false: name of a boolean that fn returns besides fields; rows where it is false go.
@@ -170,8 +172,9 @@ def map_batches(
     names = [f.name for f in stay]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 got = fn(batch)
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + [got[f.name] for f in out.fields]
                 table = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == t.type else pa.array(c.to_pylist() if isinstance(c, pa.Array) else c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
