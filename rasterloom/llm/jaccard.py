@@ -5,16 +5,19 @@ Two documents link when their shingle sets overlap in at least `percent` per cen
 1. Each set is ordered by hash. A pair that links shares at least t = ceil(ceil(.75 n) / 10) of the shingles in both
    prefixes of length n - ceil(.75 n) + ceil(n / 10). Postings of the prefixes, packed into arrays by bucket of the
    hash, show which shingles occur in two documents; a document with fewer than t such shingles has no link.
-2. Equal sets (128-bit fingerprint) become one representative, their smallest id. The survivors' sets are built once.
+2. Equal sets (128-bit fingerprint) become one representative, their smallest id. The survivors' texts are kept.
 3. Over the survivors' whole sets, postings give each shingle's document frequency. A document of which under 75 % of
    the shingles occur twice has no link. The others give their prefix in ascending frequency; documents that share a
-   prefix shingle form families (connected components): links never cross families.
+   prefix shingle form families (connected components): links never cross families. Here a shingle is its bucket and 32
+   bits: shingles that these don't tell apart count as one, which only lets more documents through.
 4. Families are joined by DivideSkip: of a query's inverted lists the short ones are merged, those documents that are
    often enough among them are probed in the long ones by binary search, and documents that reach the overlap link.
    A family over BLOCK documents is dealt into blocks, each with the same few pivots of the family. Documents that are
    still in different classes meet again: those outside a family's largest class meet all its blocks, or classes meet
    wherever they share a prefix shingle and are of like size, whichever takes fewer rows. So no link is lost, no document
-   is compared within its class, and a long chain of documents costs what its shingles' own lists cost.
+   is compared within its class, and a long chain of documents costs what its shingles' own lists cost. Blocks grow with
+   the family there, so that a document is copied to a few of them only; where that isn't enough, the meetings go in
+   rounds, so that the copies on disk grow with the documents, not with the square of a family.
 5. Components of the links are found by contraction.
 
 Words of up to eight bytes are told apart exactly, longer ones by 64 bits under a key drawn for each run, sets by 128
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.textops import bucket_count, column_bytes, mix64, row_bounds, words
@@ -41,6 +44,10 @@ from rasterloom.session import discard, materialise, settings, sieve, stored
 
 SHINGLE, PERCENT = 5, 75
 BLOCK, PIVOTS = 64, 16
+#: When classes meet, a document goes to so many blocks at most, unless one would get more than HELD shingles.
+COPIES, HELD = 16, 1 << 19
+#: A round of meetings has so many rows, or COPIES times those of the documents that are still open.
+ROUND = 1 << 16
 #: A batch hands over its postings when it has so many.
 POSTINGS = 1_000_000
 _NOBODY = np.iinfo(np.int64).min
@@ -186,26 +193,35 @@ def _prefix_table(docs: DataFrame, percent: int, size: int, buckets: int, key: i
     return packed.groupBy("h").applyInArrow(add, "doc long, n long, f1 long, f2 long, credit long")
 
 
-def _families(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, family) of the documents that may link, and (doc, t), their prefixes; sets: doc, n, s (packed hashes) of different sets."""
+def _sets_of(texts: pa.RecordBatch, size: int, key: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of a batch (t, f1, f2, ...) and their sets, a thousand texts at a time; texts whose set has another fingerprint are left out."""
+    for at in range(0, texts.num_rows, 1000):
+        part = texts.slice(at, 1000)
+        made, mark = shingle_sets(part.column("t"), size, key)
+        same = (mark[:, 0] == part.column("f1").to_numpy()) & (mark[:, 1] == part.column("f2").to_numpy())
+        if same.any():
+            yield part.filter(pa.array(same)), [s for s, x in zip(made, same.tolist(), strict=True) if x]
+
+
+def _families(texts: DataFrame, percent: int, size: int, buckets: int, key: int) -> tuple[DataFrame, DataFrame, str]:
+    """(doc, family) of the documents that may link, (doc, t), their prefixes, and the folder of these; texts: doc, t, n, f1, f2 of different sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            ascending = np.argsort(ids, kind="stable")
-            for at in range(0, len(ids), 2000):
-                some = ascending[at : at + 2000]
-                own_sets = [np.frombuffer(batch.column(1)[x].as_py(), np.uint64) for x in some.tolist()]
-                t = np.concatenate(own_sets)
-                own = np.repeat(ids[some], [len(x) for x in own_sets])
+            for part, own_sets in _sets_of(batch, size, key):
+                ids = part.column("doc").to_numpy()
+                ascending = np.argsort(ids, kind="stable").tolist()
+                t = np.concatenate([own_sets[x] for x in ascending])
+                own = np.repeat(ids[ascending], [len(own_sets[x]) for x in ascending])
                 bucket = (t % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                short = (t >> np.uint64(16)).astype(np.uint32)
                 rows = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([pack(x[order[cut[b] : cut[b + 1]]]) for b in rows], pa.binary()) for x, pack in ((t, np.ndarray.tobytes), (own, _packed)))], ["b", "t", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array([pack(x[order[cut[b] : cut[b + 1]]]) for b in rows], pa.binary()) for x, pack in ((short, np.ndarray.tobytes), (own, _packed)))], ["b", "t", "o"])
 
     def meet(table: pa.Table) -> pa.Table:
-        t = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("t")])
+        t = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("t")])
         own = np.concatenate([_unpacked(x.as_py()) for x in table.column("o")])
         order, count = _alike(t)
         order, count = order[count > 1], count[count > 1]
@@ -215,32 +231,35 @@ def _families(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, D
         cut = np.searchsorted(home[by], np.arange(buckets + 1))
         rows = [h for h in range(buckets) if cut[h] < cut[h + 1]]
         parts = lambda x, pack: pa.array([pack(x[by[cut[h] : cut[h + 1]]]) for h in rows], pa.binary())
-        return pa.table({"h": pa.array(rows, pa.int64()), "t": parts(t, np.ndarray.tobytes), "o": parts(own, _packed), "c": parts(count.astype(np.int64), _packed)})
+        here = pa.array(np.full(len(rows), table.column("b")[0].as_py(), np.int64))
+        return pa.table({"h": pa.array(rows, pa.int64()), "b": here, "t": parts(t, np.ndarray.tobytes), "o": parts(own, _packed), "c": parts(count.astype(np.int64), _packed)})
 
     def prefix(sizes: pa.Table, shared: pa.Table) -> pa.Table:
-        join = lambda c, kind, read: np.concatenate([np.zeros(0, kind), *(read(x.as_py()) for x in shared.column(c))])
-        t, own, count = join("t", np.uint64, lambda x: np.frombuffer(x, np.uint64)), join("o", np.int64, _unpacked), join("c", np.int64, _unpacked)
+        join = lambda c: np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py()) for x in shared.column(c))])
+        whole = lambda x, b: np.frombuffer(x, np.uint32).astype(np.int64) << 20 | b  # noqa: E731  buckets are 1 << 20 at most
+        t = np.concatenate([np.zeros(0, np.int64), *(whole(x.as_py(), b.as_py()) for x, b in zip(shared.column("t"), shared.column("b"), strict=True))])
+        own, count = join("o"), join("c")
         order = np.lexsort((t, count, own))
         t, own = t[order], own[order]
         ids, n = sizes.column("doc").to_numpy(), sizes.column("n").to_numpy()
         start, stop = np.searchsorted(own, ids), np.searchsorted(own, ids, "right")
-        docs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        docs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, size, a, b in zip(ids.tolist(), n.tolist(), start.tolist(), stop.tolist(), strict=True):
             least = least_overlap(size, percent)
             if b - a >= least:
                 take = size - least + 1 - (size - (b - a))  # shingles of this document alone come first and match nothing
                 tokens.append(t[a : a + take])
                 docs.append(np.full(take, doc, np.int64))
-        return pa.table({"doc": pa.array(np.concatenate(docs)), "t": pa.array(np.concatenate(tokens).view(np.int64))})
+        return pa.table({"doc": pa.array(np.concatenate(docs)), "t": pa.array(np.concatenate(tokens))})
 
     home = F.pmod("doc", F.lit(buckets))  # as numpy's remainder
-    shared = sets.select("doc", "s").mapInArrow(emit, "b int, t binary, o binary").groupBy("b").applyInArrow(meet, "h long, t binary, o binary, c binary")
-    sizes = sets.select(home.cast("long").alias("h"), "doc", "n")
+    shared = texts.select("doc", "t", "f1", "f2").mapInArrow(emit, "b int, t binary, o binary").groupBy("b").applyInArrow(meet, "h long, b long, t binary, o binary, c binary")
+    sizes = texts.select(home.cast("long").alias("h"), "doc", "n")
     sized = sizes.groupBy("h").cogroup(shared.groupBy("h")).applyInArrow(prefix, "doc long, t long")
-    rows = materialise(sized)
+    rows, folder = stored(sized)
     heads = rows.groupBy("t").agg(F.min("doc").alias("src"), F.count("*").alias("n")).where("n > 1").select("t", "src")
     families = connected_components(rows.join(heads, "t").select("src", F.col("doc").alias("dst"))).select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    return families, rows
+    return families, rows, folder
 
 
 class Forest:
@@ -391,7 +410,7 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT, mark: np.ndarray
 
 
 def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) links; rows: g (group), k (which of them meet within it), doc, mark (a class known to be connected, or null), s."""
+    """(src, dst) links; rows: g (group), k (which of them meet within it), doc, mark (a class known to be connected, or null), s, and columns that don't matter."""
 
     def local(table: pa.Table) -> pa.Table:
         docs, sets = table.column("doc").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")]
@@ -411,6 +430,12 @@ def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("g").applyInArrow(local, "src long, dst long")
 
 
+def _blocks(m: str, n: Column) -> Column:
+    """Into how many blocks m documents of about n shingles go: COPIES at most, but of BLOCK documents at least, and beyond these of HELD shingles at most."""
+    most = F.greatest(F.lit(BLOCK), F.floor(HELD / n))
+    return F.ceil(F.col(m) / F.least(most, F.greatest(F.lit(BLOCK), F.ceil(F.col(m) / COPIES))))
+
+
 def _shared_prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Groups in which documents of different classes meet; every link between classes has both ends in one of them.
 
@@ -426,17 +451,26 @@ def _shared_prefixes(heads: DataFrame, classes: DataFrame, percent: int) -> tupl
     # sizes of a link are at most one step apart: a step's group holds those of the next step too
     rows = materialise(held.join(kept, "t").select("t", "doc", "family", "class", F.explode(F.array(step, step - 1)).alias("step")))
     size = rows.groupBy("t", "step").agg(F.count("*").alias("m"), F.min("class").alias("a"), F.max("class").alias("b"), F.min("family").alias("family")).where("a <> b")
-    blocks = F.ceil(F.col("m") / BLOCK)
+    blocks = _blocks("m", F.pow(F.lit(100 / percent), F.col("step") + 2))
     return rows, materialise(size.select("t", "step", "family", blocks.alias("blocks"), (F.col("m") * blocks).alias("cost")))
 
 
-def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, str]:
-    """(src, dst): links whose components are those of all links, and the folder of the sets that they are read from."""
-    sizes = families.groupBy("family").agg(F.count("*").alias("m")).where("m > 1")
+def _links(texts: DataFrame, families: DataFrame, heads: DataFrame, percent: int, size: int, buckets: int, key: int) -> tuple[DataFrame, list[str]]:
+    """(src, dst): links whose components are those of all links, and the folders that they are read from."""
+    sized, sizes = stored(families.join(families.groupBy("family").agg(F.count("*").alias("m")), "family").select("doc", "family", "m"))
+    sized = sized.where("m > 1")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, made in _sets_of(batch, size, key):
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("n"), pa.array([s.tobytes() for s in made], pa.binary()), part.column("family"), part.column("m")], ["doc", "n", "s", "family", "m"])
+
     # a document's share of draws: pivots are few of a family, blocks about BLOCK documents
     draw = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     blocks = F.ceil(F.col("m") / BLOCK)
-    rows, held_sets = stored(sets.join(families.join(sizes, "family"), "doc").select("doc", "n", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block")))
+    with settings(texts.sparkSession, sieve(sized.count())):
+        sets, held_sets = stored(texts.join(sized, "doc").select("doc", "t", "n", "f1", "f2", "family", "m").mapInArrow(build, "doc long, n long, s binary, family long, m long"))
+    rows = sets.select("doc", "n", "s", "family", "m", blocks.alias("blocks"), F.pmod(F.xxhash64("doc", F.lit(9)), blocks).alias("block"))
     none = F.lit(None).cast("long").alias("mark")
     small = rows.where("blocks = 1").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(buckets))).alias("g"), F.col("family").alias("k"), "doc", none, "s")
     name = lambda c: F.concat_ws("/", "family", c)
@@ -446,28 +480,35 @@ def _links(sets: DataFrame, families: DataFrame, heads: DataFrame, percent: int,
     pivots = pivots.select(name("to").alias("g"), F.col("family").alias("k"), "doc", none, "s")
     found = materialise(_join_groups(small.unionByName(dealt).unionByName(pivots), percent))
     if large.isEmpty():
-        return found, held_sets
+        return found, [sizes, held_sets]
     # what pivots and blocks left apart: in a family, either those outside its largest class meet all its blocks, or classes
     # meet wherever they share a prefix shingle, whichever takes fewer rows; both find every link between classes
     known = connected_components(found)
-    classes = materialise(large.select("doc", "family", "n", "m", "blocks", "block").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component"))
-    largest = classes.groupBy("family", "class").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("class", F.struct("c", F.negative("class"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
-    apart = materialise(largest.where("c < all").withColumn("parts", F.ceil((F.col("all") - F.col("c")) / BLOCK)))
+    classes = materialise(large.select("doc", "family", "n").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component"))
+    largest = classes.groupBy("family", "class").agg(F.count("*").alias("c"), F.sum("n").alias("n")).groupBy("family").agg(F.max_by("class", F.struct("c", F.negative("class"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"), F.sum("n").alias("n"))
+    apart = largest.where("c < all").withColumn("blocks", _blocks("all", F.col("n") / F.col("all"))).drop("n")
+    apart = materialise(apart.withColumn("parts", F.ceil((F.col("all") - F.col("c")) / F.ceil(F.col("all") / F.col("blocks")))))
     open_ = materialise(classes.join(apart, "family"))  # a join of its own, so that a hot family's partition can be split
     held, groups = _shared_prefixes(heads, open_.select("doc", "family", "class", "n"), percent)
     by_shingle = groups.groupBy("family").agg(F.sum("cost").alias("cost"))
-    sized = apart.join(by_shingle, "family", "left").withColumn("blocks", F.ceil(F.col("all") / BLOCK)).withColumn("wide", F.col("all") * F.col("parts") + (F.col("all") - F.col("c")) * F.col("blocks"))
-    choice = materialise(sized.select("family", (F.coalesce("cost", F.lit(0)) < F.col("wide")).alias("by_shingle")))  # without a shared shingle there is nothing to do
+    cost, wide = F.coalesce("cost", F.lit(0)), F.col("all") * F.col("parts") + (F.col("all") - F.col("c")) * F.col("blocks")
+    choice = materialise(apart.join(by_shingle, "family", "left").select("family", (cost < wide).alias("by_shingle"), F.least(cost, wide).alias("rows")))  # without a shared shingle there is nothing to do
     chosen = groups.join(choice.where("by_shingle"), "family").select("t", "step", "blocks")
     dealt = held.join(chosen, ["t", "step"]).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(17)), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meet = dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class").distinct()
-    wide = open_.join(choice.where("not by_shingle").select("family"), "family").withColumn("stray", F.col("class") != F.col("main"))
-    asks = wide.where("stray").withColumn("part", F.pmod(F.xxhash64("doc", F.lit(13)), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = wide.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = asks.select(F.concat_ws("/", "family", "to", "part").alias("g"), "doc", "class").unionByName(rest.select(F.concat_ws("/", "family", "block", "part").alias("g"), "doc", "class")).distinct()
-    every = materialise(meet.unionByName(met))
-    more = _join_groups(every.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s"), percent)
-    return found.unionByName(more), held_sets
+    meet = dealt.select(F.concat_ws("/", "t", "step", F.least("own", "to"), F.greatest("own", "to")).alias("g"), "doc", "class")
+    wide = open_.join(choice.where("not by_shingle").select("family"), "family").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(9)), F.col("blocks")))
+    wide = wide.withColumn("part", F.when(F.col("class") != F.col("main"), F.pmod(F.xxhash64("doc", F.lit(13)), F.col("parts"))))  # of strays alone
+    asks = wide.where("part is not null").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rest = wide.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part is null or at <> part")  # there it asks already
+    met = asks.select(F.concat_ws("/", "family", "to", "part").alias("g"), "doc", "class").unionByName(rest.select(F.concat_ws("/", "family", "block", "at").alias("g"), "doc", "class"))
+    every, meetings = meet.unionByName(met), choice.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    rounds = max(1, -(-meetings // max(ROUND, COPIES * open_.count())))
+    for turn in range(rounds):
+        now = materialise(every.where(F.pmod(F.xxhash64("g"), F.lit(rounds)) == turn))
+        tasks = max(2 * buckets, -(-meetings // rounds // (8 * BLOCK)))
+        met_sets = now.join(large.select("doc", "s"), "doc").select("g", F.lit(0).cast("long").alias("k"), "doc", F.col("class").alias("mark"), "s")
+        found = found.unionByName(materialise(_join_groups(met_sets.repartition(tasks, "g"), percent)))
+    return found, [sizes, held_sets]
 
 
 def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -483,21 +524,13 @@ def similar_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id
     spared, spared_rows = stored(classes.select(F.col("rep").alias("doc"), "n", "f1", "f2", (F.col("credit") - need).alias("spare")))
     able = spared.where("spare >= 0").select("doc", "n", "f1", "f2")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made, mark = shingle_sets(part.column(1), size, word_key)
-                same = (mark[:, 0] == part.column(3).to_numpy()) & (mark[:, 1] == part.column(4).to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in made], pa.binary())], ["doc", "n", "s"]).filter(pa.array(same))
-
     # a row repeated with its id comes twice here, which adds no link but one of the document with itself
     with settings(docs.sparkSession, sieve(able.count())):
-        sets, all_sets = stored(named.join(able, "doc").select("doc", "t", "n", "f1", "f2").mapInArrow(build, "doc long, n long, s binary"))
-    families, heads = _families(sets, percent, buckets)
-    links, some_sets = _links(sets, materialise(families), heads, percent, buckets)
-    linked = connected_components(links)  # the links are read here, the sets not again
-    for folder in (spared_rows, all_sets, some_sets):
+        texts, all_texts = stored(named.join(able, "doc").select("doc", "t", "n", "f1", "f2"))
+    families, heads, all_heads = _families(texts, percent, size, buckets, word_key)
+    links, folders = _links(texts, families, heads, percent, size, buckets, word_key)
+    linked = connected_components(links)  # the links are read here, the texts not again
+    for folder in (spared_rows, all_texts, all_heads, *folders):
         discard(docs.sparkSession, folder)
     reps = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = table.where("n > 0").join(reps, ["f1", "f2"]).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
