@@ -17,6 +17,15 @@ from rasterloom.llm.textops import crc_mod, unused_name
 from rasterloom.session import discard, materialise, stored
 
 
+#: So many ids are sent to all executors, so that the texts stay where they are.
+FEW_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, few: int) -> DataFrame:
+    """The rows whose id isn't among `gone`; few: how many these are. Up to FEW_IDS (a long each) they go to the texts, not the texts to them."""
+    return docs.join(F.broadcast(gone) if few <= FEW_IDS else gone, gone.columns, "left_anti").select(docs.columns)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter of any language go."""
     profiles = langid.fit_profiles(docs.where(crc_mod(F.col("doc_id"), langid.FOLDS) != 1))
@@ -31,9 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1 or doc_id is null").select("doc_id"))
     if again.isEmpty():
         similar = jaccard.similar_documents(docs)
-        # as files of known size, so that Spark broadcasts them while they are few instead of shuffling the texts
         gone, _ = stored(similar.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        return without(docs, gone, gone.count())
     known = again.where("doc_id is not null")
     least = min(0, docs.agg(F.min("doc_id").alias("m")).first()["m"] or 0)
     row = unused_name("row", docs)
@@ -45,8 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = similar.join(odd.select(F.col(row).alias("row"), "doc_id"), "row", "left").withColumn("doc_id", F.when(F.col("row") < least, F.col("doc_id")).otherwise(F.col("row")))
     stays = named.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.negative("row"))).alias("row"))
     gone = materialise(similar.join(stays, "row", "left_anti").select("row"))
-    kept = plain.join(gone.select(F.col("row").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
-    return kept.unionByName(odd.join(gone.select(F.col("row").alias(row)), row, "left_anti").select(docs.columns))
+    n = gone.count()
+    kept = without(plain, gone.select(F.col("row").alias("doc_id")), n)
+    return kept.unionByName(without(odd, gone.select(F.col("row").alias(row)), n).select(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
