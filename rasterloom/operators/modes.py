@@ -18,35 +18,54 @@ from rasterloom.session import fresh
 BLOCK, PIVOTS = 2048, 1024
 #: So many points of either side meet in a task of the search for neighbours.
 TASK = 16_384
+#: So many copies of the points a round of the search sends at most, unless it has one lot alone.
+SENT = 8
 LISTS = "i long, j array<long>, d array<double>"
 
 
 def _nearest(k: int):
-    """A cogrouped function: of each left point its k nearest right points other than itself, ties to the smaller j; a row a point, with lists."""
+    """A cogrouped function: of each left point its k nearest right points other than itself, ties to the smaller j; a row a point, with lists.
+
+    Where the left points have a bound, points farther than that need not be found.
+    """
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("i").to_numpy(), right.column("i").to_numpy()
         if not len(a) or not len(b):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
         x, y = matrix(left.column("v")), matrix(right.column("v"))
-        own_j, own_d = [], []
+        bound = left.column("bound").to_numpy() if "bound" in left.column_names else np.full(len(a), np.inf)
+        norms, flat = (y * y).sum(1), y.T.copy()
+        took, own_j, own_d = [], [], []
         take = min(k + 1, len(b))
         for at in range(0, len(a), 256):
-            part = x[at : at + 256]
-            rough = np.maximum((part * part).sum(1)[:, None] - 2 * part @ y.T + (y * y).sum(1), 0)
-            rough[a[at : at + 256][:, None] == b] = np.inf
-            pick = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            part, own = x[at : at + 256], a[at : at + 256]
+            norm = (part * part).sum(1)
+            rough = part @ flat
+            rough *= -2
+            rough += norm[:, None]
+            rough += norms
             # ties and rounding at the border: whatever is within a hair of the worst pick is looked at exactly
-            worst = np.take_along_axis(rough, pick, 1).max(1)
-            hair = 1e-9 * ((part * part).sum(1) + (y * y).max(initial=0).sum()) + 1e-12
-            for r in range(len(part)):
-                near = np.flatnonzero(rough[r] <= worst[r] + hair[r]) if np.isfinite(worst[r]) else np.flatnonzero(np.isfinite(rough[r]))
-                d = np.sqrt(((part[r] - y[near]) ** 2).sum(1))
-                order = np.lexsort((b[near], d))[:k]
-                own_j.append(b[near[order]])
-                own_d.append(d[order])
-        ends = pa.array(np.concatenate(([0], np.cumsum([len(z) for z in own_j]))), pa.int32())
-        return pa.table({"i": pa.array(a), **{n: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(z))) for n, z in (("j", own_j), ("d", own_d))}})
+            hair = 1e-9 * (norm + norms.max()) + 1e-12
+            limit = bound[at : at + 256] ** 2 + hair
+            wide = np.flatnonzero(~np.isfinite(limit))
+            if len(wide):
+                others = np.where(own[wide][:, None] == b, np.inf, rough[wide])
+                limit[wide] = np.partition(others, take - 1, axis=1)[:, take - 1] + hair[wide]
+            r, near = np.nonzero(rough <= limit[:, None])
+            other = own[r] != b[near]
+            r, near = r[other], near[other]
+            d = np.concatenate([np.zeros(0), *(np.sqrt(((part[r[z : z + 8192]] - y[near[z : z + 8192]]) ** 2).sum(1)) for z in range(0, len(r), 8192))])
+            order = np.lexsort((b[near], d, r))
+            r, near, d = r[order], near[order], d[order]
+            first = np.searchsorted(r, np.arange(len(part)))
+            kept = np.arange(len(r)) - first[r] < k
+            took.append(np.bincount(r[kept], minlength=len(part)))
+            own_j.append(b[near[kept]])
+            own_d.append(d[kept])
+        took = np.concatenate(took)
+        ends = pa.array(np.concatenate(([0], np.cumsum(took[took > 0]))), pa.int32())
+        return pa.table({"i": pa.array(a[took > 0]), **{n: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(z))) for n, z in (("j", own_j), ("d", own_d))}})
 
     return nearest
 
@@ -57,8 +76,8 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
     Beyond a block of points, each belongs to its nearest of up to PIVOTS points drawn by hash. Within a block of its own
     group a point finds k others, the farthest of which bounds its search: a group is out of reach if even the point of its
     ball next to this one is farther. Groups are gathered into lots of TASK points, so that a point is sent once to each lot
-    with a group in reach; the partial lists are merged. Without any structure every two lots meet: n / TASK copies of
-    the points are shuffled.
+    with a group in reach; the partial lists are merged. Without any structure every two lots meet and n / TASK copies of
+    the points are shuffled; they go in rounds of so few lots that no more than SENT copies are on disk at a time.
     """
     n = points.count() if n is None else n
     rows = points.select("i", F.col(vector).cast("array<double>").alias("v"))
@@ -94,7 +113,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
 
     def reach(table: pa.Table) -> pa.Table:
         x = matrix(table.column("v"))
-        need = []
+        need, bounds = [], []
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
             if len(x) > k:
@@ -106,20 +125,39 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
             hair = 1e-6 * (1 + np.abs(part).max(1) + np.abs(pivots).max())
             near = away - radius <= (bound + hair)[:, None]
             need += [np.flatnonzero(row).tolist() for row in near.astype(float) @ lots]
-        return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64())))
-
-    asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>"))
-    asks = asked.select("i", "v", F.explode("need").alias("h"))
-    counted = fresh(asks.groupBy("h").agg(F.count("*").alias("n"), F.ceil(F.count("*") / TASK).alias("chunks")))  # a row a lot
-    met = counted.agg(F.sum("n").alias("n"), F.sum("chunks").alias("chunks")).first()
-    cells = F.broadcast(counted.drop("n"))
-    asks = asks.join(cells, "h").withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
+            bounds.append(bound)
+        return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64()))).append_column("bound", pa.array(np.concatenate(bounds)))
+
+    asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>, bound double"))
     lot = F.floor((of_group(first) + F.col("s")) / per)
-    held = asked.select("i", "v", lot.alias("h")).join(cells, "h").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    # as many partitions as meetings, told by number so that they are not put together again: what a task holds is one meeting's
-    deal = lambda rows: rows.select("i", "v", "h", "c").repartition(max(1, int(met["chunks"])), "h", "c")
-    parts = deal(asks).groupBy("h", "c").cogroup(_again(deal(held)).groupBy("h", "c")).applyInArrow(_nearest(k), LISTS)
-    return _best(_apart(parts, met["n"]), k)
+    own = asked.groupBy(lot.alias("h")).agg(F.count("*").alias("held"))
+    counted = asked.select(F.explode("need").alias("h")).groupBy("h").agg(F.count("*").alias("n")).join(own, "h").select("h", "n", F.ceil(F.col("n") / TASK).alias("chunks"), "held").collect()  # a row a lot
+    turns = _rounds([(r["h"], r["n"] + r["chunks"] * r["held"]) for r in sorted(counted)], SENT * n)
+    cells = points.sparkSession.createDataFrame([(r["h"], r["chunks"], turns[r["h"]]) for r in counted], "h long, chunks long, turn int")
+    deal = lambda rows, meetings: rows.select(*[c for c in ("i", "v", "bound") if c in rows.columns], "h", "c").repartition(meetings, "h", "c")
+    best = None
+    for turn in range(max(turns.values()) + 1):
+        now = [r for r in counted if turns[r["h"]] == turn]
+        meetings, met = sum(r["chunks"] for r in now), sum(r["n"] for r in now)
+        here = F.broadcast(cells.where(F.col("turn") == turn).drop("turn"))
+        asks = asked.select("i", "v", "bound", F.explode("need").alias("h")).join(here, "h").withColumn("c", F.pmod(F.xxhash64("i", F.lit(5)), F.col("chunks")))
+        held = asked.select("i", "v", lot.alias("h")).join(here, "h").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        # as many partitions as meetings, told by number so that they are not put together again: what a task holds is one meeting's
+        found = deal(asks, meetings).groupBy("h", "c").cogroup(_again(deal(held, meetings)).groupBy("h", "c")).applyInArrow(_nearest(k), LISTS)
+        lists, met = (found, met) if best is None else (best.unionByName(found), met + n)
+        if turn < max(turns.values()):
+            best = fresh(_merged(lists, met, k))
+    return _best(_apart(lists, met), k)
+
+
+def _rounds(lots: list[tuple[int, int]], most: int) -> dict[int, int]:
+    """Of each lot (its number, the copies that it takes) the round in which it is searched; a round takes `most` copies, or one lot."""
+    turn, sent, turns = 0, 0, {}
+    for h, copies in lots:
+        if sent and sent + copies > most:
+            turn, sent = turn + 1, 0
+        turns[h], sent = turn, sent + copies
+    return turns
 
 
 def _again(df: DataFrame) -> DataFrame:
@@ -132,9 +170,20 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _dealt(lists: DataFrame, n: int) -> DataFrame:
+    """n partial lists, dealt out as they are, about TASK to a task, so no task sorts what it has not yet sent."""
+    return lists.repartition(max(1, -(-n // TASK)), "i")
+
+
 def _apart(lists: DataFrame, n: int) -> DataFrame:
-    """(i, j, d) of n partial lists. They are dealt out as they are, about TASK to a task, and taken apart there, so no task sorts what it has not yet sent."""
-    return lists.repartition(max(1, -(-n // TASK)), "i").select("i", F.explode(F.arrays_zip("j", "d")).alias("_p")).select("i", F.col("_p.j").alias("j"), F.col("_p.d").alias("d"))
+    """(i, j, d) of n partial lists, taken apart where they were sent."""
+    return _dealt(lists, n).select("i", F.explode(F.arrays_zip("j", "d")).alias("_p")).select("i", F.col("_p.j").alias("j"), F.col("_p.d").alias("d"))
+
+
+def _merged(lists: DataFrame, n: int, k: int) -> DataFrame:
+    """One list a point, of its k nearest, from n partial lists."""
+    near = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "j")))), 1, k)
+    return _dealt(lists, n).groupBy("i").agg(near.alias("_p")).select("i", F.col("_p.j").alias("j"), F.col("_p.d").alias("d"))
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -179,7 +228,8 @@ def dense_numbers(values: DataFrame, column: str) -> DataFrame:
 
 def local_scale(neighbours: DataFrame, q: int = 10) -> float:
     """The median over pixels of the q-th other neighbour's distance, of those positive and finite."""
-    s = median(neighbours.where((F.col("rank") == q) & (F.col("d") > 0) & (F.col("d") < float("inf"))), "d")
+    far = neighbours.where((F.col("rank") == q) & (F.col("d") > 0) & (F.col("d") < float("inf"))).select("d")
+    s = median(fresh(far), "d")  # read several times: the search behind it runs once
     if s is None:
         raise ValueError(f"no pixel has a {q}-th neighbour at a positive distance")
     return s
