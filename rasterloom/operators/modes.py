@@ -35,23 +35,26 @@ def _nearest(k: int):
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.list_(pa.int64())), "d": pa.array([], pa.list_(pa.float64()))})
         x, y = matrix(left.column("v")), matrix(right.column("v"))
         bound = left.column("bound").to_numpy() if "bound" in left.column_names else np.full(len(a), np.inf)
-        norms, flat = (y * y).sum(1), y.T.copy()
+        # a first look in single precision around the centre: one product gives each squared distance but for the left point's own part
+        centre = y.mean(0)
+        u, w = x - centre, y - centre
+        own_norm, norms = (u * u).sum(1), (w * w).sum(1)
+        kind, fine = (np.float32, 1e-6 * (x.shape[1] + 8)) if max(own_norm.max(), norms.max()) < 1e30 else (np.float64, 1e-9)
+        u = np.column_stack([-2 * u, np.ones(len(u))]).astype(kind)
+        w = np.column_stack([w, norms]).T.astype(kind).copy()
+        # ties and rounding at the border: whatever is within a hair of the worst pick is looked at exactly
+        hair = fine * (own_norm + norms.max()) + 1e-12
         took, own_j, own_d = [], [], []
         take = min(k + 1, len(b))
-        for at in range(0, len(a), 256):
-            part, own = x[at : at + 256], a[at : at + 256]
-            norm = (part * part).sum(1)
-            rough = part @ flat
-            rough *= -2
-            rough += norm[:, None]
-            rough += norms
-            # ties and rounding at the border: whatever is within a hair of the worst pick is looked at exactly
-            hair = 1e-9 * (norm + norms.max()) + 1e-12
-            limit = bound[at : at + 256] ** 2 + hair
+        for at in range(0, len(a), 64):
+            part, own = x[at : at + 64], a[at : at + 64]
+            rough = u[at : at + 64] @ w
+            limit = bound[at : at + 64] ** 2 - own_norm[at : at + 64] + hair[at : at + 64]
             wide = np.flatnonzero(~np.isfinite(limit))
             if len(wide):
                 others = np.where(own[wide][:, None] == b, np.inf, rough[wide])
-                limit[wide] = np.partition(others, take - 1, axis=1)[:, take - 1] + hair[wide]
+                limit[wide] = np.partition(others, take - 1, axis=1)[:, take - 1] + 2 * hair[at + wide]
+            limit = np.nextafter(limit.astype(kind), kind(np.inf))
             r, near = np.nonzero(rough <= limit[:, None])
             other = own[r] != b[near]
             r, near = r[other], near[other]
@@ -125,7 +128,7 @@ def knn(points: DataFrame, k: int, vector: str = "v", block: int = BLOCK, n: int
             hair = 1e-6 * (1 + np.abs(part).max(1) + np.abs(pivots).max())
             near = away - radius <= (bound + hair)[:, None]
             need += [np.flatnonzero(row).tolist() for row in near.astype(float) @ lots]
-            bounds.append(bound)
+            bounds.append(bound + hair)
         return table.select(["i", "v", "g", "s"]).append_column("need", pa.array(need, pa.list_(pa.int64()))).append_column("bound", pa.array(np.concatenate(bounds)))
 
     asked = fresh(dealt.select("i", "v", "g", "s").groupBy("g", "s").applyInArrow(reach, "i long, v array<double>, g long, s long, need array<long>, bound double"))
